@@ -663,7 +663,7 @@ def q_combine(spark, sf):
 
 
 @plan("validate_data", (
-    "SELECT column, null_count::BIGINT AS null_count, distinct_count::BIGINT AS distinct_count, castable_count::BIGINT AS castable_count, "
+    "SELECT \"column\", null_count::BIGINT AS null_count, distinct_count::BIGINT AS distinct_count, castable_count::BIGINT AS castable_count, "
     "rows::BIGINT AS rows FROM ("
     "SELECT 'o_orderkey' AS column, count_if(o_orderkey IS NULL) AS null_count, count(DISTINCT o_orderkey) AS distinct_count, "
     "count_if(TRY_CAST(o_orderkey::VARCHAR AS DOUBLE) IS NOT NULL) AS castable_count, count(*) AS rows FROM orders UNION ALL "

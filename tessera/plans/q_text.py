@@ -1 +1,396 @@
-"""Plans (filled in below)."""
+"""Plans for text cleaning, tokenising and text analysis over documents / pages /
+conversations / labels (F01-F06, X01-X04, X06-X07, X09-X10, X12-X20, X23-X24)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import dictionaries as D
+from tessera.functions import text as T
+from tessera.operators import text as X
+from tessera.plans.common import round_doubles
+from tessera.plans.registry import plan, table
+
+# ---------------------------------------------------------------------------
+# DuckDB twins of the text expressions (RE2: \w is ASCII, so spell out [\pL\pN_])
+# ---------------------------------------------------------------------------
+W = r"[\pL\pN_]"
+
+
+def sq(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_list(words) -> str:
+    return "[" + ", ".join(sq(w) for w in words) + "]"
+
+
+def sql_clean_basic(t: str) -> str:
+    x = f"regexp_replace(lower(coalesce({t}, '')), '\\s+', ' ', 'g')"
+    x = f"regexp_replace({x}, '[^\\pL\\pN_\\s.!?,;:]', '', 'g')"
+    return f"trim({x})"
+
+
+def sql_clean_advanced(t: str) -> str:
+    x = f"lower(coalesce({t}, ''))"
+    x = f"regexp_replace({x}, 'http\\S+|www\\S+|https\\S+', '', 'g')"
+    x = f"regexp_replace({x}, '\\S+@\\S+', '', 'g')"
+    x = f"regexp_replace({x}, '\\d+', '', 'g')"
+    x = f"regexp_replace({x}, '\\s+', ' ', 'g')"
+    x = f"regexp_replace({x}, '[[:punct:]]', '', 'g')"
+    return f"trim({x})"
+
+
+def sql_clean_html(t: str) -> str:
+    x = f"regexp_replace({t}, '(?is)<script[^>]*>.*?</script>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    x = f"regexp_replace({x}, '\\s+', ' ', 'g')"
+    return f"trim({x})"
+
+
+def sql_ws_tokens(t: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({t}, ''), '\\s+'), lambda x: x <> '')"
+
+
+SQL_WORD_RE = f"{W}+(?:''{W}+)?|[^\\pL\\pN_\\s]"
+
+
+def sql_word_tokens(t: str) -> str:
+    return f"regexp_extract_all(coalesce({t}, ''), '{SQL_WORD_RE}', 0)"
+
+
+def sql_alpha(x: str) -> str:
+    return f"regexp_full_match({x}, '\\pL+')"
+
+
+def sql_freq_tokens(t: str) -> str:
+    return (f"list_filter(list_transform(list_filter({sql_ws_tokens(t)}, lambda w: {sql_alpha('w')}), lambda w: lower(w)), "
+            f"lambda w: NOT list_contains({sql_list(D.STOPWORDS_EN)}, w))")
+
+
+def sql_ngram_tokens(t: str) -> str:
+    return (f"list_filter({sql_word_tokens(f"lower(coalesce({t}, ''))")}, "
+            f"lambda w: {sql_alpha('w')} AND NOT list_contains({sql_list(D.STOPWORDS_EN)}, w))")
+
+
+def sql_ngrams(toks: str, n: int) -> str:
+    if n == 1:
+        return toks
+    parts = " || ' ' || ".join(f"{toks}[i + {k}]" for k in range(n))
+    return f"CASE WHEN len({toks}) >= {n} THEN [{parts} for i in range(1, len({toks}) - {n - 2})] ELSE [] END"
+
+
+# ---------------------------------------------------------------------------
+# F01-F05 cleaning and lengths
+# ---------------------------------------------------------------------------
+
+
+@plan("clean_basic", f"SELECT doc_id, {sql_clean_basic('text')} AS cleaned FROM documents", ("F01",))
+def q_clean_basic(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.clean_basic("text").alias("cleaned"))
+
+
+@plan("clean_advanced", f"SELECT doc_id, {sql_clean_advanced('text')} AS cleaned FROM documents", ("F02",))
+def q_clean_advanced(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.clean_advanced("text").alias("cleaned"))
+
+
+@plan("clean_html", f"SELECT page_id, {sql_clean_html('html')} AS text FROM pages", ("F03",))
+def q_clean_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.clean_html("html").alias("text"))
+
+
+@plan("normalize_text", (
+    "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[[:punct:]]', '', 'g'), "
+    "'\\d+', '', 'g'), '\\s+', ' ', 'g')) AS normalized FROM documents"), ("F04",))
+def q_normalize(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.normalize_text("text", True, True, True).alias("normalized"))
+
+
+@plan("text_lengths", (
+    f"SELECT doc_id, length(text)::INTEGER AS char_count, len({sql_ws_tokens('text')})::INTEGER AS word_count FROM documents"),
+    ("F05",))
+def q_lengths(spark, sf):
+    return X.text_lengths(table(spark, sf, "documents"), "text").select("doc_id", "char_count", "word_count")
+
+
+@plan("text_length_stats", (
+    "WITH l AS (SELECT length(text) AS char_count, len(" + sql_ws_tokens("text") + ") AS word_count FROM documents) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS measure, count({c})::BIGINT AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+        f"min({c})::DOUBLE AS min, " + ", ".join(f"round(quantile_cont({c}, {p / 100}), 6) AS p{p}" for p in (5, 25, 50, 75, 95))
+        + f", max({c})::DOUBLE AS max FROM l" for c in ("char_count", "word_count"))), ("X14",))
+def q_length_stats(spark, sf):
+    return round_doubles(X.text_length_stats(table(spark, sf, "documents"), "text"))
+
+
+# ---------------------------------------------------------------------------
+# X01-X04, X07 tokenizers
+# ---------------------------------------------------------------------------
+
+
+@plan("tokenize_words", (
+    f"SELECT doc_id, len(t)::INTEGER AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {sql_word_tokens('text')} AS t FROM documents)"),
+    ("X01",))
+def q_tok_words(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.tokenize_words("text").alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@plan("tokenize_sentences", (
+    "SELECT doc_id, len(s)::INTEGER AS n_sentences, array_to_string(s, '|') AS sentences FROM (SELECT doc_id, "
+    "string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents)"),
+    ("X02",))
+def q_tok_sent(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.tokenize_sentences("text").alias("s"))
+    return d.select("doc_id", F.size("s").alias("n_sentences"), F.array_join("s", "|").alias("sentences"))
+
+
+_SQL_TWEET = (f"https?://\\S+|www\\.\\S+|@{W}+|#{W}+|[:;=8][-o*'']?[)(\\]\\[dDpP/\\\\|]|<3|{W}+(?:''{W}+)?|[^\\pL\\pN_\\s]")
+
+
+@plan("tokenize_tweet", (
+    f"SELECT conv_id, turn, len(t)::INTEGER AS n_tokens, array_to_string(t, ' ') AS tokens FROM "
+    f"(SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '{_SQL_TWEET}', 0) AS t FROM conversations)"), ("X03",))
+def q_tok_tweet(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", T.tokenize_tweet("text").alias("t"))
+    return c.select("conv_id", "turn", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@plan("tokenize_whitespace", (
+    f"SELECT doc_id, len(t)::INTEGER AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {sql_ws_tokens('text')} AS t FROM documents)"),
+    ("X04",))
+def q_tok_ws(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.tokenize_whitespace("text").alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@plan("remove_stopwords", (
+    f"SELECT doc_id, len(t)::INTEGER AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, "
+    f"list_filter({sql_word_tokens('text')}, lambda w: NOT list_contains({sql_list(D.STOPWORDS_EN)}, lower(w))) AS t FROM documents)"),
+    ("X07", "F08"))
+def q_stop(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.remove_stopwords(T.tokenize_words("text")).alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+# ---------------------------------------------------------------------------
+# X15-X17, X23 frequencies
+# ---------------------------------------------------------------------------
+
+
+@plan("word_frequency", (
+    f"SELECT word, count(*)::BIGINT AS count FROM (SELECT unnest({sql_freq_tokens('text')}) AS word FROM documents) "
+    "GROUP BY word ORDER BY count DESC, word LIMIT 20"), ("X15", "T01"))
+def q_word_freq(spark, sf):
+    return X.word_frequency(table(spark, sf, "documents"), "text", 20)
+
+
+@plan("word_frequency_summary", (
+    f"SELECT count(*)::BIGINT AS total_words, count(DISTINCT word)::BIGINT AS distinct_words FROM "
+    f"(SELECT unnest({sql_freq_tokens('text')}) AS word FROM documents)"), ("X15",))
+def q_word_summary(spark, sf):
+    return X.word_frequency_summary(table(spark, sf, "documents"), "text")
+
+
+@plan("word_cloud_weights", (
+    f"WITH wf AS (SELECT word, count(*)::BIGINT AS count FROM (SELECT unnest({sql_freq_tokens('text')}) AS word FROM documents) "
+    "GROUP BY word ORDER BY count DESC, word LIMIT 100) SELECT word, count, round(count / (SELECT max(count) FROM wf), 6) AS weight FROM wf"),
+    ("X15",))
+def q_cloud(spark, sf):
+    return round_doubles(X.word_cloud_weights(table(spark, sf, "documents"), "text", 100))
+
+
+def _sql_ngram_counts(n: int, top: int) -> str:
+    toks = sql_ngram_tokens("text")
+    return (f"SELECT ngram, count(*)::BIGINT AS count FROM (SELECT unnest({sql_ngrams('tk', n)}) AS ngram FROM "
+            f"(SELECT {toks} AS tk FROM documents)) GROUP BY ngram ORDER BY count DESC, ngram LIMIT {top}")
+
+
+@plan("bigram_frequency", _sql_ngram_counts(2, 20), ("X16", "F08"))
+def q_bigrams(spark, sf):
+    return X.ngram_frequency(table(spark, sf, "documents"), "text", 2, 20)
+
+
+@plan("trigram_frequency", _sql_ngram_counts(3, 10), ("X16",))
+def q_trigrams(spark, sf):
+    return X.ngram_frequency(table(spark, sf, "documents"), "text", 3, 10)
+
+
+@plan("bigram_network", (
+    f"SELECT least(split_part(ngram, ' ', 1), split_part(ngram, ' ', 2)) AS node_1, "
+    f"greatest(split_part(ngram, ' ', 1), split_part(ngram, ' ', 2)) AS node_2, sum(count)::BIGINT AS weight "
+    f"FROM ({_sql_ngram_counts(2, 20)}) GROUP BY 1, 2"), ("X17",))
+def q_bigram_net(spark, sf):
+    return X.bigram_network(table(spark, sf, "documents"), "text", 20)
+
+
+@plan("keyword_in_class", (
+    f"SELECT quality, word, count(*)::BIGINT AS count FROM (SELECT l.quality, unnest({sql_freq_tokens('d.text')}) AS word "
+    "FROM documents d JOIN labels l ON d.doc_id = l.doc_id) GROUP BY quality, word"), ("X23",))
+def q_kw_class(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return X.keyword_in_class(d, "text", "quality")
+
+
+# ---------------------------------------------------------------------------
+# X06, X09, X10, X12, X13 token attributes
+# ---------------------------------------------------------------------------
+
+
+def _sql_map(d) -> str:
+    return "MAP {" + ", ".join(f"{sq(k)}: {sq(v) if isinstance(v, str) else v}" for k, v in d.items()) + "}"
+
+
+def _sql_pos(tok: str) -> str:
+    lw = f"lower({tok})"
+    return (f"coalesce({_sql_map(D.POS_LEXICON)}[{lw}], CASE "
+            f"WHEN regexp_full_match({tok}, '[0-9]+([.,][0-9]+)?') THEN 'CD' "
+            f"WHEN regexp_full_match({tok}, '[^\\pL\\pN_\\s]+') THEN '.' "
+            f"WHEN ends_with({lw}, 'ing') THEN 'VBG' WHEN ends_with({lw}, 'ed') THEN 'VBD' WHEN ends_with({lw}, 'ly') THEN 'RB' "
+            f"WHEN ends_with({lw}, 'ous') OR ends_with({lw}, 'ful') OR ends_with({lw}, 'able') OR ends_with({lw}, 'ive') THEN 'JJ' "
+            f"WHEN ends_with({lw}, 'tion') OR ends_with({lw}, 'ment') OR ends_with({lw}, 'ness') THEN 'NN' "
+            f"WHEN ends_with({lw}, 's') AND NOT ends_with({lw}, 'ss') THEN 'NNS' "
+            f"WHEN regexp_full_match(substr({tok}, 1, 1), '\\p{{Lu}}') THEN 'NNP' ELSE 'NN' END)")
+
+
+@plan("token_attributes", (
+    "SELECT conv_id, turn, (i - 1)::INTEGER AS position, t AS text, coalesce(" + _sql_map(D.LEMMAS) + "[lower(t)], lower(t)) AS lemma, "
+    + _sql_pos("t") + " AS pos, regexp_full_match(t, '\\pL+') AS is_alpha, "
+    f"list_contains({sql_list(D.STOPWORDS_EN)}, lower(t)) AS is_stop, regexp_full_match(t, '[^\\pL\\pN_\\s]+') AS is_punct "
+    f"FROM (SELECT conv_id, turn, unnest(tk) AS t, unnest(generate_series(1, len(tk))) AS i FROM "
+    f"(SELECT conv_id, turn, {sql_word_tokens('text')} AS tk FROM conversations))"), ("X06", "X09", "X10", "F06"))
+def q_token_attrs(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("k", F.struct("conv_id", "turn"))
+    out = X.token_attributes(c, "k", "text")
+    return out.select("k.conv_id", "k.turn", *[x for x in out.columns if x != "k"])
+
+
+@plan("tokenize_postprocess", (
+    "SELECT doc_id, array_to_string(fin, ' ') AS tokens_str, len(raw)::INTEGER AS original_token_count, "
+    "len(fin)::INTEGER AS token_count, (len(cl) - len(fin))::INTEGER AS stopwords_removed FROM ("
+    f"SELECT doc_id, raw, cl, list_transform(list_filter(cl, lambda w: NOT list_contains({sql_list(D.STOPWORDS_EN)}, lower(w))), "
+    f"lambda w: coalesce({_sql_map(D.LEMMAS)}[lower(w)], lower(w))) AS fin FROM ("
+    "SELECT doc_id, raw, list_filter(list_transform(raw, lambda w: regexp_replace(w, '^(##|Ġ)', '')), "
+    "lambda w: length(w) > 1 AND NOT regexp_full_match(w, '\\[(CLS|SEP|PAD|UNK|MASK)\\]')) AS cl FROM ("
+    f"SELECT doc_id, {sql_word_tokens('text')} AS raw FROM documents)))"), ("X12",))
+def q_tok_post(spark, sf):
+    out = X.tokenize_and_postprocess(table(spark, sf, "documents").select("doc_id", "text"), "text", "word")
+    return out.select("doc_id", "tokens_str", "original_token_count", "token_count", "stopwords_removed")
+
+
+@plan("tokenization_stats", (
+    "WITH u AS ("
+    f"SELECT 'word' AS method, len({sql_word_tokens('text')}) AS n, length(text) AS len FROM documents UNION ALL "
+    f"SELECT 'whitespace', len({sql_ws_tokens('text')}), length(text) FROM documents UNION ALL "
+    f"SELECT 'tweet', len(regexp_extract_all(coalesce(text, ''), '{_SQL_TWEET}', 0)), length(text) FROM documents UNION ALL "
+    "SELECT 'sentence', len(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))), length(text) FROM documents) "
+    "SELECT method, round(avg(n), 6) AS avg_tokens, min(n)::INTEGER AS min_tokens, max(n)::INTEGER AS max_tokens, "
+    "round(stddev_samp(n), 6) AS std_tokens, sum(n)::BIGINT AS total_tokens, round(corr(len, n), 6) AS length_token_corr "
+    "FROM u GROUP BY method"), ("X13",))
+def q_tok_stats(spark, sf):
+    return round_doubles(X.tokenization_stats(table(spark, sf, "documents"), "text"))
+
+
+# ---------------------------------------------------------------------------
+# X18, X19 sentiment
+# ---------------------------------------------------------------------------
+
+# fixture lexicon: a few real sentiment words plus frequent corpus words so scores are non-trivial
+FIXTURE_LEXICON = dict(D.LEXICON)
+FIXTURE_LEXICON.update({"le": (0.3, 0.4), "der": (-0.2, 0.5), "que": (0.1, 0.9), "with": (0.4, 0.2), "from": (-0.6, 0.7)})
+
+
+def _sql_sentiment(src: str, key: str, text: str, lex=FIXTURE_LEXICON) -> str:
+    lexv = ", ".join(f"({sq(k)}, {v[0]}, {v[1]})" for k, v in lex.items())
+    intv = ", ".join(f"({sq(k)}, {v})" for k, v in D.INTENSIFIERS.items())
+    neg = sql_list(D.NEGATIONS)
+    return (
+        f"WITH toks AS (SELECT {key}, unnest(tk) AS t, unnest(generate_series(1, len(tk))) AS i FROM "
+        f"(SELECT {key}, {sql_word_tokens(f'lower({text})')} AS tk FROM {src})), "
+        f"ctx AS (SELECT {key}, t, lag(t, 1) OVER w AS p1, lag(t, 2) OVER w AS p2 FROM toks WINDOW w AS (PARTITION BY {key} ORDER BY i)), "
+        f"lx(w, pol, sub) AS (VALUES {lexv}), it(w, m) AS (VALUES {intv}), "
+        f"sc AS (SELECT c.{key}, greatest(least(lx.pol * coalesce(it.m, 1.0) * CASE WHEN coalesce(list_contains({neg}, c.p1), false) "
+        f"OR (it.m IS NOT NULL AND coalesce(list_contains({neg}, c.p2), false)) THEN -0.5 ELSE 1.0 END, 1.0), -1.0) AS p, "
+        f"greatest(least(lx.sub * coalesce(it.m, 1.0), 1.0), 0.0) AS s FROM ctx c JOIN lx ON c.t = lx.w LEFT JOIN it ON c.p1 = it.w), "
+        f"agg AS (SELECT {key}, avg(p) AS polarity, avg(s) AS subjectivity FROM sc GROUP BY {key}) "
+        f"SELECT d.{key}, round(coalesce(a.polarity, 0.0), 6) AS polarity, round(coalesce(a.subjectivity, 0.0), 6) AS subjectivity "
+        f"FROM {src} d LEFT JOIN agg a ON d.{key} = a.{key}"
+    )
+
+
+@plan("sentiment", _sql_sentiment("documents", "doc_id", "text"), ("X18",))
+def q_sentiment(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return round_doubles(X.sentiment(d, "text", lexicon=FIXTURE_LEXICON).select("doc_id", "polarity", "subjectivity"))
+
+
+@plan("sentiment_summary", (
+    "WITH s AS (" + _sql_sentiment("documents", "doc_id", "text").replace("round(coalesce(a.polarity, 0.0), 6)", "coalesce(a.polarity, 0.0)")
+    .replace("round(coalesce(a.subjectivity, 0.0), 6)", "coalesce(a.subjectivity, 0.0)") + ") "
+    + " UNION ALL ".join(
+        f"SELECT {t}::DOUBLE AS threshold, count(*)::BIGINT AS documents, round(avg(polarity), 6) AS avg_polarity, "
+        f"round(avg(subjectivity), 6) AS avg_subjectivity, count_if(polarity > {t}::DOUBLE)::BIGINT AS positive, "
+        f"count_if(polarity < -{t}::DOUBLE)::BIGINT AS negative, (count(*) - count_if(polarity > {t}::DOUBLE) - count_if(polarity < -{t}::DOUBLE))::BIGINT AS neutral, "
+        f"round(count_if(polarity > {t}::DOUBLE) * 100.0 / count(*), 6) AS positive_pct, round(count_if(polarity < -{t}::DOUBLE) * 100.0 / count(*), 6) AS negative_pct FROM s"
+        for t in (0.2, 0.05))), ("X19", "D22"))
+def q_sent_summary(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return round_doubles(X.sentiment_summary(X.sentiment(d, "text", lexicon=FIXTURE_LEXICON)))
+
+
+# ---------------------------------------------------------------------------
+# X20 TF-IDF, X24 language
+# ---------------------------------------------------------------------------
+
+
+def _sql_tfidf(min_df=2, max_df=0.95, max_features=1000):
+    toks = (f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '{W}{W}+', 0), "
+            f"lambda w: NOT list_contains({sql_list(D.STOPWORDS_EN)}, w))")
+    return (
+        f"WITH b AS (SELECT doc_id, {toks} AS tk FROM documents), "
+        f"t AS (SELECT doc_id, unnest(list_concat(tk, {sql_ngrams('tk', 2)})) AS term FROM b), "
+        "tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents), "
+        f"st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term), "
+        f"v AS (SELECT term, ln((n + 1.0) / (df + 1.0)) + 1 AS idf FROM st, n WHERE df >= {min_df} AND df <= {max_df} * n "
+        f"ORDER BY cf DESC, term LIMIT {max_features}), "
+        "w AS (SELECT doc_id, tf.term, tf * idf AS w FROM tf JOIN v ON tf.term = v.term), "
+        "nm AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY doc_id) "
+        "SELECT w.doc_id, term, round(w / nrm, 6) AS tfidf FROM w JOIN nm ON w.doc_id = nm.doc_id"
+    )
+
+
+@plan("tfidf", _sql_tfidf(), ("X20", "D19"))
+def q_tfidf(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return round_doubles(X.tfidf_long(d, "doc_id", "text", (1, 2), 2, 0.95, 1000))
+
+
+def _sql_lang():
+    toks = f"list_transform({sql_ws_tokens('text')}, lambda w: lower(regexp_replace(w, '[^\\pL\\pN_'']', '', 'g')))"
+    hits = [f"struct_pack(n := len(list_filter(tk, lambda w: list_contains({sql_list(ws)}, w))), lang := '{lang}')"
+            for lang, ws in sorted(D.STOPWORDS.items())]
+    return (
+        f"WITH b AS (SELECT doc_id, lang, {toks} AS tk FROM documents), h AS (SELECT doc_id, lang, [{', '.join(hits)}] AS hs FROM b), "
+        "e AS (SELECT doc_id, lang, unnest(hs) AS s FROM h), "
+        "best AS (SELECT doc_id, lang, s.n AS n, s.lang AS cand, row_number() OVER (PARTITION BY doc_id ORDER BY s.n DESC, s.lang) AS rk FROM e) "
+        "SELECT doc_id, lang, CASE WHEN n > 0 THEN cand ELSE 'unknown' END AS detected_lang, n::INTEGER AS profile_hits FROM best WHERE rk = 1"
+    )
+
+
+@plan("language_detection", _sql_lang(), ("X24",))
+def q_lang(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return X.detect_language(d, "text").select("doc_id", "lang", "detected_lang", "profile_hits")
+
+
+@plan("language_accuracy", (
+    "WITH p AS (" + _sql_lang() + ") SELECT lang, count(*)::BIGINT AS documents, count_if(lang = detected_lang)::BIGINT AS correct "
+    "FROM p GROUP BY lang"), ("X24",))
+def q_lang_acc(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    p = X.detect_language(d, "text")
+    return p.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"),
+                                 F.count_if(F.col("lang") == F.col("detected_lang")).alias("correct"))
