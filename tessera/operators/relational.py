@@ -107,8 +107,8 @@ def compare_datasets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """C14: (metric, column, left, right) rows: shapes, nulls, columns only on one side and,
     per common column, the number of changed rows."""
     common = [c for c in a.columns if c in b.columns and c != key]
-    sa = a.agg(F.count(F.lit(1)).alias("rows"), sum((F.col(c).isNull().cast("long") for c in a.columns), F.lit(0)).alias("nulls"))
-    sb = b.agg(F.count(F.lit(1)).alias("rows"), sum((F.col(c).isNull().cast("long") for c in b.columns), F.lit(0)).alias("nulls"))
+    sa = a.agg(F.count(F.lit(1)).alias("rows"), F.sum(sum((F.col(c).isNull().cast("long") for c in a.columns), F.lit(0))).alias("nulls"))
+    sb = b.agg(F.count(F.lit(1)).alias("rows"), F.sum(sum((F.col(c).isNull().cast("long") for c in b.columns), F.lit(0))).alias("nulls"))
     al = align_versions(a, b, key)
     ch = al.where(F.col("in_left") & F.col("in_right")).agg(*[F.count_if(f"{c}_changed").alias(c) for c in common])
     row = sa.select(F.col("rows").alias("a_rows"), F.coalesce(F.col("nulls"), F.lit(0)).alias("a_nulls")).crossJoin(

@@ -277,9 +277,9 @@ def q_mlm(spark, sf):
 
 @plan("context_candidates", (
     "WITH t AS (SELECT " + sql_word_tokens("lower(coalesce(text, ''))") + " AS tk FROM documents), "
-    "g AS (SELECT tk[i] AS l, tk[i + 1] AS w, tk[i + 2] AS r FROM t, range(1, 100000) s(i) WHERE i + 2 <= len(tk)), "
+    "g AS (SELECT tk[i] AS l, tk[i + 1] AS w, tk[i + 2] AS r FROM (SELECT tk, unnest(generate_series(1, len(tk) - 2)) AS i FROM t WHERE len(tk) >= 3)), "
     "c AS (SELECT l AS \"left\", r AS \"right\", w AS word, count(*)::BIGINT AS count FROM g WHERE regexp_full_match(w, '\\pL+') GROUP BY ALL) "
-    "SELECT *, rank::INTEGER AS rank FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY \"left\", \"right\" ORDER BY count DESC, word) AS rank "
-    "FROM (SELECT *, 0 AS rank FROM c)) WHERE rank <= 5"), ("G13",))
+    "SELECT * EXCLUDE (rk), rk::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY \"left\", \"right\" ORDER BY count DESC, word) AS rk "
+    "FROM c) WHERE rk <= 5"), ("G13",))
 def q_ctx(spark, sf):
     return G.context_candidates(table(spark, sf, "documents"), "text", 5)

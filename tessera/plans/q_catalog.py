@@ -38,7 +38,7 @@ def artifacts(spark, sf):
         F.col("event_id").alias("id"), user.alias("user_id"), F.col("user_id").alias("dataset_id"), stage.alias("stage"),
         F.concat(stage, F.lit("_op")).alias("operation"), status.alias("status"), F.col("props").alias("parameters"),
         F.col("ts").alias("created_at"),
-        K.stage_path(user, F.col("user_id"), stage, F.col("ts"), ".csv").alias("bucket_key"),
+        K.stage_path(F.col("user_id") % 10, F.col("user_id"), stage, F.col("ts"), ".csv").alias("bucket_key"),
     )
 
 
@@ -168,7 +168,9 @@ def q_dates(spark, sf):
 
 @plan("file_names", (
     "SELECT page_id, lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '(\\.[^./]+)$', 1)) AS ext, "
-    "regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) || '_aug1' AS augmented_name FROM pages"), ("F13",))
+    "CASE WHEN regexp_matches(p, '\\.[^./]+$') THEN regexp_extract(p, '^(.*)(\\.[^./]+)$', 1) || '_aug1' || "
+    "regexp_extract(p, '^(.*)(\\.[^./]+)$', 2) ELSE p || '_aug1' END AS augmented_name "
+    "FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS p FROM pages)"), ("F13",))
 def q_files(spark, sf):
     p = table(spark, sf, "pages")
     path = F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1)
@@ -209,7 +211,7 @@ def q_union(spark, sf):
 
 @plan("column_sets", (
     "SELECT * FROM (VALUES ('o_custkey', 'only_left'), ('o_orderstatus', 'only_left'), ('c_name', 'only_right'), "
-    "('o_orderkey', 'common'), ('o_totalprice', 'common')) t(column, side)"), ("U02",))
+    "('o_orderkey', 'common'), ('o_totalprice', 'common')) t(\"column\", side)"), ("U02",))
 def q_colsets(spark, sf):
     a = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     b = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.lit("x").alias("c_name"))

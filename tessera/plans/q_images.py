@@ -1 +1,92 @@
-"""Plans (filled in below)."""
+"""Plans for image operators over image structs built from the embeddings table
+(FIXTURES 'Images': 8 x 8 grey images, class folder = label)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import images as I
+from tessera.plans.common import round_doubles
+from tessera.plans.registry import plan, table
+
+
+def image_set(spark, sf):
+    e = table(spark, sf, "embeddings")
+    e = e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return I.images_from_vectors(e, "vec_id", "vec", "label", 8)
+
+
+_PIX_SQL = ("WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), "
+            "p AS (SELECT vec_id, label, unnest(list_transform(v, lambda x: round((x - list_min(v)) / greatest(list_max(v) - list_min(v), 1e-12) * 255)::INTEGER)) AS px FROM e) ")
+
+
+@plan("image_statistics", (
+    "SELECT label::VARCHAR AS label, 'png' AS format, 1 AS channels, count(*)::BIGINT AS images, 8 AS min_width, 8 AS max_width, "
+    "8.0 AS mean_width, 8 AS min_height, 8 AS max_height, 8.0 AS mean_height FROM embeddings GROUP BY label"), ("I02",))
+def q_img_stats(spark, sf):
+    return I.image_statistics(image_set(spark, sf))
+
+
+@plan("color_histograms", _PIX_SQL + "SELECT 'gray' AS channel, px AS bin, count(*)::BIGINT AS count FROM p GROUP BY px", ("I13",))
+def q_color_hist(spark, sf):
+    return I.color_histograms(image_set(spark, sf))
+
+
+@plan("color_summary", _PIX_SQL + "SELECT 'gray' AS channel, round(avg(px), 6) AS mean_value, count(*)::BIGINT AS pixels FROM p",
+      ("I13",))
+def q_color_summary(spark, sf):
+    return round_doubles(I.color_summary(image_set(spark, sf)))
+
+
+@plan("image_quality", None, ("I14",))
+def q_quality(spark, sf):
+    """Laplacian sharpness and brightness per image (R: one row per image)."""
+    return round_doubles(I.quality_assessment(image_set(spark, sf)))
+
+
+@plan("edge_density", None, ("I17",))
+def q_edges(spark, sf):
+    """Sobel edge share per image (R: values in [0, 1])."""
+    return round_doubles(I.edge_density(image_set(spark, sf)))
+
+
+@plan("image_resize", None, ("I03", "E02"))
+def q_resize(spark, sf):
+    """Bilinear resize to 16 x 16 (R: every image 16 x 16, 256 bytes)."""
+    out = I.resize(image_set(spark, sf), 16, 16)
+    return out.select(F.col("image.origin").alias("origin"), "image.height", "image.width", F.length("image.data").alias("bytes"), "status")
+
+
+@plan("image_augment", None, ("I07", "I08", "I09", "I10", "I04", "I05", "I06", "I12"))
+def q_img_aug(spark, sf):
+    """Rotation, jitter, elastic, cutout, colour, denoise and mode conversion; status counts (R)."""
+    imgs = image_set(spark, sf)
+    parts = [I.rotate(imgs, 30, 2), I.color_jitter(imgs, copies=1), I.elastic(imgs, copies=1), I.cutout(imgs, 3, 1, 1),
+             I.color_correction(imgs, 1.2, 0.9, 1.0), I.denoise(imgs, "median", 0.5), I.denoise(imgs, "gaussian", 0.2),
+             I.convert_mode(imgs, "RGB")]
+    names = ["rotate", "jitter", "elastic", "cutout", "color", "median", "gaussian", "rgb"]
+    out = None
+    for n, p in zip(names, parts):
+        s = p.groupBy("status").agg(F.count(F.lit(1)).alias("images")).withColumn("operation", F.lit(n))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@plan("image_mixup", None, ("I11", "J05"))
+def q_img_mix(spark, sf):
+    """Same-class mixup (R: one output per image, lambda in [0, 1])."""
+    out = I.mixup(image_set(spark, sf), 0.2)
+    return round_doubles(out.select(F.col("image.origin").alias("origin"), "label", "partner", "lam"))
+
+
+@plan("image_embedding_pca", None, ("I15",))
+def q_img_pca(spark, sf):
+    """Centred thumbnail PCA to 2 components (R)."""
+    out, _ = I.feature_embedding(image_set(spark, sf), 8, 2)
+    return round_doubles(out)
+
+
+@plan("image_classify", None, ("I18",))
+def q_img_cls(spark, sf):
+    """MLP on thumbnails; evaluation summary (R: 7 metrics)."""
+    return round_doubles(I.image_classify(image_set(spark, sf), 8))

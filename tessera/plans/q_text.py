@@ -328,8 +328,7 @@ def q_sentiment(spark, sf):
 
 
 @plan("sentiment_summary", (
-    "WITH s AS (" + _sql_sentiment("documents", "doc_id", "text").replace("round(coalesce(a.polarity, 0.0), 6)", "coalesce(a.polarity, 0.0)")
-    .replace("round(coalesce(a.subjectivity, 0.0), 6)", "coalesce(a.subjectivity, 0.0)") + ") "
+    "WITH s AS (" + _sql_sentiment("documents", "doc_id", "text") + ") "
     + " UNION ALL ".join(
         f"SELECT {t}::DOUBLE AS threshold, count(*)::BIGINT AS documents, round(avg(polarity), 6) AS avg_polarity, "
         f"round(avg(subjectivity), 6) AS avg_subjectivity, count_if(polarity > {t}::DOUBLE)::BIGINT AS positive, "
@@ -338,7 +337,9 @@ def q_sentiment(spark, sf):
         for t in (0.2, 0.05))), ("X19", "D22"))
 def q_sent_summary(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return round_doubles(X.sentiment_summary(X.sentiment(d, "text", lexicon=FIXTURE_LEXICON)))
+    # scores rounded to 6 dp before thresholding, so engines agree on values at a threshold
+    scored = round_doubles(X.sentiment(d, "text", lexicon=FIXTURE_LEXICON).select("doc_id", "polarity", "subjectivity"))
+    return round_doubles(X.sentiment_summary(scored))
 
 
 # ---------------------------------------------------------------------------
