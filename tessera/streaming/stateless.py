@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 
-def read_parquet_stream(spark: SparkSession, path: str, like: DataFrame, max_files: int = 1) -> DataFrame:
-    """Streaming scan of a parquet folder with the schema of ``like``."""
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_parquet_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "*.parquet",
+                        max_files: int = 1) -> DataFrame:
+    """Streaming scan of the parquet files in ``folder`` matching ``glob``, schema of ``like``."""
+    return (spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files)
+            .option("pathGlobFilter", glob).parquet(folder))
 
 
 def clean_text_stream(stream: DataFrame, key: str, text_col: str) -> DataFrame:
