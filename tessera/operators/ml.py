@@ -205,6 +205,8 @@ def topic_nmf(tfidf_long: DataFrame, key: str, k: int = 5, iters: int = 30, word
     H = v.select("term").distinct().select("term", F.explode(ks).alias("t")).withColumn(
         "h", core.hash_uniform(F.concat_ws(":", "term", F.col("t").cast("string")), F.lit(f"nmf-h:{seed}")) + 0.01)
     eps = F.lit(1e-9)
+    v = cut_lineage(v)
+    W, H = cut_lineage(W), cut_lineage(H)
     for it in range(iters):
         # H <- H * (W^T V) / (W^T W H)
         wtv = v.join(W, "d").groupBy("t", "term").agg(F.sum(F.col("w") * F.col("v")).alias("num"))
@@ -213,6 +215,7 @@ def topic_nmf(tfidf_long: DataFrame, key: str, k: int = 5, iters: int = 30, word
         den = H.withColumnRenamed("t", "s").join(F.broadcast(wtw), "s").groupBy("t", "term").agg(F.sum(F.col("g") * F.col("h")).alias("den"))
         H = H.join(wtv, ["t", "term"], "left").join(den, ["t", "term"], "left").select(
             "term", "t", (F.col("h") * F.coalesce("num", F.lit(0.0)) / (F.coalesce("den", F.lit(0.0)) + eps)).alias("h"))
+        H = cut_lineage(H)
         # W <- W * (V H^T) / (W H H^T)
         vht = v.join(H, "term").groupBy("d", "t").agg(F.sum(F.col("v") * F.col("h")).alias("num"))
         hht = H.alias("a").join(H.alias("b"), "term").groupBy(F.col("a.t").alias("t"), F.col("b.t").alias("s")).agg(
@@ -220,8 +223,9 @@ def topic_nmf(tfidf_long: DataFrame, key: str, k: int = 5, iters: int = 30, word
         den = W.withColumnRenamed("t", "s").join(F.broadcast(hht), "s").groupBy("d", "t").agg(F.sum(F.col("g") * F.col("w")).alias("den"))
         W = W.join(vht, ["d", "t"], "left").join(den, ["d", "t"], "left").select(
             "d", "t", (F.col("w") * F.coalesce("num", F.lit(0.0)) / (F.coalesce("den", F.lit(0.0)) + eps)).alias("w"))
-        if (it + 1) % 5 == 0:
-            W, H = cut_lineage(W), cut_lineage(H)
+        # each update reads W and H several times: cut lineage every iteration so the plan
+        # stays one iteration deep
+        W = cut_lineage(W)
     w = Window.partitionBy("t").orderBy(F.desc("h"), "term")
     return H.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= words).select(
         F.col("t").alias("topic"), "rank", "term", F.col("h").alias("weight"))

@@ -349,3 +349,53 @@ def detect_language(df: DataFrame, text_col: str, profiles: Mapping[str, Sequenc
         F.when(F.col("__best.n") > 0, F.col("__best.lang")).otherwise(F.lit("unknown")).alias("detected_lang"),
         F.col("__best.n").alias("profile_hits"),
     )
+
+
+# ---------------------------------------------------------------------------
+# dictionary tables (J03), vocabulary-level UDF work (E01, X08), pipelines (X11)
+# ---------------------------------------------------------------------------
+
+BROADCAST_ROWS = 2_000_000  # dictionary tables up to this many rows are broadcast
+
+
+def dictionary_join(vocab: DataFrame, dictionary: DataFrame, on: str = "word", how: str = "left") -> DataFrame:
+    """Join a (distinct) vocabulary with a dictionary table (stop words, lemmas,
+    synonyms, lexicon).  The dictionary is broadcast only after its row count is checked;
+    larger dictionaries use a shuffle join."""
+    n = dictionary.count()  # one small job; the bound decides the strategy
+    d = F.broadcast(dictionary) if n <= BROADCAST_ROWS else dictionary
+    return vocab.join(d, on, how)
+
+
+def dictionary_table(spark, words: Mapping[str, object] | Sequence[str], value: str = "value") -> DataFrame:
+    """Small dictionary as a table (word[, value]) built JVM-side."""
+    if isinstance(words, Mapping):
+        rows = [(k, str(v) if not isinstance(v, (list, tuple)) else ",".join(v)) for k, v in words.items()]
+        return core.lit_table(spark, rows, f"word string, {value} string")
+    return core.lit_table(spark, [(w,) for w in words], "word string")
+
+
+def vocabulary(df: DataFrame, text_col: str) -> DataFrame:
+    """Distinct lower-cased alphabetic words with their corpus counts (map-side combined)."""
+    toks = T.alpha_lower(T.tokenize_words(F.col(text_col)))
+    return df.select(F.explode(toks).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+
+
+def tokenization_pipeline(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """X11: the per-document tokenisations side by side (all rows, D12): basic and advanced
+    cleaning, word / sentence / tweet tokens, stop-word-free, lemmatised and POS-tagged
+    tokens (subword and stem columns come from the vocabulary-level operators)."""
+    words = T.tokenize_words(F.col(text_col))
+    d = df.select(key, text_col, words.alias("word_tokens"))
+    no_stop = T.remove_stopwords(F.col("word_tokens"))
+    return d.select(
+        key,
+        T.clean_basic(text_col).alias("basic_clean"),
+        T.clean_advanced(text_col).alias("advanced_clean"),
+        "word_tokens",
+        T.tokenize_sentences(text_col).alias("sentence_tokens"),
+        T.tokenize_tweet(text_col).alias("tweet_tokens"),
+        no_stop.alias("no_stopwords"),
+        lemmatize(no_stop).alias("lemmas"),
+        F.transform("word_tokens", lambda t: pos_tag_expr(t)).alias("pos_tags"),
+    )

@@ -690,3 +690,53 @@ def q_encode_label(spark, sf):
 def q_encode_onehot(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     return clean.encode_onehot(o, "o_orderstatus", drop_first=True)
+
+
+# ---------------------------------------------------------------------------
+# A08 insights, P06 / P11 targets, T02 sorts
+# ---------------------------------------------------------------------------
+
+
+def _sql_insights():
+    src = DUP_SRC
+    q = sql_quantiles(f"({src})", ["l_orderkey", "l_linenumber", "l_quantity"], [0.25, 0.75])
+    outl = []
+    for c in ["l_orderkey", "l_linenumber", "l_quantity"]:
+        lo, hi = f"({c}__q0 - 1.5 * ({c}__q1 - {c}__q0))", f"({c}__q1 + 1.5 * ({c}__q1 - {c}__q0))"
+        outl.append(f"SELECT '{c}' AS c, count_if({c} < {lo} OR {c} > {hi}) * 100.0 / count(*) > 5.0 AS f FROM ({src}), ({q}) GROUP BY ALL")
+    return (
+        f"WITH d AS ({src}), n AS (SELECT count(*) AS n, sum((l_orderkey IS NULL)::INT + (l_linenumber IS NULL)::INT + "
+        "(l_quantity IS NULL)::INT + (l_returnflag IS NULL)::INT) AS miss, count(DISTINCT l_returnflag) AS nd FROM d), "
+        "dup AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS dups FROM d), "
+        f"o AS ({' UNION ALL '.join(outl)}) "
+        "SELECT CASE WHEN coalesce(miss, 0) * 100.0 / (n * 4) > 20 THEN 'high_missing' WHEN coalesce(miss, 0) * 100.0 / (n * 4) > 5 "
+        "THEN 'moderate_missing' ELSE 'good_quality' END AS insight, round(coalesce(miss, 0) * 100.0 / (n * 4), 6) AS value, '' AS detail FROM n "
+        "UNION ALL SELECT 'duplicate_rows', dups::DOUBLE, '' FROM dup "
+        "UNION ALL SELECT 'high_cardinality', CASE WHEN nd > n * 0.1 THEN 1.0 ELSE 0.0 END, CASE WHEN nd > n * 0.1 THEN 'l_returnflag' ELSE '' END FROM n "
+        "UNION ALL SELECT 'outlier_columns', count_if(f)::DOUBLE, coalesce(array_to_string(list_sort(list(c) FILTER (WHERE f)), ','), '') FROM o"
+    )
+
+
+@plan("key_insights", _sql_insights(), ("A08",))
+def q_insights(spark, sf):
+    return round_doubles(profile.key_insights(dup_base(spark, sf)))
+
+
+@plan("create_target", (
+    "SELECT o_orderkey, (o_totalprice > (SELECT quantile_cont(o_totalprice, 0.5) FROM orders))::INTEGER AS target FROM orders"),
+    ("P11",))
+def q_create_target(spark, sf):
+    from tessera.operators.targets import create_target
+
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return create_target(o).select("o_orderkey", "target")
+
+
+@plan("select_columns", "SELECT l_quantity, l_discount FROM lineitem", ("P06",))
+def q_select_cols(spark, sf):
+    return clean.select_columns(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"])
+
+
+@plan("sorted_desc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", ("T02",))
+def q_sorted(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")

@@ -395,3 +395,54 @@ def q_lang_acc(spark, sf):
     p = X.detect_language(d, "text")
     return p.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"),
                                  F.count_if(F.col("lang") == F.col("detected_lang")).alias("correct"))
+
+
+# ---------------------------------------------------------------------------
+# J03 dictionary joins, X08 stems (E01), X11 pipeline
+# ---------------------------------------------------------------------------
+
+
+@plan("vocabulary_without_stopwords", (
+    f"WITH v AS (SELECT w AS word, count(*)::BIGINT AS count FROM (SELECT unnest(list_transform(list_filter({sql_word_tokens('text')}, "
+    f"lambda t: {sql_alpha('t')}), lambda t: lower(t))) AS w FROM documents) GROUP BY w) "
+    f"SELECT word, count FROM v WHERE NOT list_contains({sql_list(D.STOPWORDS_EN)}, word)"), ("J03", "X07"))
+def q_vocab_anti(spark, sf):
+    vocab = X.vocabulary(table(spark, sf, "documents"), "text")
+    stop = X.dictionary_table(spark, D.STOPWORDS_EN)
+    return X.dictionary_join(vocab, stop, "word", "left_anti")
+
+
+@plan("lemma_lookup", (
+    f"WITH v AS (SELECT DISTINCT w AS word FROM (SELECT unnest(list_transform(list_filter({sql_word_tokens('text')}, "
+    f"lambda t: {sql_alpha('t')}), lambda t: lower(t))) AS w FROM documents)) "
+    f"SELECT word, {_sql_map(D.LEMMAS)}[word] AS lemma FROM v"), ("J03", "X09"))
+def q_lemma_lookup(spark, sf):
+    vocab = X.vocabulary(table(spark, sf, "documents"), "text").select("word")
+    lem = X.dictionary_table(spark, D.LEMMAS, "lemma")
+    return X.dictionary_join(vocab, lem, "word", "left")
+
+
+@plan("porter_stems", None, ("X08", "E01"))
+def q_stems(spark, sf):
+    """Porter stems of the corpus vocabulary, one UDF call per distinct word (R)."""
+    from tessera.operators.stem import stem_vocabulary
+
+    return stem_vocabulary(X.vocabulary(table(spark, sf, "documents"), "text"))
+
+
+@plan("stemmed_tokens", None, ("X08",))
+def q_stem_tokens(spark, sf):
+    """Stop-word-free conversation tokens stemmed in order (R: same length as the input)."""
+    from tessera.operators.stem import stem_tokens
+
+    c = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("k"),
+                                                 T.remove_stopwords(T.tokenize_words("text")).alias("toks"))
+    return stem_tokens(c, "k", "toks").select("k", F.size("stems").alias("n"), F.array_join("stems", " ").alias("stems"))
+
+
+@plan("tokenization_pipeline", None, ("X11",))
+def q_tok_pipeline(spark, sf):
+    """All tokenisations per document, all rows (R: one row per document)."""
+    out = X.tokenization_pipeline(table(spark, sf, "documents"), "doc_id", "text")
+    return out.select("doc_id", "basic_clean", F.size("word_tokens").alias("n_words"), F.size("sentence_tokens").alias("n_sentences"),
+                      F.size("no_stopwords").alias("n_content"), F.array_join("lemmas", " ").alias("lemmas"))

@@ -49,6 +49,7 @@ def load_all() -> dict[str, Plan]:
         q_augment,
         q_ml,
         q_images,
+        q_io,
     )
 
     return PLANS
