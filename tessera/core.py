@@ -164,7 +164,8 @@ def bucket_offsets(counts: DataFrame, raw: DataFrame | None = None) -> DataFrame
     if raw is not None:
         per_bucket = raw.groupBy("column", order_bucket(F.col("value")).alias("bkt")).agg(F.count(F.lit(1)).alias("bcnt"))
     else:
-        per_bucket = counts.groupBy("column", order_bucket(F.col("value")).alias("bkt")).agg(F.sum("cnt").alias("bcnt"))
+        bkt = F.col("bkt") if "bkt" in counts.columns else order_bucket(F.col("value"))
+        per_bucket = counts.groupBy("column", bkt.alias("bkt")).agg(F.sum("cnt").alias("bcnt"))
     wcol = Window.partitionBy("column").orderBy("bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return per_bucket.select(
         "column",
@@ -204,8 +205,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     No step gathers a column into one task; broadcast sides hold columns x probs x 2 rows.
     """
     spark = df.sparkSession
-    raw = unpivot_numeric(df, cols).where(F.col("value").isNotNull())
-    offsets = bucket_offsets(None, raw=raw)
+    # (column, value, cnt) once; the bucket table and the target-bucket values both read it
+    counts = value_counts_long(df, cols).withColumn("bkt", order_bucket(F.col("value")))
+    offsets = bucket_offsets(counts)
     probs_df = lit_table(spark, [(i, float(p)) for i, p in enumerate(probs)], "pidx int, p double")
     pos = F.col("p") * (F.col("n") - 1)
     tb = (
@@ -214,12 +216,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
                 F.explode(F.array_distinct(F.array(F.floor(pos).cast("long"), F.ceil(pos).cast("long")))).alias("i"))
         .where((F.col("i") >= F.col("boff")) & (F.col("i") < F.col("boff") + F.col("bcnt")))
     )
-    sel = raw.withColumn("bkt", order_bucket(F.col("value"))).join(
-        F.broadcast(tb.select("column", "bkt")), ["column", "bkt"], "left_semi"
-    )
-    counts = sel.groupBy("column", "bkt", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    sel = counts.join(F.broadcast(tb.select("column", "bkt")), ["column", "bkt"], "left_semi")
     wb = Window.partitionBy("column", "bkt").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = counts.withColumn("lbefore", F.sum("cnt").over(wb) - F.col("cnt"))
+    local = sel.withColumn("lbefore", F.sum("cnt").over(wb) - F.col("cnt"))
     hit = local.alias("v").join(
         F.broadcast(tb.alias("t")),
         (F.col("v.column") == F.col("t.column")) & (F.col("v.bkt") == F.col("t.bkt"))
