@@ -190,6 +190,19 @@ def with_positions(counts: DataFrame) -> DataFrame:
     )
 
 
+def group_positions(df: DataFrame, group: Sequence[str], order_value: Column) -> DataFrame:
+    """Adds ``__rn`` (1-based position inside the group by a double order value, e.g. a key
+    hash) and ``__n`` (group size) without a window over the whole group: positions come
+    from bucketed prefix counts (``with_positions``) and are joined back on (group, value).
+    Rows sharing the same (group, value) share a position."""
+    g = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group]) if group else F.lit("")
+    d = df.withColumn("__g", g).withColumn("__v", order_value.cast("double"))
+    counts = d.groupBy(F.col("__g").alias("column"), F.col("__v").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    pos = with_positions(counts).select(F.col("column").alias("__g"), F.col("value").alias("__v"),
+                                        (F.col("before") + 1).alias("__rn"), F.col("n").alias("__n"))
+    return d.join(pos, ["__g", "__v"]).drop("__g", "__v")
+
+
 def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value, rank) with pandas 'average' tie rule, 1-based."""
     pos = with_positions(value_counts_long(df, cols))

@@ -116,11 +116,10 @@ def partner_rows(df: DataFrame, key: str, group: str | None = None, salt: str =
     rows numbered by hash inside the group, partner index (i + 1 + h % (n - 1)) % n, then an
     equi-join on (group, index).  Groups with one row get no partner.  Adds ``partner_key``."""
     g = [group] if group else []
-    h = F.md5(F.concat_ws(":", _key(key), F.lit(salt)))
-    w = Window.partitionBy(*g).orderBy(h, F.col(key)) if g else Window.orderBy(h, F.col(key))
-    numbered = df.withColumn("__i", F.row_number().over(w) - 1)
-    sizes = numbered.groupBy(*g).agg(F.count(F.lit(1)).alias("__n")) if g else numbered.agg(F.count(F.lit(1)).alias("__n"))
-    numbered = numbered.join(F.broadcast(sizes), g) if g else numbered.crossJoin(F.broadcast(sizes))
+    # positions inside the group in hash order from bucketed prefix counts: a large group is
+    # never sorted in one task
+    numbered = core.group_positions(df, g, core.hash_uniform(_key(key), F.lit(salt)))
+    numbered = numbered.withColumn("__i", F.col("__rn") - 1).drop("__rn")
     r = F.conv(F.substring(F.md5(F.concat_ws(":", _key(key), F.lit(salt + ":pick"))), 1, 12), 16, 10).cast("long")
     numbered = numbered.withColumn(
         "__pi", F.when(F.col("__n") > 1, (F.col("__i") + 1 + r % (F.col("__n") - 1)) % F.col("__n")))
@@ -165,9 +164,10 @@ def smote(df: DataFrame, key: str, target: str, cols: Sequence[str], k: int = 5,
     counts = clean.groupBy(target).agg(F.count(F.lit(1)).alias("__n"))
     mx = counts.agg(F.max("__n").alias("__mx"))
     need = counts.crossJoin(F.broadcast(mx)).select(target, "__n", (F.col("__mx") - F.col("__n")).alias("__need")).where("__need > 0")
-    # base rows numbered by key inside their class
-    w = Window.partitionBy(target).orderBy(key)
-    numbered = clean.withColumn("__i", F.row_number().over(w) - 1)
+    # base rows numbered inside their class in key-hash order (bucketed positions, no
+    # per-class sort in one task)
+    numbered = core.group_positions(clean, [target], core.hash_uniform(_key(key), F.lit(salt + ":order")))
+    numbered = numbered.withColumn("__i", F.col("__rn") - 1).drop("__rn", "__n")
     vec = F.array(*[F.col(c).cast("double") for c in feats])
     # only classes that need rows get neighbours
     minority = numbered.join(F.broadcast(need.select(target)), target, "left_semi").withColumn("__v", vec)

@@ -437,7 +437,7 @@ def image_classify(df: DataFrame, size: int = 8, per_class: int = 300, seed: int
     from tessera.operators.relational import per_group_cap
 
     th = thumbnails(df, size)
-    th = per_group_cap(th, "label", [F.md5("origin")], per_class)
+    th = per_group_cap(th, "label", core.hash_uniform(F.col("origin"), "cap"), per_class)
     idx = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(th)
     data = idx.transform(th).withColumn("features", array_to_vector("vec"))
     n_cls = len(idx.labels)
@@ -453,3 +453,59 @@ def image_classify(df: DataFrame, size: int = 8, per_class: int = 300, seed: int
 
 
 _ = core
+
+
+# ---------------------------------------------------------------------------
+# PNG files from image structs (fixture writer for S04 / S05 / I01)
+# ---------------------------------------------------------------------------
+
+
+def _png_bytes(arr: np.ndarray) -> bytes:
+    """Minimal PNG encoder (8-bit grey or BGR->RGB), filter type 0 per row."""
+    import struct
+    import zlib
+
+    h, w, c = arr.shape
+    if c == 3:
+        arr = arr[:, :, ::-1]  # BGR -> RGB
+    color = {1: 0, 3: 2, 4: 6}[c]
+    raw = b"".join(b"\x00" + arr[y].tobytes() for y in range(h))
+
+    def chunk(tag: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data) & 0xFFFFFFFF)
+
+    return (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0))
+            + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b""))
+
+
+def write_png_files(df: DataFrame, folder: str, corrupt_share: float = 0.0) -> DataFrame:
+    """Each task writes its images as ``{folder}/{origin}`` PNG files (class folders kept);
+    with ``corrupt_share`` > 0 a hash-chosen share of images also gets a broken sibling
+    ``corrupt_{name}``.  Returns (path, bytes, corrupt) per written file.  ``folder`` must
+    be a shared path (the session's checkpoint folder on a cluster)."""
+    import hashlib
+    import os
+
+    root = folder[len("file:"):] if folder.startswith("file:") else folder
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for img in pdf["image"]:
+                rel = img["origin"]
+                path = os.path.join(root, rel)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                data = _png_bytes(to_array(img))
+                with open(path, "wb") as fh:
+                    fh.write(data)
+                out.append((path, len(data), False))
+                u = int(hashlib.md5(f"{rel}:corrupt".encode()).hexdigest()[:13], 16) / 16 ** 13
+                if u < corrupt_share:
+                    d, name = os.path.split(path)
+                    bad = os.path.join(d, f"corrupt_{name}")
+                    with open(bad, "wb") as fh:
+                        fh.write(b"\x89PNG\r\n\x1a\nthis is not an image")
+                    out.append((bad, 28, True))
+            yield pd.DataFrame(out, columns=["path", "bytes", "corrupt"])
+
+    return df.select("image").mapInPandas(run, "path string, bytes long, corrupt boolean")

@@ -199,10 +199,14 @@ def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None, top: i
     summary = miss_long.join(uniq, "column", "left").join(modes, "column", "left").select(
         "column", F.coalesce("unique_count", F.lit(0)).alias("unique_count"), "most_common", "missing"
     )
-    # top values: per-column top-k via a bounded heap (max_by over struct would need k passes);
-    # the window partitions by column over the distinct-value table only.
-    w = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    topv = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    # top values: one distributed top-k (TakeOrderedAndProject: k rows per partition, then
+    # merged) per column, so a high-cardinality column is never sorted in one task; the
+    # rank window runs over the k surviving rows only.
+    topv = None
+    for c in cols:
+        t = counts.where(F.col("column") == c).orderBy(F.desc("count"), F.asc("value")).limit(top)
+        t = t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), F.asc("value"))))
+        topv = t if topv is None else topv.unionByName(t)
     return summary, topv
 
 

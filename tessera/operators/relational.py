@@ -55,10 +55,11 @@ def page(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 5
         "has_more", F.col("total_count") > F.lit(offset + limit))
 
 
-def per_group_cap(df: DataFrame, group: str, order: Sequence[Column], cap: int) -> DataFrame:
-    """First ``cap`` rows of each group in the given order."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= cap).drop("__rn")
+def per_group_cap(df: DataFrame, group: str, order_value: Column, cap: int) -> DataFrame:
+    """First ``cap`` rows of each group by a double order value (e.g. a key
+    hash); positions from bucketed prefix counts, so a large group is not sorted in one task."""
+    d = core.group_positions(df, [group], order_value)
+    return d.where(F.col("__rn") <= cap).drop("__rn", "__n")
 
 
 # ---------------------------------------------------------------------------

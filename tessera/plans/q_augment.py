@@ -113,7 +113,7 @@ def _emb(spark, sf):
 
 
 @plan("partner_rows", (
-    "WITH n AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', vec_id::VARCHAR, 'partner')), vec_id) - 1 AS i, "
+    "WITH n AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY " + sql_unit_hash("vec_id::VARCHAR", "'partner'") + ") - 1 AS i, "
     "count(*) OVER (PARTITION BY label) AS n, ('0x' || substr(md5(concat_ws(':', vec_id::VARCHAR, 'partner:pick')), 1, 12))::UBIGINT::BIGINT AS r "
     "FROM embeddings), p AS (SELECT *, CASE WHEN n > 1 THEN (i + 1 + r % (n - 1)) % n END AS pi FROM n) "
     "SELECT a.vec_id, a.label, b.vec_id AS partner_key FROM p a LEFT JOIN p b ON a.label = b.label AND a.pi = b.i"), ("J05", "W06"))
@@ -154,7 +154,8 @@ def _sql_smote(k=5):
     return (
         f"WITH b AS ({_SMOTE_SRC}), c AS (SELECT quality, count(*) AS n FROM b GROUP BY quality), "
         "m AS (SELECT max(n) AS mx FROM c), need AS (SELECT quality, n, mx - n AS need FROM c, m WHERE mx - n > 0), "
-        "num AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS i FROM b WHERE quality IN (SELECT quality FROM need)), "
+        "num AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY " + sql_unit_hash("doc_id::VARCHAR", "'smote:order'")
+        + ") - 1 AS i FROM b WHERE quality IN (SELECT quality FROM need)), "
         f"d AS (SELECT x.doc_id AS key, y.doc_id AS nb, sqrt((x.n_chars - y.n_chars) ^ 2 + (x.words - y.words) ^ 2) AS dist FROM num x JOIN num y "
         "ON x.quality = y.quality AND x.doc_id <> y.doc_id), "
         "nn AS (SELECT key, nb, row_number() OVER (PARTITION BY key ORDER BY dist, nb) AS rk FROM d), "

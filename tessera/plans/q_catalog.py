@@ -11,7 +11,7 @@ from tessera.functions import text as T
 from tessera.operators import catalog as K
 from tessera.operators import clean
 from tessera.operators import relational as R
-from tessera.plans.common import round_doubles
+from tessera.plans.common import round_doubles, sql_unit_hash
 from tessera.plans.registry import plan, table
 from tessera.session import cut_lineage
 
@@ -192,11 +192,13 @@ def q_movement(spark, sf):
 
 
 @plan("per_class_cap", (
-    "SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) AS rn "
-    "FROM embeddings) WHERE rn <= 30"), ("T05", "W06"))
+    "SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY "
+    + sql_unit_hash("vec_id::VARCHAR", "'cap'") + ") AS rn FROM embeddings) WHERE rn <= 30"), ("T05", "W06"))
 def q_cap(spark, sf):
+    from tessera import core
+
     e = table(spark, sf, "embeddings").select("vec_id", "label")
-    return R.per_group_cap(e, "label", [F.md5(F.col("vec_id").cast("string")), F.col("vec_id")], 30)
+    return R.per_group_cap(e, "label", core.hash_uniform(F.col("vec_id").cast("string"), "cap"), 30)
 
 
 @plan("union_versions", (

@@ -90,3 +90,38 @@ def q_img_pca(spark, sf):
 def q_img_cls(spark, sf):
     """MLP on thumbnails; evaluation summary (R: 7 metrics)."""
     return round_doubles(I.image_classify(image_set(spark, sf), 8))
+
+
+def _written_images(spark, sf):
+    """Writes the embedding images as PNG files (plus ~2 % corrupt siblings) under the shared
+    scratch folder and returns the folder."""
+    from tessera.sources.io import scratch_path
+
+    folder = scratch_path(spark, "png")
+    I.write_png_files(image_set(spark, sf), folder, corrupt_share=0.02).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+_CORRUPT_U = ("(('0x' || substr(md5('class_' || label::VARCHAR || '/' || vec_id::VARCHAR || '.png:corrupt'), 1, 13))::UBIGINT::DOUBLE "
+              "/ 4503599627370496.0)")
+
+
+@plan("image_validation", (
+    f"SELECT (count(*) + count_if({_CORRUPT_U} < 0.02))::BIGINT AS input_files, count(*)::BIGINT AS valid, "
+    f"count_if({_CORRUPT_U} < 0.02)::BIGINT AS corrupt FROM embeddings"), ("I01", "S04", "S05"))
+def q_img_validation(spark, sf):
+    folder = _written_images(spark, sf)
+    files = I.scan_files(spark, folder).select(F.regexp_extract("path", r"(class_[^/]+/[^/]+)$", 1).alias("path"))
+    imgs = I.scan_images(spark, folder).select(
+        F.struct(F.regexp_extract("image.origin", r"(class_[^/]+/[^/]+)$", 1).alias("origin")).alias("image"))
+    return I.image_validation(files, imgs)
+
+
+@plan("scanned_image_classes", (
+    "SELECT label::VARCHAR AS label, count(*)::BIGINT AS images, 8 AS height, 8 AS width FROM embeddings GROUP BY label"),
+    ("S04", "S08"))
+def q_scanned(spark, sf):
+    folder = _written_images(spark, sf)
+    imgs = I.scan_images(spark, folder).withColumn("label", F.regexp_replace("label", "^class_", ""))
+    return imgs.groupBy("label").agg(F.count(F.lit(1)).alias("images"), F.max("image.height").alias("height"),
+                                     F.max("image.width").alias("width"))
