@@ -140,12 +140,17 @@ def detokenize(tokens: str | Column) -> Column:
 
 
 def ngrams(tokens: str | Column, n: int = 2, sep: str = " ") -> Column:
-    """n-grams inside one token array (D10), joined by ``sep``."""
+    """n-grams inside one token array (D10), joined by ``sep`` (n element reads and one
+    concat per position; no intermediate slice arrays)."""
     t = _c(tokens)
+    if n <= 0:
+        return F.array()
+    if n == 1:
+        return t
     return F.transform(
-        F.sequence(F.lit(0), F.size(t) - n),
-        lambda i: F.array_join(F.slice(t, i + 1, n), sep),
-    ) if n > 0 else F.array()
+        F.sequence(F.lit(1), F.size(t) - (n - 1)),
+        lambda i: F.concat_ws(sep, *[F.element_at(t, i + k) for k in range(n)]),
+    )
 
 
 def safe_ngrams(tokens: str | Column, n: int = 2, sep: str = " ") -> Column:

@@ -229,3 +229,38 @@ def topic_nmf(tfidf_long: DataFrame, key: str, k: int = 5, iters: int = 30, word
     w = Window.partitionBy("t").orderBy(F.desc("h"), "term")
     return H.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= words).select(
         F.col("t").alias("topic"), "rank", "term", F.col("h").alias("weight"))
+
+
+# ---------------------------------------------------------------------------
+# Custom transformers usable inside a Pipeline (saved / loaded with it)
+# ---------------------------------------------------------------------------
+
+from pyspark import keyword_only  # noqa: E402
+from pyspark.ml import Transformer  # noqa: E402
+from pyspark.ml.param.shared import HasInputCols, HasOutputCol  # noqa: E402
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable  # noqa: E402
+
+
+class TextSelector(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Combine text columns into one (NULL -> '', space-joined; P12) as a pipeline stage."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df):
+        cols = self.getInputCols()
+        return df.withColumn(self.getOutputCol(), F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
+
+
+class NumericSelector(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Numeric columns cast to double into an array column (NULL kept) as a pipeline stage."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df):
+        return df.withColumn(self.getOutputCol(), F.array(*[F.col(c).cast("double") for c in self.getInputCols()]))

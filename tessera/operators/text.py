@@ -223,30 +223,35 @@ def tokenization_stats(df: DataFrame, text_col: str) -> DataFrame:
 def sentiment_expr(text: Column, lexicon: Mapping[str, tuple[float, float]] = D.LEXICON,
                    intensifiers: Mapping[str, float] = D.INTENSIFIERS,
                    negations: Sequence[str] = D.NEGATIONS) -> Column:
-    """X18 per document, no shuffle: struct(polarity, subjectivity).
+    """X18 per document, no shuffle: struct(polarity, subjectivity) from a token-array column.
 
     Mean over lexicon words of their scores; an intensifier right before scales the word,
     a negation right before (or before the intensifier) multiplies polarity by -0.5.
-    Documents without lexicon words score 0.  Values clipped to [-1, 1] / [0, 1]."""
-    toks = text  # a token-array column (see ``sentiment``)
+    Documents without lexicon words score 0.  Values clipped to [-1, 1] / [0, 1].
+    Positions of lexicon words are found first with a hash-set test (``isin``), so the map
+    lookups and context checks run only for the few sentiment words."""
+    toks = text
+    words = list(lexicon)
     pol = _lit_map({k: v[0] for k, v in lexicon.items()})
     sub = _lit_map({k: v[1] for k, v in lexicon.items()})
     inten = _lit_map(dict(intensifiers))
     neg = list(negations)
+    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1))),
+                    lambda i: F.coalesce(F.try_element_at(toks, i).isin(*words), F.lit(False)))
 
-    def score(t, i):
-        prev = F.when(i > 0, F.element_at(toks, i))  # element_at is 1-based: index i is the previous token
-        prev2 = F.when(i > 1, F.element_at(toks, i - 1))
+    def score(i):
+        t = F.element_at(toks, i)
+        prev = F.when(i > 1, F.element_at(toks, i - 1))
+        prev2 = F.when(i > 2, F.element_at(toks, i - 2))
         mult = F.coalesce(F.element_at(inten, prev), F.lit(1.0))
         negated = F.coalesce(prev.isin(*neg), F.lit(False)) | (
             F.element_at(inten, prev).isNotNull() & F.coalesce(prev2.isin(*neg), F.lit(False)))
         p = F.element_at(pol, t) * mult * F.when(negated, F.lit(-0.5)).otherwise(F.lit(1.0))
         s = F.element_at(sub, t) * mult
-        # greatest/least skip NULLs, so clip only words that are in the lexicon
-        return F.struct(F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1.0)), F.lit(-1.0))).alias("p"),
-                        F.when(s.isNotNull(), F.greatest(F.least(s, F.lit(1.0)), F.lit(0.0))).alias("s"))
+        return F.struct(F.greatest(F.least(p, F.lit(1.0)), F.lit(-1.0)).alias("p"),
+                        F.greatest(F.least(s, F.lit(1.0)), F.lit(0.0)).alias("s"))
 
-    scored = F.filter(F.transform(toks, score), lambda x: x["p"].isNotNull())
+    scored = F.transform(hits, score)
     n = F.size(scored)
     psum = F.aggregate(scored, F.lit(0.0), lambda acc, x: acc + x["p"])
     ssum = F.aggregate(scored, F.lit(0.0), lambda acc, x: acc + x["s"])

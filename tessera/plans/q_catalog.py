@@ -334,3 +334,27 @@ def q_cross_modal(spark, sf):
 
 
 _ = cut_lineage
+
+
+@plan("record_artifacts", (
+    f"SELECT stage, count(*)::BIGINT AS artifacts FROM (SELECT stage FROM ({ARTIFACTS_SQL}) UNION ALL "
+    f"SELECT 'report' FROM (SELECT DISTINCT dataset_id FROM ({ARTIFACTS_SQL}))) GROUP BY stage"), ("K02", "K11"))
+def q_record(spark, sf):
+    a = artifacts(spark, sf)
+    new = a.groupBy("dataset_id").agg(F.max("created_at").alias("created_at")).select(
+        F.lit(None).cast("long").alias("id"), "dataset_id", F.lit("report").alias("stage"), F.lit("report_op").alias("operation"),
+        F.lit("completed").alias("status"), "created_at")
+    return K.record(a, new).groupBy("stage").agg(F.count(F.lit(1)).alias("artifacts"))
+
+
+@plan("artifact_logs", (
+    f"WITH a AS (SELECT * FROM ({ARTIFACTS_SQL}) WHERE dataset_id = 11 ORDER BY created_at DESC, id DESC LIMIT 5), "
+    "l AS (SELECT event_id AS artifact_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS log_level, "
+    "event_type || ':' || props AS message, ts AS logged_at FROM events) "
+    "SELECT a.id, a.stage, l.log_level, l.message FROM a JOIN l ON l.artifact_id = a.id"), ("K08",))
+def q_logs(spark, sf):
+    a = K.list_artifacts(artifacts(spark, sf), dataset=11, offset=0, limit=5).select("id", "stage")
+    e = table(spark, sf, "events")
+    logs = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("log_level"),
+                    F.concat_ws(":", "event_type", "props").alias("message"))
+    return a.join(logs, "id").select("id", "stage", "log_level", "message")

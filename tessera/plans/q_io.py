@@ -63,3 +63,18 @@ def q_text_mixup_batch(spark, sf):
     """Batch mixup over conversation turns with hashed-bag embeddings (R: alpha in [0.1, 0.9])."""
     c = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     return round_doubles(text_mixup_batch(c, "id", "text", 0.2))
+
+
+@plan("custom_transformers", None, ("E03", "P12", "S11"))
+def q_custom_tx(spark, sf):
+    """TextSelector + NumericSelector in a saved and reloaded Pipeline over conversations (R)."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    c = table(spark, sf, "conversations")
+    pipe = Pipeline(stages=[ml.TextSelector(inputCols=["role", "text"], outputCol="combined"),
+                            ml.NumericSelector(inputCols=["conv_id", "turn"], outputCol="nums")])
+    model = pipe.fit(c)
+    path = io.scratch_path(spark, "pipeline")
+    model.write().overwrite().save(path)
+    out = PipelineModel.load(path).transform(c)
+    return out.select("conv_id", "turn", F.length("combined").alias("combined_length"), F.size("nums").alias("n_nums"))

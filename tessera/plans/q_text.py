@@ -446,3 +446,16 @@ def q_tok_pipeline(spark, sf):
     out = X.tokenization_pipeline(table(spark, sf, "documents"), "doc_id", "text")
     return out.select("doc_id", "basic_clean", F.size("word_tokens").alias("n_words"), F.size("sentence_tokens").alias("n_sentences"),
                       F.size("no_stopwords").alias("n_content"), F.array_join("lemmas", " ").alias("lemmas"))
+
+
+@plan("subword_bpe", None, ("X05",))
+def q_bpe(spark, sf):
+    """BPE merges learned on the conversation vocabulary (30 rounds), pieces of every turn,
+    cut at 512 (R: pieces re-join to the words)."""
+    from tessera.operators.subword import learn_bpe, subword_tokens
+
+    conv = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("k"), "text")
+    vocab = X.vocabulary(conv, "text")
+    merges = learn_bpe(vocab, merges=30)
+    out = subword_tokens(conv, "k", "text", merges, 512)
+    return out.select("k", F.size("pieces").alias("n_pieces"), F.array_join("pieces", " ").alias("pieces"))
