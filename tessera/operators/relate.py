@@ -41,6 +41,42 @@ def _rank_join(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
+PAIR_TABLE_MAX_PAIRS = 16
+
+
+def spearman_pair_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Upper-triangle Spearman for a few columns in one plan, pairwise-complete.
+
+    Rows become (pair, a, b) tuples collapsed to their distinct joint values with counts;
+    per-pair marginal average ranks come from bucketed prefix counts; the joint table is
+    joined with both rank tables and the weighted Pearson of centred ranks is summed per
+    pair.  The number of stages does not depend on the number of pairs, the joins run on
+    distinct value pairs (small for low-cardinality columns) and no row id is needed."""
+    cols = list(cols)
+    pairs = _pairs(cols)
+    casted = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    structs = [F.struct(F.lit(i).alias("pid"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(pairs)]
+    joint = (casted.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
+             .where(F.col("a").isNotNull() & F.col("b").isNotNull())
+             .groupBy("pid", "a", "b").agg(F.count(F.lit(1)).alias("cnt")))
+    side = lambda c, tag: joint.groupBy(F.concat(F.col("pid").cast("string"), F.lit(tag)).alias("column"),
+                                        F.col(c).alias("value")).agg(F.sum("cnt").alias("cnt"))
+    pos = core.with_positions(side("a", ":a").unionByName(side("b", ":b")))
+    centred = (F.col("before") + (F.col("cnt") + 1) / 2.0) - (F.col("n") + 1) / 2.0
+    pos = pos.select(F.split("column", ":")[0].cast("int").alias("pid"), F.split("column", ":")[1].alias("side"),
+                     "value", centred.alias("c"))
+    ra = pos.where(F.col("side") == "a").select("pid", F.col("value").alias("a"), F.col("c").alias("ca"))
+    rb = pos.where(F.col("side") == "b").select("pid", F.col("value").alias("b"), F.col("c").alias("cb"))
+    j = joint.join(ra, ["pid", "a"]).join(rb, ["pid", "b"])
+    sums = j.groupBy("pid").agg(F.sum(F.col("cnt") * F.col("ca") * F.col("cb")).alias("sab"),
+                                F.sum(F.col("cnt") * F.col("ca") * F.col("ca")).alias("saa"),
+                                F.sum(F.col("cnt") * F.col("cb") * F.col("cb")).alias("sbb"))
+    names = core.lit_table(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)],
+                           "pid int, variable_1 string, variable_2 string")
+    r = F.col("sab") / F.nullif(F.sqrt(F.col("saa") * F.col("sbb")), F.lit(0.0))
+    return names.join(sums, "pid", "left").select("variable_1", "variable_2", r.alias("spearman"))
+
+
 def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Upper-triangle (variable_1, variable_2, spearman) = Pearson of average ranks.
 
@@ -52,6 +88,8 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = _pairs(cols)
     if not pairs:
         return core.lit_table(df.sparkSession, [], "variable_1 string, variable_2 string, spearman double")
+    if len(pairs) <= PAIR_TABLE_MAX_PAIRS:
+        return spearman_pair_table(df, cols)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).collect()[0]  # one row
     clean = [c for c in cols if nulls[c] == 0]
     parts = []

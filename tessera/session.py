@@ -48,6 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by writing the frame as parquet under the shared checkpoint folder
+    and reading it back.
+
+    Unlike ``DataFrame.checkpoint(eager=True)`` (which runs the plan once to count and again
+    to write unless cached) the plan runs exactly once; the files survive executor loss and
+    are columnar, so later scans prune columns and push filters."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-cut-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
