@@ -134,12 +134,14 @@ _SUB_BITS = 4096  # sub-buckets per binade
 def order_bucket(v: Column) -> Column:
     """Order-preserving bucket of a double, a pure function of the value.
 
-    key = sign * ((exponent + 1100) * 8192 + floor((|v| / 2^exponent - 1) * 4096)).
+    key = sign * ((exponent + 1101) * 8192 + floor((|v| / 2^exponent - 1) * 4096)).
     Monotone in v, so the running count of a bucket plus the counts of all smaller
     buckets gives the exact position of a value without a whole-column sort in one task.
     """
     a = F.abs(v)
-    e = F.greatest(F.least(F.floor(F.log2(a)), F.lit(1100)), F.lit(-1100))
+    # exponent clamped to [-1020, 1020] so 2^e stays a normal double (no division by zero);
+    # values beyond the clamp share the edge buckets, which keeps the key monotone
+    e = F.greatest(F.least(F.floor(F.log2(F.greatest(a, F.lit(1e-300)))), F.lit(1020)), F.lit(-1020))
     frac = a / F.pow(F.lit(2.0), e)
     sub = F.least(F.greatest(F.floor((frac - F.lit(1.0)) * F.lit(_SUB_BITS)), F.lit(0)), F.lit(8191))
     mag = (e + F.lit(1101)) * F.lit(8192) + sub
@@ -153,7 +155,7 @@ def order_bucket(v: Column) -> Column:
 
 def value_counts_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value, cnt) of the non-null values of numeric columns (map-side combined)."""
-    long = unpivot_numeric(df, cols).where(F.col("value").isNotNull())
+    long = unpivot_numeric(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))  # NaN counts as missing (D1)
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -123,3 +123,14 @@ def test_no_python_eval_in_flagship_plan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "CartesianProduct" not in plan
+
+
+def test_order_bucket_is_monotone_on_extremes(spark):
+    vals = [-float("inf"), -1e308, -3.5, -1.0, -1e-310, 0.0, 1e-320, 2.0 ** -1020, 1e-300, 0.5, 1.0, 1.0000001,
+            2.0, 7.99999, 8.0, 8.0000001, 1e10, 1e308, float("inf")]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r["b"] for r in df.select(core.order_bucket(F.col("v")).alias("b")).collect()]
+    assert got == sorted(got)
+    q = {r["pidx"]: r["q"] for r in core.exact_quantiles(
+        spark.createDataFrame([(v,) for v in vals[1:-1]] + [(float("nan"),)], "v double"), ["v"], [0.5]).collect()}
+    assert q[0] == float(np.percentile(vals[1:-1], 50))
