@@ -41,10 +41,10 @@ def _rank_join(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-PAIR_TABLE_MAX_PAIRS = 16
+PAIR_TABLE_MAX_PAIRS = 0  # set > 0 to rank NULL-touching pairs in one plan (spearman_pair_table); measured slower locally
 
 
-def spearman_pair_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def spearman_pair_table(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Upper-triangle Spearman for a few columns in one plan, pairwise-complete.
 
     Rows become (pair, a, b) tuples collapsed to their distinct joint values with counts;
@@ -53,7 +53,7 @@ def spearman_pair_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pair.  The number of stages does not depend on the number of pairs, the joins run on
     distinct value pairs (small for low-cardinality columns) and no row id is needed."""
     cols = list(cols)
-    pairs = _pairs(cols)
+    pairs = list(pairs) if pairs is not None else _pairs(cols)
     casted = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     structs = [F.struct(F.lit(i).alias("pid"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(pairs)]
     joint = (casted.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
@@ -88,8 +88,6 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = _pairs(cols)
     if not pairs:
         return core.lit_table(df.sparkSession, [], "variable_1 string, variable_2 string, spearman double")
-    if len(pairs) <= PAIR_TABLE_MAX_PAIRS:
-        return spearman_pair_table(df, cols)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).collect()[0]  # one row
     clean = [c for c in cols if nulls[c] == 0]
     parts = []
@@ -99,13 +97,16 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         ranked = _rank_join(sub, sorted({x for p in clean_pairs for x in p}))
         row = ranked.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}") for a, b in clean_pairs])
         parts.append(_explode_pairs(row, clean_pairs, "spearman"))
-    for a, b in pairs:
-        if (a, b) in clean_pairs:
-            continue
-        sub = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-        ranked = _rank_join(sub, [a, b])
-        row = ranked.agg(F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}"))
-        parts.append(_explode_pairs(row, [(a, b)], "spearman"))
+    null_pairs = [(a, b) for a, b in pairs if (a, b) not in clean_pairs]
+    if null_pairs and len(null_pairs) <= PAIR_TABLE_MAX_PAIRS:
+        # pairwise-complete ranks for every pair touching a column with NULLs, in one plan
+        parts.append(spearman_pair_table(df, sorted({x for p in null_pairs for x in p}), null_pairs))
+    else:
+        for a, b in null_pairs:
+            sub = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+            ranked = _rank_join(sub, [a, b])
+            row = ranked.agg(F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}"))
+            parts.append(_explode_pairs(row, [(a, b)], "spearman"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
