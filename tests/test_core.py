@@ -134,3 +134,13 @@ def test_order_bucket_is_monotone_on_extremes(spark):
     q = {r["pidx"]: r["q"] for r in core.exact_quantiles(
         spark.createDataFrame([(v,) for v in vals[1:-1]] + [(float("nan"),)], "v double"), ["v"], [0.5]).collect()}
     assert q[0] == float(np.percentile(vals[1:-1], 50))
+
+
+def test_spearman_pair_table_option_matches_pandas(spark):
+    rows = [(1.0, 2.0, None), (2.0, 1.0, 3.0), (3.0, 4.0, 3.0), (4.0, 3.0, 1.0), (5.0, 5.0, 2.0), (2.0, None, 5.0)]
+    df = _frame(spark, rows, "a double, b double, c double")
+    got = {(r["variable_1"], r["variable_2"]): r["spearman"] for r in relate.spearman_pair_table(df, ["a", "b", "c"]).collect()}
+    exp = pd.DataFrame(rows, columns=["a", "b", "c"]).corr(method="spearman")
+    assert len(got) == 3
+    for (x, y), v in got.items():
+        assert v == pytest.approx(exp.loc[x, y])
