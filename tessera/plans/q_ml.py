@@ -138,7 +138,17 @@ def q_train_rf(spark, sf):
     return round_doubles(summary)
 
 
-@plan("train_gradient_boosting", None, ("M08", "M09"))
+@plan("tune_boosted_trees", None, ("M09", "D15"))
+def q_tune_gbt(spark, sf):
+    """GBT tuned by validation log-loss over a 2 x 2 grid (R: one score per grid point)."""
+    d = _separable(spark, sf)
+    feats = [f"x{i}" for i in range(16)]
+    _, scores = ml.tune_boosted(d.select("vec_id", *feats, "label"), "label", feats,
+                                grid={"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, max_iter=10)
+    return round_doubles(scores)
+
+
+@plan("train_gradient_boosting", None, ("M08",))
 def q_train_gbt(spark, sf):
     """Gradient-boosted trees on the separable label; test-split metrics (R)."""
     d = _separable(spark, sf)
