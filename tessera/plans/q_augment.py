@@ -262,7 +262,22 @@ def q_swap(spark, sf):
     return G.random_swap(c, ["conv_id", "turn"], "text").select("conv_id", "turn", "text_augmented")
 
 
-@plan("random_insertion", None, ("G09", "G12"))
+def _sql_insertion():
+    u = lambda salt: sql_unit_hash(_key_sql(), f"'{salt}'")
+    m = _sql_syn_map()
+    return (
+        "WITH a AS (SELECT conv_id, turn, tk, list_filter(list_transform(tk, lambda t, i: CASE WHEN " + _sql_content("t")
+        + f" AND {m}[lower(t)] IS NOT NULL THEN i END), lambda x: x IS NOT NULL) AS has FROM "
+        f"(SELECT conv_id, turn, {sql_word_tokens('text')} AS tk FROM conversations)), "
+        f"b AS (SELECT *, lower(tk[has[(floor({u('ins:word')} * len(has)) + 1)::INTEGER]]) AS w FROM a), "
+        f"c AS (SELECT *, {m}[w][(floor({u('ins:syn')} * len({m}[w])) + 1)::INTEGER] AS s, "
+        f"floor({u('ins:pos')} * (len(tk) + 1))::INTEGER AS pos FROM b) "
+        "SELECT conv_id, turn, " + _sql_detok("CASE WHEN len(tk) > 1 AND len(has) > 0 THEN list_concat(tk[1:pos], [s], tk[pos + 1:]) ELSE tk END")
+        + " AS text_augmented FROM c"
+    )
+
+
+@plan("random_insertion", _sql_insertion(), ("G09", "G12"))
 def q_insertion(spark, sf):
     """Synonym insertion over conversations (R: one more token where a synonym exists)."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")

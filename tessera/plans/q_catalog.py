@@ -358,3 +358,20 @@ def q_logs(spark, sf):
     logs = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("log_level"),
                     F.concat_ws(":", "event_type", "props").alias("message"))
     return a.join(logs, "id").select("id", "stage", "log_level", "message")
+
+
+@plan("cumulative_share", (
+    "SELECT o_orderpriority AS value, count(*)::BIGINT AS count, round(sum(count(*)) OVER (ORDER BY count(*) DESC, o_orderpriority "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(count(*)) OVER (), 6) AS cumulative_share FROM orders GROUP BY 1"),
+    ("W05",))
+def q_cum_share(spark, sf):
+    """Running share over a small ordered table (value counts of a 5-value column)."""
+    from pyspark.sql import Window
+
+    from tessera.operators.profile import value_counts
+
+    vc = value_counts(table(spark, sf, "orders"), "o_orderpriority", None)
+    w = Window.orderBy(F.desc("count"), "value")
+    run = F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    tot = F.sum("count").over(Window.partitionBy())
+    return round_doubles(vc.select("value", "count", (run / tot).alias("cumulative_share")))

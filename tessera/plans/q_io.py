@@ -50,7 +50,23 @@ def q_model_io(spark, sf):
     return loaded.transform(d).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
-@plan("text_mixup", None, ("G14", "J05", "F09"))
+def _sql_text_mixup():
+    from tessera.plans.common import sql_unit_hash
+
+    return (
+        "WITH e AS (SELECT vec_id, 'text ' || vec_id::VARCHAR AS text, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), "
+        "n AS (SELECT *, row_number() OVER (ORDER BY " + sql_unit_hash("vec_id::VARCHAR", "'partner'") + ") - 1 AS i, count(*) OVER () AS n, "
+        "('0x' || substr(md5(concat_ws(':', vec_id::VARCHAR, 'partner:pick')), 1, 12))::UBIGINT::BIGINT AS r FROM e), "
+        "p AS (SELECT *, CASE WHEN n > 1 THEN (i + 1 + r % (n - 1)) % n END AS pi FROM n), "
+        "j AS (SELECT a.vec_id, a.text, a.v, b.vec_id AS partner_key, b.text AS pt, b.v AS pv, 0.3 + 0.4 * "
+        + sql_unit_hash("a.vec_id::VARCHAR", "'mixup:alpha'") + " AS alpha FROM p a LEFT JOIN p b ON a.pi = b.i), "
+        "m AS (SELECT *, list_transform(list_zip(v, pv), lambda x: alpha * x[1] + (1 - alpha) * x[2]) AS mix FROM j) "
+        "SELECT vec_id, partner_key, round(alpha, 6) AS alpha, CASE WHEN length(text) = 0 OR pv IS NULL THEN text "
+        "WHEN list_cosine_similarity(mix, v) >= list_cosine_similarity(mix, pv) THEN text ELSE pt END AS augmented FROM m"
+    )
+
+
+@plan("text_mixup", _sql_text_mixup(), ("G14", "J05", "F09"))
 def q_text_mixup(spark, sf):
     """Embedding mixup with a random partner; nearest of the two texts (R)."""
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"),
