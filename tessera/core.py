@@ -198,11 +198,11 @@ def group_positions(df: DataFrame, group: Sequence[str], order_value: Column) ->
     from bucketed prefix counts (``with_positions``) and are joined back on (group, value).
     Rows sharing the same (group, value) share a position."""
     g = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group]) if group else F.lit("")
-    d = df.withColumn("__g", g).withColumn("__v", order_value.cast("double"))
-    counts = d.groupBy(F.col("__g").alias("column"), F.col("__v").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    pos = with_positions(counts).select(F.col("column").alias("__g"), F.col("value").alias("__v"),
+    d = df.withColumn("__gp_g", g).withColumn("__gp_v", order_value.cast("double"))
+    counts = d.groupBy(F.col("__gp_g").alias("column"), F.col("__gp_v").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    pos = with_positions(counts).select(F.col("column").alias("__gp_g"), F.col("value").alias("__gp_v"),
                                         (F.col("before") + 1).alias("__rn"), F.col("n").alias("__n"))
-    return d.join(pos, ["__g", "__v"]).drop("__g", "__v")
+    return d.join(pos, ["__gp_g", "__gp_v"]).drop("__gp_g", "__gp_v")
 
 
 def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:

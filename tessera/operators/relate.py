@@ -41,6 +41,7 @@ def _rank_join(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
+LONG_RANK_JOIN = True  # complete columns: long-form rank join (2 shuffles) instead of one join per column
 PAIR_TABLE_MAX_PAIRS = 0  # set > 0 to rank NULL-touching pairs in one plan (spearman_pair_table); measured slower locally
 
 
@@ -77,6 +78,21 @@ def spearman_pair_table(df: DataFrame, cols: Sequence[str], pairs: Sequence[tupl
     return names.join(sums, "pid", "left").select("variable_1", "variable_2", r.alias("spearman"))
 
 
+def _rank_corr_long(df: DataFrame, cols: Sequence[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pearson of average ranks for columns without NULLs, in long form: every value gets
+    the row id of its row (``monotonically_increasing_id`` only tags values emitted together
+    by one task, so it stays consistent when a task is re-run), values join their rank table
+    on (column, value) and are regrouped by row id.  Two shuffles of n x k values instead of
+    k joins of the whole table."""
+    ranks = core.average_ranks(df, cols)
+    casted = df.select(F.monotonically_increasing_id().alias("__rid"), *[F.col(c).cast("double").alias(c) for c in cols])
+    long = casted.unpivot(["__rid"], list(cols), "column", "value")
+    j = long.join(ranks, ["column", "value"])
+    wide = j.groupBy("__rid").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(f"__r_{c}") for c in cols])
+    row = wide.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}") for a, b in pairs])
+    return _explode_pairs(row, pairs, "spearman")
+
+
 def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Upper-triangle (variable_1, variable_2, spearman) = Pearson of average ranks.
 
@@ -93,10 +109,13 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     parts = []
     clean_pairs = [(a, b) for a, b in pairs if a in clean and b in clean]
     if clean_pairs:
-        sub = df.select(*clean)
-        ranked = _rank_join(sub, sorted({x for p in clean_pairs for x in p}))
-        row = ranked.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}") for a, b in clean_pairs])
-        parts.append(_explode_pairs(row, clean_pairs, "spearman"))
+        used = sorted({x for p in clean_pairs for x in p})
+        if LONG_RANK_JOIN:
+            parts.append(_rank_corr_long(df.select(*used), used, clean_pairs))
+        else:
+            ranked = _rank_join(df.select(*used), used)
+            row = ranked.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}") for a, b in clean_pairs])
+            parts.append(_explode_pairs(row, clean_pairs, "spearman"))
     null_pairs = [(a, b) for a, b in pairs if (a, b) not in clean_pairs]
     if null_pairs and len(null_pairs) <= PAIR_TABLE_MAX_PAIRS:
         # pairwise-complete ranks for every pair touching a column with NULLs, in one plan

@@ -81,7 +81,7 @@ def q_dropout(spark, sf):
 
 @plan("augmentation_report", (
     "SELECT (SELECT count(*) FROM orders)::BIGINT AS original_size, (SELECT count(*) * 3 FROM orders)::BIGINT AS augmented_size, "
-    "3.0 AS ratio"), ("A22",))
+    "3.0::DOUBLE AS ratio"), ("A22",))
 def q_aug_report(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return profile.augmentation_report(o, G.noise_rows(o, "o_orderkey", ["o_totalprice"], 0.1, 2))

@@ -150,7 +150,7 @@ def q_files_stage(spark, sf):
 
 
 @plan("event_props_json", (
-    "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, to_json(struct_pack(event_type := event_type, k := json_extract(props, '$.k')::BIGINT)) AS meta "
+    "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, to_json(struct_pack(event_type := event_type, k := json_extract(props, '$.k')::BIGINT))::VARCHAR AS meta "
     "FROM events"), ("F11", "S02"))
 def q_props(spark, sf):
     e = table(spark, sf, "events")

@@ -22,7 +22,7 @@ _PIX_SQL = ("WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x
 
 @plan("image_statistics", (
     "SELECT label::VARCHAR AS label, 'png' AS format, 1 AS channels, count(*)::BIGINT AS images, 8 AS min_width, 8 AS max_width, "
-    "8.0 AS mean_width, 8 AS min_height, 8 AS max_height, 8.0 AS mean_height FROM embeddings GROUP BY label"), ("I02",))
+    "8.0::DOUBLE AS mean_width, 8 AS min_height, 8 AS max_height, 8.0::DOUBLE AS mean_height FROM embeddings GROUP BY label"), ("I02",))
 def q_img_stats(spark, sf):
     return I.image_statistics(image_set(spark, sf))
 

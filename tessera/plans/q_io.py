@@ -18,7 +18,8 @@ def q_csv(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     path = io.scratch_path(spark, "csv")
     io.write_table(o, path, "csv")
-    return io.read_csv(spark, path)
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in o.schema.fields)
+    return io.read_csv(spark, path, schema=ddl)
 
 
 @plan("tsv_roundtrip", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer", ("S03",))
@@ -26,7 +27,8 @@ def q_tsv(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     path = io.scratch_path(spark, "tsv")
     io.write_table(c, path, "tsv")
-    return io.read_table(spark, path, "tsv")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema.fields)
+    return io.read_csv(spark, path, schema=ddl, sep="\t")
 
 
 @plan("json_records", "SELECT event_id, event_type, round(value, 6) AS value FROM events", ("S02", "S07"))

@@ -647,7 +647,7 @@ def q_sample(spark, sf):
 
 
 @plan("head_sample", (
-    "SELECT to_json(struct_pack(o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) AS record, o_orderkey, "
+    "SELECT to_json(struct_pack(o_orderkey, o_custkey, o_orderstatus, o_orderpriority))::VARCHAR AS record, o_orderkey, "
     "(SELECT count(*) FROM orders)::BIGINT AS total_rows, 4::BIGINT AS total_columns FROM orders ORDER BY o_orderkey LIMIT 5"),
     ("P09",))
 def q_head(spark, sf):
