@@ -41,7 +41,10 @@ def _rank_join(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-LONG_RANK_JOIN = True  # complete columns: long-form rank join (2 shuffles) instead of one join per column
+# complete columns: from this many columns on, ranks are joined in long form (2 shuffles of
+# n x k values) instead of one join per column (k joins of the n x k table; small rank tables
+# of low-cardinality columns are broadcast at runtime, which wins for a few columns)
+LONG_RANK_MIN_COLS = 8
 PAIR_TABLE_MAX_PAIRS = 0  # set > 0 to rank NULL-touching pairs in one plan (spearman_pair_table); measured slower locally
 
 
@@ -110,7 +113,7 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     clean_pairs = [(a, b) for a, b in pairs if a in clean and b in clean]
     if clean_pairs:
         used = sorted({x for p in clean_pairs for x in p})
-        if LONG_RANK_JOIN:
+        if len(used) >= LONG_RANK_MIN_COLS:
             parts.append(_rank_corr_long(df.select(*used), used, clean_pairs))
         else:
             ranked = _rank_join(df.select(*used), used)

@@ -144,3 +144,17 @@ def test_spearman_pair_table_option_matches_pandas(spark):
     assert len(got) == 3
     for (x, y), v in got.items():
         assert v == pytest.approx(exp.loc[x, y])
+
+
+def test_spearman_long_rank_join_matches_per_column(spark):
+    rng = np.random.default_rng(3)
+    rows = [tuple(float(x) for x in rng.integers(0, 6, size=3)) for _ in range(60)]
+    df = _frame(spark, rows, "a double, b double, c double")
+    relate.LONG_RANK_MIN_COLS = 2
+    try:
+        long = {(r["variable_1"], r["variable_2"]): r["spearman"] for r in relate.spearman_pairs(df, ["a", "b", "c"]).collect()}
+    finally:
+        relate.LONG_RANK_MIN_COLS = 8
+    exp = pd.DataFrame(rows, columns=["a", "b", "c"]).corr(method="spearman")
+    for (x, y), v in long.items():
+        assert v == pytest.approx(exp.loc[x, y])
