@@ -27,11 +27,14 @@ def _long(row: DataFrame, structs: list) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def dataset_info(df: DataFrame) -> DataFrame:
-    """Per column dtype, null count, null %, distinct count (NULL not counted), rows."""
+def dataset_info(df: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataFrame:
+    """Per column dtype, null count, null %, distinct count (NULL not counted), rows.
+    ``exact=False`` uses HyperLogLog++ (``approx_count_distinct``, relative error ``rsd``)
+    instead of one exact distinct aggregation per column (an Expand of the rows per column)."""
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in df.columns:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__null"), F.count_distinct(c).alias(f"{c}__nd")]
+        nd = F.count_distinct(c) if exact else F.approx_count_distinct(c, rsd)
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__null"), nd.alias(f"{c}__nd")]
     row = df.agg(*aggs)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     structs = [

@@ -23,10 +23,31 @@ def _explode_pairs(row: DataFrame, pairs: list[tuple[str, str]], value: str) ->
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
+MATRIX_MIN_PAIRS = 1000  # from this many pairs on, one Gram-matrix pass replaces per-pair aggregates
+
+
+def pearson_matrix_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Upper-triangle Pearson for wide tables: one ``pyspark.ml.stat.Correlation`` pass over
+    assembled vectors (a d x d aggregate).  Rows with a NULL in any column are dropped first
+    (complete cases, not pairwise-complete)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    cols = list(cols)
+    v = VectorAssembler(inputCols=cols, outputCol="__f", handleInvalid="skip").transform(
+        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    m = Correlation.corr(v, "__f", "pearson").collect()[0][0].toArray()  # d x d, bounded by the schema
+    rows = [(a, b, float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
+    return core.lit_table(df.sparkSession, rows, "variable_1 string, variable_2 string, pearson double")
+
+
 def pearson_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Upper-triangle (variable_1, variable_2, pearson): every pair in one aggregate,
-    pairwise-complete rows (Spark's ``corr`` skips a row when either side is NULL)."""
+    pairwise-complete rows (Spark's ``corr`` skips a row when either side is NULL).  Very
+    wide tables switch to one Gram-matrix pass (``pearson_matrix_pairs``)."""
     pairs = _pairs(cols)
+    if len(pairs) >= MATRIX_MIN_PAIRS:
+        return pearson_matrix_pairs(df, cols)
     row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
     return _explode_pairs(row, pairs, "pearson")
 

@@ -158,3 +158,12 @@ def test_spearman_long_rank_join_matches_per_column(spark):
     exp = pd.DataFrame(rows, columns=["a", "b", "c"]).corr(method="spearman")
     for (x, y), v in long.items():
         assert v == pytest.approx(exp.loc[x, y])
+
+
+def test_wide_pearson_matrix_path(spark):
+    rows = [(float(i), float(i * i % 7), float(10 - i)) for i in range(30)]
+    df = _frame(spark, rows, "a double, b double, c double")
+    got = {(r["variable_1"], r["variable_2"]): r["pearson"] for r in relate.pearson_matrix_pairs(df, ["a", "b", "c"]).collect()}
+    exp = pd.DataFrame(rows, columns=["a", "b", "c"]).corr()
+    for (x, y), v in got.items():
+        assert v == pytest.approx(exp.loc[x, y])
