@@ -165,25 +165,43 @@ def similarity_pairs(df: DataFrame, key: str, vec: str, block: str | None = None
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, tolerance: float | None = None,
-              right_cols: Sequence[str] = ()) -> DataFrame:
+              right_cols: Sequence[str] = (), bucket_seconds: int = 86400) -> DataFrame:
     """For each left row the latest right row of the same ``by`` with right_ts <= left_ts
-    (within ``tolerance`` seconds).  Union of both sides ordered by (by, ts), right rows first on
-    ties, ``last(ignorenulls)`` carries the right values forward; the window is partitioned by
-    ``by`` so each entity is one window partition."""
+    (within ``tolerance`` seconds).
+
+    Both sides are cut into time buckets of ``bucket_seconds`` so a hot entity is spread over
+    many window partitions (by, bucket): inside a bucket ``last(ignorenulls)`` over the union
+    carries right values forward (right rows first on equal times); a left row with no right
+    row earlier in its bucket takes the last right row of the nearest earlier non-empty bucket,
+    found on the small (by, bucket) summary table."""
     rc = list(right_cols)
+    epoch = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     l2 = left.select("*", F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"),
+                     F.floor(epoch(left_ts) / bucket_seconds).alias("__b"),
                      *[F.lit(None).cast(right.schema[c].dataType).alias(f"__r_{c}") for c in rc],
                      F.lit(None).cast(right.schema[right_ts].dataType).alias("__r_ts"))
     r2 = right.select(F.col(by), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"),
+                      F.floor(epoch(right_ts) / bucket_seconds).alias("__b"),
                       *[F.col(c).alias(f"__r_{c}") for c in rc], F.col(right_ts).alias("__r_ts"))
     u = l2.unionByName(r2, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(by, "__b").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = u.select("*", *[F.last(f"__r_{c}", ignorenulls=True).over(w).alias(f"__f_{c}") for c in rc],
                       F.last("__r_ts", ignorenulls=True).over(w).alias("__f_ts")).where(F.col("__side") == 1)
+    # last right row per (by, bucket), carried to later buckets over the small summary table
+    last_r = r2.groupBy(by, "__b").agg(F.max_by(F.struct(*[F.col(f"__r_{c}").alias(c) for c in rc],
+                                                         F.col("__r_ts").alias("__ts")), F.struct("__ts", *[f"__r_{c}" for c in rc])).alias("__last"))
+    # bucket keys of the left side (kind 0) and right summaries (kind 1) in one small table;
+    # carrying the last summary forward over earlier buckets is a window over buckets only
+    lb = filled.select(by, "__b").distinct().select(by, "__b", F.lit(0).alias("__k"), F.lit(None).cast(last_r.schema["__last"].dataType).alias("__last"))
+    keys = lb.unionByName(last_r.select(by, "__b", F.lit(1).alias("__k"), "__last"))
+    wb = Window.partitionBy(by).orderBy("__b", "__k").rowsBetween(Window.unboundedPreceding, -1)
+    near = keys.select(by, "__b", "__k", F.last("__last", ignorenulls=True).over(wb).alias("__prev")).where(
+        F.col("__k") == 0).drop("__k")
+    j = filled.join(near, [by, "__b"], "left")
+    vals = {c: F.coalesce(F.col(f"__f_{c}"), F.when(F.col("__f_ts").isNull(), F.col(f"__prev.{c}"))) for c in rc}
+    rts = F.coalesce(F.col("__f_ts"), F.col("__prev.__ts"))
     ok = F.lit(True)
     if tolerance is not None:
-        ok = (F.col(left_ts).cast("double") - F.col("__f_ts").cast("double")) <= F.lit(tolerance) if False else \
-            (F.unix_timestamp(F.col(left_ts).cast("timestamp")) - F.unix_timestamp(F.col("__f_ts").cast("timestamp"))) <= F.lit(tolerance)
-    out = filled.select(*left.columns, *[F.when(ok, F.col(f"__f_{c}")).alias(f"right_{c}") for c in rc],
-                        F.when(ok, F.col("__f_ts")).alias(f"right_{right_ts}"))
-    return out
+        ok = (F.unix_timestamp(F.col(left_ts).cast("timestamp")) - F.unix_timestamp(rts.cast("timestamp"))) <= F.lit(tolerance)
+    return j.select(*left.columns, *[F.when(ok, v).alias(f"right_{c}") for c, v in vals.items()],
+                    F.when(ok, rts).alias(f"right_{right_ts}"))

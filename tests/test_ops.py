@@ -152,3 +152,14 @@ def test_every_plan_has_ids():
     assert len(E.queries()) == len(plans) and all(p.ids for p in plans.values())
     assert set(E.oracle_sql()) <= set(E.queries())
     _ = os, tempfile
+
+
+def test_asof_join_across_empty_buckets(spark):
+    from tessera.operators.relational import asof_join
+
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", 25), (3, "a", 47), (4, "b", 3), (5, "a", 30)], "id int, k string, t long") \
+        .selectExpr("id", "k", "timestamp_seconds(t) AS ts")
+    right = spark.createDataFrame([("a", 2, 10.0), ("a", 21, 20.0), ("a", 26, 30.0), ("b", 9, 99.0)], "k string, t long, v double") \
+        .selectExpr("k", "timestamp_seconds(t) AS ts", "v")
+    out = {r["id"]: r["right_v"] for r in asof_join(left, right, "k", "ts", "ts", None, ["v"], bucket_seconds=10).collect()}
+    assert out == {1: 10.0, 2: 20.0, 3: 30.0, 4: None, 5: 30.0}
