@@ -64,17 +64,31 @@ def impute(df: DataFrame, strategy: str = "mean", cols: Sequence[str] | None = N
 
 
 def impute_ffill(df: DataFrame, order_by: Sequence[str], cols: Sequence[str] | None = None,
-                 partition_by: Sequence[str] = ()) -> DataFrame:
+                 partition_by: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """Forward fill along an explicit order (D9) inside optional groups.
 
-    Without ``partition_by`` the fill is a global running window; give an entity column
-    at scale so each window partition is one entity.
-    """
+    With ``bucket`` (a width on the first order column; seconds for timestamps) the windows
+    are partitioned by (group, bucket) so a hot group spreads over many tasks; a row with no
+    earlier value in its bucket takes the last value of the nearest earlier bucket from a small
+    (group, bucket) summary.  Without ``bucket`` each group is one window partition."""
     cols = list(cols) if cols else [c for c in df.columns if c not in order_by and c not in partition_by]
-    w = Window.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if partition_by:
-        w = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({c: F.last(F.col(c), ignorenulls=True).over(w) for c in cols})
+    part = list(partition_by)
+    if bucket is None:
+        w = Window.partitionBy(*part).orderBy(*order_by) if part else Window.orderBy(*order_by)
+        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({c: F.last(F.col(c), ignorenulls=True).over(w) for c in cols})
+    first = F.col(order_by[0])
+    num = F.unix_timestamp(first.cast("timestamp")) if dict(df.dtypes)[order_by[0]].startswith("timestamp") else first
+    d = df.withColumn("__fb", F.floor(num / F.lit(bucket)))
+    w = Window.partitionBy(*part, "__fb").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumns({f"__f_{c}": F.last(F.col(c), ignorenulls=True).over(w) for c in cols})
+    order_key = F.struct(*order_by)
+    summ = d.groupBy(*part, "__fb").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order_key)).alias(f"__s_{c}") for c in cols])
+    wb = Window.partitionBy(*part).orderBy("__fb").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(*part, "__fb", *[F.last(f"__s_{c}", ignorenulls=True).over(wb).alias(f"__p_{c}") for c in cols])
+    j = d.join(carry, [*part, "__fb"], "left")
+    out = j.withColumns({c: F.coalesce(F.col(f"__f_{c}"), F.col(f"__p_{c}")) for c in cols})
+    return out.select(*df.columns)
 
 
 # ---------------------------------------------------------------------------

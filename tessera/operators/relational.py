@@ -68,13 +68,33 @@ def per_group_cap(df: DataFrame, group: str, order_value: Column, cap: int) -> D
 
 
 def movement_label(df: DataFrame, value: str, order_by: Sequence[str], partition_by: Sequence[str] = (),
-                   out: str = "target") -> DataFrame:
+                   out: str = "target", bucket: float | None = None) -> DataFrame:
     """W02 (D18): 1 if the next value (explicit order, optional entity) is greater, else 0;
-    the last row of each entity has no next value and is dropped."""
-    w = Window.partitionBy(*partition_by).orderBy(*order_by) if partition_by else Window.orderBy(*order_by)
-    nxt = F.lead(F.col(value), 1).over(w)
-    return df.withColumn("__next", nxt).where(F.col("__next").isNotNull()).withColumn(
-        out, (F.col("__next") > F.col(value)).cast("int")).drop("__next")
+    the last row of each entity has no next value and is dropped.
+
+    With ``bucket`` (width on the first order column; seconds for timestamps) the lead runs in
+    (entity, bucket) windows; the last row of a bucket takes the first row of the next
+    non-empty bucket from a small per-bucket summary, so a hot entity is not one task."""
+    part = list(partition_by)
+    if bucket is None:
+        w = Window.partitionBy(*part).orderBy(*order_by) if part else Window.orderBy(*order_by)
+        nxt = F.lead(F.col(value), 1).over(w)
+        return df.withColumn("__next", nxt).where(F.col("__next").isNotNull()).withColumn(
+            out, (F.col("__next") > F.col(value)).cast("int")).drop("__next")
+    first = F.col(order_by[0])
+    num = F.unix_timestamp(first.cast("timestamp")) if dict(df.dtypes)[order_by[0]].startswith("timestamp") else first
+    d = df.withColumn("__mb", F.floor(num / F.lit(bucket)))
+    w = Window.partitionBy(*part, "__mb").orderBy(*order_by)
+    d = d.withColumn("__nx", F.lead(F.col(value), 1).over(w)).withColumn("__last", F.lead(F.lit(1), 1).over(w).isNull())
+    summ = d.groupBy(*part, "__mb").agg(F.min_by(F.col(value), F.struct(*order_by)).alias("__first"))
+    wb = Window.partitionBy(*part).orderBy("__mb")
+    nb = summ.select(*part, "__mb", F.lead("__first", 1).over(wb).alias("__nb"),
+                     F.lead(F.lit(1), 1).over(wb).isNotNull().alias("__has_next"))
+    j = d.join(nb, [*part, "__mb"], "left")
+    nxt = F.when(F.col("__last"), F.col("__nb")).otherwise(F.col("__nx"))
+    keep = ~F.col("__last") | F.col("__has_next")
+    j = j.where(keep).withColumn("__next", nxt).where(F.col("__next").isNotNull())
+    return j.withColumn(out, (F.col("__next") > F.col(value)).cast("int")).select(*df.columns, out)
 
 
 def latest_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -188,7 +188,7 @@ def q_files(spark, sf):
     ("W02", "P10", "D18"))
 def q_movement(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-    return R.movement_label(e, "value", ["ts", "event_id"], ["user_id"]).select("event_id", "user_id", "target")
+    return R.movement_label(e, "value", ["ts", "event_id"], ["user_id"], bucket=86400).select("event_id", "user_id", "target")
 
 
 @plan("per_class_cap", (

@@ -165,7 +165,7 @@ def events_nulls(spark, sf):
     f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value FROM ({EVENTS_NULLS_SQL})"), ("C04", "W04"))
 def q_impute_ffill(spark, sf):
     df = events_nulls(spark, sf)
-    out = clean.impute_ffill(df, ["ts", "event_id"], ["value"], partition_by=["user_id"])
+    out = clean.impute_ffill(df, ["ts", "event_id"], ["value"], partition_by=["user_id"], bucket=86400)
     return round_doubles(out.select("event_id", "user_id", "value"))
 
 

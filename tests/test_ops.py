@@ -163,3 +163,17 @@ def test_asof_join_across_empty_buckets(spark):
         .selectExpr("k", "timestamp_seconds(t) AS ts", "v")
     out = {r["id"]: r["right_v"] for r in asof_join(left, right, "k", "ts", "ts", None, ["v"], bucket_seconds=10).collect()}
     assert out == {1: 10.0, 2: 20.0, 3: 30.0, 4: None, 5: 30.0}
+
+
+def test_bucketed_ffill_and_movement_match_unbucketed(spark):
+    from tessera.operators.clean import impute_ffill
+    from tessera.operators.relational import movement_label
+
+    rows = [(i, "a" if i % 3 else "b", i * 7, None if i % 4 == 0 else float((i * 37) % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, g string, t long, v double")
+    a = sorted(tuple(r) for r in impute_ffill(df, ["t", "id"], ["v"], ["g"]).collect())
+    b = sorted(tuple(r) for r in impute_ffill(df, ["t", "id"], ["v"], ["g"], bucket=25).collect())
+    assert a == b
+    c = sorted(tuple(r) for r in movement_label(df.na.drop(), "v", ["t", "id"], ["g"]).collect())
+    d = sorted(tuple(r) for r in movement_label(df.na.drop(), "v", ["t", "id"], ["g"], bucket=25).collect())
+    assert c == d
