@@ -484,26 +484,30 @@ def write_png_files(df: DataFrame, folder: str, corrupt_share: float = 0.0) -> D
     ``corrupt_{name}``.  Returns (path, bytes, corrupt) per written file.  ``folder`` must
     be a shared path (the session's checkpoint folder on a cluster)."""
     import hashlib
-    import os
-
-    root = folder[len("file:"):] if folder.startswith("file:") else folder
+    import posixpath
 
     def run(it):
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)  # local, HDFS or object store alike
+        made = set()
         for pdf in it:
             out = []
             for img in pdf["image"]:
                 rel = img["origin"]
-                path = os.path.join(root, rel)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
+                path = posixpath.join(root, rel)
+                d = posixpath.dirname(path)
+                if d not in made:
+                    fs.create_dir(d, recursive=True)
+                    made.add(d)
                 data = _png_bytes(to_array(img))
-                with open(path, "wb") as fh:
+                with fs.open_output_stream(path) as fh:
                     fh.write(data)
                 out.append((path, len(data), False))
                 u = int(hashlib.md5(f"{rel}:corrupt".encode()).hexdigest()[:13], 16) / 16 ** 13
                 if u < corrupt_share:
-                    d, name = os.path.split(path)
-                    bad = os.path.join(d, f"corrupt_{name}")
-                    with open(bad, "wb") as fh:
+                    bad = posixpath.join(d, f"corrupt_{posixpath.basename(path)}")
+                    with fs.open_output_stream(bad) as fh:
                         fh.write(b"\x89PNG\r\n\x1a\nthis is not an image")
                     out.append((bad, 28, True))
             yield pd.DataFrame(out, columns=["path", "bytes", "corrupt"])
