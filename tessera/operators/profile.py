@@ -330,15 +330,19 @@ def kde(df: DataFrame, cols: Sequence[str] | None = None, points: int = 50) -> D
     )
 
 
-def _norm_ppf(p):
-    """Inverse normal CDF as a Column expression (Acklam's rational approximation, |err| < 1.2e-9)."""
-    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02,
+# Rational approximation of the inverse normal CDF (P. J. Acklam), |relative error| < 1.2e-9
+PPF_A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02,
          -3.066479806614716e01, 2.506628277459239e00]
-    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01,
+PPF_B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01,
          -1.328068155288572e01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00,
+PPF_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00,
          4.374664141464968e00, 2.938163982698783e00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
+PPF_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
+
+
+def _norm_ppf(p):
+    """Inverse normal CDF as a Column expression (coefficients above)."""
+    a, b, c, d = PPF_A, PPF_B, PPF_C, PPF_D
     plow = 0.02425
 
     def poly(coefs, x):

@@ -597,9 +597,29 @@ def q_kde(spark, sf):
     return out.select("column", F.col("grid_index").cast("int"), F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
-@plan("qq_points", None, ("A21",))
+def _sql_ppf(p: str) -> str:
+    from tessera.operators.profile import PPF_A, PPF_B, PPF_C, PPF_D
+
+    def poly(coefs, x):
+        acc = repr(coefs[0])
+        for k in coefs[1:]:
+            acc = f"({acc} * {x} + {k!r})"
+        return acc
+
+    q_lo, q_hi = f"sqrt(-2.0 * ln({p}))", f"sqrt(-2.0 * ln(1.0 - {p}))"
+    lo = f"({poly(PPF_C, q_lo)} / ({poly(PPF_D, q_lo)} * {q_lo} + 1.0))"
+    hi = f"(-{poly(PPF_C, q_hi)} / ({poly(PPF_D, q_hi)} * {q_hi} + 1.0))"
+    q, r_ = f"({p} - 0.5)", f"(({p} - 0.5) * ({p} - 0.5))"
+    mid = f"({poly(PPF_A, r_)} * {q} / ({poly(PPF_B, r_)} * {r_} + 1.0))"
+    return f"CASE WHEN {p} < 0.02425 THEN {lo} WHEN {p} > {1 - 0.02425!r} THEN {hi} ELSE {mid} END"
+
+
+@plan("qq_points", (
+    "WITH s AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n "
+    "FROM orders WHERE o_totalprice IS NOT NULL) SELECT i, round(" + _sql_ppf("((i - 0.5) / n)") + ", 6) AS theoretical, "
+    "round(v, 6) AS sample FROM s"), ("A21",))
 def q_qq(spark, sf):
-    """Normal Q-Q points of orders.o_totalprice (R: monotone, n rows)."""
+    """Normal Q-Q points of orders.o_totalprice: plotting positions (i - 0.5) / n."""
     return round_doubles(profile.qq_points(table(spark, sf, "orders"), "o_totalprice"))
 
 
