@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera import core
 from tessera.functions import text as T
 from tessera.operators import augment as G
 from tessera.operators import profile

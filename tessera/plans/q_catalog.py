@@ -13,7 +13,6 @@ from tessera.operators import clean
 from tessera.operators import relational as R
 from tessera.plans.common import round_doubles, sql_unit_hash
 from tessera.plans.registry import plan, table
-from tessera.session import cut_lineage
 
 STAGE_CASE_SQL = ("CASE event_type WHEN 'click' THEN 'upload' WHEN 'signup' THEN 'preprocess' WHEN 'view' THEN 'augment' "
                   "WHEN 'purchase' THEN 'eda' ELSE 'model' END")
@@ -333,8 +332,6 @@ def q_cross_modal(spark, sf):
     return K.cross_modal_missing(d, lab, "doc_id")
 
 
-_ = cut_lineage
-
 
 @plan("record_artifacts", (
     f"SELECT stage, count(*)::BIGINT AS artifacts FROM (SELECT stage FROM ({ARTIFACTS_SQL}) UNION ALL "

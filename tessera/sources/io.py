@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera import core
 from tessera.session import checkpoint_dir
@@ -85,5 +84,3 @@ def load_model(path: str):
 
     return PipelineModel.load(path)
 
-
-_ = F

@@ -1,9 +1,6 @@
 """Text, augmentation, catalog, ML and streaming operators: hand cases and invariants,
 plus a DuckDB oracle run of a subset of the registered plans on sf0.001."""
 
-import os
-import tempfile
-
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -151,7 +148,6 @@ def test_every_plan_has_ids():
     plans = load_all()
     assert len(E.queries()) == len(plans) and all(p.ids for p in plans.values())
     assert set(E.oracle_sql()) <= set(E.queries())
-    _ = os, tempfile
 
 
 def test_asof_join_across_empty_buckets(spark):
