@@ -167,3 +167,18 @@ def test_wide_pearson_matrix_path(spark):
     exp = pd.DataFrame(rows, columns=["a", "b", "c"]).corr()
     for (x, y), v in got.items():
         assert v == pytest.approx(exp.loc[x, y])
+
+
+@pytest.mark.parametrize("name", ["impute_median", "outliers_iqr_joint", "describe", "correlation_table", "stratified_split",
+                                  "partner_rows", "smote"])
+def test_no_unpartitioned_window_over_rows(spark, name):
+    """Order statistics and positions never run a window without a partition key."""
+    import json
+
+    import __spark_entry__ as E
+
+    df = E.queries()[name](spark, "/root/testdata/sf0.001")
+    nodes = json.loads(df._jdf.queryExecution().sparkPlan().toJSON())
+    windows = [n for n in nodes if n.get("class", "").endswith("WindowExec")]
+    assert all(len(n.get("partitionSpec", [])) > 0 for n in windows), name
+    assert not any("EvalPython" in n.get("class", "") for n in nodes)
