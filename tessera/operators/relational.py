@@ -225,3 +225,29 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts
         ok = (F.unix_timestamp(F.col(left_ts).cast("timestamp")) - F.unix_timestamp(rts.cast("timestamp"))) <= F.lit(tolerance)
     return j.select(*left.columns, *[F.when(ok, v).alias(f"right_{c}") for c, v in vals.items()],
                     F.when(ok, rts).alias(f"right_{right_ts}"))
+
+
+def compare_profiles(a: DataFrame, b: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """C14 second part: (numeric, other) profiles of two versions.  Numeric common columns:
+    ``describe`` of each side rounded to 2 decimals with a ``side`` column; other common
+    columns: distinct counts of each side."""
+    from tessera.operators.profile import describe
+
+    common = [c for c in a.columns if c in b.columns and c != key]
+    num = [c for c in core.numeric_columns(a, common) if c in core.numeric_columns(b, common)]
+    other = [c for c in common if c not in num]
+    parts = []
+    for side, df in (("left", a), ("right", b)):
+        d = describe(df, num)
+        parts.append(d.select("column", F.lit(side).alias("side"), "count",
+                              *[F.round(c, 2).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]))
+    numeric = parts[0].unionByName(parts[1])
+    da = a.agg(*[F.count_distinct(c).alias(c) for c in other]) if other else None
+    db = b.agg(*[F.count_distinct(c).alias(c) for c in other]) if other else None
+    if other:
+        la = da.unpivot([], other, "column", "left_distinct")
+        lb = db.unpivot([], other, "column", "right_distinct")
+        others = la.join(lb, "column")
+    else:
+        others = core.lit_table(a.sparkSession, [], "column string, left_distinct long, right_distinct long")
+    return numeric, others

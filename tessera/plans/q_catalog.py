@@ -372,3 +372,35 @@ def q_cum_share(spark, sf):
     run = F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     tot = F.sum("count").over(Window.partitionBy())
     return round_doubles(vc.select("value", "count", (run / tot).alias("cumulative_share")))
+
+
+def _cmp_versions(spark, sf):
+    o = table(spark, sf, "orders")
+    a = o.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    b = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))
+                 .alias("o_totalprice"), F.when(F.col("o_orderstatus") == "P", F.lit("O")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    return a, b
+
+
+_CMP_B = ("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, "
+          "CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+
+
+@plan("compare_numeric_profiles", " UNION ALL ".join(
+    f"SELECT 'o_totalprice' AS \"column\", '{side}' AS side, count(o_totalprice)::BIGINT AS count, "
+    + ", ".join(f"round({e}, 2) AS {n}" for n, e in (("mean", "avg(o_totalprice)"), ("std", "stddev_samp(o_totalprice)"),
+                                                     ("min", "min(o_totalprice)"), ("q25", "quantile_cont(o_totalprice, 0.25)"),
+                                                     ("q50", "quantile_cont(o_totalprice, 0.5)"), ("q75", "quantile_cont(o_totalprice, 0.75)"),
+                                                     ("max", "max(o_totalprice)")))
+    + f" FROM ({src})" for side, src in (("left", "SELECT * FROM orders"), ("right", _CMP_B))), ("C14",))
+def q_cmp_numeric(spark, sf):
+    a, b = _cmp_versions(spark, sf)
+    return R.compare_profiles(a, b, "o_orderkey")[0]
+
+
+@plan("compare_other_profiles", (
+    "SELECT 'o_orderstatus' AS \"column\", (SELECT count(DISTINCT o_orderstatus) FROM orders)::BIGINT AS left_distinct, "
+    f"(SELECT count(DISTINCT o_orderstatus) FROM ({_CMP_B}))::BIGINT AS right_distinct"), ("C14",))
+def q_cmp_other(spark, sf):
+    a, b = _cmp_versions(spark, sf)
+    return R.compare_profiles(a, b, "o_orderkey")[1]
