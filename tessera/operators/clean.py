@@ -354,10 +354,16 @@ def encode_label(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.join(F.broadcast(codes.withColumnRenamed("value", col)), col, "left").withColumnRenamed("code", out)
 
 
-def encode_onehot(df: DataFrame, col: str, drop_first: bool = True, values: Sequence[str] | None = None) -> DataFrame:
-    """One indicator column ``{col}_{value}`` per sorted distinct value (first dropped)."""
+def encode_onehot(df: DataFrame, col: str, drop_first: bool = True, values: Sequence[str] | None = None,
+                  max_values: int = 1000) -> DataFrame:
+    """One indicator column ``{col}_{value}`` per sorted distinct value (first dropped).
+    The distinct values become columns, so they are fetched to the driver only up to
+    ``max_values``; a column with more distinct values is refused (not truncated)."""
     if values is None:
-        values = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+        got = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(max_values + 1).collect()]
+        if len(got) > max_values:
+            raise ValueError(f"{col!r} has more than {max_values} distinct values; one-hot needs a categorical column")
+        values = got
     vals = list(values)[1:] if drop_first else list(values)
     return df.withColumns({f"{col}_{v}": (F.col(col) == F.lit(v)).cast("int") for v in vals}).drop(col)
 
