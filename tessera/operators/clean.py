@@ -347,11 +347,17 @@ def label_codes(df: DataFrame, col: str) -> DataFrame:
     return d.select(F.col(col).alias("value"), (F.dense_rank().over(Window.orderBy(col)) - 1).alias("code"))
 
 
+BROADCAST_CODES = 1_000_000  # code tables up to this many rows are broadcast
+
+
 def encode_label(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """C17: label encoding by sorted distinct value; the code table is broadcast."""
-    codes = label_codes(df, col)
+    """C17: label encoding by sorted distinct value.  The code table is broadcast only after
+    its size is checked; a larger one is shuffle-joined."""
+    codes = label_codes(df, col).withColumnRenamed("value", col)
     out = out or f"{col}_encoded"
-    return df.join(F.broadcast(codes.withColumnRenamed("value", col)), col, "left").withColumnRenamed("code", out)
+    n = codes.count()  # one small job: the number of distinct labels
+    side = F.broadcast(codes) if n <= BROADCAST_CODES else codes
+    return df.join(side, col, "left").withColumnRenamed("code", out)
 
 
 def encode_onehot(df: DataFrame, col: str, drop_first: bool = True, values: Sequence[str] | None = None,
