@@ -170,7 +170,8 @@ def smote(df: DataFrame, key: str, target: str, cols: Sequence[str], k: int = 5,
     numbered = numbered.withColumn("__i", F.col("__rn") - 1).drop("__rn", "__n")
     vec = F.array(*[F.col(c).cast("double") for c in feats])
     # only classes that need rows get neighbours
-    minority = numbered.join(F.broadcast(need.select(target)), target, "left_semi").withColumn("__v", vec)
+    # the classes needing rows: no forced broadcast (AQE broadcasts it after measuring it)
+    minority = numbered.join(need.select(target), target, "left_semi").withColumn("__v", vec)
     nn = knn_within_class(minority, key, target, "__v", k)
     kk = minority.groupBy(target).agg(F.least(F.count(F.lit(1)) - 1, F.lit(k)).alias("__k"))
     syn = need.join(kk, target).select(target, "__n", "__k", F.explode(F.sequence(F.lit(1), F.col("__need"))).alias("__j"))
