@@ -47,6 +47,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once for each application), so that functions
+    pickled by reference run whatever the workers' folder or path is."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tessera-ship-"), "tessera_package.zip")  # Spark copies it to the executors
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(archive)
+    sc._tessera_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing the frame as parquet under the shared checkpoint folder
     and reading it back.
