@@ -10,7 +10,16 @@ from tessera.llm.bpe import bpe_encode
 from tessera.llm.common import table
 from tessera.llm.decontaminate import find_contamination
 from tessera.llm.html_text import extract_text
+from tessera.llm.labelled import fold
+from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.shard import shard_by_size
+from tessera.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +43,19 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op9_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "severity", "grade", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 QUERIES = {
+    "op1_quality_fm": op1_quality_fm,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op6_shard_bytes": op6_shard_bytes,
     "op7_html_text": op7_html_text,
+    "op9_toxicity_ordinal": op9_toxicity_ordinal,
 }
 
 ORACLES: dict[str, str] = {}
