@@ -11,9 +11,11 @@ from tessera.llm.bpe import bpe_encode
 from tessera.llm.common import table
 from tessera.llm.decontaminate import find_contamination
 from tessera.llm.html_text import extract_text
+from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.labelled import fold
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.shard import shard_by_size
+from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -39,6 +41,11 @@ def op4_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64, query_every=20)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_size(table(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -54,14 +61,20 @@ def op9_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "severity", "grade", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=90, size=3)
+
+
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_ball_tree": op4_ball_tree,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_shard_bytes": op6_shard_bytes,
     "op7_html_text": op7_html_text,
     "op9_toxicity_ordinal": op9_toxicity_ordinal,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
