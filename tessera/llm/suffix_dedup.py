@@ -26,8 +26,12 @@ from tessera.llm.common import write_cut
 ANCHOR = 128
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: Contexts sorted together in a task; an anchor with more of them goes by hashes of whole strings.
-RUN_ROWS, HOT_CONTEXTS = 4_000, 20_000
+#: Contexts sorted together in a task.
+RUN_ROWS = 4_000
+#: An anchor with more contexts is parted: a string of the whole length has its end in one of PARTS
+#: ranges, and those of one range agree on all bytes but the range's.  A part with still more
+#: contexts than HOT_CONTEXTS goes by hashes of whole strings.
+MANY_CONTEXTS, PARTS, HOT_CONTEXTS = 2_000, 4, 50_000
 _POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -194,12 +198,12 @@ def extents(group: np.ndarray, texts: list[bytes], at: np.ndarray, length: int)
 
 def _extents_of_runs(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by anchor: whole anchors are gathered and handled together."""
+        """Rows come sorted by part: whole parts are gathered and handled together."""
         held: list[pd.DataFrame] = []
         rows = 0
 
         def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            left, right = extents(pdf["anchor"].to_numpy(), pdf["bytes"].tolist(), pdf["at"].to_numpy(), length)
+            left, right = extents(pdf["part"].to_numpy(), pdf["bytes"].tolist(), pdf["at"].to_numpy(), length)
             some = (left >= 0) & (pdf["n"].to_numpy() == 1)
             out = pdf.loc[some, ["id", "t1"]]
             place = pdf.loc[some, "pos"].to_numpy()
@@ -210,7 +214,7 @@ def _extents_of_runs(length: int):
             rows += len(batch)
             if rows >= RUN_ROWS:
                 pdf = pd.concat(held, ignore_index=True)
-                open_ = (pdf["anchor"] == pdf["anchor"].iloc[-1]).to_numpy()
+                open_ = (pdf["part"] == pdf["part"].iloc[-1]).to_numpy()
                 if not open_.all():
                     yield flush(pdf[~open_].reset_index(drop=True))
                     pdf = pdf[open_]
@@ -221,14 +225,37 @@ def _extents_of_runs(length: int):
     return run
 
 
+def _cores(length: int):
+    spare = length - ANCHOR
+    cuts = [spare * k // PARTS for k in range(PARTS)] + [spare + 1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each range [t, u) of bytes after the anchor, a hash of what all strings of the range
+        have in common, where the context holds one of them."""
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("id", "t1", "pos", "part")}
+            for i, t1, pos, at, raw in zip(batch["id"], batch["t1"], batch["pos"], batch["at"], batch["bytes"], strict=True):
+                least, most = max(0, spare - at), min(spare, len(raw) - at - ANCHOR)
+                for k in range(PARTS):
+                    t, u = cuts[k], cuts[k + 1] - 1
+                    if t <= most and u >= least:
+                        core = raw[max(0, at - spare + u) : at + ANCHOR + t]
+                        for c, v in (("id", i), ("t1", t1), ("pos", pos), ("part", xxhash.xxh3_64_intdigest(core, seed=k + 1))):
+                            out[c].append(v)
+            out["part"] = np.array(out["part"], np.uint64).view(np.int64)
+            yield pd.DataFrame(out)
+
+    return run
+
+
 def _strings(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A digest of each string of a hot anchor's context that holds the anchor."""
+        """A digest of each string of the whole length that holds the anchor."""
         spare = length - ANCHOR
         for batch in batches:
             for r in batch.itertuples(index=False):
                 ts = [t for t in range(spare + 1) if r.at >= spare - t and len(r.bytes) - r.at - ANCHOR >= t]
-                yield pd.DataFrame({"anchor": r.anchor, "id": r.id, "t1": r.t1, "pos": r.pos, "n": r.n, "t": ts, "digest": [xxhash.xxh3_128_digest(r.bytes[r.at - spare + t : r.at + ANCHOR + t]) for t in ts]})
+                yield pd.DataFrame({"part": r.part, "id": r.id, "t1": r.t1, "pos": r.pos, "n": r.n, "t": ts, "digest": [xxhash.xxh3_128_digest(r.bytes[r.at - spare + t : r.at + ANCHOR + t]) for t in ts]})
 
     return run
 
@@ -265,15 +292,20 @@ def repeated_spans(rows: DataFrame, length: int = 400) -> DataFrame:
     one_text = long_enough.join(wanted, ["id", "t1"]).dropDuplicates(["id", "t1"])
     cut = one_text.select("id", "t1", "raw", F.explode("places").alias("p")).select("id", "t1", "p.anchor", "p.pos", "p.n", "p.kinds", (F.col("p.pos") - F.col("p.lo")).alias("at"), F.expr("substring(raw, p.lo + 1, p.hi - p.lo)").alias("bytes"))
     contexts = write_cut(cut, "contexts")
-    fields = "id long, t1 long, lo int, hi int"
-    sort = contexts.where(F.col("kinds") <= HOT_CONTEXTS).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
-    parts = sort.mapInPandas(_extents_of_runs(length), fields)
-
-    hot = contexts.where(F.col("kinds") > HOT_CONTEXTS).drop("kinds")
-    strings = hot.mapInPandas(_strings(length), "anchor long, id long, t1 long, pos int, n long, t int, digest binary")
-    twice = strings.groupBy("anchor", "t", "digest").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    few = contexts.where(F.col("kinds") <= MANY_CONTEXTS).withColumn("part", F.col("anchor"))
+    many = contexts.where(F.col("kinds") > MANY_CONTEXTS)
+    part = Window.partitionBy("part")
+    cores = many.select("id", "t1", "pos", "at", "bytes").mapInPandas(_cores(length), "id long, t1 long, pos int, part long")
+    cores = cores.withColumn("kinds", F.count("*").over(part)).where("kinds > 1")
+    parted = write_cut(many.drop("kinds").join(cores, ["id", "t1", "pos"]), "parted")
+    sort = few.unionByName(parted.where(F.col("kinds") <= HOT_CONTEXTS)).drop("kinds", "anchor").repartition("part").sortWithinPartitions("part")
+    parts = sort.mapInPandas(_extents_of_runs(length), "id long, t1 long, lo int, hi int")
+
+    hot = parted.where(F.col("kinds") > HOT_CONTEXTS).drop("kinds", "anchor")
+    strings = hot.mapInPandas(_strings(length), "part long, id long, t1 long, pos int, n long, t int, digest binary")
+    twice = strings.groupBy("part", "t", "digest").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     spare = length - ANCHOR
-    by_hash = strings.where("n = 1").join(twice, ["anchor", "t", "digest"]).groupBy("id", "t1", "pos").agg(F.min("t").alias("t0"), F.max("t").alias("t9")).select("id", "t1", (F.col("pos") - spare + F.col("t0")).alias("lo"), (F.col("pos") + ANCHOR + F.col("t9")).alias("hi"))
+    by_hash = strings.where("n = 1").join(twice, ["part", "t", "digest"]).groupBy("id", "t1", "pos").agg(F.min("t").alias("t0"), F.max("t").alias("t9")).select("id", "t1", (F.col("pos") - spare + F.col("t0")).alias("lo"), (F.col("pos") + ANCHOR + F.col("t9")).alias("hi"))
     return whole.unionAll(parts).unionAll(by_hash).groupBy("id", "t1").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -297,8 +329,9 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     id like others; an empty table gives an empty result.
 
     What is shuffled of unshared text is one small row for each anchor (about one in 140 bytes).
-    Rows of a hot anchor are counted by windows that spill; its different contexts are sorted in
-    one task up to ``HOT_CONTEXTS``, and beyond that counted by digests of whole strings.
+    Rows of a hot anchor are counted by windows that spill; an anchor with many different contexts
+    is parted first by what strings have in common, and a part with more than ``HOT_CONTEXTS`` is
+    not sorted in one task but counted by digests of whole strings.
     """
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     extra = {f"k{k}": c for k, c in enumerate(keep)}
