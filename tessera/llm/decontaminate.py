@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text
-
 #: Bytes that belong to words, with A-Z in lower case; all others part words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Bytes of item texts in one automaton; more items make more automata, each with a pass of its own.
@@ -166,14 +164,15 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield block
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", cleaned: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", cleaned: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Spans of document words that item windows cover.
 
     Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z in
     lower case.  A window is ``window`` consecutive words of an item; an item of fewer words, but
     not none, is one window.  Returns ``id_col``, ``n_words``, ``spans`` (array of
     struct<start, end> over words, maximal, in order), ``items`` (ids of items with an occurring
-    window, ascending) and, with ``cleaned``, ``cleaned``: the text without the spans.
+    window, ascending), with ``cleaned`` also ``cleaned``, the text without the spans, and the
+    columns in ``keep``.
 
     The automaton is broadcast; items beyond ``BLOCK_BYTES`` go into further automata, and their
     spans are joined per row in the same pass, so that no broadcast grows with the items.
@@ -202,11 +201,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_c
                 if cleaned:
                     texts.append(cut_words(text, runs))
                 held.append(sorted(found))
-            out = {id_col: batch["id"], "n_words": counts, "spans": spans, "items": held}
-            yield pd.DataFrame(out | {"cleaned": texts} if cleaned else out)
-
-    schema = f"`{id_col}` long, n_words long, spans array<struct<start:int,end:int>>, items array<long>" + ", cleaned string" * cleaned
-    return id_text(docs, id_col, text_col).mapInPandas(run, schema)
+            out = batch.drop(columns=["text"]).assign(n_words=counts, spans=spans, items=held)
+            yield out.assign(cleaned=texts) if cleaned else out
+
+    extra = {f"k{k}": c for k, c in enumerate(keep)}
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(k) for k, c in extra.items()])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    schema = fields + ", n_words long, spans array<struct<start:int,end:int>>, items array<long>" + ", cleaned string" * cleaned
+    return rows.mapInPandas(run, schema).select(F.col("id").alias(id_col), "n_words", "spans", "items", *["cleaned"] * cleaned, *[F.col(k).alias(c) for k, c in extra.items()])
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -148,15 +148,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     return write_cut(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "links")
 
 
-def jaccard_components(df: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``n_shingles`` and ``component_id``, the least id that links reach.
-
-    Two rows link when 100 * |A and B| >= percent * |A or B| of their sets of ``size``-word
-    shingles (A-Z in lower case; words are parted by ASCII white space).  A text of fewer words has
-    its whole sequence as its one shingle; a null or empty text has none and links with nothing.
-    Rows with equal sets are linked, also rows that repeat an id; a null id is never a component's
-    name unless its whole component has no other; an empty table gives an empty result.
-    """
+def _named(df: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, t1, t2, n, root): each row with its component's root node, null for an empty set."""
     bands = Bands(percent)
     docs = id_text(df, id_col, text_col)
     index = write_cut(_index(docs, bands, size), "index")
@@ -189,7 +182,33 @@ def jaccard_components(df: DataFrame, percent: int = 90, size: int = 3, id_col:
     more = _verified(pairs, nodes, docs, percent, size)
 
     roots = connected_components(links.unionAll(more))
-    named = index.select("id", "n", "key").join(nodes.select("key", "nid"), "key", "left").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    named = index.select("id", "t1", "t2", "n", "key").join(nodes.select("key", "nid"), "key", "left")
+    return named.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("id", "t1", "t2", "n", F.coalesce("root", "nid").alias("root"))
+
+
+def jaccard_components(df: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col``, ``n_shingles`` and ``component_id``, the least id that links reach.
+
+    Two rows link when 100 * |A and B| >= percent * |A or B| of their sets of ``size``-word
+    shingles (A-Z in lower case; words are parted by ASCII white space).  A text of fewer words has
+    its whole sequence as its one shingle; a null or empty text has none and links with nothing.
+    Rows with equal sets are linked, also rows that repeat an id; a null id is never a component's
+    name unless its whole component has no other; an empty table gives an empty result.
+    """
+    named = _named(df, percent, size, id_col, text_col)
     names = named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("name"))
     out = named.join(names, "root", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("name")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all its columns, of which one stays for each component: the one
+    with the least id (then the least text hash).  Rows without words all stay."""
+    named = write_cut(_named(df, percent, size, id_col, text_col), "named")
+    chosen = named.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "t1", "t2")).alias("c")).select("c.id", "c.t1", "c.t2")
+    chosen = chosen.select(F.coalesce("id", F.lit(-(2**63))).alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__t1": F.xxhash64(text), "__t2": F.xxhash64(text, F.lit(1))})
+    worded = F.length(F.regexp_replace(text, "[ \\t-\\r]", "")) > 0
+    one = rows.where(worded).join(chosen, ["__id", "__t1", "__t2"]).dropDuplicates(["__id", "__t1", "__t2"])
+    return one.select(*df.columns).unionAll(rows.where(~worded).select(*df.columns))

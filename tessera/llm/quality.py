@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text
 from tessera.llm.labelled import training_rows
 
 WORD_SLOTS = 1 << 14
@@ -159,14 +158,16 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine, id_col: str =
     scored alike; an empty table gives an empty result; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    kept = [F.col(c) for c in keep]
+    kept = [c for c in keep if c not in (id_col, text_col)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch.drop(columns=["__text"])
-            out["score"] = sent.value.score([features(t) for t in batch["__text"]])
-            yield out
-
-    rows = docs.select(F.col(id_col), *kept, F.coalesce(F.col(text_col), F.lit("")).alias("__text")) if keep else id_text(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", score double"
-    return rows.mapInPandas(run, schema)
+            scores = sent.value.score([features(t or "") for t in batch["__text"]])
+            out = batch if text_col in keep else batch.drop(columns=["__text"])
+            yield out.assign(__score=scores)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__k{k}") for k, c in enumerate(kept)])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text" or text_col in keep) + ", __score double"
+    names = {id_col: "__id", text_col: "__text"} | {c: f"__k{k}" for k, c in enumerate(kept)}
+    scored = rows.mapInPandas(run, schema)
+    return scored.select(F.col("__id").alias(id_col), *[F.col(names[c]).alias(c) for c in keep if c != id_col], F.col("__score").alias("score"))

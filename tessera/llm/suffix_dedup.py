@@ -323,7 +323,8 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     """Remove every byte that a string of ``length`` bytes covers which also starts anywhere else.
 
     Returns ``id_col``, the columns in ``keep``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal
-    removed runs) and ``kept`` (binary: the other bytes, in order).  Strings never cross rows and
+    removed runs), ``kept`` (binary: the other bytes, in order) and ``kept_text`` (those as text,
+    without characters that were cut in two).  Strings never cross rows and
     are judged on the input.  A null text is empty; shorter texts are kept whole; rows that
     repeat a text of at least ``length`` bytes lose all of it, also under one id; a null id is an
     id like others; an empty table gives an empty result.
@@ -350,11 +351,12 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
                 kept = b"".join([*kept, raw[last:]])
                 for c, v in (("n_bytes", len(raw)), ("n_removed", len(raw) - len(kept)), ("n_spans", len(gone)), ("kept", kept)):
                     out[c].append(v)
+            out["kept_text"] = [k.decode("utf-8", "ignore") for k in out["kept"]]
             yield batch.drop(columns=["raw", "spans"]).assign(**out)
 
     joined = rows.join(spans, ["id", "t1"], "left").drop("t1")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("raw", "spans"))
-    done = joined.mapInPandas(cut, fields + ", n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.select(F.when(F.col("id") != -(2**63), F.col("id")).alias(id_col), *[F.col(k).alias(c) for k, c in extra.items()], "n_bytes", "n_removed", "n_spans", "kept")
+    done = joined.mapInPandas(cut, fields + ", n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+    return done.select(F.when(F.col("id") != -(2**63), F.col("id")).alias(id_col), *[F.col(k).alias(c) for k, c in extra.items()], "n_bytes", "n_removed", "n_spans", "kept", "kept_text")
 
 
