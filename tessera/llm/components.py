@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import write_cut
+from tessera.llm.common import release, write_cut
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,4 +25,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))  # v < u on every edge here
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = write_cut(small.where("a <> b").distinct(), "stars")
+        last, now = now, write_cut(small.where("a <> b").distinct(), "stars")
+        release(last)

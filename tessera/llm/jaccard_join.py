@@ -8,8 +8,8 @@ Each set takes those that fewest sets share (cost-based allocation), so boilerpl
 unchanged parts of large families of copies are left aside.  Of a pair, the set with the lower
 cost does the looking up.
 
-Copies and near copies do not multiply: equal sets are one node; every node is first compared
-with one pivot, and pairs inside a component are never formed again.  Candidates must agree on
+Copies and near copies do not multiply: equal sets are linked by their digests; every set is
+first compared with one pivot, and pairs inside a component are never formed again.  Candidates must agree on
 enough segments, and are then compared by their texts, shingle by shingle.
 """
 
@@ -23,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text, write_cut
+from tessera.llm.common import id_text, release, write_cut
 from tessera.llm.components import connected_components
 
 #: Segments for each unit that must be looked up.
 SPARE = 2
+#: Sizes at the top and bottom of a band, as a ratio in percent.
+WIDTH = 140
 
 
 def shingles(text: str, size: int) -> set[tuple[bytes, ...]]:
@@ -60,8 +62,8 @@ class Bands:
         self.percent = percent
         self.low = [1]
         while self.low[-1] <= top:
-            # the largest partner of the largest set of a band lies in the next band at most
-            self.low.append(max(self.low[-1] + 1, self.low[-1] * 100 // percent + 1))
+            # the largest partner of a band's largest set lies in the next band at most
+            self.low.append(max(self.low[-1] + 1, self.low[-1] * max(WIDTH, 10_000 // percent + 1) // 100))
 
     def band(self, n: int) -> int:
         from bisect import bisect_right
@@ -74,20 +76,17 @@ class Bands:
         return (self.low[band + 1] - 1) * (100 - self.percent) // self.percent
 
 
-def segments(h: np.ndarray, group: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each segment's subset, and each element's segment."""
+def segments(h: np.ndarray, group: int, count: int) -> np.ndarray:
+    """A 32-bit hash of each segment's subset; equal hashes of different subsets only make
+    candidates, which are verified."""
     place = ((h * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)) % np.uint64(count)
     spread = h * np.uint64(0xFF51AFD7ED558CCD)
     spread ^= spread >> np.uint64(32)
     total = np.zeros(count, dtype=np.uint64)
     np.add.at(total, place.astype(np.int64), spread * np.uint64(0xC4CEB9FE1A85EC53))
     own = (np.arange(count, dtype=np.uint64) + np.uint64(group << 32)) * np.uint64(0x9E3779B97F4A7C15)
-    return mix(total, own), place
-
-
-def mix(total: np.ndarray, own: np.ndarray) -> np.ndarray:
     out = (total ^ own) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(31))
+    return (out ^ (out >> np.uint64(31))).astype(np.uint32).view(np.int32)
 
 
 def _index(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
@@ -108,29 +107,28 @@ def _index(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
                     for g in (b - 1, b):
                         # the lower band's sets reach n only if its largest does
                         if g >= 0 and (g == b or n * bands.percent <= 100 * (bands.low[b] - 1)) and (differ := bands.differ(g)) > 0:
-                            groups.append({"g": g, "h": differ, "sigs": segments(h, g, SPARE * (differ + 1))[0].view(np.int64)})
+                            groups.append({"g": g, "h": differ, "sigs": segments(h, g, SPARE * (differ + 1))})
                 out["groups"].append(groups)
             yield pd.DataFrame({"id": batch["id"], "t1": batch["t1"], "t2": batch["t2"], **out})
 
     rows = docs.select("id", "text", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
-    return rows.mapInPandas(run, "id long, t1 long, t2 long, n long, key binary, groups array<struct<g:int,h:int,sigs:array<long>>>")
+    return rows.mapInPandas(run, "id long, t1 long, t2 long, n long, key binary, groups array<struct<g:int,h:int,sigs:array<int>>>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+def _verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of the pairs (a, b, g) whose sets are similar: first by the segments on which they
     agree, then exactly, by the shingles of their texts."""
-    sig = nodes.select("nid", "n", F.explode("groups").alias("gr")).select("nid", "n", "gr.g", "gr.h", "gr.sigs")
-    left = sig.select(F.col("nid").alias("a"), "g", "h", F.col("n").alias("na"), F.col("sigs").alias("sa"))
-    right = sig.select(F.col("nid").alias("b"), "g", F.col("n").alias("nb"), F.col("sigs").alias("sb"))
+    sig = index.select("nid", "n", "key", "t1", "t2", F.explode("groups").alias("gr")).select("nid", "n", "key", "t1", "t2", "gr.g", "gr.h", "gr.sigs")
+    left = sig.select(F.col("nid").alias("a"), "g", "h", F.col("n").alias("na"), F.col("key").alias("ka"), F.struct("t1", "t2").alias("xa"), F.col("sigs").alias("sa"))
+    right = sig.select(F.col("nid").alias("b"), "g", F.col("n").alias("nb"), F.col("key").alias("kb"), F.struct("t1", "t2").alias("xb"), F.col("sigs").alias("sb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     sizes = (F.lit(percent) * F.greatest("na", "nb") <= F.lit(100) * F.least("na", "nb"))
-    close = pairs.join(left, ["a", "g"]).join(right, ["b", "g"]).where(sizes & (agree >= F.size("sa") - F.col("h"))).select("a", "b").distinct()
-    close = write_cut(close, "close")
-    who = close.select(F.col("a").alias("nid")).unionAll(close.select("b")).distinct()
-    texts = docs.select(F.col("text"), F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
-    wanted = nodes.select("nid", "t1", "t2").join(who, "nid")
-    held = texts.join(wanted, ["t1", "t2"]).groupBy("nid").agg(F.first("text").alias("text"))
-    held = write_cut(held, "held")
+    near = pairs.join(left, ["a", "g"]).join(right, ["b", "g"]).where(sizes & (F.col("ka") != F.col("kb")) & (agree >= F.size("sa") - F.col("h")))
+    close = write_cut(near.select("a", "b", "xa", "xb").dropDuplicates(["a", "b"]), "close")
+    who = close.select(F.col("a").alias("nid"), "xa.t1", "xa.t2").unionAll(close.select("b", "xb.t1", "xb.t2")).distinct()
+    # rows that repeat a text have a node each; here each text is fetched once
+    texts = docs.select(F.col("text"), F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")).join(who.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    held = write_cut(who.join(texts, ["t1", "t2"]).select("nid", "text"), "held")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, one = None, set()
@@ -144,18 +142,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
                 good.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.loc[good, ["a", "b"]]
 
-    both = close.join(held.select(F.col("nid").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("nid").alias("b"), F.col("text").alias("tb")), "b")
-    return write_cut(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "links")
+    both = close.select("a", "b").join(held.select(F.col("nid").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("nid").alias("b"), F.col("text").alias("tb")), "b")
+    links = write_cut(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "links")
+    release(close, held)
+    return links
 
 
 def _named(df: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """(id, t1, t2, n, root): each row with its component's root node, null for an empty set."""
     bands = Bands(percent)
     docs = id_text(df, id_col, text_col)
-    index = write_cut(_index(docs, bands, size), "index")
-    # one node for each distinct set
-    nodes = write_cut(index.where("n > 0").dropDuplicates(["key"]).withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    each = nodes.select("nid", F.explode("groups").alias("gr")).select("nid", "gr.g", "gr.h", F.size("gr.sigs").alias("m"), F.explode("gr.sigs").alias("sig"))
+    # every row is a node; its number is fixed once the table is written
+    index = write_cut(_index(docs, bands, size).withColumn("nid", F.monotonically_increasing_id()), "index")
+    sets = index.where("n > 0").select("nid", "key")
+    equal = sets.join(sets.groupBy("key").agg(F.min("nid").alias("b")), "key").where("nid <> b").select(F.col("nid").alias("a"), "b")
+    each = index.select("nid", F.explode("groups").alias("gr")).select("nid", "gr.g", "gr.h", F.size("gr.sigs").alias("m"), F.posexplode("gr.sigs").alias("pos", "hash"))
+    # group, segment and subset in one number
+    each = each.select("nid", "g", "h", "m", F.expr("shiftleft(CAST(xxhash64(g, pos) AS long), 32) | (CAST(hash AS long) & 4294967295L)").alias("sig"))
     bucket = Window.partitionBy("sig")
     shared = each.withColumn("c", F.count("*").over(bucket)).withColumn("pivot", F.min("nid").over(bucket)).where("c > 1")
     shared = write_cut(shared, "shared")
@@ -163,27 +166,32 @@ def _named(df: DataFrame, percent: int, size: int, id_col: str, text_col: str) -
     # first each node with the pivot with which it shares most segments
     most = shared.where("nid <> pivot").groupBy("nid", "g", "pivot").agg(F.count("*").alias("k"))
     star = most.groupBy("nid").agg(F.max_by(F.struct("pivot", "g"), F.struct("k", -F.col("pivot"))).alias("p")).select(F.col("nid").alias("a"), F.col("p.pivot").alias("b"), F.col("p.g").alias("g"))
-    links = _verified(star, nodes, docs, percent, size)
+    links = _verified(star, index, docs, percent, size).unionAll(equal)
     roots = connected_components(links)
 
     # each set's lookups: segments that it shares with nobody are free, then the rarest
     own = Window.partitionBy("nid", "g").orderBy("c", "sig")
     spent = Window.partitionBy("nid", "g")
-    rated = shared.withColumn("free", F.col("m") - F.count("*").over(spent)).withColumn("r", F.row_number().over(own))
+    rated = shared.drop("pivot").withColumn("free", F.col("m") - F.count("*").over(spent)).withColumn("r", F.row_number().over(own))
     rated = rated.withColumn("probe", F.col("r") <= F.col("h") + 1 - F.col("free")).withColumn("cost", F.coalesce(F.sum(F.when(F.col("probe"), F.col("c"))).over(spent), F.lit(0)))
-    rated = rated.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    rated = rated.select("sig", "nid", "g", "cost", "probe").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     # only buckets in which a set that looks there meets one of no lower cost and another component
     live = rated.withColumn("least", F.min(F.when(F.col("probe"), F.col("cost"))).over(bucket)).where("cost >= least")
     live = live.withColumn("r0", F.min("root").over(bucket)).withColumn("r1", F.max("root").over(bucket)).where("r0 <> r1")
     live = write_cut(live.select("sig", "nid", "g", "cost", "root", "probe"), "live")
+    release(shared)
     x, y = live.where("probe").alias("x"), live.alias("y")
     first = (F.col("x.cost") < F.col("y.cost")) | (F.col("x.cost") == F.col("y.cost")) & (F.col("x.nid") < F.col("y.nid"))
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & first).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"), F.col("x.g").alias("g")).distinct()
-    more = _verified(pairs, nodes, docs, percent, size)
-
-    roots = connected_components(links.unionAll(more))
-    named = index.select("id", "t1", "t2", "n", "key").join(nodes.select("key", "nid"), "key", "left")
-    return named.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("id", "t1", "t2", "n", F.coalesce("root", "nid").alias("root"))
+    more = _verified(pairs, index, docs, percent, size)
+    release(live)
+
+    # roots stand for all that they link, so only the new links between components are added
+    joined = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = connected_components(stars.unionAll(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+    named = index.select("id", "t1", "t2", "n", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+    return named.select("id", "t1", "t2", "n", F.when(F.col("n") > 0, F.coalesce("root", "nid")).alias("root"))
 
 
 def jaccard_components(df: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
