@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.ball_tree import top_k
 from tessera.llm.bpe import bpe_encode
+from tessera.llm.chaining import shared_passages
 from tessera.llm.common import table
 from tessera.llm.decontaminate import find_contamination
 from tessera.llm.html_text import extract_text
@@ -55,6 +56,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op8_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shared_passages(table(spark, sf_dir, "documents"), least=50)
+    return found.withColumn("n_passages", F.size("passages").cast("long")).drop("passages")
+
+
 def op9_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -73,6 +79,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_shard_bytes": op6_shard_bytes,
     "op7_html_text": op7_html_text,
+    "op8_collinear_chains": op8_collinear_chains,
     "op9_toxicity_ordinal": op9_toxicity_ordinal,
     "op10_jaccard_join": op10_jaccard_join,
 }
