@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import id_text
 
 #: Pre-tokens and chunks whose ids a worker keeps; beyond that it begins anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 #: Longer pre-tokens go through a queue of their own and are not kept.
 LONG_BYTES = 256
 #: Characters that a worker encodes at once.
-RUN_CHARS = 6_000_000
+RUN_CHARS = 2_000_000
 
 _ENCODERS: dict[tuple, "Encoder"] = {}
 

@@ -29,6 +29,8 @@ SLOTS = WORD_SLOTS + STATS * BINS + 1
 #: Values of features: all words of a document together weigh as much as one passed edge.
 WORD_VALUE, STAT_VALUE = 0.3, 0.3
 WORD = re.compile(r"\w+")
+#: Documents scored at once.
+SCORE_ROWS = 256
 
 
 def structure(text: str) -> list[float]:
@@ -162,7 +164,8 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine, id_col: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            scores = sent.value.score([features(t or "") for t in batch["__text"]])
+            texts = batch["__text"].tolist()
+            scores = np.concatenate([sent.value.score([features(t or "") for t in texts[k : k + SCORE_ROWS]]) for k in range(0, max(1, len(texts)), SCORE_ROWS)])
             out = batch if text_col in keep else batch.drop(columns=["__text"])
             yield out.assign(__score=scores)
 
