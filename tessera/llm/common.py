@@ -27,6 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
 #: Spark removes a query's shuffle files when it ends, not when the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows sent to a Python worker at once; whole texts make them large.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def write_cut(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once as a table in the shared folder and read it back, which cuts lineage
@@ -35,12 +38,15 @@ def write_cut(df: DataFrame, name: str) -> DataFrame:
 
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true", BATCH: "2000"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table.cut_path = path
     return table

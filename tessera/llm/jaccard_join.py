@@ -55,6 +55,20 @@ def hashed_shingles(text: str, size: int) -> np.ndarray:
     return np.unique(mixed)
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """For each of 512 slots, whether an odd number of elements falls there: two sets differ in at
+    least as many elements as their slots differ."""
+    slot = ((h * np.uint64(0xA0761D6478BD642F)) >> np.uint64(55)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=512) & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_be_similar(percent: int, na: str, nb: str, bits_a: str, bits_b: str):
+    """Whether sizes allow similarity, and slots no more differences than it does."""
+    apart = sum((F.bit_count(F.element_at(bits_a, k).bitwiseXOR(F.element_at(bits_b, k))) for k in range(1, 9)), F.lit(0))
+    most = F.expr(f"(({na} + {nb}) * {100 - percent}) DIV {100 + percent}")
+    return (F.lit(percent) * F.greatest(na, nb) <= F.lit(100) * F.least(na, nb)) & (apart <= most)
+
+
 class Bands:
     """Size bands for a threshold of ``percent`` / 100, and what follows from them."""
 
@@ -95,11 +109,12 @@ def _index(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: dict[str, list] = {"n": [], "key": [], "groups": []}
+            out: dict[str, list] = {"n": [], "key": [], "bits": [], "groups": []}
             for text in batch["text"]:
                 h = hashed_shingles(text, size)
                 n = len(h)
                 out["n"].append(n)
+                out["bits"].append(parity(h))
                 out["key"].append(xxhash.xxh3_128_digest(h.tobytes()))
                 groups = []
                 if n:
@@ -107,23 +122,25 @@ def _index(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
                     for g in (b - 1, b):
                         # the lower band's sets reach n only if its largest does
                         if g >= 0 and (g == b or n * bands.percent <= 100 * (bands.low[b] - 1)) and (differ := bands.differ(g)) > 0:
-                            groups.append({"g": g, "h": differ, "sigs": segments(h, g, SPARE * (differ + 1))})
+                            # a similar set differs from this one in n (100 - p) / p elements at most
+                            groups.append({"g": g, "h": n * (100 - bands.percent) // bands.percent, "sigs": segments(h, g, SPARE * (differ + 1))})
                 out["groups"].append(groups)
             yield pd.DataFrame({"id": batch["id"], "t1": batch["t1"], "t2": batch["t2"], **out})
 
     rows = docs.select("id", "text", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
-    return rows.mapInPandas(run, "id long, t1 long, t2 long, n long, key binary, groups array<struct<g:int,h:int,sigs:array<int>>>")
+    return rows.mapInPandas(run, "id long, t1 long, t2 long, n long, key binary, bits array<long>, groups array<struct<g:int,h:int,sigs:array<int>>>")
 
 
 def _verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of the pairs (a, b, g) whose sets are similar: first by the segments on which they
     agree, then exactly, by the shingles of their texts."""
-    sig = index.select("nid", "n", "key", "t1", "t2", F.explode("groups").alias("gr")).select("nid", "n", "key", "t1", "t2", "gr.g", "gr.h", "gr.sigs")
-    left = sig.select(F.col("nid").alias("a"), "g", "h", F.col("n").alias("na"), F.col("key").alias("ka"), F.struct("t1", "t2").alias("xa"), F.col("sigs").alias("sa"))
-    right = sig.select(F.col("nid").alias("b"), "g", F.col("n").alias("nb"), F.col("key").alias("kb"), F.struct("t1", "t2").alias("xb"), F.col("sigs").alias("sb"))
+    sig = index.select("nid", "n", "key", "bits", "t1", "t2", F.explode("groups").alias("gr")).select("nid", "n", "key", "bits", "t1", "t2", "gr.g", "gr.sigs")
+    left = sig.select(F.col("nid").alias("a"), "g", F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("key").alias("ka"), F.struct("t1", "t2").alias("xa"), F.col("sigs").alias("sa"))
+    right = sig.select(F.col("nid").alias("b"), "g", F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("key").alias("kb"), F.struct("t1", "t2").alias("xb"), F.col("sigs").alias("sb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    sizes = (F.lit(percent) * F.greatest("na", "nb") <= F.lit(100) * F.least("na", "nb"))
-    near = pairs.join(left, ["a", "g"]).join(right, ["b", "g"]).where(sizes & (F.col("ka") != F.col("kb")) & (agree >= F.size("sa") - F.col("h")))
+    # an element in which they differ spoils one segment
+    most = F.expr(f"((na + nb) * {100 - percent}) DIV {100 + percent}")
+    near = pairs.join(left, ["a", "g"]).join(right, ["b", "g"]).where((F.col("ka") != F.col("kb")) & may_be_similar(percent, "na", "nb", "ba", "bb") & (agree >= F.size("sa") - most))
     close = write_cut(near.select("a", "b", "xa", "xb").dropDuplicates(["a", "b"]), "close")
     who = close.select(F.col("a").alias("nid"), "xa.t1", "xa.t2").unionAll(close.select("b", "xb.t1", "xb.t2")).distinct()
     # rows that repeat a text have a node each; here each text is fetched once
@@ -160,11 +177,12 @@ def _named(df: DataFrame, percent: int, size: int, id_col: str, text_col: str) -
     # group, segment and subset in one number
     each = each.select("nid", "g", "h", "m", F.expr("shiftleft(CAST(xxhash64(g, pos) AS long), 32) | (CAST(hash AS long) & 4294967295L)").alias("sig"))
     bucket = Window.partitionBy("sig")
-    shared = each.withColumn("c", F.count("*").over(bucket)).withColumn("pivot", F.min("nid").over(bucket)).where("c > 1")
-    shared = write_cut(shared, "shared")
+    shared = write_cut(each.withColumn("c", F.count("*").over(bucket)).where("c > 1"), "shared")
 
-    # first each node with the pivot with which it shares most segments
-    most = shared.where("nid <> pivot").groupBy("nid", "g", "pivot").agg(F.count("*").alias("k"))
+    # first each node with the pivot with which it shares most segments; a bucket's pivot is the
+    # node that shares most in all, which of a family of copies is one with few changes
+    weight = F.sum("c").over(Window.partitionBy("nid", "g"))
+    most = shared.withColumn("pivot", F.struct(weight.alias("w"), "nid")).withColumn("pivot", F.max("pivot").over(bucket)["nid"]).where("nid <> pivot").groupBy("nid", "g", "pivot").agg(F.count("*").alias("k"))
     star = most.groupBy("nid").agg(F.max_by(F.struct("pivot", "g"), F.struct("k", -F.col("pivot"))).alias("p")).select(F.col("nid").alias("a"), F.col("p.pivot").alias("b"), F.col("p.g").alias("g"))
     links = _verified(star, index, docs, percent, size).unionAll(equal)
     roots = connected_components(links)
@@ -172,17 +190,18 @@ def _named(df: DataFrame, percent: int, size: int, id_col: str, text_col: str) -
     # each set's lookups: segments that it shares with nobody are free, then the rarest
     own = Window.partitionBy("nid", "g").orderBy("c", "sig")
     spent = Window.partitionBy("nid", "g")
-    rated = shared.drop("pivot").withColumn("free", F.col("m") - F.count("*").over(spent)).withColumn("r", F.row_number().over(own))
+    rated = shared.withColumn("free", F.col("m") - F.count("*").over(spent)).withColumn("r", F.row_number().over(own))
     rated = rated.withColumn("probe", F.col("r") <= F.col("h") + 1 - F.col("free")).withColumn("cost", F.coalesce(F.sum(F.when(F.col("probe"), F.col("c"))).over(spent), F.lit(0)))
     rated = rated.select("sig", "nid", "g", "cost", "probe").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     # only buckets in which a set that looks there meets one of no lower cost and another component
     live = rated.withColumn("least", F.min(F.when(F.col("probe"), F.col("cost"))).over(bucket)).where("cost >= least")
     live = live.withColumn("r0", F.min("root").over(bucket)).withColumn("r1", F.max("root").over(bucket)).where("r0 <> r1")
-    live = write_cut(live.select("sig", "nid", "g", "cost", "root", "probe"), "live")
+    live = live.select("sig", "nid", "g", "cost", "root", "probe").join(index.select("nid", "n", "bits"), "nid")
+    live = write_cut(live, "live")
     release(shared)
     x, y = live.where("probe").alias("x"), live.alias("y")
     first = (F.col("x.cost") < F.col("y.cost")) | (F.col("x.cost") == F.col("y.cost")) & (F.col("x.nid") < F.col("y.nid"))
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & first).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"), F.col("x.g").alias("g")).distinct()
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & first & may_be_similar(percent, "x.n", "y.n", "x.bits", "y.bits")).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"), F.col("x.g").alias("g")).distinct()
     more = _verified(pairs, index, docs, percent, size)
     release(live)
 
