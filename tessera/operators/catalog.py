@@ -118,16 +118,18 @@ def find_by_filename(artifacts: DataFrame, filename: str) -> DataFrame:
     return artifacts.where(same_ext & hit)
 
 
-def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "input_artifact_id", max_rounds: int = 64) -> DataFrame:
+def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "input_artifact_id") -> DataFrame:
     """(id, root_id, depth) by pointer jumping: each round joins every unfinished node
     with the node it points at and doubles the jump, so chains of length d finish in
-    log2(d) rounds.  Rounds are checkpointed to keep the plan small."""
+    log2(d) rounds.  Rounds are checkpointed to keep the plan small.  A parent that is not among
+    the nodes is the root of its children; a cycle raises ValueError."""
     from tessera.session import cut_lineage
 
     cur = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("jump"),
                        F.when(F.col(parent_col).isNull(), F.lit(0)).otherwise(F.lit(1)).alias("depth"))
     cur = cur.withColumn("root", F.when(F.col("jump").isNull(), F.col("id")))
-    for _ in range(max_rounds):
+    unfinished = None
+    while True:
         b = cur.select(F.col("id").alias("b_id"), F.col("jump").alias("b_jump"), F.col("depth").alias("b_depth"),
                        F.col("root").alias("b_root"))
         j = cur.join(b, cur["jump"] == b["b_id"], "left")
@@ -135,13 +137,15 @@ def lineage(nodes: DataFrame, id_col: str = "id", parent_col: str = "input_artif
             "id",
             F.when(F.col("root").isNotNull(), F.lit(None)).otherwise(F.col("b_jump")).alias("jump"),
             F.when(F.col("root").isNotNull(), F.col("depth")).otherwise(F.col("depth") + F.coalesce("b_depth", F.lit(0))).alias("depth"),
-            F.coalesce(F.col("root"), F.col("b_root")).alias("root"),
+            F.coalesce(F.col("root"), F.col("b_root"), F.when(F.col("b_id").isNull(), F.col("jump"))).alias("root"),
         )
         nxt = cut_lineage(nxt)
-        if nxt.where(F.col("root").isNull()).limit(1).count() == 0:
-            cur = nxt
+        cur, left = nxt, nxt.where(F.col("root").isNull()).count()
+        if not left:
             break
-        cur = nxt
+        if left == unfinished:  # without a cycle, every round finishes the nodes nearest to a root
+            raise ValueError(f"{left} nodes lead into a cycle of {parent_col}")
+        unfinished = left
     return cur.select(F.col("id"), F.col("root").alias("root_id"), "depth")
 
 

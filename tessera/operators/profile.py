@@ -382,8 +382,13 @@ def augmentation_report(original: DataFrame, augmented: DataFrame) -> DataFrame:
     return a.crossJoin(b).withColumn("ratio", core.safe_div(F.col("augmented_size").cast("double"), F.col("original_size")))
 
 
+def _change_pct(base, now):
+    """Signed change in percent of the base; 0 for a base of 0."""
+    return F.when(base != 0, (now - base) / F.when(base != 0, base) * 100).otherwise(F.when(base.isNotNull(), F.lit(0.0)))
+
+
 def augmentation_quality(original: DataFrame, augmented: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """Per column corr(original, augmented), mean and std change %, quality band."""
+    """Per column corr(original, augmented), signed mean and std change %, quality band."""
     j = original.select(key, *cols).alias("o").join(
         augmented.select(key, *[F.col(c).alias(f"{c}__aug") for c in cols]), key)
     aggs = []
@@ -393,8 +398,8 @@ def augmentation_quality(original: DataFrame, augmented: DataFrame, key: str, co
     row = j.agg(*aggs)
     out = _long(row, [F.struct(
         F.lit(c).alias("column"), F.col(f"{c}__r").alias("correlation"),
-        (F.abs(F.col(f"{c}__m1") - F.col(f"{c}__m0")) / F.abs(F.col(f"{c}__m0")) * 100).alias("mean_change_pct"),
-        (F.abs(F.col(f"{c}__s1") - F.col(f"{c}__s0")) / F.col(f"{c}__s0") * 100).alias("std_change_pct"),
+        _change_pct(F.col(f"{c}__m0"), F.col(f"{c}__m1")).alias("mean_change_pct"),
+        _change_pct(F.col(f"{c}__s0"), F.col(f"{c}__s1")).alias("std_change_pct"),
     ) for c in cols])
     r = F.col("correlation")
     return out.withColumn("quality", F.when(r > 0.95, "Excellent").when(r > 0.90, "Good").when(r > 0.80, "Fair").otherwise("Poor"))

@@ -90,8 +90,8 @@ def q_aug_report(spark, sf):
     "WITH a AS (SELECT o_orderkey, o_totalprice AS x, o_totalprice * (0.95 + 0.1 * " + sql_unit_hash(_k("o_orderkey"), "'sj-scale:o_totalprice'")
     + ") + " + sql_normal(_k("o_orderkey"), "sj-jitter:o_totalprice") + " * 0.01 * sd AS y FROM orders, "
     "(SELECT stddev_samp(o_totalprice) AS sd FROM orders)) SELECT 'o_totalprice' AS column, round(corr(x, y), 6) AS correlation, "
-    "round(abs(avg(y) - avg(x)) / abs(avg(x)) * 100, 6) AS mean_change_pct, "
-    "round(abs(stddev_samp(y) - stddev_samp(x)) / stddev_samp(x) * 100, 6) AS std_change_pct, "
+    "round((avg(y) - avg(x)) / avg(x) * 100, 6) AS mean_change_pct, "
+    "round((stddev_samp(y) - stddev_samp(x)) / stddev_samp(x) * 100, 6) AS std_change_pct, "
     "CASE WHEN corr(x, y) > 0.95 THEN 'Excellent' WHEN corr(x, y) > 0.90 THEN 'Good' WHEN corr(x, y) > 0.80 THEN 'Fair' ELSE 'Poor' END AS quality FROM a"),
     ("A23",))
 def q_aug_quality(spark, sf):

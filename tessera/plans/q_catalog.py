@@ -210,15 +210,6 @@ def q_union(spark, sf):
     return R.union_all(a, b)
 
 
-@plan("column_sets", (
-    "SELECT * FROM (VALUES ('o_custkey', 'only_left'), ('o_orderstatus', 'only_left'), ('c_name', 'only_right'), "
-    "('o_orderkey', 'common'), ('o_totalprice', 'common')) t(\"column\", side)"), ("U02",))
-def q_colsets(spark, sf):
-    a = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    b = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.lit("x").alias("c_name"))
-    return R.column_sets(a, b)
-
-
 @plan("duplicate_rows", (
     "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, count(*)::BIGINT AS copies FROM ("
     "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem UNION ALL "
@@ -312,18 +303,6 @@ def q_blend(spark, sf):
     return round_doubles(j.select("vec_id", F.aggregate(bl, F.lit(0.0), lambda acc, x: acc + x).alias("blend_sum"), dot.alias("dot")))
 
 
-@plan("run_pipeline", None, ("K12",))
-def q_run_pipeline(spark, sf):
-    """Three steps over lineitem with NULLs; returns the run log (R: 3 rows, all ok)."""
-    from tessera.plans.common import NUM, lineitem_nulls
-
-    df = lineitem_nulls(spark, sf)
-    _, log = K.run_pipeline(df, [("impute", clean.impute_mean, {"cols": NUM}),
-                                 ("outliers", clean.remove_outliers_iqr, {"cols": NUM}),
-                                 ("scale", clean.scale_minmax, {"cols": NUM})])
-    return log
-
-
 @plan("cross_modal_missing", (
     "SELECT doc_id, 'right' AS missing_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"), ("K13",))
 def q_cross_modal(spark, sf):

@@ -50,28 +50,6 @@ def q_edges(spark, sf):
     return round_doubles(I.edge_density(image_set(spark, sf)))
 
 
-@plan("image_resize", None, ("I03", "E02"))
-def q_resize(spark, sf):
-    """Bilinear resize to 16 x 16 (R: every image 16 x 16, 256 bytes)."""
-    out = I.resize(image_set(spark, sf), 16, 16)
-    return out.select(F.col("image.origin").alias("origin"), "image.height", "image.width", F.length("image.data").alias("bytes"), "status")
-
-
-@plan("image_augment", None, ("I07", "I08", "I09", "I10", "I04", "I05", "I06", "I12"))
-def q_img_aug(spark, sf):
-    """Rotation, jitter, elastic, cutout, colour, denoise and mode conversion; status counts (R)."""
-    imgs = image_set(spark, sf)
-    parts = [I.rotate(imgs, 30, 2), I.color_jitter(imgs, copies=1), I.elastic(imgs, copies=1), I.cutout(imgs, 3, 1, 1),
-             I.color_correction(imgs, 1.2, 0.9, 1.0), I.denoise(imgs, "median", 0.5), I.denoise(imgs, "gaussian", 0.2),
-             I.convert_mode(imgs, "RGB")]
-    names = ["rotate", "jitter", "elastic", "cutout", "color", "median", "gaussian", "rgb"]
-    out = None
-    for n, p in zip(names, parts):
-        s = p.groupBy("status").agg(F.count(F.lit(1)).alias("images")).withColumn("operation", F.lit(n))
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
 @plan("image_mixup", None, ("I11", "J05"))
 def q_img_mix(spark, sf):
     """Same-class mixup (R: one output per image, lambda in [0, 1])."""

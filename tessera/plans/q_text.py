@@ -197,10 +197,12 @@ def q_word_summary(spark, sf):
 
 @plan("word_cloud_weights", (
     f"WITH wf AS (SELECT word, count(*)::BIGINT AS count FROM (SELECT unnest({sql_freq_tokens('text')}) AS word FROM documents) "
-    "GROUP BY word ORDER BY count DESC, word LIMIT 100) SELECT word, count, round(count / (SELECT max(count) FROM wf), 6) AS weight FROM wf"),
+    "GROUP BY word ORDER BY count DESC, word LIMIT 100) SELECT word, count, round(count / (SELECT max(count) FROM wf), 12) AS weight FROM wf"),
     ("X15",))
 def q_cloud(spark, sf):
-    return round_doubles(X.word_cloud_weights(table(spark, sf, "documents"), "text", 100))
+    # 12 places: shares such as 0.0640625 are ties at 6, which the engines round differently
+    cloud = X.word_cloud_weights(table(spark, sf, "documents"), "text", 100)
+    return cloud.withColumn("weight", F.round("weight", 12))
 
 
 def _sql_ngram_counts(n: int, top: int) -> str:

@@ -69,8 +69,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
 
 
 def write_json_summary(summary: DataFrame, path: str) -> None:
-    """A (small) metrics / summary frame as one JSON document per row."""
-    summary.coalesce(1).write.mode("overwrite").json(path)
+    """A metrics / summary frame as one JSON document per row, one file per partition."""
+    summary.write.mode("overwrite").json(path)
 
 
 def save_model(model, path: str) -> None:

@@ -173,3 +173,23 @@ def test_bucketed_ffill_and_movement_match_unbucketed(spark):
     c = sorted(tuple(r) for r in movement_label(df.na.drop(), "v", ["t", "id"], ["g"]).collect())
     d = sorted(tuple(r) for r in movement_label(df.na.drop(), "v", ["t", "id"], ["g"], bucket=25).collect())
     assert c == d
+
+
+def test_lineage_missing_parent_and_cycle(spark):
+    import pytest
+
+    from tessera.operators.catalog import lineage
+
+    nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 4)], "id long, input_artifact_id long")
+    assert sorted(tuple(r) for r in lineage(nodes).collect()) == [(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 99, 1), (5, 99, 2)]
+    with pytest.raises(ValueError):
+        lineage(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "id long, input_artifact_id long"))
+
+
+def test_augmentation_quality_signed(spark):
+    from tessera.operators.profile import augmentation_quality
+
+    a = spark.createDataFrame([(1, 2.0, -1.0), (2, 4.0, 1.0)], "k long, x double, z double")
+    b = spark.createDataFrame([(1, 1.0, 0.0), (2, 2.0, 3.0)], "k long, x double, z double")
+    got = {r["column"]: r for r in augmentation_quality(a, b, "k", ["x", "z"]).collect()}
+    assert (got["x"]["mean_change_pct"], got["z"]["mean_change_pct"]) == (-50.0, 0.0)
