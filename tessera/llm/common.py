@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -17,11 +19,9 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir`` (or was given)."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
+    """The folder that the session names in ``spark.checkpoint.dir`` (one of its own where that is
+    unset, as in tests)."""
+    return checkpoint_dir(spark).rstrip("/")
 
 
 #: Spark removes a query's shuffle files when it ends, not when the driver collects garbage.
