@@ -155,7 +155,8 @@ def knn_within_class(df: DataFrame, key: str, label: str, vec: str, k: int = 5)
 
 def smote(df: DataFrame, key: str, target: str, cols: Sequence[str], k: int = 5, salt: str = "smote") -> DataFrame:
     """Raise every smaller class to the size of the largest.  Synthetic row j of class c:
-    base = row number (h1 % n_c) of the class, neighbour = one of its k' = min(k, n_c - 1)
+    base = row number (h1 % n_c) of the class, neighbour = one of its k' = min(k, n - 1)
+    (n = size of the smallest class, one k' for all; a smallest class of one row is an error)
     nearest neighbours chosen by hash, point = x + u * (nn - x) with u = hash uniform.
     Rows with a NULL feature are dropped first (D13); other columns come from the base row
     (D14 'base').  Output: originals (synthetic = false) union synthetic rows."""
@@ -173,8 +174,9 @@ def smote(df: DataFrame, key: str, target: str, cols: Sequence[str], k: int = 5,
     # the classes needing rows: no forced broadcast (AQE broadcasts it after measuring it)
     minority = numbered.join(need.select(target), target, "left_semi").withColumn("__v", vec)
     nn = knn_within_class(minority, key, target, "__v", k)
-    kk = minority.groupBy(target).agg(F.least(F.count(F.lit(1)) - 1, F.lit(k)).alias("__k"))
-    syn = need.join(kk, target).select(target, "__n", "__k", F.explode(F.sequence(F.lit(1), F.col("__need"))).alias("__j"))
+    least = F.min("__n")
+    kk = counts.agg(F.when(least < 2, F.raise_error(F.lit("a class of one row has no neighbours"))).otherwise(F.least(least - 1, F.lit(k))).alias("__k"))
+    syn = need.crossJoin(F.broadcast(kk)).select(target, "__n", "__k", F.explode(F.sequence(F.lit(1), F.col("__need"))).alias("__j"))
     sk = F.concat_ws(":", F.col(target).cast("string"), F.col("__j").cast("string"))
     h1 = F.conv(F.substring(F.md5(F.concat_ws(":", sk, F.lit(salt + ":base"))), 1, 12), 16, 10).cast("long")
     h2 = F.conv(F.substring(F.md5(F.concat_ws(":", sk, F.lit(salt + ":nn"))), 1, 12), 16, 10).cast("long")

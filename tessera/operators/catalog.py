@@ -64,12 +64,13 @@ def latest_artifact(artifacts: DataFrame, group: Sequence[str] = ("dataset_id",
 
 
 def pipeline_status(artifacts: DataFrame, mode: str = "distinct") -> DataFrame:
-    """Per dataset the completed stages (sorted) and progress = completed / 5 * 100;
+    """Per dataset the completed stages (sorted) and progress = completed / 5 * 100, 0 where
+    nothing is completed;
     ``mode='reference'`` counts completed rows (duplicates can exceed 100)."""
-    done = artifacts.where(F.col("status") == "completed")
-    n = F.count_distinct("stage") if mode == "distinct" else F.count(F.lit(1))
-    return done.groupBy("dataset_id").agg(
-        F.array_sort(F.collect_set("stage")).alias("completed_stages"),
+    stage = F.when(F.col("status") == "completed", F.col("stage"))
+    n = F.count_distinct(stage) if mode == "distinct" else F.count_if(F.col("status") == "completed")
+    return artifacts.groupBy("dataset_id").agg(
+        F.array_sort(F.collect_set(stage)).alias("completed_stages"),
         (n * F.lit(100.0) / F.lit(len(STAGES))).alias("progress"),
     )
 

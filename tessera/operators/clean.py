@@ -341,39 +341,43 @@ def transform_boxcox(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
-    """(value, code): sorted distinct values -> 0..k-1.  The distinct table is small by
-    construction of a label; dense_rank over it is a single small task."""
-    d = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return d.select(F.col(col).alias("value"), (F.dense_rank().over(Window.orderBy(col)) - 1).alias("code"))
+    """(value, code): sorted distinct values -> 0..k-1.  Distinct values are dealt into ranges of
+    the order; a code is the rank in its range plus the sizes of the ranges before it, so no task
+    sorts more than a range.  The ranges are written once, as a second pass could draw others."""
+    from tessera.session import cut_lineage
 
-
-BROADCAST_CODES = 1_000_000  # code tables up to this many rows are broadcast
+    values = df.select(F.col(col).alias("value")).where(F.col(col).isNotNull()).distinct()
+    dealt = cut_lineage(values.repartitionByRange("value").withColumn("__p", F.spark_partition_id()))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    starts = sizes.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy("value"))
+    return dealt.withColumn("__r", rank).join(starts, "__p").select("value", (F.col("__start") + F.col("__r") - 1).cast("int").alias("code"))
 
 
 def encode_label(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """C17: label encoding by sorted distinct value.  The code table is broadcast only after
-    its size is checked; a larger one is shuffle-joined."""
+    """C17: label encoding by sorted distinct value; a NULL has no code.  Spark broadcasts the code
+    table if its measured bytes allow it."""
     codes = label_codes(df, col).withColumnRenamed("value", col)
-    out = out or f"{col}_encoded"
-    n = codes.count()  # one small job: the number of distinct labels
-    side = F.broadcast(codes) if n <= BROADCAST_CODES else codes
-    return df.join(side, col, "left").withColumnRenamed("code", out)
-
-
-def encode_onehot(df: DataFrame, col: str, drop_first: bool = True, values: Sequence[str] | None = None,
-                  max_values: int = 1000) -> DataFrame:
-    """One indicator column ``{col}_{value}`` per sorted distinct value (first dropped).
-    The distinct values become columns, so they are fetched to the driver only up to
-    ``max_values``; a column with more distinct values is refused (not truncated)."""
-    if values is None:
-        got = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(max_values + 1).collect()]
-        if len(got) > max_values:
-            raise ValueError(f"{col!r} has more than {max_values} distinct values; one-hot needs a categorical column")
-        values = got
+    return df.join(codes, col, "left").withColumnRenamed("code", out or f"{col}_encoded")
+
+
+def encode_onehot(df: DataFrame, col: str, values: Sequence[str], drop_first: bool = True) -> DataFrame:
+    """C16, wide: one indicator column ``{col}_{value}`` for each of the caller's values (first
+    dropped).  Where the values are not known beforehand, see ``encode_onehot_sparse``."""
     vals = list(values)[1:] if drop_first else list(values)
     return df.withColumns({f"{col}_{v}": (F.col(col) == F.lit(v)).cast("int") for v in vals}).drop(col)
 
 
+def encode_onehot_sparse(df: DataFrame, key: str, col: str, drop_first: bool = True) -> DataFrame:
+    """C16, long: (key, index, value) of each row's indicator that is 1, for any number of distinct
+    values.  ``index`` counts the indicator columns in sorted order of values from 0; rows of a NULL
+    or of the dropped first value have no indicator that is 1, hence no row."""
+    first = 1 if drop_first else 0
+    coded = encode_label(df.select(key, F.col(col).alias("value")), "value", "index")
+    return coded.where(F.col("index") >= first).select(key, (F.col("index") - first).alias("index"), "value")
+
+
 # ---------------------------------------------------------------------------
 # row filters and column helpers
 # ---------------------------------------------------------------------------

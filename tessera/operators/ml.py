@@ -25,11 +25,16 @@ def class_positions(df: DataFrame, label: str, key: str | Sequence[str], seed: i
     (class size).  Positions come from core.with_positions over (class, hash) counts, so a
     large class is spread over many bucket windows."""
     u = _hash_u(key, seed)
-    d = df.withColumn("__u", u).withColumn("__cls", F.col(label).cast("string"))
+    # rows without a label are a class of their own
+    cls = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))
+    d = df.withColumn("__u", u).withColumn("__cls", cls)
     counts = d.groupBy(F.col("__cls").alias("column"), F.col("__u").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
     pos = core.with_positions(counts).select(F.col("column").alias("__cls"), F.col("value").alias("__u"),
                                               (F.col("before") + 1).alias("__rn"), F.col("n").alias("__n"))
-    return d.join(pos, ["__cls", "__u"]).drop("__cls", "__u")
+    # rows of one hash take consecutive positions in order of the key
+    tie = F.row_number().over(Window.partitionBy("__cls", "__u").orderBy(*([key] if isinstance(key, str) else key)))
+    d = d.withColumn("__tie", tie - 1).join(pos, ["__cls", "__u"])
+    return d.withColumn("__rn", F.col("__rn") + F.col("__tie")).drop("__cls", "__u", "__tie")
 
 
 def stratified_split(df: DataFrame, label: str, key: str | Sequence[str], fractions: Sequence[float] = (0.7, 0.15, 0.15),
@@ -107,9 +112,9 @@ def feature_pipeline(numeric: Sequence[str], text: Sequence[str] = (), num_featu
 
 
 def train_classifier(train: DataFrame, label: str, numeric: Sequence[str], text: Sequence[str] = (),
-                     model: str = "logistic", folds: int = 3, grid: dict | None = None, parallelism: int = 4, **params):
+                     model: str = "logistic", folds: int = 3, grid: dict | None = None, parallelism: int = 4, key: str | None = None, **params):
     """Feature pipeline + classifier; with ``folds`` > 1 a CrossValidator over
-    ``grid`` on a stratified fold column (M04), metric weighted F1.  Returns the fitted
+    ``grid`` on a stratified fold column (M04; ``key`` names the row key that deals the folds), metric weighted F1.  Returns the fitted
     PipelineModel (best model when cross-validated)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -139,15 +144,17 @@ def train_classifier(train: DataFrame, label: str, numeric: Sequence[str], text:
         ev = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
         from tessera.session import cut_lineage
 
+        if key is None or key == label:
+            raise ValueError("cross-validation needs the row key that deals the folds")
         # every (fold, grid point) fit re-reads the data: materialise the fold assignment once
-        data = cut_lineage(stratified_kfold(train, label, params.get("key", label), folds))
+        data = cut_lineage(stratified_kfold(train, label, key, folds))
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=pg.build(), evaluator=ev, foldCol="fold",
                             parallelism=parallelism, seed=42)
         return cv.fit(data).bestModel
     return pipe.fit(train)
 
 
-def tune_boosted(train: DataFrame, label: str, numeric: Sequence[str], grid: dict | None = None,
+def tune_boosted(train: DataFrame, label: str, numeric: Sequence[str], key: str, grid: dict | None = None,
                  validation: float = 0.2, max_iter: int = 50, seed: int = 42):
     """M09 (D15): gradient-boosted trees tuned on a stratified validation split by log-loss
     (smaller is better) over the whole grid of depth x step x subsample x feature share;
@@ -159,7 +166,7 @@ def tune_boosted(train: DataFrame, label: str, numeric: Sequence[str], grid: dic
     from tessera.session import cut_lineage
 
     grid = grid or {"maxDepth": [3, 5], "stepSize": [0.1, 0.3], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["all", "sqrt"]}
-    sp = cut_lineage(stratified_split(train, label, params_key(train, label), (1 - validation, validation), ("fit", "val"), seed))
+    sp = cut_lineage(stratified_split(train, label, key, (1 - validation, validation), ("fit", "val"), seed))
     fit, val = sp.where("split = 'fit'"), sp.where("split = 'val'")
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="logLoss")
     import itertools
@@ -178,11 +185,6 @@ def tune_boosted(train: DataFrame, label: str, numeric: Sequence[str], grid: dic
     return model, core.lit_table(train.sparkSession, rows, "params string, log_loss double")
 
 
-def params_key(df: DataFrame, label: str) -> str:
-    """A key column for hashing rows into splits: the first column that is not the label."""
-    return next(c for c in df.columns if c != label)
-
-
 def feature_importance(pipeline_model, feature_names: Sequence[str], top: int = 10, spark=None):
     """(feature, importance) of a tree model, descending."""
     m = pipeline_model.stages[-1]
@@ -208,24 +210,27 @@ def vote(preds: DataFrame, key: str, prediction: str = "prediction") -> DataFram
     return c.groupBy(key).agg(F.min_by(prediction, F.struct(-F.col("votes"), F.col(prediction))).alias("prediction"))
 
 
-def topic_lda(df: DataFrame, text_col: str, k: int = 5, words: int = 10, vocab_size: int = 5000, max_iter: int = 20):
-    """LDA topics (topic, rank, term, weight) on term counts of the frequency tokens."""
+def topic_lda(df: DataFrame, text_col: str, k: int = 5, words: int = 10, max_iter: int = 20):
+    """LDA topics (topic, rank, term, weight) on term counts of the frequency tokens, with
+    every term that two documents or more hold."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     from tessera.operators.text import frequency_tokens
 
     toks = df.select(frequency_tokens(F.col(text_col)).alias("tokens"))
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocab_size, minDF=2).fit(toks)
+    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=2**31 - 1, minDF=2).fit(toks)
     counts = cv.transform(toks)
     model = LDA(k=k, maxIter=max_iter, seed=42, featuresCol="features").fit(counts)
     topics = model.describeTopics(words)
     vocab = cv.vocabulary
     spark = df.sparkSession
-    vdf = core.lit_table(spark, [(i, w) for i, w in enumerate(vocab)], "term_index int, term string") if len(vocab) < 20000 else None
+    # at most k * words terms are named
+    named = sorted({i for row in topics.select("termIndices").collect() for i in row[0]})
+    names = core.lit_table(spark, [(i, vocab[i]) for i in named], "term_index int, term string")
     ex = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "tw")).select(
         "topic", "rank", F.col("tw.termIndices").alias("term_index"), F.col("tw.termWeights").alias("weight"))
-    return ex.join(F.broadcast(vdf), "term_index").drop("term_index") if vdf is not None else ex
+    return ex.join(F.broadcast(names), "term_index").drop("term_index")
 
 
 def topic_nmf(tfidf_long: DataFrame, key: str, k: int = 5, iters: int = 30, words: int = 10, seed: int = 42) -> DataFrame:

@@ -23,33 +23,28 @@ def _explode_pairs(row: DataFrame, pairs: list[tuple[str, str]], value: str) ->
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-MATRIX_MIN_PAIRS = 1000  # from this many pairs on, one Gram-matrix pass replaces per-pair aggregates
-
-
-def pearson_matrix_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Upper-triangle Pearson for wide tables: one ``pyspark.ml.stat.Correlation`` pass over
-    assembled vectors (a d x d aggregate).  Rows with a NULL in any column are dropped first
-    (complete cases, not pairwise-complete)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    cols = list(cols)
-    v = VectorAssembler(inputCols=cols, outputCol="__f", handleInvalid="skip").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    m = Correlation.corr(v, "__f", "pearson").collect()[0][0].toArray()  # d x d, bounded by the schema
-    rows = [(a, b, float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
-    return core.lit_table(df.sparkSession, rows, "variable_1 string, variable_2 string, pearson double")
+def _pair_corr(df: DataFrame, cols: Sequence[str], value: str) -> DataFrame:
+    """(variable_1, variable_2, ``value``): ``corr`` of every pair of columns, over the rows where
+    both are there.  Rows become (i, j, a, b) and are summed up by pair before the shuffle, so the
+    plan has one size for any number of columns and only one row a pair and task moves."""
+    k = len(cols)
+    v = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
+    left = v.select("v", F.explode(F.sequence(F.lit(0), F.lit(k - 2))).alias("i"))
+    both = left.select("i", F.get("v", "i").alias("a"), F.posexplode(F.slice("v", F.col("i") + 2, F.lit(k))).alias("d", "b"))
+    found = both.groupBy("i", (F.col("i") + F.col("d") + 1).alias("j")).agg(F.corr("a", "b").alias(value))
+    first = df.sparkSession.range(k - 1).select(F.col("id").cast("int").alias("i"))
+    pairs = first.select("i", F.explode(F.sequence(F.col("i") + 1, F.lit(k - 1))).alias("j"))
+    names = F.array(*[F.lit(c) for c in cols])
+    out = pairs.join(found, ["i", "j"], "left")
+    return out.select(F.get(names, "i").alias("variable_1"), F.get(names, "j").alias("variable_2"), value)
 
 
 def pearson_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Upper-triangle (variable_1, variable_2, pearson): every pair in one aggregate,
-    pairwise-complete rows (Spark's ``corr`` skips a row when either side is NULL).  Very
-    wide tables switch to one Gram-matrix pass (``pearson_matrix_pairs``)."""
-    pairs = _pairs(cols)
-    if len(pairs) >= MATRIX_MIN_PAIRS:
-        return pearson_matrix_pairs(df, cols)
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
-    return _explode_pairs(row, pairs, "pearson")
+    """Upper-triangle (variable_1, variable_2, pearson) of pairwise-complete rows, at any width."""
+    cols = list(cols)
+    if len(cols) < 2:
+        return core.lit_table(df.sparkSession, [], "variable_1 string, variable_2 string, pearson double")
+    return _pair_corr(df, cols, "pearson")
 
 
 def _rank_join(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -62,61 +57,6 @@ def _rank_join(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-# complete columns: from this many columns on, ranks are joined in long form (2 shuffles of
-# n x k values) instead of one join per column (k joins of the n x k table; small rank tables
-# of low-cardinality columns are broadcast at runtime, which wins for a few columns)
-LONG_RANK_MIN_COLS = 8
-PAIR_TABLE_MAX_PAIRS = 0  # set > 0 to rank NULL-touching pairs in one plan (spearman_pair_table); measured slower locally
-
-
-def spearman_pair_table(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
-    """Upper-triangle Spearman for a few columns in one plan, pairwise-complete.
-
-    Rows become (pair, a, b) tuples collapsed to their distinct joint values with counts;
-    per-pair marginal average ranks come from bucketed prefix counts; the joint table is
-    joined with both rank tables and the weighted Pearson of centred ranks is summed per
-    pair.  The number of stages does not depend on the number of pairs, the joins run on
-    distinct value pairs (small for low-cardinality columns) and no row id is needed."""
-    cols = list(cols)
-    pairs = list(pairs) if pairs is not None else _pairs(cols)
-    casted = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    structs = [F.struct(F.lit(i).alias("pid"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(pairs)]
-    joint = (casted.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
-             .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-             .groupBy("pid", "a", "b").agg(F.count(F.lit(1)).alias("cnt")))
-    side = lambda c, tag: joint.groupBy(F.concat(F.col("pid").cast("string"), F.lit(tag)).alias("column"),
-                                        F.col(c).alias("value")).agg(F.sum("cnt").alias("cnt"))
-    pos = core.with_positions(side("a", ":a").unionByName(side("b", ":b")))
-    centred = (F.col("before") + (F.col("cnt") + 1) / 2.0) - (F.col("n") + 1) / 2.0
-    pos = pos.select(F.split("column", ":")[0].cast("int").alias("pid"), F.split("column", ":")[1].alias("side"),
-                     "value", centred.alias("c"))
-    ra = pos.where(F.col("side") == "a").select("pid", F.col("value").alias("a"), F.col("c").alias("ca"))
-    rb = pos.where(F.col("side") == "b").select("pid", F.col("value").alias("b"), F.col("c").alias("cb"))
-    j = joint.join(ra, ["pid", "a"]).join(rb, ["pid", "b"])
-    sums = j.groupBy("pid").agg(F.sum(F.col("cnt") * F.col("ca") * F.col("cb")).alias("sab"),
-                                F.sum(F.col("cnt") * F.col("ca") * F.col("ca")).alias("saa"),
-                                F.sum(F.col("cnt") * F.col("cb") * F.col("cb")).alias("sbb"))
-    names = core.lit_table(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)],
-                           "pid int, variable_1 string, variable_2 string")
-    r = F.col("sab") / F.nullif(F.sqrt(F.col("saa") * F.col("sbb")), F.lit(0.0))
-    return names.join(sums, "pid", "left").select("variable_1", "variable_2", r.alias("spearman"))
-
-
-def _rank_corr_long(df: DataFrame, cols: Sequence[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pearson of average ranks for columns without NULLs, in long form: every value gets
-    the row id of its row (``monotonically_increasing_id`` only tags values emitted together
-    by one task, so it stays consistent when a task is re-run), values join their rank table
-    on (column, value) and are regrouped by row id.  Two shuffles of n x k values instead of
-    k joins of the whole table."""
-    ranks = core.average_ranks(df, cols)
-    casted = df.select(F.monotonically_increasing_id().alias("__rid"), *[F.col(c).cast("double").alias(c) for c in cols])
-    long = casted.unpivot(["__rid"], list(cols), "column", "value")
-    j = long.join(ranks, ["column", "value"])
-    wide = j.groupBy("__rid").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(f"__r_{c}") for c in cols])
-    row = wide.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}") for a, b in pairs])
-    return _explode_pairs(row, pairs, "spearman")
-
-
 def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Upper-triangle (variable_1, variable_2, spearman) = Pearson of average ranks.
 
@@ -133,23 +73,15 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     parts = []
     clean_pairs = [(a, b) for a, b in pairs if a in clean and b in clean]
     if clean_pairs:
-        used = sorted({x for p in clean_pairs for x in p})
-        if len(used) >= LONG_RANK_MIN_COLS:
-            parts.append(_rank_corr_long(df.select(*used), used, clean_pairs))
-        else:
-            ranked = _rank_join(df.select(*used), used)
-            row = ranked.agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}") for a, b in clean_pairs])
-            parts.append(_explode_pairs(row, clean_pairs, "spearman"))
+        used = clean
+        ranked = _rank_join(df.select(*used), used)
+        parts.append(_pair_corr(ranked.select(*[F.col(f"__r_{c}").alias(c) for c in used]), used, "spearman"))
     null_pairs = [(a, b) for a, b in pairs if (a, b) not in clean_pairs]
-    if null_pairs and len(null_pairs) <= PAIR_TABLE_MAX_PAIRS:
-        # pairwise-complete ranks for every pair touching a column with NULLs, in one plan
-        parts.append(spearman_pair_table(df, sorted({x for p in null_pairs for x in p}), null_pairs))
-    else:
-        for a, b in null_pairs:
-            sub = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-            ranked = _rank_join(sub, [a, b])
-            row = ranked.agg(F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}"))
-            parts.append(_explode_pairs(row, [(a, b)], "spearman"))
+    for a, b in null_pairs:
+        sub = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+        ranked = _rank_join(sub, [a, b])
+        row = ranked.agg(F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}"))
+        parts.append(_explode_pairs(row, [(a, b)], "spearman"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -73,8 +73,8 @@ def segment_vocabulary(vocab: DataFrame, merges: list[tuple[str, str]], word: st
     return vocab.select(word).distinct().withColumn("pieces", seg(F.col(word)))
 
 
-def subword_tokens(df: DataFrame, key: str, text_col: str, merges: list[tuple[str, str]], max_len: int = 512) -> DataFrame:
-    """Token pieces of each text in order (cut at ``max_len``, like the 512 / 1024 limits)."""
+def subword_tokens(df: DataFrame, key: str, text_col: str, merges: list[tuple[str, str]], max_len: int | None = None) -> DataFrame:
+    """Token pieces of each text in order, whole unless ``max_len`` asks for a cut."""
     from tessera.functions import text as Tx
 
     ex = df.select(key, F.posexplode(Tx.tokenize_words(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("pos", "word"))
@@ -82,4 +82,4 @@ def subword_tokens(df: DataFrame, key: str, text_col: str, merges: list[tuple[st
     j = ex.join(seg, "word", "left")
     agg = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "pieces"))).alias("__p"))
     flat = F.flatten(F.transform("__p", lambda s: s["pieces"]))
-    return agg.select(key, F.slice(flat, 1, max_len).alias("pieces"))
+    return agg.select(key, (flat if max_len is None else F.slice(flat, 1, max_len)).alias("pieces"))

@@ -310,12 +310,12 @@ def term_counts_per_row(df: DataFrame, key: str, terms: str) -> DataFrame:
 
 
 def tfidf_long(df: DataFrame, key: str, text_col: str, ngram_range: tuple[int, int] = (1, 2),
-               min_df: float | int = 2, max_df: float | int = 0.95, max_features: int | None = 10000,
+               min_df: float | int = 2, max_df: float | int = 0.95, max_features: int | None = None,
                stopwords: Iterable[str] = D.STOPWORDS_EN) -> DataFrame:
     """X20 in long form (key, term, tfidf), scikit-learn TfidfVectorizer semantics (D19):
     lower-cased word tokens (2+ word chars), stop words removed, n-grams, document
-    frequency limits (ints are counts, floats are shares), top ``max_features`` terms by
-    corpus frequency (ties by term), idf = ln((1 + n) / (1 + df)) + 1, L2-normalised rows.
+    frequency limits (ints are counts, floats are shares), only if asked the top ``max_features``
+    terms by corpus frequency (ties by term), idf = ln((1 + n) / (1 + df)) + 1, L2-normalised rows.
     Term statistics are aggregates by term; the vocabulary filter is a join on term."""
     sw = list(stopwords)
     toks = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)\w\w+"), 0),
@@ -378,16 +378,10 @@ def detect_language(df: DataFrame, text_col: str, profiles: Mapping[str, Sequenc
 # dictionary tables (J03), vocabulary-level UDF work (E01, X08), pipelines (X11)
 # ---------------------------------------------------------------------------
 
-BROADCAST_ROWS = 2_000_000  # dictionary tables up to this many rows are broadcast
-
-
 def dictionary_join(vocab: DataFrame, dictionary: DataFrame, on: str = "word", how: str = "left") -> DataFrame:
     """Join a (distinct) vocabulary with a dictionary table (stop words, lemmas,
-    synonyms, lexicon).  The dictionary is broadcast only after its row count is checked;
-    larger dictionaries use a shuffle join."""
-    n = dictionary.count()  # one small job; the bound decides the strategy
-    d = F.broadcast(dictionary) if n <= BROADCAST_ROWS else dictionary
-    return vocab.join(d, on, how)
+    synonyms, lexicon).  Spark broadcasts the dictionary if its measured bytes allow it."""
+    return vocab.join(dictionary, on, how)
 
 
 def dictionary_table(spark, words: Mapping[str, object] | Sequence[str], value: str = "value") -> DataFrame:

@@ -81,8 +81,8 @@ def q_latest(spark, sf):
 
 
 @plan("pipeline_status", (
-    f"SELECT dataset_id, array_to_string(list_sort(list_distinct(list(stage))), ',') AS completed_stages, "
-    f"round(count(DISTINCT stage) * 100.0 / 5, 6) AS progress FROM ({ARTIFACTS_SQL}) WHERE status = 'completed' GROUP BY dataset_id"),
+    f"SELECT dataset_id, coalesce(array_to_string(list_sort(list_distinct(list(stage) FILTER (status = 'completed'))), ','), '') AS completed_stages, "
+    f"round(count(DISTINCT stage) FILTER (status = 'completed') * 100.0 / 5, 6) AS progress FROM ({ARTIFACTS_SQL}) GROUP BY dataset_id"),
     ("K05",))
 def q_status(spark, sf):
     s = K.pipeline_status(artifacts(spark, sf))

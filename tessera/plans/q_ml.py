@@ -143,7 +143,7 @@ def q_tune_gbt(spark, sf):
     """GBT tuned by validation log-loss over a 2 x 2 grid (R: one score per grid point)."""
     d = _separable(spark, sf)
     feats = [f"x{i}" for i in range(16)]
-    _, scores = ml.tune_boosted(d.select("vec_id", *feats, "label"), "label", feats,
+    _, scores = ml.tune_boosted(d.select("vec_id", *feats, "label"), "label", feats, "vec_id",
                                 grid={"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, max_iter=10)
     return round_doubles(scores)
 

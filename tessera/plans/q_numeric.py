@@ -709,7 +709,29 @@ def q_encode_label(spark, sf):
     "FROM orders"), ("C16",))
 def q_encode_onehot(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return clean.encode_onehot(o, "o_orderstatus", drop_first=True)
+    return clean.encode_onehot(o, "o_orderstatus", ["F", "O", "P"], drop_first=True)
+
+
+@plan("encode_onehot_sparse", (
+    "SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_custkey) - 2)::INTEGER AS \"index\", o_custkey AS value FROM orders "
+    "QUALIFY \"index\" >= 0"), ("C16",))
+def q_encode_onehot_sparse(spark, sf):
+    """Indicators of a column with thousands of values, in long form."""
+    return clean.encode_onehot_sparse(table(spark, sf, "orders"), "o_orderkey", "o_custkey")
+
+
+_WIDE = 48  # columns, 1128 pairs
+
+
+@plan("correlation_wide", (
+    f"WITH u AS (SELECT vec_id, i, CASE WHEN (vec_id + i) % 7 <> 0 THEN embedding[i + 1]::DOUBLE END AS v FROM embeddings, range({_WIDE}) t(i)) "
+    "SELECT 'x' || a.i AS variable_1, 'x' || b.i AS variable_2, round(corr(a.v, b.v), 6) AS pearson "
+    "FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i"), ("A11", "A12"))
+def q_correlation_wide(spark, sf):
+    """Pairwise-complete Pearson of 48 columns with NULLs in each."""
+    e = table(spark, sf, "embeddings")
+    cols = [F.when((F.col("vec_id") + i) % 7 != 0, F.col("embedding")[i].cast("double")).alias(f"x{i}") for i in range(_WIDE)]
+    return round_doubles(relate.pearson_pairs(e.select(*cols), [f"x{i}" for i in range(_WIDE)]))
 
 
 # ---------------------------------------------------------------------------

@@ -349,7 +349,7 @@ def q_sent_summary(spark, sf):
 # ---------------------------------------------------------------------------
 
 
-def _sql_tfidf(min_df=2, max_df=0.95, max_features=1000):
+def _sql_tfidf(min_df=2, max_df=0.95, max_features=None):
     toks = (f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '{W}{W}+', 0), "
             f"lambda w: NOT list_contains({sql_list(D.STOPWORDS_EN)}, w))")
     return (
@@ -358,7 +358,7 @@ def _sql_tfidf(min_df=2, max_df=0.95, max_features=1000):
         "tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents), "
         f"st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term), "
         f"v AS (SELECT term, ln((n + 1.0) / (df + 1.0)) + 1 AS idf FROM st, n WHERE df >= {min_df} AND df <= {max_df} * n "
-        f"ORDER BY cf DESC, term LIMIT {max_features}), "
+        f"{f'ORDER BY cf DESC, term LIMIT {max_features}' if max_features else ''}), "
         "w AS (SELECT doc_id, tf.term, tf * idf AS w FROM tf JOIN v ON tf.term = v.term), "
         "nm AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY doc_id) "
         "SELECT w.doc_id, term, round(w / nrm, 6) AS tfidf FROM w JOIN nm ON w.doc_id = nm.doc_id"
@@ -368,7 +368,14 @@ def _sql_tfidf(min_df=2, max_df=0.95, max_features=1000):
 @plan("tfidf", _sql_tfidf(), ("X20", "D19"))
 def q_tfidf(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return round_doubles(X.tfidf_long(d, "doc_id", "text", (1, 2), 2, 0.95, 1000))
+    return round_doubles(X.tfidf_long(d, "doc_id", "text", (1, 2), 2, 0.95))
+
+
+@plan("tfidf_top_terms", _sql_tfidf(max_features=1000), ("X20", "D19"))
+def q_tfidf_top(spark, sf):
+    """Only the 1,000 commonest terms, which is the variant's feature."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return round_doubles(X.tfidf_long(d, "doc_id", "text", (1, 2), 2, 0.95, max_features=1000))
 
 
 def _sql_lang():
@@ -452,12 +459,12 @@ def q_tok_pipeline(spark, sf):
 
 @plan("subword_bpe", None, ("X05",))
 def q_bpe(spark, sf):
-    """BPE merges learned on the conversation vocabulary (30 rounds), pieces of every turn,
-    cut at 512 (R: pieces re-join to the words)."""
+    """BPE merges learned on the conversation vocabulary (30 rounds), pieces of every whole
+    turn (R: pieces re-join to the words)."""
     from tessera.operators.subword import learn_bpe, subword_tokens
 
     conv = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("k"), "text")
     vocab = X.vocabulary(conv, "text")
     merges = learn_bpe(vocab, merges=30)
-    out = subword_tokens(conv, "k", "text", merges, 512)
+    out = subword_tokens(conv, "k", "text", merges)
     return out.select("k", F.size("pieces").alias("n_pieces"), F.array_join("pieces", " ").alias("pieces"))

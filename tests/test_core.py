@@ -136,39 +136,61 @@ def test_order_bucket_is_monotone_on_extremes(spark):
     assert q[0] == float(np.percentile(vals[1:-1], 50))
 
 
-def test_spearman_pair_table_option_matches_pandas(spark):
+def test_spearman_with_nulls_matches_pandas(spark):
     rows = [(1.0, 2.0, None), (2.0, 1.0, 3.0), (3.0, 4.0, 3.0), (4.0, 3.0, 1.0), (5.0, 5.0, 2.0), (2.0, None, 5.0)]
     df = _frame(spark, rows, "a double, b double, c double")
-    got = {(r["variable_1"], r["variable_2"]): r["spearman"] for r in relate.spearman_pair_table(df, ["a", "b", "c"]).collect()}
+    got = {(r["variable_1"], r["variable_2"]): r["spearman"] for r in relate.spearman_pairs(df, ["a", "b", "c"]).collect()}
     exp = pd.DataFrame(rows, columns=["a", "b", "c"]).corr(method="spearman")
     assert len(got) == 3
     for (x, y), v in got.items():
         assert v == pytest.approx(exp.loc[x, y])
 
 
-def test_spearman_long_rank_join_matches_per_column(spark):
+def test_spearman_of_complete_columns_matches_pandas(spark):
     rng = np.random.default_rng(3)
-    rows = [tuple(float(x) for x in rng.integers(0, 6, size=3)) for _ in range(60)]
-    df = _frame(spark, rows, "a double, b double, c double")
-    relate.LONG_RANK_MIN_COLS = 2
-    try:
-        long = {(r["variable_1"], r["variable_2"]): r["spearman"] for r in relate.spearman_pairs(df, ["a", "b", "c"]).collect()}
-    finally:
-        relate.LONG_RANK_MIN_COLS = 8
-    exp = pd.DataFrame(rows, columns=["a", "b", "c"]).corr(method="spearman")
-    for (x, y), v in long.items():
+    cols = [f"c{i}" for i in range(9)]
+    rows = [tuple(float(x) for x in rng.integers(0, 6, size=9)) for _ in range(60)]
+    df = _frame(spark, rows, ", ".join(f"{c} double" for c in cols))
+    got = {(r["variable_1"], r["variable_2"]): r["spearman"] for r in relate.spearman_pairs(df, cols).collect()}
+    exp = pd.DataFrame(rows, columns=cols).corr(method="spearman")
+    assert len(got) == 36
+    for (x, y), v in got.items():
         assert v == pytest.approx(exp.loc[x, y])
 
 
-def test_wide_pearson_matrix_path(spark):
-    rows = [(float(i), float(i * i % 7), float(10 - i)) for i in range(30)]
-    df = _frame(spark, rows, "a double, b double, c double")
-    got = {(r["variable_1"], r["variable_2"]): r["pearson"] for r in relate.pearson_matrix_pairs(df, ["a", "b", "c"]).collect()}
-    exp = pd.DataFrame(rows, columns=["a", "b", "c"]).corr()
+def test_wide_pearson_is_pairwise_complete(spark):
+    rng = np.random.default_rng(5)
+    cols = [f"c{i}" for i in range(46)]
+    data = rng.normal(size=(80, 46))
+    data[10:, 45] = np.nan  # one column with few values must not cost the other pairs their rows
+    exp = pd.DataFrame(data, columns=cols).corr()
+    rows = [tuple(None if np.isnan(x) else float(x) for x in r) for r in data]
+    df = _frame(spark, rows, ", ".join(f"{c} double" for c in cols))
+    got = {(r["variable_1"], r["variable_2"]): r["pearson"] for r in relate.pearson_pairs(df, cols).collect()}
+    assert len(got) == 46 * 45 // 2
     for (x, y), v in got.items():
         assert v == pytest.approx(exp.loc[x, y])
 
 
+def test_label_codes_and_sparse_onehot(spark):
+    df = _frame(spark, [(1, "b"), (2, "a"), (3, None), (4, "c"), (5, "b")], "k long, v string")
+    assert {r["k"]: r["v_encoded"] for r in clean.encode_label(df, "v").collect()} == {1: 1, 2: 0, 3: None, 4: 2, 5: 1}
+    sparse = {(r["k"], r["index"], r["value"]) for r in clean.encode_onehot_sparse(df, "k", "v").collect()}
+    assert sparse == {(1, 0, "b"), (4, 1, "c"), (5, 0, "b")}
+    assert clean.encode_label(df.where("k > 9"), "v").count() == 0
+
+
+def test_checkpoint_folder_is_named_on_clusters():
+    from types import SimpleNamespace
+
+    from tessera.session import checkpoint_dir
+
+    context = SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session)
+
+
 @pytest.mark.parametrize("name", ["impute_median", "outliers_iqr_joint", "describe", "correlation_table", "stratified_split",
                                   "partner_rows", "smote"])
 def test_no_unpartitioned_window_over_rows(spark, name):

@@ -91,6 +91,39 @@ def test_split_and_folds_exact_shares(spark):
     assert sizes[-1] - sizes[0] <= 2
 
 
+def test_splits_keep_rows_without_label_and_part_equal_hashes(spark):
+    df = spark.range(30).select(F.col("id").alias("k"), F.when(F.col("id") % 3 != 0, F.lit("y")).alias("y"))
+    assert ml.stratified_kfold(df, "y", "k", 2).count() == 30
+    twins = spark.createDataFrame([("same", "y")] * 10, "k string, y string")
+    assert sorted(r["count"] for r in ml.stratified_kfold(twins, "y", "k", 2).groupBy("fold").count().collect()) == [5, 5]
+
+
+def test_cross_validation_needs_a_row_key(spark):
+    df = spark.range(30).select("id", F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("y"))
+    with pytest.raises(ValueError, match="row key"):
+        ml.train_classifier(df, "y", ["x"], folds=3, grid={"regParam": [0.0]})
+
+
+def test_smote_lowers_k_to_the_smallest_class_for_all(spark):
+    # class b could have two neighbours each, class c only one: k is 1 for both
+    rows = [(f"a{i}", "a", float(i)) for i in range(20)] + [(f"b{i}", "b", 100.0 + x) for i, x in enumerate((0, 1, 10))]
+    rows += [("c0", "c", 1000.0), ("c1", "c", 1001.0)]
+    out = G.smote(spark.createDataFrame(rows, "k string, y string, x double"), "k", "y", ["x"], k=5)
+    assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {"a": 20, "b": 20, "c": 20}
+    made = [r["x"] for r in out.where("synthetic AND y = 'b'").collect()]
+    assert all(100 <= x <= 110 for x in made)
+    # with its nearest neighbour only, 100 and 101 never mix with 110; 110 mixes with 101 alone
+    near = G.knn_within_class(spark.createDataFrame(rows, "k string, y string, x double").withColumn("v", F.array("x")), "k", "y", "v", 1)
+    assert {r["key"]: r["neighbour"] for r in near.where("key LIKE 'b%'").collect()} == {"b0": "b1", "b1": "b0", "b2": "b1"}
+
+
+def test_pipeline_status_of_datasets_with_nothing_completed(spark):
+    df = spark.createDataFrame([("d1", "upload", "completed"), ("d1", "clean", "failed"), ("d2", "upload", "failed")],
+                               "dataset_id string, stage string, status string")
+    got = {r["dataset_id"]: (r["completed_stages"], r["progress"]) for r in K.pipeline_status(df).collect()}
+    assert got == {"d1": (["upload"], 20.0), "d2": ([], 0.0)}
+
+
 def test_evaluate_report(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1), (2, 0)], "label int, prediction int")
     per, summ, conf = ml.evaluate(df)
