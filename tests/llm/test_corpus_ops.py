@@ -193,6 +193,17 @@ def test_chains():
     assert sorted(chains([0, 7, 300, 307], [0, 7, 9, 16], 12)) == [([0, 7], [0, 7]), ([300, 307], [9, 16])]
 
 
+def test_chains_after_a_long_one():
+    """A passage that follows a longer one by more than MAX_GAP words is a chain of its own."""
+    one = list(range(0, 200, 7))
+    for skipped in (60, 100, 300):
+        two = [one[-1] + skipped + k for k in range(0, 95, 7)]
+        x, y = one + two, [500 + k for k in one] + [800 + 2 * skipped + k for k in two]
+        assert sorted(chains(x, y, 50)) == [(one, y[: len(one)]), (two, y[len(one) :])]
+    # variable sizes: the gap counts from a match's end
+    assert chains([0, 70], [5, 75], 50, [60, 6])[0][0][-1] == 70
+
+
 def test_shared_passages(spark):
     passage = words(80, 71).split()
     changed = list(passage)
