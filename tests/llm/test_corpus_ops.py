@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm.ball_tree import top_k
-from tessera.llm.chaining import chains, shared_passages
+from tessera.llm.chaining import SEED, chains, shared_passages
 from tessera.llm.common import table
 from tessera.llm.components import connected_components
 from tessera.llm.jaccard_join import jaccard_components, keep_one, shingles
@@ -201,7 +201,22 @@ def test_chains_after_a_long_one():
         x, y = one + two, [500 + k for k in one] + [800 + 2 * skipped + k for k in two]
         assert sorted(chains(x, y, 50)) == [(one, y[: len(one)]), (two, y[len(one) :])]
     # variable sizes: the gap counts from a match's end
-    assert chains([0, 70], [5, 75], 50, [60, 6])[0][0][-1] == 70
+    assert chains([0, 70], [5, 75], 50, [60, SEED])[0][0][-1] == 70
+
+
+def test_short_passages(spark):
+    """Exact passages of 50 words and a little more, and one of 80 words of which each tenth is changed."""
+    rows, lengths = [], [*range(50, 67, 2), 80]
+    for k, n in enumerate(lengths):
+        one = words(n, 300 + k, 5000).split()
+        two = [f"z{j}" if n == 80 and j % 10 == 5 else w for j, w in enumerate(one)]
+        rows += [(2 * k, f"{words(70, 400 + k, 5000)} {' '.join(one)} {words(60, 500 + k, 5000)}"), (2 * k + 1, f"{words(45, 600 + k, 5000)} {' '.join(two)} {words(80, 700 + k, 5000)}")]
+    rows += [(100, f"{words(30, 800)} {words(49, 801, 5000)} {words(30, 802)}"), (101, f"{words(40, 803)} {words(49, 801, 5000)} a b c")]
+    got = {r["doc_id"]: r for r in shared_passages(frame(spark, rows)).collect()}
+    for k, n in enumerate(lengths):
+        assert [got[2 * k]["class_id"], got[2 * k + 1]["class_id"]] == [2 * k, 2 * k], n
+        assert [tuple(p) for p in got[2 * k]["passages"]] == [(70, 70 + n)] and [tuple(p) for p in got[2 * k + 1]["passages"]] == [(45, 45 + n)]
+    assert got[100]["n_links"] == got[101]["n_links"] == 0
 
 
 def test_shared_passages(spark):
