@@ -219,6 +219,23 @@ def test_short_passages(spark):
     assert got[100]["n_links"] == got[101]["n_links"] == 0
 
 
+def test_all_pairs_of_a_passage(spark):
+    """Each holder of a passage is linked with all others, also where only fuzzy copies share it, and
+    where it is a word pair over and over."""
+    r, one = random.Random(17), words(100, 900, 5000).split()
+    rows = [(k, f"{words(50, 910 + k, 5000)} {' '.join(one)} {words(50, 950 + k, 5000)}") for k in range(30)]
+    for k in range(30, 50):
+        copy = [f"v{k}x{j}" if r.random() < 0.05 else w for j, w in enumerate(one)]
+        rows.append((k, f"{words(50, 910 + k, 5000)} {' '.join(copy)} {words(50, 960 + k, 5000)}"))
+    rows += [(200 + k, f"{words(40, 990 + k, 5000)} {'again so ' * (40 + 30 * k)}{words(40, 995 + k, 5000)}") for k in range(5)]
+    got = {r["doc_id"]: r for r in shared_passages(frame(spark, rows)).collect()}
+    assert [got[k]["n_links"] for k in range(30)] == [49] * 30
+    assert {got[k]["class_id"] for k in range(50)} == {0} and min(got[k]["n_links"] for k in range(50)) >= 45
+    for k in range(5):
+        assert (got[200 + k]["class_id"], got[200 + k]["n_links"]) == (200, 4)
+        assert [tuple(p) for p in got[200 + k]["passages"]] == [(40, 120 + 60 * k)]
+
+
 def test_shared_passages(spark):
     passage = words(80, 71).split()
     changed = list(passage)
