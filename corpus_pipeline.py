@@ -30,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, linked by a Jaccard similarity of 0.9 of 3-word shingles."""
-    return keep_one(docs.select(*COLUMNS), percent=90, size=3)
+    """One document of each group stays, linked by a Jaccard similarity of 0.8 of 5-word shingles."""
+    return keep_one(docs.select(*COLUMNS), percent=80, size=5)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

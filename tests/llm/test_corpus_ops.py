@@ -250,6 +250,17 @@ def test_shared_passages(spark):
     assert shared_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_stage(spark):
+    """One row of each group of brute force at 0.8 of 5-word shingles; two words changed in 100 are near."""
+    base = words(100, 30, 5000).split()
+    near = [w if j not in (30, 70) else "other" for j, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(near))] + [(100 + k, t) for k, t in enumerate(family(40, 12, 3) + family(15, 6, 4))]
+    assert brute_components(rows[:2], 80, 5)[1][2] == 1 and brute_components(rows[:2])[1][2] == 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == sorted({c for _, _, c in brute_components(rows, 80, 5)})
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     counts = [docs.count()]
