@@ -267,6 +267,9 @@ def topic_nmf(tfidf_long: DataFrame, key: str, k: int = 5, iters: int = 30, word
         # each update reads W and H several times: cut lineage every iteration so the plan
         # stays one iteration deep
         W = cut_lineage(W)
+    # the top words of parts of the vocabulary first, then of what they leave
+    part = Window.partitionBy("t", F.pmod(F.xxhash64("term"), F.lit(64))).orderBy(F.desc("h"), "term")
+    H = H.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= words)
     w = Window.partitionBy("t").orderBy(F.desc("h"), "term")
     return H.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= words).select(
         F.col("t").alias("topic"), "rank", "term", F.col("h").alias("weight"))

@@ -162,12 +162,12 @@ def q_train_gbt(spark, sf):
 @plan("topic_lda", None, ("X21",))
 def q_lda(spark, sf):
     """LDA topics over documents (R: k topics x 10 words, weights in (0, 1))."""
-    return round_doubles(ml.topic_lda(table(spark, sf, "documents"), "text", k=5, words=10, max_iter=5))
+    return round_doubles(ml.topic_lda(table(spark, sf, "documents"), "text", k=5, words=10))
 
 
 @plan("topic_nmf", None, ("X22",))
 def q_nmf(spark, sf):
-    """NMF topics on TF-IDF of the labelled documents (R: non-negative weights)."""
-    d = _labelled_docs(spark, sf).select("doc_id", "text")
-    v = X.tfidf_long(d, "doc_id", "text", (1, 1), 2, 0.95, 500)
-    return round_doubles(ml.topic_nmf(v, "doc_id", k=3, iters=5, words=8))
+    """NMF topics on TF-IDF of the documents, all terms (R: non-negative weights)."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    v = X.tfidf_long(d, "doc_id", "text", (1, 1), 2, 0.95, None)
+    return round_doubles(ml.topic_nmf(v, "doc_id", k=3, words=8))

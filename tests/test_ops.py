@@ -226,3 +226,26 @@ def test_augmentation_quality_signed(spark):
     b = spark.createDataFrame([(1, 1.0, 0.0), (2, 2.0, 3.0)], "k long, x double, z double")
     got = {r["column"]: r for r in augmentation_quality(a, b, "k", ["x", "z"]).collect()}
     assert (got["x"]["mean_change_pct"], got["z"]["mean_change_pct"]) == (-50.0, 0.0)
+
+
+def test_topic_plans_read_all(spark, monkeypatch):
+    """The topic plans take all documents, all terms and the operators' own number of rounds."""
+    from tessera.plans.registry import load_all
+
+    seen = {}
+    monkeypatch.setattr(ml, "topic_nmf", lambda v, key, **kw: seen.update(v=v, nmf=kw) or v)
+    monkeypatch.setattr(ml, "topic_lda", lambda d, col, **kw: seen.update(d=d, lda=kw) or d)
+    for name in ("topic_nmf", "topic_lda"):
+        load_all()[name].fn(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert seen["v"].count() == X.tfidf_long(docs, "doc_id", "text", (1, 1), 2, 0.95).count()
+    assert seen["d"].count() == docs.count() and "iters" not in seen["nmf"] and "max_iter" not in seen["lda"]
+
+
+def test_nmf_top_words(spark):
+    """Top words by parts are those of one ranking."""
+    rows = [(d, f"t{(7 * d + k * k) % 90}", 1.0 + (d * k) % 5) for d in range(40) for k in range(12)]
+    v = spark.createDataFrame(rows, "d long, term string, tfidf double").dropDuplicates(["d", "term"])
+    whole = {(r["topic"], r["rank"]): r["term"] for r in ml.topic_nmf(v, "d", k=2, iters=1, words=1000).collect()}
+    few = {(r["topic"], r["rank"]): r["term"] for r in ml.topic_nmf(v, "d", k=2, iters=1, words=5).collect()}
+    assert few == {k: t for k, t in whole.items() if k[1] <= 5} and len(few) == 10
