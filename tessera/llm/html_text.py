@@ -3,14 +3,16 @@
 The standard library's parser reports tags and text; nothing is kept of the page but a list of
 lines (blocks of running text), each with its length, the tags in it and the elements around it.
 The lines' text-to-tag ratios are smoothed by a Gaussian and cut at a threshold; the lines above
-it form the content clusters.  The region that holds most of the clusters' text is the content
-region: all of its lines are kept that no menu, advert, form or the like encloses.
+it form the content clusters.  The main element or the articles that hold most of the clusters'
+text, else the innermost element around all clusters, are the content region: all of its lines and
+all clusters beside it are kept that no menu, advert, form or the like encloses.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,16 +35,23 @@ HEADS = frozenset({"header"})
 CLOSES_P = BLOCK - {"option", "optgroup", "legend", "summary", "caption"}
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table menu dir select html body article section div".split())
+#: Elements that hold a line, not a region.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 pre li dt dd a b i em strong span font".split())
 SPACE = re.compile(r"\s+")
 
 
 class PageLines(HTMLParser):
     """Turns parser events into lines: [text, tags, region path, kept]."""
 
-    def __init__(self):
+    def __init__(self, wrappers: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.wrappers = wrappers  # numbers of elements whose marks don't count
+        self.marked: set[int] = set()
+        self.never: set[int] = set()  # elements whose text is not shown or never an article's
         self.open: list[tuple[str, int, bool]] = []  # tag, number, outside the article
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.linked: list[bool] = []  # by line: nothing but links
+        self.plain = False
         self.tag_of: list[str] = []  # by element number
         self.text: list[str] = []
         self.tags = 0
@@ -51,8 +60,9 @@ class PageLines(HTMLParser):
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
             self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open), not (self.open and self.open[-1][2])))
+            self.linked.append(not self.plain)
             self.tags = 0
-        self.text = []
+        self.text, self.plain = [], False
 
     def close_to(self, depth: int) -> None:
         while len(self.open) > depth:
@@ -61,22 +71,40 @@ class PageLines(HTMLParser):
             self.open.pop()
 
     def is_outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in OUTSIDE:
+        if tag in OUTSIDE and tag != "form":
+            self.never.add(len(self.tag_of))
             return True
         inside = any(t in ("article", "main") for t, _, _ in self.open)
         if tag in HEADS and not inside:
             return True
         if tag in ("html", "body", "article", "main"):
             return False
+        mark = tag == "form"
         for name, value in attrs:
             value = (value or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                self.never.add(len(self.tag_of))
                 return True
             if name in ("class", "id", "role"):
                 words = set(re.split(r"[^a-z0-9]+", value))
                 if words & MARKS or words & HEADS and not inside and not words & {"article", "entry", "post", "content"}:
-                    return True
-        return False
+                    mark = True
+        if mark:
+            self.marked.add(len(self.tag_of))
+        return mark and len(self.tag_of) not in self.wrappers
+
+    def page_wrappers(self) -> frozenset[int]:
+        """Marked elements that hold the page's text: half of it with a first heading or a main element,
+        or four fifths of it with no heading, article or main element beside them."""
+        mass: Counter = Counter()
+        total = 0
+        for text, _, path, _ in self.lines:
+            if not self.never.intersection(path):
+                total += len(text)
+                mass.update(dict.fromkeys(path, len(text)))
+        heads = {n for *_, path, _ in self.lines if any(self.tag_of[n] in ("h1", "main") for n in path) for n in path}
+        own = [set(path) for *_, path, _ in self.lines if any(self.tag_of[n] in ("h1", "main", "article") for n in path)]
+        return frozenset(n for n in self.marked if 2 * mass[n] >= total > 0 and n in heads or 5 * mass[n] >= 4 * total > 0 and all(n in path for path in own))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -127,6 +155,7 @@ class PageLines(HTMLParser):
     def handle_data(self, data: str) -> None:
         # markup of elements left out must not count as text between blocks
         if not (self.open and self.open[-1][0] in ("script", "style")):
+            self.plain = self.plain or bool(data.strip()) and not any(t == "a" for t, _, _ in self.open)
             if self.open and self.open[-1][2] and self.open[-1][0] not in BLOCK:
                 self.skip_inline(data)
             else:
@@ -140,8 +169,8 @@ class PageLines(HTMLParser):
             self.text.append(data)
 
 
-def content_lines(lines: list[tuple[str, int, tuple[int, ...], bool]], tag_of: list[str], sigma: float = 1.0) -> list[str]:
-    """Lines of the content region, in page order."""
+def content_lines(lines: list[tuple[str, int, tuple[int, ...], bool]], tag_of: list[str], linked: list[bool], sigma: float = 1.0) -> list[str]:
+    """Lines of the content region, in page order.  Lines of links alone are no clusters."""
     if not any(kept for *_, kept in lines):
         return []
     # lines of enclosed menus and the like add nothing but their tags
@@ -155,28 +184,45 @@ def content_lines(lines: list[tuple[str, int, tuple[int, ...], bool]], tag_of: l
     mean = sum(smooth) / len(smooth)
     spread = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
     threshold = min(spread, mean)
-    mass: dict[int, int] = {}
-    total = 0
-    for (text, _, path, kept), s in zip(lines, smooth, strict=True):
-        if kept and s >= threshold:
+    clusters = [kept and s >= threshold and not link for (*_, kept), s, link in zip(lines, smooth, linked, strict=True)]
+    paths = [path for (_, _, path, _), c in zip(lines, clusters, strict=True) if c]
+    total, marked = 0, {"main": 0, "article": 0}
+    for (text, _, path, _), c in zip(lines, clusters, strict=True):
+        if c:
             total += len(text)
-            for n in path:
-                mass[n] = mass.get(n, 0) + len(text)
-    # the innermost article or main element with half of the text, else the innermost element with most of it
-    marked = [n for n, m in mass.items() if tag_of[n] in ("article", "main") and m >= 0.5 * total]
-    holding = [n for n, m in mass.items() if m >= 0.8 * total and tag_of[n] in ("div", "section", "td", "body", "html", "center", "blockquote")]
-    region = max(marked, default=max(holding, default=None))
-    return [text for text, _, path, kept in lines if kept and (region is None or region in path)]
+            for tag in {tag_of[n] for n in path} & marked.keys():
+                marked[tag] += len(text)
+    # main elements or articles with half of the text, else the innermost element around all clusters
+    tag = next((t for t in marked if marked[t] and 2 * marked[t] >= total), None)
+    around = [n for n in paths[0] if all(n in p for p in paths) and tag_of[n] not in LINES] if paths else []
+    region = {n for p in paths for n in p if tag_of[n] == tag} if tag else set(around[-1:])
+    # beside the element with four fifths of the text, lines of links alone are a menu
+    mass: Counter = Counter()
+    for (text, _, path, _), c in zip(lines, clusters, strict=True):
+        if c:
+            mass.update(dict.fromkeys(path, len(text)))
+    core = max((n for n, m in mass.items() if 5 * m >= 4 * total and tag_of[n] not in LINES), default=None)
+    return [
+        text
+        for (text, _, path, kept), c, link in zip(lines, clusters, linked, strict=True)
+        if kept and (c or not region or region.intersection(path) and (tag or not link or core in path))
+    ]
 
 
 def main_text(html: str) -> str:
     """The article's blocks, with two line ends between them."""
     page = PageLines()
-    page.feed(html)
-    page.close()
-    page.close_to(0)
-    page.flush()
-    return "\n\n".join(content_lines(page.lines, page.tag_of))
+    while True:
+        page.feed(html)
+        page.close()
+        page.close_to(0)
+        page.flush()
+        # a mark on what holds most of the page is no mark
+        wrappers = page.page_wrappers()
+        if wrappers <= page.wrappers:
+            break
+        page = PageLines(wrappers | page.wrappers)
+    return "\n\n".join(content_lines(page.lines, page.tag_of, page.linked))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

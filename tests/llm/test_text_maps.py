@@ -144,6 +144,24 @@ def test_main_text():
     assert main_text(bare) == ("Long words here. " * 20).strip() + "\n\nShort."
 
 
+def test_page_shapes():
+    """Content beside the largest region stays; a mark on what holds the page is no mark."""
+    one, two = "Long words of an article here. " * 20, "Other words of a second text. " * 15
+    first, second = one.strip(), two.strip()
+    shapes = [
+        (f"<main><h1>T</h1><article><p>{one}</p></article></main>", ["T", first]),
+        (f"<article><p>{one}</p></article><article><p>{two}</p></article>", [first, second]),
+        (f"<main><section><p>{two}</p></section><article><p>{one}</p></article></main><footer>x y</footer>", [second, first]),
+        (f"<div><p>{two[:90]}</p></div><div><p>{one}</p></div>", [two[:90].strip(), first]),
+        (f"<div class='layout has-sidebar'><nav>a b</nav><div><h1>T</h1><p>{one}</p></div><div class='sidebar'>q r s</div></div>", ["T", first]),
+        (f"<div><h1>T</h1></div><div><p>{one}</p></div><div><a href=x>Home</a> <a href=y>News</a></div>", ["T", first]),
+        (f"<form><p>{one}</p><input></form>", [first]),
+        (f"<article><p>{two}</p></article><div class='comments'><p>{one * 9}</p></div>", [second]),
+    ]
+    for body, want in shapes:
+        assert main_text(f"<html><body>{body}</body></html>") == "\n\n".join(want), body
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = extract_text(pages).collect()
