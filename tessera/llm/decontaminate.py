@@ -175,13 +175,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_c
     columns in ``keep``.
 
     The automaton is broadcast; items beyond ``BLOCK_BYTES`` go into further automata, and their
-    spans are joined per row in the same pass, so that no broadcast grows with the items.
+    spans are joined per row in the same pass, so that no broadcast grows with the items.  The
+    driver builds all automata and each worker holds them all: their memory grows with the items.
     Documents pass through one map without a shuffle.  Null and empty texts have no words; a row
     is answered by itself, so repeated rows and ids repeat results; items with a null id count as
     one more id (null is left out of ``items``); empty tables give no spans.
     """
     sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(ItemAutomaton([(i, words_of(t)) for i, t in block if i is not None], window)) for block in _blocks(items, item_id_col, item_text_col)]
+    sent = [sc.broadcast(ItemAutomaton([(i, words_of(t)) for i, t in block], window)) for block in _blocks(items, item_id_col, item_text_col)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automata = [s.value for s in sent]
@@ -200,7 +201,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_c
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 if cleaned:
                     texts.append(cut_words(text, runs))
-                held.append(sorted(found))
+                held.append(sorted(found - {None}))
             out = batch.drop(columns=["text"]).assign(n_words=counts, spans=spans, items=held)
             yield out.assign(cleaned=texts) if cleaned else out
 

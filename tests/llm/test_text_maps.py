@@ -104,6 +104,15 @@ def test_decontaminate_rows(spark):
     assert find_contamination(frame(spark, odd_rows()).limit(0), items).count() == 0
 
 
+def test_items_without_id(spark):
+    """Items with a null id are hit as others are, only their id is left out."""
+    items = spark.createDataFrame([(None, "one two three"), (7, "two three"), (None, "four")], "item_id long, text string")
+    rows = [(1, "say one two three now"), (2, "four"), (3, "none of it")]
+    got = {r["doc_id"]: r for r in find_contamination(frame(spark, rows), items, cleaned=True).collect()}
+    assert [[tuple(s) for s in got[k]["spans"]] for k in (1, 2, 3)] == [[(1, 4)], [(0, 1)], []]
+    assert [got[k]["items"] for k in (1, 2, 3)] == [[7], [], []] and got[2]["cleaned"] == ""
+
+
 def test_shards_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
     sizes = sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
