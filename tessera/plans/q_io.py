@@ -45,7 +45,7 @@ def q_model_io(spark, sf):
     from tessera.plans.q_ml import _separable
 
     d = _separable(spark, sf)
-    model = ml.train_classifier(d, "label", [f"x{i}" for i in range(16)], model="logistic", folds=0)
+    model = ml.train_classifier(d, "label", [f"x{i}" for i in range(64)], model="logistic", folds=0)
     path = io.scratch_path(spark, "model")
     io.save_model(model, path)
     loaded = io.load_model(path)

@@ -110,15 +110,15 @@ def _separable(spark, sf):
     """embeddings with a learnable label: sign of the sum of the first 8 coordinates."""
     e = table(spark, sf, "embeddings")
     s = F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    cols = {f"x{i}": F.col("embedding")[i].cast("double") for i in range(16)}
+    cols = {f"x{i}": F.col("embedding")[i].cast("double") for i in range(64)}
     return e.select("vec_id", *[v.alias(k) for k, v in cols.items()], (s > 0).cast("int").alias("label"))
 
 
-@plan("train_logistic_regression", None, ("M01", "M05", "M11", "M12"))
+@plan("train_logistic_regression", None, ("M01", "M05", "M11"))
 def q_train_lr(spark, sf):
     """LR with a 3-fold CV over C on a separable embedding label; test-split metrics (R: accuracy > majority)."""
     d = _separable(spark, sf)
-    feats = [f"x{i}" for i in range(16)]
+    feats = [f"x{i}" for i in range(64)]
     sp = cut_lineage(ml.stratified_split(d, "label", "vec_id", (0.8, 0.2), ("train", "test")))
     train, test = sp.where("split = 'train'"), sp.where("split = 'test'")
     model = ml.train_classifier(train, "label", feats, model="logistic", folds=3, grid={"regParam": [0.0, 0.01, 0.1]},
@@ -127,11 +127,11 @@ def q_train_lr(spark, sf):
     return round_doubles(summary)
 
 
-@plan("train_random_forest", None, ("M06", "M10"))
+@plan("train_random_forest", None, ("M06",))
 def q_train_rf(spark, sf):
     """Random forest on the separable label; test-split metrics (R)."""
     d = _separable(spark, sf)
-    feats = [f"x{i}" for i in range(16)]
+    feats = [f"x{i}" for i in range(64)]
     sp = cut_lineage(ml.stratified_split(d, "label", "vec_id", (0.8, 0.2), ("train", "test")))
     model = ml.train_classifier(sp.where("split = 'train'"), "label", feats, model="random_forest", folds=0, n_estimators=30, max_depth=6)
     _, summary, _ = ml.evaluate(model.transform(sp.where("split = 'test'")).withColumn("prediction", F.col("prediction").cast("int")), "label")
@@ -142,7 +142,7 @@ def q_train_rf(spark, sf):
 def q_tune_gbt(spark, sf):
     """GBT tuned by validation log-loss over a 2 x 2 grid (R: one score per grid point)."""
     d = _separable(spark, sf)
-    feats = [f"x{i}" for i in range(16)]
+    feats = [f"x{i}" for i in range(64)]
     _, scores = ml.tune_boosted(d.select("vec_id", *feats, "label"), "label", feats, "vec_id",
                                 grid={"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, max_iter=10)
     return round_doubles(scores)
@@ -152,7 +152,7 @@ def q_tune_gbt(spark, sf):
 def q_train_gbt(spark, sf):
     """Gradient-boosted trees on the separable label; test-split metrics (R)."""
     d = _separable(spark, sf)
-    feats = [f"x{i}" for i in range(16)]
+    feats = [f"x{i}" for i in range(64)]
     sp = cut_lineage(ml.stratified_split(d, "label", "vec_id", (0.8, 0.2), ("train", "test")))
     model = ml.train_classifier(sp.where("split = 'train'"), "label", feats, model="gbt", folds=0, n_estimators=20, max_depth=3)
     _, summary, _ = ml.evaluate(model.transform(sp.where("split = 'test'")).withColumn("prediction", F.col("prediction").cast("int")), "label")

@@ -453,7 +453,7 @@ def q_stem_tokens(spark, sf):
 def q_tok_pipeline(spark, sf):
     """All tokenisations per document, all rows (R: one row per document)."""
     out = X.tokenization_pipeline(table(spark, sf, "documents"), "doc_id", "text")
-    return out.select("doc_id", "basic_clean", F.size("word_tokens").alias("n_words"), F.size("sentence_tokens").alias("n_sentences"),
+    return out.select("doc_id", "basic_clean", "advanced_clean", "tweet_tokens", "pos_tags", F.size("word_tokens").alias("n_words"), F.size("sentence_tokens").alias("n_sentences"),
                       F.size("no_stopwords").alias("n_content"), F.array_join("lemmas", " ").alias("lemmas"))
 
 

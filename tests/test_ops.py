@@ -249,3 +249,13 @@ def test_nmf_top_words(spark):
     whole = {(r["topic"], r["rank"]): r["term"] for r in ml.topic_nmf(v, "d", k=2, iters=1, words=1000).collect()}
     few = {(r["topic"], r["rank"]): r["term"] for r in ml.topic_nmf(v, "d", k=2, iters=1, words=5).collect()}
     assert few == {k: t for k, t in whole.items() if k[1] <= 5} and len(few) == 10
+
+
+def test_plans_use_whole_rows(spark):
+    """The tokenization plan returns all of its tokenisations, the training data all 64 coordinates."""
+    from tessera.plans.q_ml import _separable
+    from tessera.plans.registry import load_all
+
+    out = load_all()["tokenization_pipeline"].fn(spark, SF)
+    assert {"advanced_clean", "tweet_tokens", "pos_tags"} <= set(out.columns) and len(out.limit(3).collect()) == 3
+    assert {f"x{i}" for i in range(64)} <= set(_separable(spark, SF).columns)
