@@ -14,6 +14,7 @@ from tessera.llm.decontaminate import find_contamination
 from tessera.llm.html_text import extract_text
 from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.labelled import fold
+from tessera.llm.pieces import piece_encode
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.shard import shard_by_size
 from tessera.llm.suffix_dedup import remove_repeats
@@ -71,6 +72,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=90, size=3)
 
 
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = piece_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return ids.select("doc_id", "n_tokens", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op2_byte_bpe": op2_byte_bpe,
@@ -82,6 +89,7 @@ QUERIES = {
     "op8_collinear_chains": op8_collinear_chains,
     "op9_toxicity_ordinal": op9_toxicity_ordinal,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_sentence_pieces": op12_sentence_pieces,
 }
 
 ORACLES: dict[str, str] = {
