@@ -16,6 +16,7 @@ from tessera.llm.html_text import extract_text
 from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.labelled import fold
 from tessera.llm.pieces import piece_encode
+from tessera.llm.prefix_trie import conversation_trie
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.shard import shard_by_size
 from tessera.llm.suffix_dedup import remove_repeats
@@ -73,6 +74,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=90, size=3)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"), rebuilt=True)
+
+
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = piece_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -94,6 +99,7 @@ QUERIES = {
     "op8_collinear_chains": op8_collinear_chains,
     "op9_toxicity_ordinal": op9_toxicity_ordinal,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_sentence_pieces": op12_sentence_pieces,
     "op13_fp_tree": op13_fp_tree,
 }
@@ -111,6 +117,40 @@ s AS (
   WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op11_prefix_trie": """
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % 100 AS base,
+         xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT c FROM own)),
+rebuilt AS (
+  SELECT k.c, 0 AS part, o.p, o.role, o.text FROM convs k JOIN own o ON o.c = k.base AND o.p <= k.h
+  UNION ALL
+  SELECT k.c, 1, o.p, o.role, o.text FROM convs k JOIN own o ON o.c = k.c AND o.p > k.h),
+prefixes AS (
+  SELECT c, length(text) AS size, count(*) OVER w AS depth, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS prefix, count(*) OVER (PARTITION BY c) AS n
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, p ROWS UNBOUNDED PRECEDING)),
+members AS (
+  SELECT c, size, depth, prefix, depth = n AS last FROM prefixes
+  UNION ALL
+  SELECT c, 0, 0, '', c NOT IN (SELECT c FROM rebuilt) FROM convs),
+nodes AS (
+  SELECT prefix, min(c) AS conv_id, min(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256
+  FROM members GROUP BY prefix),
+kids AS (SELECT left(prefix, 32 * (depth - 1)) AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+ways AS (SELECT left(prefix, 32 * d) AS top, prefix, saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM nodes)),
+totals AS (
+  SELECT top AS prefix, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE prefix NOT IN (SELECT prefix FROM kids)) AS n_leaves
+  FROM ways GROUP BY top)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, t.n_leaves, t.saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t ON t.prefix = n.prefix LEFT JOIN kids k ON k.prefix = n.prefix
+LEFT JOIN nodes u ON n.depth > 0 AND u.prefix = left(n.prefix, 32 * (n.depth - 1))
 """,
     "op13_fp_tree": r"""
 WITH words AS (
