@@ -6,7 +6,7 @@ import random
 import public_tokenizers as P
 
 from tessera.llm.common import table
-from tessera.llm.pieces import PieceModel, piece_decode, piece_encode
+from tessera.llm.pieces import ChunkTable, PieceModel, piece_decode, piece_encode
 from tessera.llm.queries import QUERIES
 
 from .helpers import frame, odd_rows
@@ -21,12 +21,6 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
-def chunked(model, text):
-    import re
-
-    return [i for c in re.findall(model.pattern, model.mark(text)) for i in model.segment(c)]
-
-
 def test_query_equals_library(spark):
     sp = library()
     texts = {r["doc_id"]: r["text"] or "" for r in table(spark, SF, "documents").collect()}
@@ -42,10 +36,23 @@ def test_odd_texts():
     sp, model, r = library(), PieceModel(MODEL), random.Random(5)
     texts = ["".join(r.choice("abcdehlotn ’é中文  ▁\n\t\x00\x85　=*-#😀") for _ in range(r.randint(0, 120))) for _ in range(1500)]
     texts += ["", " ", "  ", " " * 70, "a" * 3000, "=" * 999, " the" * 500, "<s> </s> <unk> <0x0A>", "▁x", "x▁", "�", "internationalization " * 40, "ſﬁ ﷺ é"]
-    for t in texts:
-        ids = sp.encode(t)
-        assert chunked(model, t) == ids, t
-        assert model.decode(ids) == sp.decode(ids), t
+    table = ChunkTable(model)
+    for part in (texts[:700], texts, texts[::-1]):  # new chunks, and chunks met before
+        coded, cuts = table.encode(part)
+        for t, a, b in zip(part, cuts, cuts[1:]):
+            ids = sp.encode(t)
+            assert coded[a:b].tolist() == ids, t
+            assert model.decode(ids) == sp.decode(ids), t
+            assert [i for n in table.names(t) for i in model.segment("▁" + n)] == ids, t
+
+
+def test_whole_text_as_chunk():
+    """A model whose pieces cross markers takes a text as one chunk."""
+    sp, model = library(), PieceModel(MODEL)
+    model.whole, model.pattern = True, "(?s).+"
+    texts = ["a b  c\nd", "", " x", "the same the same " * 20]
+    coded, cuts = ChunkTable(model).encode(texts)
+    assert [coded[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [sp.encode(t) for t in texts]
 
 
 def test_decoding_any_ids():
