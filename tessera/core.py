@@ -3,14 +3,15 @@ distributed exact order statistics (ranks, quantiles, modes).
 
 Scale rules followed here (see README "Scale design"):
 * every statistic over all columns is one aggregate pass;
-* order statistics never put all values of a column into one task: values are first
-  collapsed to (column, value, count), then cut into order-preserving buckets that are a
-  pure function of the value, so a window only ever sees one bucket;
+* order statistics never put all values of a column into one task: mergeable sketches give
+  ranges of equal shares, targets are found by counting inside their own ranges only, and
+  ranks come from windows over one range;
 * one-row statistics are applied back with a broadcast cross join (size bound: 1 row).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,138 +129,203 @@ def broadcast_row(df: DataFrame, row: DataFrame) -> DataFrame:
 # distributed exact order statistics
 # ---------------------------------------------------------------------------
 
-_SUB_BITS = 4096  # sub-buckets per binade
+#: The quantile sketch is right to one part in so many of a column's rows.
+SKETCH = 10_000
+#: Rows that the range around one target position may hold before it is narrowed again.
+RANGE_ROWS = 2_000_000
+#: Ranges into which a column's values are dealt to be ranked.
+RANGES = 256
+#: Ranges of order values that are uniform on [0, 1).
+UNIFORM_RANGES = 4096
+
+
+def _number_sql(c: str) -> str:
+    return "nanvl(CAST(`" + c.replace("`", "``") + "` AS DOUBLE), NULL)"
+
+
+def number(c: str) -> Column:
+    """A column as double, NaN as NULL."""
+    return F.expr(_number_sql(c))
+
+
+def _double_sql(v: float) -> str:
+    return f"{v!r}D" if math.isfinite(v) else f"double('{'-' * (v < 0)}Infinity')"
+
+
+def _sketched(df: DataFrame, asked: dict[str, tuple[str, list[float]]], accuracy: int) -> dict[str, tuple[int, dict[float, float]]]:
+    """One pass: per name the count of the non-null values of an SQL expression and its approximate
+    quantiles at the asked probabilities, from sketches that tasks build and Spark merges."""
+    aggs = []
+    for name, (x, ps) in asked.items():
+        listed = ", ".join(f"{float(p)!r}D" for p in ps)
+        aggs += [F.expr(f"count({x})").alias(f"n:{name}"), F.expr(f"percentile_approx({x}, array({listed}), {accuracy})").alias(f"q:{name}")]
+    row = df.agg(*aggs).first().asDict()
+    return {name: (row[f"n:{name}"], dict(zip(ps, row[f"q:{name}"] or []))) for name, (_, ps) in asked.items()}
+
+
+class _Target:
+    """Positions ``low`` and ``high`` of a column with a range of values that holds them: ``below``
+    rows are smaller and ``inside`` rows in it."""
+
+    def __init__(self, column: str, p: float, n: int, span: tuple[float, float]):
+        self.column, self.p, self.n, self.span = column, p, n, span
+        self.pos = p * (n - 1)
+        self.low, self.high = math.floor(self.pos), math.ceil(self.pos)
+        self.below, self.inside = 0, n
+
+    def rows(self) -> str:
+        """SQL: the row is in the range."""
+        x = _number_sql(self.column)
+        return f"({x} >= {_double_sql(self.span[0])} AND {x} <= {_double_sql(self.span[1])})"
+
+
+def _targets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int, most: int) -> list[_Target]:
+    """A target per column with values and probability, with a narrow range of values.
+
+    The sketch is off by n / accuracy positions at most; the range takes three times that, and is
+    checked by exact counts.  A range of more than ``most`` rows and several values is sketched
+    again by itself, so a few passes do at any size."""
+    inf = float("inf")
+    near, wide = 3.0 / accuracy, max(0.01, 3.0 / accuracy)
+    grid = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-wide, -near, near, wide)})
+    targets = []
+    for c, (n, q) in _sketched(df, {c: (_number_sql(c), grid) for c in cols}, accuracy).items():
+        d = near if n >= accuracy else wide if n >= 250 else 2.0
+        targets += [_Target(c, p, n, (q[p - d] if p - d > 0 else -inf, q[p + d] if p + d < 1 else inf)) for p in probs if n]
+    fresh = targets
+    while fresh:
+        counted = df.agg(*[e for k, t in enumerate(fresh) for e in (F.expr(f"count_if({_number_sql(t.column)} < {_double_sql(t.span[0])})").alias(f"b{k}"), F.expr(f"count_if({t.rows()})").alias(f"i{k}"))]).first()
+        asked = {}
+        for k, t in enumerate(fresh):
+            t.below, t.inside = counted[f"b{k}"], counted[f"i{k}"]
+            if not t.below <= t.low <= t.high < t.below + t.inside:
+                raise ArithmeticError(f"the sketch of {t.column} missed position {t.pos}")
+            if t.inside > most and t.span[0] < t.span[1]:
+                at = [(t.pos - t.below + side * (2 + 3.0 * t.inside / accuracy)) / t.inside for side in (-1, 1)]
+                asked[k] = (t, at, f"CASE WHEN {t.rows()} THEN {_number_sql(t.column)} END")
+        found = _sketched(df, {str(k): (x, [min(max(a, 0.0), 1.0) for a in at]) for k, (_, at, x) in asked.items()}, accuracy) if asked else {}
+        fresh = []
+        for k, (t, at, _) in asked.items():
+            q = list(found[str(k)][1].values())
+            span = (q[0] if at[0] > 0 else t.span[0], q[-1] if at[1] < 1 else t.span[1])
+            if span != t.span:
+                t.span = span
+                fresh.append(t)
+    return targets
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = SKETCH, most: int = RANGE_ROWS) -> DataFrame:
+    """(column, pidx, p, q): exact linear-interpolated quantiles (pandas / DuckDB quantile_cont).
+
+    1. one pass of mergeable sketches gives, per column and target, a narrow range of values;
+    2. a second pass counts the rows below and inside each range: a range of one value is done;
+    3. of the others, the rows inside are counted by value and the target's position is found.
+    Only values of ranges that hold a target are shuffled.  The passes run when this is called;
+    what comes back is a constant table of columns x probabilities.  A column without values has
+    no row.
+    """
+    spark, probs = df.sparkSession, [float(p) for p in probs]
+    schema = "column string, pidx int, p double, q double"
+    targets = _targets(df, list(cols), probs, accuracy, most) if cols and probs else []
+    at = {(t.column, i): t.span[0] for t in targets if t.span[0] == t.span[1] for i in (t.low, t.high)}
+    open_targets = [t for t in targets if t.span[0] < t.span[1]]
+    if open_targets:
+        structs = ", ".join(f"struct({k} AS t, CASE WHEN {t.rows()} THEN {_number_sql(t.column)} END AS value)" for k, t in enumerate(open_targets))
+        held = " + ".join(f"if({t.rows()}, 1, 0)" for t in open_targets)  # a long OR of ranges would be rewritten
+        counts = df.where(f"{held} > 0").select(F.expr(f"inline(array({structs}))")).where("value IS NOT NULL").groupBy("t", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        w = Window.partitionBy("t").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        asked = lit_table(spark, [(k, i - t.below) for k, t in enumerate(open_targets) for i in sorted({t.low, t.high})], "t int, i long")
+        placed = counts.withColumn("upto", F.sum("cnt").over(w)).join(F.broadcast(asked), "t")
+        hit = placed.where((F.col("i") < F.col("upto")) & (F.col("i") >= F.col("upto") - F.col("cnt")))
+        for r in hit.select("t", "i", "value").collect():  # two a target at most
+            t = open_targets[r["t"]]
+            at[t.column, r["i"] + t.below] = r["value"]
+    out = []
+    for t in targets:
+        lo, hi = at[t.column, t.low], at[t.column, t.high]
+        out.append((t.column, probs.index(t.p), t.p, lo + (t.pos - t.low) * (hi - lo) if lo != hi else lo))
+    return lit_table(spark, out, schema)
 
 
-def order_bucket(v: Column) -> Column:
-    """Order-preserving bucket of a double, a pure function of the value.
+def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float], fmt: str = "{c}__q{i}") -> DataFrame:
+    """One row with a column ``fmt.format(c=col, i=prob_index)`` per (column, probability)."""
+    found = {(r["column"], r["pidx"]): r["q"] for r in exact_quantiles(df, cols, probs).collect()}
+    return df.sparkSession.range(1).select(*[F.lit(found.get((c, i))).cast("double").alias(fmt.format(c=c, i=i)) for c in cols for i in range(len(probs))])
 
-    key = sign * ((exponent + 1101) * 8192 + floor((|v| / 2^exponent - 1) * 4096)).
-    Monotone in v, so the running count of a bucket plus the counts of all smaller
-    buckets gives the exact position of a value without a whole-column sort in one task.
-    """
-    a = F.abs(v)
-    # exponent clamped to [-1020, 1020] so 2^e stays a normal double (no division by zero);
-    # values beyond the clamp share the edge buckets, which keeps the key monotone
-    e = F.greatest(F.least(F.floor(F.log2(F.greatest(a, F.lit(1e-300)))), F.lit(1020)), F.lit(-1020))
-    frac = a / F.pow(F.lit(2.0), e)
-    sub = F.least(F.greatest(F.floor((frac - F.lit(1.0)) * F.lit(_SUB_BITS)), F.lit(0)), F.lit(8191))
-    mag = (e + F.lit(1101)) * F.lit(8192) + sub
-    return (
-        F.when(v > 0, mag)
-        .when(v < 0, -mag)
-        .otherwise(F.lit(0))
-        .cast("long")
-    )
 
+def range_cuts(df: DataFrame, cols: Sequence[str], ranges: int = RANGES) -> dict[str, list[float]]:
+    """Per column ascending distinct values that cut it into at most ``ranges`` ranges of nearly
+    equal size, from one pass of sketches.  A single value may outweigh a range."""
+    grid = [k / ranges for k in range(1, ranges)]
+    return {c: sorted(set(q.values())) for c, (_, q) in _sketched(df, {c: (_number_sql(c), grid) for c in cols}, 8 * ranges).items()}
 
-def value_counts_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value, cnt) of the non-null values of numeric columns (map-side combined)."""
-    long = unpivot_numeric(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))  # NaN counts as missing (D1)
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
+def with_ranges(df: DataFrame, cuts: dict[str, list[float]], fmt: str = "{c}__range") -> DataFrame:
+    """Adds, for each column of numbers, the range that its value lies in (binary search, in the
+    JVM); NULL and NaN have one of their own."""
+    from pyspark.ml.feature import Bucketizer
 
-def bucket_offsets(counts: DataFrame, raw: DataFrame | None = None) -> DataFrame:
-    """(column, bkt, bcnt, boff, n): rows per order bucket, rows in all smaller buckets and
-    rows in the column.  Built from (column, value, cnt) or, if given, straight from the long
-    (column, value) rows.  One row per non-empty bucket, so its window by column is small."""
-    if raw is not None:
-        per_bucket = raw.groupBy("column", order_bucket(F.col("value")).alias("bkt")).agg(F.count(F.lit(1)).alias("bcnt"))
-    else:
-        bkt = F.col("bkt") if "bkt" in counts.columns else order_bucket(F.col("value"))
-        per_bucket = counts.groupBy("column", bkt.alias("bkt")).agg(F.sum("cnt").alias("bcnt"))
-    wcol = Window.partitionBy("column").orderBy("bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_bucket.select(
-        "column",
-        "bkt",
-        "bcnt",
-        (F.sum("bcnt").over(wcol) - F.col("bcnt")).alias("boff"),
-        F.sum("bcnt").over(Window.partitionBy("column")).alias("n"),
-    )
+    inf = float("inf")
+    splits = [[-inf, *[v for v in cut if abs(v) != inf], inf] for cut in cuts.values()]
+    splits = [s if len(s) > 2 else [-inf, 0.0, inf] for s in splits]
+    return Bucketizer(inputCols=list(cuts), outputCols=[fmt.format(c=c) for c in cuts], splitsArray=splits, handleInvalid="keep").transform(df)
 
 
-def with_positions(counts: DataFrame) -> DataFrame:
-    """Add ``before`` (rows with a smaller value in the same column) and ``n`` (column size).
+def value_positions(df: DataFrame, cols: Sequence[str], masks: dict[str, Column] | None = None, ranges: int = RANGES) -> DataFrame:
+    """(column, value, cnt, before, n) of every distinct non-null value: its rows, the rows of smaller
+    values and the column's.  For each of ``masks`` the same over the rows where it holds, as
+    ``cnt_<name>``, ``before_<name>``, ``n_<name>``.
 
-    Windows are partitioned by (column, bucket), never by column alone.
+    Values are counted before they are shuffled and ranked inside (column, range) windows, with
+    offsets from one row per range; the ranges come from the data, so they hold equal shares.
     """
-    c = counts.withColumn("bkt", order_bucket(F.col("value")))
-    offsets = bucket_offsets(counts).select("column", "bkt", "boff", "n")
-    wb = Window.partitionBy("column", "bkt").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = c.withColumn("lbefore", F.sum("cnt").over(wb) - F.col("cnt"))
-    return local.join(offsets, ["column", "bkt"]).select(
-        "column", "value", "cnt", (F.col("boff") + F.col("lbefore")).alias("before"), "n"
-    )
+    masks = masks or {}
+    wide = df.select(*[number(c).alias(f"v{j}") for j, c in enumerate(cols)], *[m.alias(f"m{k}") for k, m in enumerate(masks.values())])
+    cuts = range_cuts(wide, [f"v{j}" for j in range(len(cols))], ranges)
+    dealt = with_ranges(wide, cuts)
+    rows = [F.struct(F.lit(j).alias("c"), F.col(f"v{j}").alias("value"), F.col(f"v{j}__range").alias("rng"), *[F.col(f"m{k}") for k in range(len(masks))]) for j in range(len(cols))]
+    sums = {"": F.count(F.lit(1))} | {f"_{name}": F.count_if(F.col(f"m{k}")) for k, name in enumerate(masks)}
+    counts = dealt.select(F.inline(F.array(*rows))).where("value IS NOT NULL").groupBy("c", "rng", "value").agg(*[agg.alias(f"cnt{s}") for s, agg in sums.items()])
+    per_range = counts.groupBy("c", "rng").agg(*[F.sum(f"cnt{s}").alias(f"r{s}") for s in sums])
+    upto = Window.partitionBy("c").orderBy("rng").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("c")
+    offsets = per_range.select("c", "rng", *[e for s in sums for e in ((F.sum(f"r{s}").over(upto) - F.col(f"r{s}")).alias(f"off{s}"), F.sum(f"r{s}").over(whole).alias(f"n{s}"))])
+    inner = Window.partitionBy("c", "rng").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = counts.withColumns({f"in{s}": F.sum(f"cnt{s}").over(inner) - F.col(f"cnt{s}") for s in sums})
+    return local.join(offsets, ["c", "rng"]).select(F.get(F.array(*[F.lit(c) for c in cols]), "c").alias("column"), "value", *[e for s in sums for e in (F.col(f"cnt{s}"), (F.col(f"off{s}") + F.col(f"in{s}")).alias(f"before{s}"), F.col(f"n{s}"))])
 
 
-def group_positions(df: DataFrame, group: Sequence[str], order_value: Column) -> DataFrame:
-    """Adds ``__rn`` (1-based position inside the group by a double order value, e.g. a key
-    hash) and ``__n`` (group size) without a window over the whole group: positions come
-    from bucketed prefix counts (``with_positions``) and are joined back on (group, value).
-    Rows sharing the same (group, value) share a position."""
-    g = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in group]) if group else F.lit("")
-    d = df.withColumn("__gp_g", g).withColumn("__gp_v", order_value.cast("double"))
-    counts = d.groupBy(F.col("__gp_g").alias("column"), F.col("__gp_v").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    pos = with_positions(counts).select(F.col("column").alias("__gp_g"), F.col("value").alias("__gp_v"),
-                                        (F.col("before") + 1).alias("__rn"), F.col("n").alias("__n"))
-    return d.join(pos, ["__gp_g", "__gp_v"]).drop("__gp_g", "__gp_v")
+def value_counts_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, cnt) of the non-null values of numeric columns (map-side combined)."""
+    long = unpivot_numeric(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))  # NaN counts as missing (D1)
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value, rank) with pandas 'average' tie rule, 1-based."""
-    pos = with_positions(value_counts_long(df, cols))
-    return pos.select("column", "value", (F.col("before") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)).alias("rank"))
+    return value_positions(df, cols).select("column", "value", (F.col("before") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)).alias("rank"))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(column, pidx, p, q): linear-interpolated quantiles (pandas / DuckDB quantile_cont).
+def group_positions(df: DataFrame, group: Sequence[str], order_value: Column, tie: Sequence[str] = (), uniform: bool = True) -> DataFrame:
+    """Adds ``__rn`` (1-based position inside the group by a double order value) and ``__n`` (group
+    size).  Each row has a position of its own: equal order values are told apart by ``tie``, or
+    by a hash of all columns (rows that are equal in all of them are interchangeable).
 
-    1. rows per order bucket and their running offsets (small table, one row per bucket);
-    2. each target position p*(n-1) (floor and ceil) picks its bucket in that table;
-    3. only the values of those few buckets are counted and sorted (window by column, bucket).
-    No step gathers a column into one task; broadcast sides hold columns x probs x 2 rows.
+    A group is parted into ranges of the order value, so no task sorts a whole group: fixed ones
+    where it is ``uniform`` on [0, 1), as a key hash is, or else ranges taken from the data.
     """
-    spark = df.sparkSession
-    # (column, value, cnt) once; the bucket table and the target-bucket values both read it
-    counts = value_counts_long(df, cols).withColumn("bkt", order_bucket(F.col("value")))
-    offsets = bucket_offsets(counts)
-    probs_df = lit_table(spark, [(i, float(p)) for i, p in enumerate(probs)], "pidx int, p double")
-    pos = F.col("p") * (F.col("n") - 1)
-    tb = (
-        offsets.crossJoin(F.broadcast(probs_df))
-        .select("column", "bkt", "boff", "bcnt", "pidx", "p", pos.alias("pos"),
-                F.explode(F.array_distinct(F.array(F.floor(pos).cast("long"), F.ceil(pos).cast("long")))).alias("i"))
-        .where((F.col("i") >= F.col("boff")) & (F.col("i") < F.col("boff") + F.col("bcnt")))
-    )
-    sel = counts.join(F.broadcast(tb.select("column", "bkt")), ["column", "bkt"], "left_semi")
-    wb = Window.partitionBy("column", "bkt").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = sel.withColumn("lbefore", F.sum("cnt").over(wb) - F.col("cnt"))
-    hit = local.alias("v").join(
-        F.broadcast(tb.alias("t")),
-        (F.col("v.column") == F.col("t.column")) & (F.col("v.bkt") == F.col("t.bkt"))
-        & (F.col("t.i") >= F.col("t.boff") + F.col("v.lbefore"))
-        & (F.col("t.i") < F.col("t.boff") + F.col("v.lbefore") + F.col("v.cnt")),
-    ).select(F.col("t.column").alias("column"), "t.pidx", "t.p", "t.pos", "t.i", F.col("v.value").alias("value"))
-    return hit.groupBy("column", "pidx", "p").agg(
-        (
-            F.min_by("value", "i")
-            + (F.first("pos") - F.floor(F.first("pos")))
-            * (F.max_by("value", "i") - F.min_by("value", "i"))
-        ).alias("q")
-    )
-
-
-def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float], fmt: str = "{c}__q{i}") -> DataFrame:
-    """One row with a column ``fmt.format(c=col, i=prob_index)`` per (column, probability)."""
-    q = exact_quantiles(df, cols, probs)
-    aggs = [
-        F.max(F.when((F.col("column") == c) & (F.col("pidx") == i), F.col("q"))).alias(fmt.format(c=c, i=i))
-        for c in cols
-        for i in range(len(probs))
-    ]
-    if not aggs:
-        return df.sparkSession.range(1).select()
-    return q.agg(*aggs)
+    g = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in group]) if group else F.lit("")
+    d = df.withColumns({"__gp_g": g, "__gp_v": order_value.cast("double")})
+    if uniform:
+        d = d.withColumn("__gp_r", F.floor(F.col("__gp_v") * UNIFORM_RANGES))
+    else:
+        d = with_ranges(d, range_cuts(d, ["__gp_v"]), "__gp_r")
+    order = [F.col("__gp_v"), *([F.col(c) for c in tie] or [F.xxhash64(*df.columns)])]
+    sizes = d.groupBy("__gp_g", "__gp_r").agg(F.count(F.lit(1)).alias("__gp_c"))
+    upto = Window.partitionBy("__gp_g").orderBy("__gp_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = sizes.select("__gp_g", "__gp_r", (F.sum("__gp_c").over(upto) - F.col("__gp_c")).alias("__gp_off"), F.sum("__gp_c").over(Window.partitionBy("__gp_g")).alias("__n"))
+    placed = d.withColumn("__gp_i", F.row_number().over(Window.partitionBy("__gp_g", "__gp_r").orderBy(*order))).join(offsets, ["__gp_g", "__gp_r"])
+    return placed.withColumn("__rn", F.col("__gp_off") + F.col("__gp_i")).drop("__gp_g", "__gp_v", "__gp_r", "__gp_i", "__gp_off")
 
 
 def modes(df: DataFrame, cols: Sequence[str], cast: str = "double") -> DataFrame:

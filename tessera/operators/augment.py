@@ -118,7 +118,7 @@ def partner_rows(df: DataFrame, key: str, group: str | None = None, salt: str =
     g = [group] if group else []
     # positions inside the group in hash order from bucketed prefix counts: a large group is
     # never sorted in one task
-    numbered = core.group_positions(df, g, core.hash_uniform(_key(key), F.lit(salt)))
+    numbered = core.group_positions(df, g, core.hash_uniform(_key(key), F.lit(salt)), [key])
     numbered = numbered.withColumn("__i", F.col("__rn") - 1).drop("__rn")
     r = F.conv(F.substring(F.md5(F.concat_ws(":", _key(key), F.lit(salt + ":pick"))), 1, 12), 16, 10).cast("long")
     numbered = numbered.withColumn(
@@ -167,7 +167,7 @@ def smote(df: DataFrame, key: str, target: str, cols: Sequence[str], k: int = 5,
     need = counts.crossJoin(F.broadcast(mx)).select(target, "__n", (F.col("__mx") - F.col("__n")).alias("__need")).where("__need > 0")
     # base rows numbered inside their class in key-hash order (bucketed positions, no
     # per-class sort in one task)
-    numbered = core.group_positions(clean, [target], core.hash_uniform(_key(key), F.lit(salt + ":order")))
+    numbered = core.group_positions(clean, [target], core.hash_uniform(_key(key), F.lit(salt + ":order")), [key])
     numbered = numbered.withColumn("__i", F.col("__rn") - 1).drop("__rn", "__n")
     vec = F.array(*[F.col(c).cast("double") for c in feats])
     # only classes that need rows get neighbours

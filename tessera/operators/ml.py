@@ -22,19 +22,10 @@ def _hash_u(key: Sequence[str] | str, seed: int) -> F.Column:
 
 def class_positions(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 42) -> DataFrame:
     """Adds ``__rn`` (1-based position of the row inside its class in hash order) and ``__n``
-    (class size).  Positions come from core.with_positions over (class, hash) counts, so a
-    large class is spread over many bucket windows."""
-    u = _hash_u(key, seed)
-    # rows without a label are a class of their own
-    cls = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))
-    d = df.withColumn("__u", u).withColumn("__cls", cls)
-    counts = d.groupBy(F.col("__cls").alias("column"), F.col("__u").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    pos = core.with_positions(counts).select(F.col("column").alias("__cls"), F.col("value").alias("__u"),
-                                              (F.col("before") + 1).alias("__rn"), F.col("n").alias("__n"))
-    # rows of one hash take consecutive positions in order of the key
-    tie = F.row_number().over(Window.partitionBy("__cls", "__u").orderBy(*([key] if isinstance(key, str) else key)))
-    d = d.withColumn("__tie", tie - 1).join(pos, ["__cls", "__u"])
-    return d.withColumn("__rn", F.col("__rn") + F.col("__tie")).drop("__cls", "__u", "__tie")
+    (class size); rows of one hash follow in order of the key, and rows without a label are a class
+    of their own.  A class is parted into ranges of the hash (core.group_positions)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return core.group_positions(df, [label], _hash_u(key, seed), keys)
 
 
 def stratified_split(df: DataFrame, label: str, key: str | Sequence[str], fractions: Sequence[float] = (0.7, 0.15, 0.15),

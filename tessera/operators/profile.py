@@ -362,10 +362,12 @@ def _norm_ppf(p):
 
 def qq_points(df: DataFrame, col: str) -> DataFrame:
     """(i, theoretical, sample) for the ordered non-null values; plotting positions
-    (i - 0.5) / n.  Positions come from bucketed prefix counts; each distinct value expands
-    to its ``cnt`` positions."""
-    pos = core.with_positions(core.value_counts_long(df, [col]))
-    ex = pos.select("value", "n", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("cnt"))).alias("i"))
+    (i - 0.5) / n.  Positions come from counts inside ranges; each distinct value expands to its
+    ``cnt`` positions, in parts of 4,096 that are dealt over tasks."""
+    pos = core.value_positions(df, [col])
+    last = F.col("before") + F.col("cnt")
+    parts = pos.select("value", "n", last.alias("last"), F.explode(F.sequence(F.col("before") + 1, last, F.lit(4096).cast("long"))).alias("at")).repartition("at")
+    ex = parts.select("value", "n", F.explode(F.sequence("at", F.least("last", F.col("at") + 4095))).alias("i"))
     p = (F.col("i") - F.lit(0.5)) / F.col("n")
     return ex.select("i", _norm_ppf(p).alias("theoretical"), F.col("value").alias("sample"))
 

@@ -3,89 +3,106 @@ strength summaries, trend lines and PCA (A11-A17, W01, W05)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import core
 
 
-def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
-    return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-
-
-def _explode_pairs(row: DataFrame, pairs: list[tuple[str, str]], value: str) -> DataFrame:
-    structs = [
-        F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), F.col(f"{a}__{b}").alias(value))
-        for a, b in pairs
-    ]
-    return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+def _grams(k: int, versions: int, partner: list[int]):
+    """A map from rows of k x versions numbers to one row per task: for every pair of columns the
+    count and the sums of x, x^2 and x y over the rows where both are there.  A column may come
+    in several versions; ``partner[b]`` is the one that it shows to column b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))
+        step = max(1, (1 << 22) // (k * k))  # bounds the pair arrays of wide tables
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k, versions)
+            for a in range(0, len(flat), step):
+                x = flat[a : a + step]
+                there = ~np.isnan(x[:, :, 0])
+                m = there.astype(float)
+                n += m.T @ m
+                if versions == 1:
+                    v = np.where(there, x[:, :, 0], 0.0)
+                    sx += v.T @ m
+                    sxx += (v * v).T @ m
+                    sxy += v.T @ v
+                else:
+                    both = there[:, :, None] & there[:, None, :]
+                    v = np.where(both, x[:, :, partner], 0.0)  # row, column, its partner
+                    sx += v.sum(axis=0)
+                    sxx += (v * v).sum(axis=0)
+                    sxy += np.einsum("nab,nba->ab", v, v)
+        yield pa.RecordBatch.from_arrays([pa.array([s.ravel().tolist()], pa.list_(pa.float64())) for s in (n, sx, sxx, sxy)], names=["n", "sx", "sxx", "sxy"])
+
+    return run
+
+
+def _gram_corr(rows: DataFrame, cols: Sequence[str], value: str, versions: int = 1, partner: Sequence[int] = ()) -> DataFrame:
+    """(variable_1, variable_2, ``value``): the correlation of every pair of columns from block Gram
+    sums.  ``rows`` holds one array of len(cols) x versions numbers, centred so that squares keep
+    their digits; each task sums its rows as matrices, and only one row a task and pair moves."""
+    k = len(cols)
+    parts = rows.mapInArrow(_grams(k, versions, list(partner)), "n array<double>, sx array<double>, sxx array<double>, sxy array<double>")
+    sums = parts.select(F.posexplode(F.arrays_zip("n", "sx", "sxx", "sxy")).alias("at", "s")).groupBy("at").agg(*[F.sum(f"s.{c}").alias(c) for c in ("n", "sx", "sxx", "sxy")])
+    sums = sums.select((F.col("at") / k).cast("int").alias("i"), (F.col("at") % k).cast("int").alias("j"), "n", "sx", "sxx", "sxy")
+    x, y = sums.where("i < j").alias("x"), sums.where("i > j").select(F.col("j").alias("i"), F.col("i").alias("j"), "sx", "sxx").alias("y")
 
+    def spread(side: str):
+        square = F.col("x.n") * F.col(f"{side}.sxx")
+        left = square - F.col(f"{side}.sx") * F.col(f"{side}.sx")
+        return F.when(left > 1e-12 * square, left)  # else all values are the same
 
-def _pair_corr(df: DataFrame, cols: Sequence[str], value: str) -> DataFrame:
-    """(variable_1, variable_2, ``value``): ``corr`` of every pair of columns, over the rows where
-    both are there.  Rows become (i, j, a, b) and are summed up by pair before the shuffle, so the
-    plan has one size for any number of columns and only one row a pair and task moves."""
-    k = len(cols)
-    v = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
-    left = v.select("v", F.explode(F.sequence(F.lit(0), F.lit(k - 2))).alias("i"))
-    both = left.select("i", F.get("v", "i").alias("a"), F.posexplode(F.slice("v", F.col("i") + 2, F.lit(k))).alias("d", "b"))
-    found = both.groupBy("i", (F.col("i") + F.col("d") + 1).alias("j")).agg(F.corr("a", "b").alias(value))
-    first = df.sparkSession.range(k - 1).select(F.col("id").cast("int").alias("i"))
-    pairs = first.select("i", F.explode(F.sequence(F.col("i") + 1, F.lit(k - 1))).alias("j"))
+    corr = (F.col("x.n") * F.col("x.sxy") - F.col("x.sx") * F.col("y.sx")) / F.sqrt(spread("x") * spread("y"))
     names = F.array(*[F.lit(c) for c in cols])
-    out = pairs.join(found, ["i", "j"], "left")
-    return out.select(F.get(names, "i").alias("variable_1"), F.get(names, "j").alias("variable_2"), value)
+    return x.join(y, ["i", "j"]).select(F.get(names, "i").alias("variable_1"), F.get(names, "j").alias("variable_2"), F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0)).alias(value))
 
 
 def pearson_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Upper-triangle (variable_1, variable_2, pearson) of pairwise-complete rows, at any width."""
+    """Upper-triangle (variable_1, variable_2, pearson) of pairwise-complete rows, at any width.
+    NULL where a pair has fewer than two rows or one value."""
     cols = list(cols)
     if len(cols) < 2:
         return core.lit_table(df.sparkSession, [], "variable_1 string, variable_2 string, pearson double")
-    return _pair_corr(df, cols, "pearson")
-
-
-def _rank_join(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Attach average ranks ``__r_{c}`` to every row (ranks computed over the given frame)."""
-    ranks = core.average_ranks(df, cols)
-    out = df
-    for c in cols:
-        rk = ranks.where(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"), F.col("rank").alias(f"__r_{c}"))
-        out = out.join(rk, F.col(c).cast("double") == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
-    return out
+    means = df.agg(*[F.avg(core.number(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    centred = df.select(F.array(*[core.number(c) - F.lit(means[i] or 0.0) for i, c in enumerate(cols)]).alias("v"))
+    return _gram_corr(centred, cols, "pearson")
 
 
 def spearman_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Upper-triangle (variable_1, variable_2, spearman) = Pearson of average ranks.
 
-    Ranks come from distinct-value counts with bucketed prefix sums (core.with_positions),
-    never a whole-column window.  Pairs involving a column with NULLs are ranked on that
-    pair's complete rows only (pandas pairwise-complete rule).
+    A pair is ranked over the rows where both columns are there (pandas pairwise-complete rule), so
+    a column has a rank of its own for each partner with NULLs.  All of them come from one
+    pass over the distinct values (core.value_positions with a mask for each such partner), are
+    joined to the rows by value, column by column, and meet in Gram sums.
     """
+    from tessera.session import cut_parts
+
     cols = list(cols)
-    pairs = _pairs(cols)
-    if not pairs:
+    if len(cols) < 2:
         return core.lit_table(df.sparkSession, [], "variable_1 string, variable_2 string, spearman double")
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).collect()[0]  # one row
-    clean = [c for c in cols if nulls[c] == 0]
-    parts = []
-    clean_pairs = [(a, b) for a, b in pairs if a in clean and b in clean]
-    if clean_pairs:
-        used = clean
-        ranked = _rank_join(df.select(*used), used)
-        parts.append(_pair_corr(ranked.select(*[F.col(f"__r_{c}").alias(c) for c in used]), used, "spearman"))
-    null_pairs = [(a, b) for a, b in pairs if (a, b) not in clean_pairs]
-    for a, b in null_pairs:
-        sub = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-        ranked = _rank_join(sub, [a, b])
-        row = ranked.agg(F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}__{b}"))
-        parts.append(_explode_pairs(row, [(a, b)], "spearman"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    wide = df.select(*[core.number(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    counted = wide.agg(F.count(F.lit(1)), *[F.count(c) for c in wide.columns]).first()  # one row
+    rows = counted[0]
+    holes = [i for i in range(len(cols)) if counted[i + 1] < rows]
+    pos = core.value_positions(wide, wide.columns, {f"m{i}": F.col(f"v{i}").isNotNull() for i in holes})
+    rank = lambda s: F.when(F.col(f"cnt{s}") > 0, F.col(f"before{s}") + (F.col(f"cnt{s}") + 1) / 2.0 - (rows + 1) / 2.0)
+    ranks = pos.select(F.substring("column", 2, 9).cast("int").alias("part"), "value", F.array(rank(""), *[rank(f"_m{i}") for i in holes]).alias("ranks"))
+    parts = cut_parts(ranks, "part", range(len(cols)))
+    out = wide
+    for i in range(len(cols)):  # a column of few values is joined by broadcast
+        out = out.join(parts[i].select(F.col("value").alias(f"v{i}"), F.col("ranks").alias(f"r{i}")), f"v{i}", "left")
+    none = F.array(*[F.lit(None).cast("double")] * (len(holes) + 1))
+    partner = [1 + holes.index(i) if i in holes else 0 for i in range(len(cols))]
+    flat = out.select(F.flatten(F.array(*[F.coalesce(f"r{i}", none) for i in range(len(cols))])).alias("v"))
+    return _gram_corr(flat, cols, "spearman", 1 + len(holes), partner)
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:

@@ -57,8 +57,9 @@ def page(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 5
 
 def per_group_cap(df: DataFrame, group: str, order_value: Column, cap: int) -> DataFrame:
     """First ``cap`` rows of each group by a double order value (e.g. a key
-    hash); positions from bucketed prefix counts, so a large group is not sorted in one task."""
-    d = core.group_positions(df, [group], order_value)
+    hash); positions from counts inside ranges taken from the data, so a large group is not sorted
+    in one task, and no group has more rows than the cap where order values repeat."""
+    d = core.group_positions(df, [group], order_value, uniform=False)
     return d.where(F.col("__rn") <= cap).drop("__rn", "__n")
 
 

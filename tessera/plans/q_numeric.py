@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera import core
 from tessera.operators import clean, profile, relate
 from tessera.plans.common import (
     LINEITEM_NULLS_SQL,
@@ -498,10 +499,11 @@ _ORD_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @plan("high_correlations", (
-    f"SELECT v1 AS var1, v2 AS var2, round(p, 6) AS correlation FROM ({_sql_upper('lineitem', _ORD_NUM)}) WHERE abs(p) >= 0.3"),
+    f"SELECT v1 AS var1, v2 AS var2, round(p, 6) AS correlation FROM ({_sql_upper('(SELECT *, l_extendedprice * (1 - l_discount) AS l_revenue FROM lineitem)', [*_ORD_NUM, 'l_revenue'])}) WHERE abs(p) >= 0.3"),
     ("A13",))
 def q_high_corr(spark, sf):
-    return round_doubles(relate.high_correlations(table(spark, sf, "lineitem"), _ORD_NUM, 0.3))
+    li = table(spark, sf, "lineitem").withColumn("l_revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return round_doubles(relate.high_correlations(li, [*_ORD_NUM, "l_revenue"], 0.3))
 
 
 @plan("correlation_strength", (
@@ -720,7 +722,7 @@ def q_encode_onehot_sparse(spark, sf):
     return clean.encode_onehot_sparse(table(spark, sf, "orders"), "o_orderkey", "o_custkey")
 
 
-_WIDE = 48  # columns, 1128 pairs
+_WIDE = 64  # columns, 2016 pairs
 
 
 @plan("correlation_wide", (
@@ -728,7 +730,7 @@ _WIDE = 48  # columns, 1128 pairs
     "SELECT 'x' || a.i AS variable_1, 'x' || b.i AS variable_2, round(corr(a.v, b.v), 6) AS pearson "
     "FROM u a JOIN u b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i"), ("A11", "A12"))
 def q_correlation_wide(spark, sf):
-    """Pairwise-complete Pearson of 48 columns with NULLs in each."""
+    """Pairwise-complete Pearson of 64 columns with NULLs in each."""
     e = table(spark, sf, "embeddings")
     cols = [F.when((F.col("vec_id") + i) % 7 != 0, F.col("embedding")[i].cast("double")).alias(f"x{i}") for i in range(_WIDE)]
     return round_doubles(relate.pearson_pairs(e.select(*cols), [f"x{i}" for i in range(_WIDE)]))
@@ -774,6 +776,20 @@ def q_create_target(spark, sf):
     return create_target(o).select("o_orderkey", "target")
 
 
+_TIME_PROBS = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+
+
+@plan("event_time_quantiles", (
+    f"SELECT 'all' AS events, unnest(CAST({_TIME_PROBS} AS DOUBLE[])) AS p, round(unnest(q), 3) AS q "
+    f"FROM (SELECT quantile_cont(epoch_us(ts) / 1e6, {_TIME_PROBS}) AS q FROM events)"), ("A02",))
+def q_event_time_quantiles(spark, sf):
+    """Quantiles of epoch seconds: large values in a narrow range."""
+    since = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    t = table(spark, sf, "events").select((since / 1e6).alias("t"))
+    q = core.exact_quantiles(t, ["t"], _TIME_PROBS)
+    return q.select(F.lit("all").alias("events"), "p", F.round("q", 3).alias("q"))
+
+
 @plan("select_columns", "SELECT l_quantity, l_discount FROM lineitem", ("P06",))
 def q_select_cols(spark, sf):
     return clean.select_columns(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"])

@@ -83,3 +83,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-cut-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cut_parts(df: DataFrame, part: str, parts) -> list[DataFrame]:
+    """As ``cut_lineage``, with one table for each value of the column ``part`` (small whole
+    numbers), so that a join sees each table's own size."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-cut-{uuid.uuid4().hex}"
+    df.write.partitionBy(part).parquet(path)
+    schema = df.drop(part).schema
+    held = {r[part] for r in spark.read.schema(df.schema).parquet(path).select(part).distinct().collect()}
+    return [spark.read.schema(schema).parquet(f"{path}/{part}={p}") if p in held else spark.createDataFrame([], schema) for p in parts]

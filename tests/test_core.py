@@ -125,12 +125,13 @@ def test_no_python_eval_in_flagship_plan(spark):
     assert "CartesianProduct" not in plan
 
 
-def test_order_bucket_is_monotone_on_extremes(spark):
+def test_ranges_are_monotone_on_extremes(spark):
     vals = [-float("inf"), -1e308, -3.5, -1.0, -1e-310, 0.0, 1e-320, 2.0 ** -1020, 1e-300, 0.5, 1.0, 1.0000001,
             2.0, 7.99999, 8.0, 8.0000001, 1e10, 1e308, float("inf")]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    got = [r["b"] for r in df.select(core.order_bucket(F.col("v")).alias("b")).collect()]
-    assert got == sorted(got)
+    cuts = core.range_cuts(df, ["v"], 8)
+    got = [r["v__range"] for r in core.with_ranges(df, cuts).collect()]
+    assert got == sorted(got) and len(set(got)) > 4
     q = {r["pidx"]: r["q"] for r in core.exact_quantiles(
         spark.createDataFrame([(v,) for v in vals[1:-1]] + [(float("nan"),)], "v double"), ["v"], [0.5]).collect()}
     assert q[0] == float(np.percentile(vals[1:-1], 50))
@@ -204,3 +205,41 @@ def test_no_unpartitioned_window_over_rows(spark, name):
     windows = [n for n in nodes if n.get("class", "").endswith("WindowExec")]
     assert all(len(n.get("partitionSpec", [])) > 0 for n in windows), name
     assert not any("EvalPython" in n.get("class", "") for n in nodes)
+
+
+@pytest.mark.parametrize("accuracy,most", [(10_000, 2_000_000), (50, 40), (200, 3)])
+def test_exact_quantiles_by_narrowed_ranges(spark, accuracy, most):
+    """Coarse sketches, and ranges that are narrowed again and again, give the same positions."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    cols = {
+        "uniform": rng.random(n), "narrow": 1.7e9 + rng.integers(0, 500_000, n), "ties": rng.integers(0, 3, n).astype(float),
+        "hot": np.where(rng.random(n) < 0.7, 5.0, rng.normal(size=n)), "tails": rng.standard_cauchy(n), "same": np.full(n, 2.5),
+    }
+    pdf = pd.DataFrame(cols)
+    pdf.loc[::13, "uniform"] = None
+    df = spark.createDataFrame(pdf).withColumn("void", F.lit(None).cast("double")).repartition(4)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.501, 0.999, 1.0]
+    got = {(r["column"], r["pidx"]): r["q"] for r in core.exact_quantiles(df, [*cols, "void"], probs, accuracy, most).collect()}
+    assert len(got) == len(cols) * len(probs)
+    for c in cols:
+        for i, p in enumerate(probs):
+            assert got[c, i] == pytest.approx(float(pdf[c].dropna().quantile(p)), rel=1e-12, abs=1e-12)
+
+
+def test_ranges_hold_equal_shares(spark):
+    """Epoch seconds of a few days are parted as well as any other column."""
+    df = spark.range(20_000).select((F.lit(1_700_000_000) + F.col("id") * 26).cast("double").alias("t"))
+    cuts = core.range_cuts(df, ["t"], 128)
+    sizes = [r["count"] for r in core.with_ranges(df, cuts).groupBy("t__range").count().collect()]
+    assert len(sizes) == 128 and max(sizes) < 2 * 20_000 / 128
+
+
+def test_positions_of_equal_order_values(spark):
+    """Rows of one order value have positions of their own (they repeated one, and partners with it)."""
+    df = spark.createDataFrame([("a", i, 0.5 if i % 2 else 0.25) for i in range(40)] + [(None, i, 0.1) for i in range(7)], "g string, k long, u double")
+    for uniform in (True, False):
+        got = core.group_positions(df, ["g"], F.col("u"), ["k"], uniform).collect()
+        for g, n in (("a", 40), (None, 7)):
+            rows = sorted((r["u"], r["k"], r["__rn"], r["__n"]) for r in got if r["g"] == g)
+            assert [r[2] for r in rows] == list(range(1, n + 1)) and {r[3] for r in rows} == {n}
