@@ -143,14 +143,10 @@ def smote_validate(df: DataFrame, target: str, max_distinct_ratio: float = 0.5)
 
 def knn_within_class(df: DataFrame, key: str, label: str, vec: str, k: int = 5) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, not self) inside each class:
-    (key, neighbour, rank, distance).  Equi-join on the class, distance by ``zip_with``.
-    Cost is sum(class size^2); classes are the minority classes SMOTE expands."""
-    a = df.select(F.col(key).alias("key"), F.col(label).alias("__l"), F.col(vec).alias("__a"))
-    b = df.select(F.col(key).alias("neighbour"), F.col(label).alias("__l"), F.col(vec).alias("__b"))
-    d = F.sqrt(F.aggregate(F.zip_with("__a", "__b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
-    pairs = a.join(b, "__l").where(F.col("key") != F.col("neighbour")).select("key", "neighbour", "__l", d.alias("distance"))
-    w = Window.partitionBy("key").orderBy("distance", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("__l")
+    (key, neighbour, rank, distance), by pivots and cells (``neighbours.nearest``)."""
+    from tessera.operators.neighbours import nearest
+
+    return nearest(df, key, label, vec, k)
 
 
 def smote(df: DataFrame, key: str, target: str, cols: Sequence[str], k: int = 5, salt: str = "smote") -> DataFrame:
@@ -176,7 +172,9 @@ def smote(df: DataFrame, key: str, target: str, cols: Sequence[str], k: int = 5,
     nn = knn_within_class(minority, key, target, "__v", k)
     least = F.min("__n")
     kk = counts.agg(F.when(least < 2, F.raise_error(F.lit("a class of one row has no neighbours"))).otherwise(F.least(least - 1, F.lit(k))).alias("__k"))
-    syn = need.crossJoin(F.broadcast(kk)).select(target, "__n", "__k", F.explode(F.sequence(F.lit(1), F.col("__need"))).alias("__j"))
+    # numbers of the new rows, in parts of 4,096 that are dealt over tasks
+    parts = need.crossJoin(F.broadcast(kk)).select(target, "__n", "__k", "__need", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__need"), F.lit(4096).cast("long"))).alias("__from")).repartition(target, "__from")
+    syn = parts.select(target, "__n", "__k", F.explode(F.sequence("__from", F.least("__need", F.col("__from") + 4095))).alias("__j"))
     sk = F.concat_ws(":", F.col(target).cast("string"), F.col("__j").cast("string"))
     h1 = F.conv(F.substring(F.md5(F.concat_ws(":", sk, F.lit(salt + ":base"))), 1, 12), 16, 10).cast("long")
     h2 = F.conv(F.substring(F.md5(F.concat_ws(":", sk, F.lit(salt + ":nn"))), 1, 12), 16, 10).cast("long")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import catalog as K
 from tessera.operators import clean
+from tessera.operators import neighbours as N
 from tessera.operators import relational as R
 from tessera.plans.common import round_doubles, sql_unit_hash
 from tessera.plans.registry import plan, table
@@ -268,12 +269,20 @@ def q_compare(spark, sf):
     ("J06", "T04", "F09", "I16"))
 def q_similar(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    s = R.similarity_pairs(e, "vec_id", "v", block="label")
-    lab = e.select(F.col("vec_id").alias("a"), "label")
-    s = s.join(lab, "a")
-    out = s.groupBy("label").agg(F.max_by(F.struct("a", "b"), "similarity").alias("p"), F.max("similarity").alias("similarity"),
-                                 F.avg("similarity").alias("mean_similarity"))
-    return round_doubles(out.select("label", "p.a", "p.b", "similarity", "mean_similarity"))
+    best = N.most_similar_pair(e, "vec_id", "v", "label").join(N.mean_similarity(e, "vec_id", "v", "label").drop("rows"), "label")
+    return round_doubles(best.select("label", "a", "b", "similarity", "mean_similarity"))
+
+
+@plan("most_similar_pair_all", (
+    "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), "
+    "s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON a.vec_id < b.vec_id) "
+    "SELECT (SELECT count(*) FROM e)::BIGINT AS rows, arg_max(a, sim) AS a, arg_max(b, sim) AS b, round(max(sim), 6) AS similarity, round(avg(sim), 6) AS mean_similarity FROM s"),
+    ("J06", "T04", "I16"))
+def q_similar_all(spark, sf):
+    """Over all rows, across labels; no pair table is formed."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    best = N.most_similar_pair(e, "vec_id", "v").crossJoin(F.broadcast(N.mean_similarity(e, "vec_id", "v")))
+    return round_doubles(best.select("rows", "a", "b", "similarity", "mean_similarity"))
 
 
 @plan("asof_alignment", (
