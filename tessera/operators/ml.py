@@ -80,26 +80,14 @@ def evaluate(pred: DataFrame, label: str = "label", prediction: str = "predictio
     return per.drop("tp"), summary, conf
 
 
-def feature_pipeline(numeric: Sequence[str], text: Sequence[str] = (), num_features: int = 1 << 12, impute: str = "mean"):
-    """Numeric impute + standardise, optional text -> TF-IDF (hashing), assembled into
-    ``features``.  Fitted inside the pipeline on the training split only (D16)."""
+def feature_pipeline(numeric: Sequence[str], text: Sequence[str] = (), impute: str = "median", max_features: int = 10_000):
+    """Numeric columns filled and standardised, text as TF-IDF weights of 1- and 2-grams over
+    a real vocabulary, in one vector ``features``.  Fitted on the training rows only (D16)."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import HashingTF, IDF, Imputer, StandardScaler, Tokenizer, VectorAssembler
-
-    stages = []
-    imputed = [f"{c}__imp" for c in numeric]
-    if numeric:
-        stages.append(Imputer(strategy=impute, inputCols=list(numeric), outputCols=imputed))
-        stages.append(VectorAssembler(inputCols=imputed, outputCol="__num", handleInvalid="keep"))
-        stages.append(StandardScaler(inputCol="__num", outputCol="__num_s", withMean=True, withStd=True))
-    parts = ["__num_s"] if numeric else []
-    for t in text:
-        stages += [Tokenizer(inputCol=t, outputCol=f"{t}__tok"),
-                   HashingTF(inputCol=f"{t}__tok", outputCol=f"{t}__tf", numFeatures=num_features),
-                   IDF(inputCol=f"{t}__tf", outputCol=f"{t}__tfidf")]
-        parts.append(f"{t}__tfidf")
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    return Pipeline(stages=stages)
+
+    from tessera.operators.features import PreparedFeatures
+
+    return Pipeline(stages=[PreparedFeatures(numeric, text, impute, max_features=max_features)])
 
 
 def train_classifier(train: DataFrame, label: str, numeric: Sequence[str], text: Sequence[str] = (),

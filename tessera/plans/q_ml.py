@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import ml
+from tessera.operators import features, ml
 from tessera.operators import text as X
 from tessera.plans.common import round_doubles, sql_unit_hash
+from tessera.plans.q_text import _sql_tfidf
 from tessera.plans.registry import plan, table
 from tessera.session import cut_lineage
 
@@ -171,3 +173,53 @@ def q_nmf(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     v = X.tfidf_long(d, "doc_id", "text", (1, 1), 2, 0.95, None)
     return round_doubles(ml.topic_nmf(v, "doc_id", k=3, words=8))
+
+
+@plan("feature_pipeline_text", _sql_tfidf(max_features=1000), ("M01", "X20"))
+def q_features(spark, sf):
+    """The fitted text features, out of the feature vector: a weight for each document and term."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
+    model = features.PreparedFeatures(["n_chars"], ["text"], max_features=1000).fit(d)
+    terms = F.array(*[F.lit(t) for t in features.vocabularies(model)[0]])
+    cells = model.transform(d).select("doc_id", F.posexplode(vector_to_array("features")).alias("i", "tfidf"))
+    return round_doubles(cells.where("i > 0 AND tfidf > 0").select("doc_id", F.get(terms, F.col("i") - 1).alias("term"), "tfidf"))
+
+
+@plan("feature_pipeline_numeric", (
+    "WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS x, c_nationkey::DOUBLE AS y FROM customer), "
+    "f AS (SELECT c_custkey, coalesce(x, (SELECT median(x) FROM d)) AS x, y FROM d) "
+    "SELECT c_custkey, round((x - (SELECT avg(x) FROM f)) / (SELECT stddev_pop(x) FROM f), 6) AS x, "
+    "round((y - (SELECT avg(y) FROM f)) / (SELECT stddev_pop(y) FROM f), 6) AS y FROM f"), ("M01", "D2", "D19"))
+def q_features_numeric(spark, sf):
+    """Median imputation and scaling with ddof 0, out of the feature vector."""
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    out = features.PreparedFeatures(["x", "y"]).fit(c).transform(c).select("c_custkey", vector_to_array("features").alias("f"))
+    return round_doubles(out.select("c_custkey", F.col("f")[0].alias("x"), F.col("f")[1].alias("y")))
+
+
+@plan("gbt_early_stop", None, ("M08", "M10"))
+def q_early_stop(spark, sf):
+    """The validation loss of every boosting round, which rounds are used, and the trees of the model
+    (R: trees = used rounds; the stop follows from the curve)."""
+    names = [f"x{i}" for i in range(64)]
+    model, curve = features.boost_with_early_stop(_separable(spark, sf), "label", names, "vec_id", maxDepth=3)
+    return round_doubles(curve.withColumn("trees_used", F.lit(model.stages[-1].getNumTrees)))
+
+
+@plan("boosted_feature_importance", None, ("M10",))
+def q_importance(spark, sf):
+    """The ten features that the early-stopped model uses most (R: the label's own come first)."""
+    names = [f"x{i}" for i in range(64)]
+    model, _ = features.boost_with_early_stop(_separable(spark, sf), "label", names, "vec_id", maxDepth=3)
+    return round_doubles(ml.feature_importance(model, names, 10, spark))
+
+
+@plan("metrics_record", None, ("M12", "M05"))
+def q_metrics_record(spark, sf):
+    """The record of a cross-validated logistic regression: best parameters and test metrics."""
+    names = [f"x{i}" for i in range(64)]
+    dealt = cut_lineage(ml.stratified_split(_separable(spark, sf), "label", "vec_id", (0.8, 0.2), ("train", "test")))
+    model = ml.train_classifier(dealt.where("split = 'train'"), "label", names, model="logistic", folds=3, grid={"regParam": [0.0, 0.01, 0.1]}, key="vec_id")
+    _, summary, _ = ml.evaluate(model.transform(dealt.where("split = 'test'")).withColumn("prediction", F.col("prediction").cast("int")), "label")
+    best = {p.name: v for p, v in model.stages[-1].extractParamMap().items() if p.name in ("regParam", "elasticNetParam", "maxIter")}
+    return features.metrics_record("Logistic Regression", best, summary, "1970-01-01T00:00:00")
