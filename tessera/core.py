@@ -230,9 +230,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     at = {(t.column, i): t.span[0] for t in targets if t.span[0] == t.span[1] for i in (t.low, t.high)}
     open_targets = [t for t in targets if t.span[0] < t.span[1]]
     if open_targets:
-        structs = ", ".join(f"struct({k} AS t, CASE WHEN {t.rows()} THEN {_number_sql(t.column)} END AS value)" for k, t in enumerate(open_targets))
-        held = " + ".join(f"if({t.rows()}, 1, 0)" for t in open_targets)  # a long OR of ranges would be rewritten
-        counts = df.where(f"{held} > 0").select(F.expr(f"inline(array({structs}))")).where("value IS NOT NULL").groupBy("t", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        # plans of one size for any number of columns: values in long form, ranges as a small table
+        held = list(dict.fromkeys(t.column for t in open_targets))
+        spans = lit_table(spark, [(held.index(t.column), k, *t.span) for k, t in enumerate(open_targets)], "c int, t int, lo double, hi double")
+        long = df.select(F.posexplode(F.array(*[number(c) for c in held])).alias("c", "value"))
+        inside = long.join(F.broadcast(spans), "c").where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
+        counts = inside.groupBy("t", "value").agg(F.count(F.lit(1)).alias("cnt"))
         w = Window.partitionBy("t").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         asked = lit_table(spark, [(k, i - t.below) for k, t in enumerate(open_targets) for i in sorted({t.low, t.high})], "t int, i long")
         placed = counts.withColumn("upto", F.sum("cnt").over(w)).join(F.broadcast(asked), "t")

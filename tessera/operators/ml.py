@@ -80,7 +80,7 @@ def evaluate(pred: DataFrame, label: str = "label", prediction: str = "predictio
     return per.drop("tp"), summary, conf
 
 
-def feature_pipeline(numeric: Sequence[str], text: Sequence[str] = (), impute: str = "median", max_features: int = 10_000):
+def feature_pipeline(numeric: Sequence[str], text: Sequence[str] = (), impute: str = "mean", max_features: int = 10_000):
     """Numeric columns filled and standardised, text as TF-IDF weights of 1- and 2-grams over
     a real vocabulary, in one vector ``features``.  Fitted on the training rows only (D16)."""
     from pyspark.ml import Pipeline
