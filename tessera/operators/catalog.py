@@ -75,14 +75,19 @@ def pipeline_status(artifacts: DataFrame, mode: str = "distinct") -> DataFrame:
     )
 
 
-def pipeline_overview(artifacts: DataFrame) -> DataFrame:
-    """Per dataset total, completed and failed artifacts and the last operation."""
-    return artifacts.groupBy("dataset_id").agg(
+def pipeline_overview(artifacts: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
+    """Per dataset total, completed and failed artifacts and the last operation.  With
+    ``datasets`` (``id``) each of them has a row, with zeros and no operation where it has no artifact."""
+    per = artifacts.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("status") == "completed").alias("completed"),
         F.count_if(F.col("status") == "failed").alias("failed"),
         F.max_by("operation", F.struct("created_at", "id")).alias("last_operation"),
     )
+    if datasets is None:
+        return per
+    joined = datasets.select(F.col("id").alias("dataset_id")).distinct().join(per, "dataset_id", "left")
+    return joined.fillna(0, ["total", "completed", "failed"])
 
 
 def update_status(artifacts: DataFrame, changes: DataFrame, updated_at: Column) -> DataFrame:

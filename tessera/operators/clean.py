@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import core
+from tessera.operators.ordered import last_value
 
 # ---------------------------------------------------------------------------
 # imputation
@@ -66,16 +67,15 @@ def impute_ffill(df: DataFrame, order_by: Sequence[str], cols: Sequence[str] | N
                  partition_by: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """Forward fill along an explicit order (D9) inside optional groups.
 
-    With ``bucket`` (a width on the first order column; seconds for timestamps) the windows
-    are partitioned by (group, bucket) so a hot group spreads over many tasks; a row with no
-    earlier value in its bucket takes the last value of the nearest earlier bucket from a small
-    (group, bucket) summary.  Without ``bucket`` each group is one window partition."""
+    A hot group, or a table without groups, is scanned in ranges taken from the data, with
+    carry-over between them (``ordered.last_value``; the table is written once when called).
+    With ``bucket`` (a width on the first order column; seconds for timestamps) the ranges are
+    (group, bucket) and nothing is written; a row with no earlier value in its bucket takes the
+    last value of the nearest earlier bucket from a small (group, bucket) summary."""
     cols = list(cols) if cols else [c for c in df.columns if c not in order_by and c not in partition_by]
     part = list(partition_by)
     if bucket is None:
-        w = Window.partitionBy(*part).orderBy(*order_by) if part else Window.orderBy(*order_by)
-        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({c: F.last(F.col(c), ignorenulls=True).over(w) for c in cols})
+        return last_value(df, part, order_by, cols)
     first = F.col(order_by[0])
     num = F.unix_timestamp(first.cast("timestamp")) if dict(df.dtypes)[order_by[0]].startswith("timestamp") else first
     d = df.withColumn("__fb", F.floor(num / F.lit(bucket)))

@@ -306,27 +306,67 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, whisker: float =
     ])
 
 
+#: Terms of the Hermite sums of ``kde``, and bandwidths beyond which a bin adds under 1e-17.
+HERMITE_TERMS = 12
+KDE_REACH = 9
+
+
+def _hermite_sum(z):
+    """Sum of m_k / k! He_k(z) over the moments m0, m1, ... as one polynomial in z."""
+    he = [[1.0], [0.0, 1.0]]
+    for k in range(1, HERMITE_TERMS - 1):
+        he.append([a - k * b for a, b in zip([0.0, *he[k]], [*he[k - 1], 0.0, 0.0])])
+    acc = F.lit(0.0)
+    for j in range(HERMITE_TERMS - 1, -1, -1):
+        at = F.lit(0.0)
+        for k in range(j, HERMITE_TERMS):
+            if he[k][j]:
+                at = at + F.col(f"m{k}") * F.lit(he[k][j] / math.factorial(k))
+        acc = acc * z + at
+    return acc
+
+
 def kde(df: DataFrame, cols: Sequence[str] | None = None, points: int = 50) -> DataFrame:
     """Gaussian KDE on an equal grid of ``points`` between min and max; Scott bandwidth
-    h = std(ddof 1) * n^-0.2.  Distinct values with counts x broadcast grid (points rows per
-    column), summed per grid point: (column, grid_index, x, density)."""
+    h = std(ddof 1) * n^-0.2: (column, grid_index, x, density).
+
+    A fast Gauss transform: values fall into bins of width h / 2, each bin keeps the power sums
+    of its values' offsets from its centre (combined before the shuffle), and a bin meets only the
+    grid points within ``KDE_REACH`` bandwidths.  An offset is at most h / 4, so by Cramer's
+    inequality what the series leaves out of a density is below 1e-11 / h, whatever the data.
+    Values are never paired with the grid, and distinct values are never shuffled.  NaN counts as
+    missing; a column with fewer than two values or without spread has no bandwidth and null densities."""
     cols = core.numeric_columns(df, cols)
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
     st = df.agg(*[e for c in cols for e in (
-        F.min(c).cast("double").alias(f"{c}__mn"), F.max(c).cast("double").alias(f"{c}__mx"),
-        F.stddev_samp(c).alias(f"{c}__sd"), F.count(c).alias(f"{c}__n"))])
+        F.min(value[c]).alias(f"{c}__mn"), F.max(value[c]).alias(f"{c}__mx"),
+        F.stddev_samp(value[c]).alias(f"{c}__sd"), F.count(value[c]).alias(f"{c}__n"))])
     st_long = _long(st, [F.struct(F.lit(c).alias("column"), F.col(f"{c}__mn").alias("mn"), F.col(f"{c}__mx").alias("mx"),
                                   F.col(f"{c}__sd").alias("sd"), F.col(f"{c}__n").alias("n")) for c in cols])
-    grid = st_long.select(
-        "column", "sd", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("gi"),
-        "mn", "mx",
-    ).select("column", "gi", (F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("gi") / F.lit(points - 1)).alias("x"),
-             (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"), "n")
-    vc = core.value_counts_long(df, cols)
-    j = vc.join(F.broadcast(grid), "column")  # grid: columns x points rows
-    z = (F.col("x") - F.col("value")) / F.col("h")
-    return j.groupBy("column", F.col("gi").alias("grid_index"), "x").agg(
-        (F.sum(F.col("cnt") * F.exp(F.lit(-0.5) * z * z)) / (F.first("n") * F.first("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density")
-    )
+    st_long = st_long.where("n > 0").select("column", "mn", "mx", "n", F.expr("nullif(sd * power(CAST(n AS double), -0.2D), 0D)").alias("h"))
+    step = (F.col("mx") - F.col("mn")) / F.lit(float(points - 1))
+    grid = st_long.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("gi"))
+    grid = grid.select("column", "gi", "n", "h", (F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("gi") / F.lit(points - 1)).alias("x"))
+
+    long = core.unpivot_numeric(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    binned = long.join(F.broadcast(st_long), "column").where("h IS NOT NULL")  # one row for each column
+    binned = binned.withColumn("bin", F.floor((F.col("value") - F.col("mn")) / (F.col("h") / 2)))
+    centre = F.col("mn") + (F.col("bin") + 0.5) * (F.col("h") / 2)
+    binned = binned.select("column", "bin", ((F.col("value") - centre) / F.col("h")).alias("d"))
+    power, sums = F.lit(1.0), []
+    for k in range(HERMITE_TERMS):
+        sums.append(F.sum(power).alias(f"m{k}"))
+        power = power * F.col("d")
+    bins = binned.groupBy("column", "bin").agg(*sums).join(F.broadcast(st_long), "column").withColumn("centre", centre)
+    reach = KDE_REACH * F.col("h")
+    first = F.greatest(F.lit(0), F.ceil((F.col("centre") - reach - F.col("mn")) / step).cast("int"))
+    last = F.least(F.lit(points - 1), F.floor((F.col("centre") + reach - F.col("mn")) / step).cast("int"))
+    near = bins.withColumns({"first": first, "last": last}).where("first <= last").withColumn("gi", F.explode(F.sequence("first", "last")))
+    z = (F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("gi") / F.lit(points - 1) - F.col("centre")) / F.col("h")
+    near = near.withColumn("z", z)
+    total = near.groupBy("column", "gi").agg(F.sum(F.exp(F.lit(-0.5) * F.col("z") * F.col("z")) * _hermite_sum(F.col("z"))).alias("s"))
+    density = F.coalesce("s", F.lit(0.0)) / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
+    return grid.join(total, ["column", "gi"], "left").select("column", F.col("gi").alias("grid_index"), "x", density.alias("density"))
 
 
 # Rational approximation of the inverse normal CDF (P. J. Acklam), |relative error| < 1.2e-9

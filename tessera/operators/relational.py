@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import core
+from tessera.operators.ordered import next_value
 
 # ---------------------------------------------------------------------------
 # sets (U01-U04)
@@ -73,14 +74,14 @@ def movement_label(df: DataFrame, value: str, order_by: Sequence[str], partition
     """W02 (D18): 1 if the next value (explicit order, optional entity) is greater, else 0;
     the last row of each entity has no next value and is dropped.
 
+    A hot entity, or a table without entities, is scanned in ranges taken from the data, with
+    carry-over between them (``ordered.next_value``; the table is written once when called).
     With ``bucket`` (width on the first order column; seconds for timestamps) the lead runs in
-    (entity, bucket) windows; the last row of a bucket takes the first row of the next
+    (entity, bucket) windows and nothing is written; the last row of a bucket takes the first row of the next
     non-empty bucket from a small per-bucket summary, so a hot entity is not one task."""
     part = list(partition_by)
     if bucket is None:
-        w = Window.partitionBy(*part).orderBy(*order_by) if part else Window.orderBy(*order_by)
-        nxt = F.lead(F.col(value), 1).over(w)
-        return df.withColumn("__next", nxt).where(F.col("__next").isNotNull()).withColumn(
+        return next_value(df, part, order_by, value, "__next").where(F.col("__next").isNotNull()).withColumn(
             out, (F.col("__next") > F.col(value)).cast("int")).drop("__next")
     first = F.col(order_by[0])
     num = F.unix_timestamp(first.cast("timestamp")) if dict(df.dtypes)[order_by[0]].startswith("timestamp") else first

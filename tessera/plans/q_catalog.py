@@ -98,6 +98,15 @@ def q_overview(spark, sf):
     return K.pipeline_overview(artifacts(spark, sf))
 
 
+@plan("pipeline_overview_all", (
+    "SELECT c_custkey AS dataset_id, count(id)::BIGINT AS total, count(*) FILTER (WHERE status = 'completed')::BIGINT AS completed, "
+    f"count(*) FILTER (WHERE status = 'failed')::BIGINT AS failed, arg_max(operation, (created_at, id)) FILTER (WHERE id IS NOT NULL) AS last_operation "
+    f"FROM customer LEFT JOIN ({ARTIFACTS_SQL}) a ON a.dataset_id = c_custkey GROUP BY c_custkey"), ("K06", "J07"))
+def q_overview_all(spark, sf):
+    """Datasets without artifacts have a row too."""
+    return K.pipeline_overview(artifacts(spark, sf), table(spark, sf, "customer").select(F.col("c_custkey").alias("id")))
+
+
 @plan("update_status", (
     f"SELECT id, CASE WHEN id % 4 = 0 THEN 'archived' ELSE status END AS status FROM ({ARTIFACTS_SQL})"), ("K07",))
 def q_update(spark, sf):
@@ -191,6 +200,16 @@ def q_movement(spark, sf):
     return R.movement_label(e, "value", ["ts", "event_id"], ["user_id"], bucket=86400).select("event_id", "user_id", "target")
 
 
+@plan("movement_label_hot", (
+    "SELECT event_id, entity, target FROM (SELECT event_id, entity, lead(value) OVER w AS nx, (lead(value) OVER w > value)::INTEGER AS target "
+    "FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS entity FROM events) WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)) WHERE nx IS NOT NULL"),
+    ("W02", "D18"))
+def q_movement_hot(spark, sf):
+    """A third of the rows in one entity, and no bucket: ranges come from the data."""
+    e = table(spark, sf, "events").withColumn("entity", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    return R.movement_label(e.select("event_id", "entity", "ts", "value"), "value", ["ts", "event_id"], ["entity"]).select("event_id", "entity", "target")
+
+
 @plan("per_class_cap", (
     "SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY "
     + sql_unit_hash("vec_id::VARCHAR", "'cap'") + ") AS rn FROM embeddings) WHERE rn <= 30"), ("T05", "W06"))

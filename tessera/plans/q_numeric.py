@@ -170,6 +170,26 @@ def q_impute_ffill(spark, sf):
     return round_doubles(out.select("event_id", "user_id", "value"))
 
 
+@plan("impute_ffill_hot", (
+    "SELECT event_id, entity, round(last_value(value IGNORE NULLS) OVER (PARTITION BY entity ORDER BY ts, event_id "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value FROM "
+    f"(SELECT *, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS entity FROM ({EVENTS_NULLS_SQL}))"), ("C04", "W04"))
+def q_impute_ffill_hot(spark, sf):
+    """A third of the rows in one entity, and no bucket: ranges come from the data."""
+    df = events_nulls(spark, sf).withColumn("entity", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    out = clean.impute_ffill(df, ["ts", "event_id"], ["value"], partition_by=["entity"])
+    return round_doubles(out.select("event_id", "entity", "value"))
+
+
+@plan("impute_ffill_whole", (
+    "SELECT event_id, round(last_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id "
+    f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value FROM ({EVENTS_NULLS_SQL})"), ("C04", "W04"))
+def q_impute_ffill_whole(spark, sf):
+    """The whole table in one order, without groups."""
+    out = clean.impute_ffill(events_nulls(spark, sf), ["ts", "event_id"], ["value"])
+    return round_doubles(out.select("event_id", "value"))
+
+
 # ---------------------------------------------------------------------------
 # C05-C07 outliers
 # ---------------------------------------------------------------------------
@@ -599,6 +619,23 @@ def q_kde(spark, sf):
     return out.select("column", F.col("grid_index").cast("int"), F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
+def _sql_kde_measures(points=50):
+    one = (
+        "SELECT '{c}' AS column, gi::INTEGER AS grid_index, round(x, 6) AS x, "
+        "round(sum(exp(-0.5 * ((x - {c}) / h) * ((x - {c}) / h))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density "
+        "FROM (SELECT gi, mn + (mx - mn) * gi / %d AS x, sd * power(n::DOUBLE, -0.2) AS h, n FROM "
+        "(SELECT min({c}) AS mn, max({c}) AS mx, stddev_samp({c}) AS sd, count({c}) AS n FROM s), range(0, %d) t(gi)), s GROUP BY gi, x" % (points - 1, points)
+    )
+    return f"WITH s AS ({LINEITEM_NULLS_SQL}) " + " UNION ALL ".join(one.replace("{c}", c) for c in NUM)
+
+
+@plan("kde_measures", _sql_kde_measures(), ("A20",))
+def q_kde_measures(spark, sf):
+    """Four measures of all line items, two of them with NULLs."""
+    out = profile.kde(lineitem_nulls(spark, sf), NUM, points=50)
+    return round_doubles(out.withColumn("grid_index", F.col("grid_index").cast("int")))
+
+
 def _sql_ppf(p: str) -> str:
     from tessera.operators.profile import PPF_A, PPF_B, PPF_C, PPF_D
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera import core
 from tessera.functions import dictionaries as D
 from tessera.functions import text as T
+from tessera.operators import language as L
 from tessera.operators import text as X
-from tessera.plans.common import round_doubles
+from tessera.plans.common import round_doubles, sql_unit_hash
 from tessera.plans.registry import plan, table
 
 # ---------------------------------------------------------------------------
@@ -406,6 +408,46 @@ def q_lang_acc(spark, sf):
                                  F.count_if(F.col("lang") == F.col("detected_lang")).alias("correct"))
 
 
+def _sql_ranked_ngrams(src: str, key: str, top: int) -> str:
+    """DuckDB twin of language.ranked_ngrams over (key, text)."""
+    return (
+        f"SELECT {key}, gram, rank FROM (SELECT {key}, gram, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, gram) AS rank FROM ("
+        f"SELECT {key}, substr(p, i, s) AS gram, sum(n) AS n FROM (SELECT {key}, p, n, s, unnest(range(1, length(p) + 2 - s)) AS i FROM ("
+        f"SELECT {key}, ' ' || w || ' ' AS p, count(*) AS n FROM (SELECT {key}, unnest(string_split(regexp_replace(lower(coalesce(text, '')), "
+        f"'[^\\pL]+', ' ', 'g'), ' ')) AS w FROM {src}) WHERE w <> '' GROUP BY {key}, w), (VALUES (1), (2), (3)) z(s)) "
+        f"GROUP BY {key}, gram HAVING gram <> ' ')) WHERE rank <= {top}"
+    )
+
+
+LEARNED = 0.8  # share of the documents that profiles are learned from
+_LEARN_SQL = f"(SELECT lang, text FROM documents WHERE {sql_unit_hash('doc_id', chr(39) + 'profiles' + chr(39))} < {LEARNED})"
+
+
+def _held_out(d):
+    return core.hash_uniform(F.col("doc_id"), "profiles") >= LEARNED
+
+
+@plan("language_profiles", _sql_ranked_ngrams(_LEARN_SQL, "lang", L.TOP), ("X24",))
+def q_profiles(spark, sf):
+    """The n-gram profile of each language, learned from four fifths of the documents."""
+    d = table(spark, sf, "documents")
+    return L.learn_profiles(d.where(~_held_out(d)), "lang", "text")
+
+
+@plan("language_detection_ngrams", (
+    f"WITH p AS MATERIALIZED ({_sql_ranked_ngrams(_LEARN_SQL, 'lang', L.TOP)}), o AS MATERIALIZED ({_sql_ranked_ngrams('documents', 'doc_id', L.TOP)}), "
+    f"m AS (SELECT doc_id, count(*) * {L.TOP} AS most FROM o GROUP BY doc_id), "
+    f"s AS (SELECT o.doc_id, p.lang, sum({L.TOP} - abs(o.rank - p.rank)) AS s FROM o JOIN p USING (gram) GROUP BY ALL), "
+    "b AS (SELECT doc_id, lang, most - s AS d, row_number() OVER (PARTITION BY doc_id ORDER BY most - s, lang) AS k FROM s JOIN m USING (doc_id)) "
+    f"SELECT d.doc_id, d.lang, {sql_unit_hash('d.doc_id', chr(39) + 'profiles' + chr(39))} >= {LEARNED} AS held_out, "
+    "coalesce(b.lang, 'unknown') AS detected_lang, b.d::BIGINT AS out_of_place FROM documents d LEFT JOIN (SELECT * FROM b WHERE k = 1) b USING (doc_id)"), ("X24",))
+def q_lang_ngrams(spark, sf):
+    """All documents by the learned profiles; ``held_out`` marks those not learned from."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    found = L.detect_by_profiles(d, "doc_id", "text", L.learn_profiles(d.where(~_held_out(d)), "lang", "text"))
+    return found.select("doc_id", "lang", _held_out(found).alias("held_out"), "detected_lang", "out_of_place")
+
+
 # ---------------------------------------------------------------------------
 # J03 dictionary joins, X08 stems (E01), X11 pipeline
 # ---------------------------------------------------------------------------
