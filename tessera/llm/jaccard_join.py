@@ -30,6 +30,10 @@ from tessera.llm.components import connected_components
 SPARE = 2
 #: Sizes at the top and bottom of a band, as a ratio in percent.
 WIDTH = 140
+#: Slots of a set's parities, a power of two.
+SLOTS = 2048
+#: Rounds in which each set is compared with one more set, chosen by a hash, of another component.
+STARS = 1
 
 
 def shingles(text: str, size: int) -> set[tuple[bytes, ...]]:
@@ -56,17 +60,19 @@ def hashed_shingles(text: str, size: int) -> np.ndarray:
 
 
 def parity(h: np.ndarray) -> np.ndarray:
-    """For each of 512 slots, whether an odd number of elements falls there: two sets differ in at
+    """For each of SLOTS slots, whether an odd number of elements falls there: two sets differ in at
     least as many elements as their slots differ."""
-    slot = ((h * np.uint64(0xA0761D6478BD642F)) >> np.uint64(55)).astype(np.int64)
-    return np.packbits((np.bincount(slot, minlength=512) & 1).astype(np.uint8)).view(np.int64)
+    slot = ((h * np.uint64(0xA0761D6478BD642F)) >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=SLOTS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def may_be_similar(percent: int, na: str, nb: str, bits_a: str, bits_b: str):
     """Whether sizes allow similarity, and slots no more differences than it does."""
-    apart = sum((F.bit_count(F.element_at(bits_a, k).bitwiseXOR(F.element_at(bits_b, k))) for k in range(1, 9)), F.lit(0))
+    # a quarter of the slots settles most pairs, by plain expressions
+    some = sum((F.bit_count(F.element_at(bits_a, k).bitwiseXOR(F.element_at(bits_b, k))) for k in range(1, SLOTS // 256 + 1)), F.lit(0))
+    apart = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     most = F.expr(f"(({na} + {nb}) * {100 - percent}) DIV {100 + percent}")
-    return (F.lit(percent) * F.greatest(na, nb) <= F.lit(100) * F.least(na, nb)) & (apart <= most)
+    return (F.lit(percent) * F.greatest(na, nb) <= F.lit(100) * F.least(na, nb)) & (some <= most) & (apart <= most)
 
 
 class Bands:
@@ -134,14 +140,20 @@ def _index(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
 def _verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of the pairs (a, b, g) whose sets are similar: first by the segments on which they
     agree, then exactly, by the shingles of their texts."""
-    sig = index.select("nid", "n", "key", "bits", "t1", "t2", F.explode("groups").alias("gr")).select("nid", "n", "key", "bits", "t1", "t2", "gr.g", "gr.sigs")
-    left = sig.select(F.col("nid").alias("a"), "g", F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("key").alias("ka"), F.struct("t1", "t2").alias("xa"), F.col("sigs").alias("sa"))
-    right = sig.select(F.col("nid").alias("b"), "g", F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("key").alias("kb"), F.struct("t1", "t2").alias("xb"), F.col("sigs").alias("sb"))
+    slim = index.select("nid", "n", "key", "bits", F.struct("t1", "t2").alias("x"))
+    left, right = (slim.select(F.col("nid").alias(c), *[F.col(k).alias(k + c) for k in ("n", "key", "bits", "x")]) for c in "ab")
+    few = pairs.join(left, "a").join(right, "b").where((F.col("keya") != F.col("keyb")) & may_be_similar(percent, "na", "nb", "bitsa", "bitsb"))
+    few = write_cut(few.select("a", "b", "g", "na", "nb", "xa", "xb").dropDuplicates(["a", "b"]), "few")
+    # subset hashes only of the sets that are still in question
+    asked = few.select(F.col("a").alias("nid"), "g").unionAll(few.select("b", "g")).distinct()
+    sigs = index.select("nid", F.explode("groups").alias("gr")).select("nid", "gr.g", "gr.sigs").join(asked, ["nid", "g"])
+    sigs = write_cut(sigs, "sigs")
+    near = few.join(sigs.withColumnsRenamed({"nid": "a", "sigs": "sa"}), ["a", "g"]).join(sigs.withColumnsRenamed({"nid": "b", "sigs": "sb"}), ["b", "g"])
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     # an element in which they differ spoils one segment
     most = F.expr(f"((na + nb) * {100 - percent}) DIV {100 + percent}")
-    near = pairs.join(left, ["a", "g"]).join(right, ["b", "g"]).where((F.col("ka") != F.col("kb")) & may_be_similar(percent, "na", "nb", "ba", "bb") & (agree >= F.size("sa") - most))
-    close = write_cut(near.select("a", "b", "xa", "xb").dropDuplicates(["a", "b"]), "close")
+    close = write_cut(near.where(agree >= F.size("sa") - most).select("a", "b", "xa", "xb"), "close")
+    release(few, sigs)
     who = close.select(F.col("a").alias("nid"), "xa.t1", "xa.t2").unionAll(close.select("b", "xb.t1", "xb.t2")).distinct()
     # rows that repeat a text have a node each; here each text is fetched once
     texts = docs.select(F.col("text"), F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")).join(who.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
@@ -165,6 +177,29 @@ def _verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, percent: int,
     return links
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after more links: roots stand for all that they link, so only links between them are added."""
+    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    named = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    return connected_components(stars.unionAll(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+
+
+def _mixed(live: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one component."""
+    many = live.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
+    return live.join(many, "sig")
+
+
+def _chance_star(live: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b, g): each node of a bucket meets one node that a hash chooses, if that is of another
+    component; of these a node takes the one that it meets most often."""
+    by = F.struct(F.xxhash64("root", F.lit(turn)).alias("x"), F.xxhash64("nid", F.lit(turn)).alias("y"), "nid")
+    chosen = live.groupBy("sig").agg(F.min_by(F.struct("nid", "root", "n", "bits"), by).alias("p")).select("sig", F.col("p.nid").alias("pivot"), F.col("p.root").alias("proot"), F.col("p.n").alias("pn"), F.col("p.bits").alias("pbits"))
+    met = live.join(chosen, "sig").where((F.col("root") != F.col("proot")) & may_be_similar(percent, "n", "pn", "bits", "pbits"))
+    most = met.groupBy("nid", "g", "pivot").agg(F.count("*").alias("k"))
+    return most.groupBy("nid").agg(F.max_by(F.struct("pivot", "g"), F.struct("k", -F.col("pivot"))).alias("p")).select(F.col("nid").alias("a"), F.col("p.pivot").alias("b"), F.col("p.g").alias("g"))
+
+
 def _named(df: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """(id, t1, t2, n, root): each row with its component's root node, null for an empty set."""
     bands = Bands(percent)
@@ -199,16 +234,18 @@ def _named(df: DataFrame, percent: int, size: int, id_col: str, text_col: str) -
     live = live.select("sig", "nid", "g", "cost", "root", "probe").join(index.select("nid", "n", "bits"), "nid")
     live = write_cut(live, "live")
     release(shared)
+    # families of copies grow together by nodes chosen at random, before all pairs of components are formed
+    for turn in range(STARS):
+        roots = _joined(roots, _verified(_chance_star(live, turn, percent), index, docs, percent, size))
+        now = live.drop("root").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        last, live = live, write_cut(_mixed(now), "live")
+        release(last)
     x, y = live.where("probe").alias("x"), live.alias("y")
     first = (F.col("x.cost") < F.col("y.cost")) | (F.col("x.cost") == F.col("y.cost")) & (F.col("x.nid") < F.col("y.nid"))
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & first & may_be_similar(percent, "x.n", "y.n", "x.bits", "y.bits")).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"), F.col("x.g").alias("g")).distinct()
     more = _verified(pairs, index, docs, percent, size)
     release(live)
-
-    # roots stand for all that they link, so only the new links between components are added
-    joined = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = connected_components(stars.unionAll(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+    roots = _joined(roots, more)
     named = index.select("id", "t1", "t2", "n", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
     return named.select("id", "t1", "t2", "n", F.when(F.col("n") > 0, F.coalesce("root", "nid")).alias("root"))
 
