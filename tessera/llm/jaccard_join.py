@@ -225,9 +225,11 @@ def _named(df: DataFrame, percent: int, size: int, id_col: str, text_col: str) -
     # each set's lookups: segments that it shares with nobody are free, then the rarest
     own = Window.partitionBy("nid", "g").orderBy("c", "sig")
     spent = Window.partitionBy("nid", "g")
-    rated = shared.withColumn("free", F.col("m") - F.count("*").over(spent)).withColumn("r", F.row_number().over(own))
+    # joined on nid first, so that the windows of a set need no shuffle of their own
+    rooted = shared.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    rated = rooted.withColumn("free", F.col("m") - F.count("*").over(spent)).withColumn("r", F.row_number().over(own))
     rated = rated.withColumn("probe", F.col("r") <= F.col("h") + 1 - F.col("free")).withColumn("cost", F.coalesce(F.sum(F.when(F.col("probe"), F.col("c"))).over(spent), F.lit(0)))
-    rated = rated.select("sig", "nid", "g", "cost", "probe").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    rated = rated.select("sig", "nid", "g", "cost", "probe", "root")
     # only buckets in which a set that looks there meets one of no lower cost and another component
     live = rated.withColumn("least", F.min(F.when(F.col("probe"), F.col("cost"))).over(bucket)).where("cost >= least")
     live = live.withColumn("r0", F.min("root").over(bucket)).withColumn("r1", F.max("root").over(bucket)).where("r0 <> r1")
