@@ -131,10 +131,11 @@ def stem_vocabulary(vocab: DataFrame, word: str = "word") -> DataFrame:
 
 
 def stem_tokens(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """Stems for a token-array column: explode with position, join the distinct-word
-    stem table, rebuild the array in order (grouped by key)."""
-    ex = df.select(key, F.posexplode(tokens).alias("pos", "word"))
-    stems = stem_vocabulary(ex.select(F.lower("word").alias("word")))
-    j = ex.withColumn("lw", F.lower("word")).join(stems.withColumnRenamed("word", "lw"), "lw", "left")
-    return j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("__s")).select(
-        key, F.transform("__s", lambda s: s["stem"]).alias("stems"))
+    """Stems for a token-array column, in order.  Each distinct word is stemmed once; its row
+    is then joined to the rows that hold it (``values_by_word``).  ``key`` names a row; a row
+    without tokens has an empty array."""
+    from tessera.operators.text import values_by_word
+
+    low = df.select(key, F.transform(tokens, lambda t: F.lower(t)).alias("__low"))
+    stems = stem_vocabulary(low.select(F.explode("__low").alias("word")))
+    return values_by_word(low, key, "__low", stems, "stem").withColumnRenamed("stem", "stems")

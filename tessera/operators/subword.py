@@ -76,10 +76,10 @@ def segment_vocabulary(vocab: DataFrame, merges: list[tuple[str, str]], word: st
 def subword_tokens(df: DataFrame, key: str, text_col: str, merges: list[tuple[str, str]], max_len: int | None = None) -> DataFrame:
     """Token pieces of each text in order, whole unless ``max_len`` asks for a cut."""
     from tessera.functions import text as Tx
+    from tessera.operators.text import values_by_word
 
-    ex = df.select(key, F.posexplode(Tx.tokenize_words(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("pos", "word"))
-    seg = segment_vocabulary(ex.select("word"), merges)
-    j = ex.join(seg, "word", "left")
-    agg = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "pieces"))).alias("__p"))
-    flat = F.flatten(F.transform("__p", lambda s: s["pieces"]))
-    return agg.select(key, (flat if max_len is None else F.slice(flat, 1, max_len)).alias("pieces"))
+    words = df.select(key, Tx.tokenize_words(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("__words"))
+    seg = segment_vocabulary(words.select(F.explode("__words").alias("word")), merges)
+    flat = F.flatten("pieces")
+    out = values_by_word(words, key, "__words", seg, "pieces")
+    return out.select(key, (flat if max_len is None else F.slice(flat, 1, max_len)).alias("pieces"))

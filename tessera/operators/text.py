@@ -392,6 +392,32 @@ def dictionary_table(spark, words: Mapping[str, object] | Sequence[str], value:
     return core.lit_table(spark, [(w,) for w in words], "word string")
 
 
+#: Parts into which the occurrences of one word are dealt when they are joined with its row.
+WORD_PARTS = 32
+
+
+def values_by_word(df: DataFrame, key: str, words: str, values: DataFrame, value: str) -> DataFrame:
+    """(key, value array): for each word of the array column ``words``, in order, its ``value`` from the
+    table ``values`` (one row a word; null where there is none).  ``key`` names a row; every row is
+    kept, one without words has an empty array.
+
+    A row's occurrences of a word go as one row with their places.  A word that most rows hold is
+    dealt over ``WORD_PARTS`` parts, each with a copy of the word's one row in ``values``."""
+    spots = df.select(F.col(key).alias("__key"), F.posexplode(words).alias("__pos", "word")).groupBy("__key", "word").agg(
+        F.collect_list("__pos").alias("__pos"))
+    spots = spots.withColumn("__part", F.pmod(F.xxhash64("__key"), F.lit(WORD_PARTS)).cast("int"))
+    copies = values.select("word", F.col(value).alias("__value"), F.explode(F.sequence(F.lit(0), F.lit(WORD_PARTS - 1))).alias("__part"))
+    found = spots.join(copies, ["word", "__part"], "left")
+    # arrays of a word's places, not single tokens, go through the shuffle back to the row
+    rows = found.groupBy("__key").agg(F.collect_list(F.struct("__pos", F.struct(F.col("__value").alias("v")).alias("x"))).alias("__found"))
+    flat = F.flatten(F.transform("__found", lambda f: F.transform(f["__pos"], lambda at: F.struct(at.alias("at"), f["x"].alias("x")))))
+    ordered = F.transform(F.array_sort(flat, lambda a, b: a["at"] - b["at"]), lambda t: t["x"]["v"])
+    rows = rows.select("__key", ordered.alias("__out"))
+    kind = values.schema[value].dataType.simpleString()
+    return df.select(F.col(key)).join(rows, F.col(key) == F.col("__key"), "left").select(
+        key, F.coalesce("__out", F.array().cast(f"array<{kind}>")).alias(value))
+
+
 def vocabulary(df: DataFrame, text_col: str) -> DataFrame:
     """Distinct lower-cased alphabetic words with their corpus counts (map-side combined)."""
     toks = T.alpha_lower(T.tokenize_words(F.col(text_col)))

@@ -3,6 +3,7 @@ conversations / labels (F01-F06, X01-X04, X06-X07, X09-X10, X12-X20, X23-X24).""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from tessera import core
@@ -510,3 +511,53 @@ def q_bpe(spark, sf):
     merges = learn_bpe(vocab, merges=30)
     out = subword_tokens(conv, "k", "text", merges)
     return out.select("k", F.size("pieces").alias("n_pieces"), F.array_join("pieces", " ").alias("pieces"))
+
+
+# ---------------------------------------------------------------------------
+# X05 WordPiece with the pieces of a public vocabulary file
+# ---------------------------------------------------------------------------
+_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+_WORDPIECE_SQL = (
+    "WITH RECURSIVE ranks AS (SELECT TRY(decode(from_base64(b))) AS p FROM read_csv(" + sq(_RANKS) + ", delim=' ', header=false, "
+    "quote='', escape='', columns={'b': 'VARCHAR', 'r': 'BIGINT'})), "
+    "pieces AS (SELECT DISTINCT CASE WHEN p[1] = ' ' THEN p[2:] ELSE '##' || p END AS piece FROM ranks "
+    "WHERE p IS NOT NULL AND NOT regexp_matches(CASE WHEN p[1] = ' ' THEN p[2:] ELSE p END, '\\s') AND p NOT IN ('', ' ')), "
+    "toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pM\\pN]+|[^\\pL\\pM\\pN\\s\\pZ]')) AS word, "
+    "generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pM\\pN]+|[^\\pL\\pM\\pN\\s\\pZ]'), 1) AS pos FROM documents), "
+    "words AS (SELECT word, count(*) AS n FROM toks GROUP BY word), "
+    "starts AS (SELECT word, unnest(range(1, length(word) + 1)) AS s FROM words WHERE length(word) <= 100), "
+    "spans AS (SELECT word, s, unnest(range(1, length(word) - s + 2)) AS len FROM starts), "
+    "best AS (SELECT word, s, max(len) AS len FROM spans JOIN pieces ON piece = CASE WHEN s > 1 THEN '##' ELSE '' END || substr(word, s, len) GROUP BY word, s), "
+    "walk(word, nxt, out) AS (SELECT word, 1::BIGINT, []::VARCHAR[] FROM words UNION ALL "
+    "SELECT w.word, w.nxt + b.len, list_append(w.out, CASE WHEN b.s > 1 THEN '##' ELSE '' END || substr(b.word, b.s, b.len)) FROM walk w JOIN best b ON b.word = w.word AND b.s = w.nxt), "
+    "seg AS (SELECT w.word, w.n, coalesce(f.out, ['[UNK]']) AS out FROM words w LEFT JOIN walk f ON f.word = w.word AND f.nxt = length(w.word) + 1) ")
+
+
+def _pieces(spark):
+    from tessera.operators.wordpiece import pieces_of_ranks
+
+    return pieces_of_ranks(spark, _RANKS)
+
+
+@plan("subword_wordpiece", _WORDPIECE_SQL + "SELECT word, n AS \"count\", len(out)::INTEGER AS n_pieces, array_to_string(out, ' ') AS pieces FROM seg", ("X05",))
+def q_wordpiece(spark, sf):
+    """Every distinct word of the documents in WordPiece pieces, longest match first."""
+    from tessera.operators.wordpiece import segment_words, wordpiece_words
+
+    words = table(spark, sf, "documents").select(F.explode(wordpiece_words("text")).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    return counts.join(segment_words(counts, _pieces(spark)), "word").select("word", "count", F.size("pieces").alias("n_pieces"), F.array_join("pieces", " ").alias("pieces"))
+
+
+@plan("wordpiece_documents", _WORDPIECE_SQL + (
+    ", docs AS (SELECT t.doc_id, flatten(list(s.out ORDER BY t.pos)) AS out FROM toks t JOIN seg s ON s.word = t.word GROUP BY t.doc_id) "
+    "SELECT d.doc_id, coalesce(len(out), 0)::INTEGER AS n_pieces, coalesce(len(list_filter(out, lambda x: x = '[UNK]')), 0)::INTEGER AS n_unknown, "
+    "md5(coalesce(array_to_string(out, ' '), '')) AS pieces_md5 FROM documents d LEFT JOIN docs o ON o.doc_id = d.doc_id"), ("X05",))
+def q_wordpiece_documents(spark, sf):
+    """Every document in WordPiece pieces, in order."""
+    from tessera.operators.wordpiece import UNKNOWN, wordpiece_tokens
+
+    out = wordpiece_tokens(table(spark, sf, "documents"), "doc_id", "text", _pieces(spark))
+    return out.select("doc_id", F.size("pieces").alias("n_pieces"), F.size(F.filter("pieces", lambda p: p == UNKNOWN)).alias("n_unknown"),
+                      F.md5(F.array_join("pieces", " ")).alias("pieces_md5"))
