@@ -255,21 +255,35 @@ def _synonym_map(synonyms: Mapping[str, Sequence[str]]) -> Column:
 
 
 def synonym_replace(df: DataFrame, key: str, text_col: str, p: float = 0.3,
-                    synonyms: Mapping[str, Sequence[str]] = D.SYNONYMS, out: str | None = None) -> DataFrame:
+                    synonyms: Mapping[str, Sequence[str]] | DataFrame = D.SYNONYMS, out: str | None = None) -> DataFrame:
     """Each alphabetic non-stop word that has synonyms (other than itself) is replaced
-    with probability p by a hash-chosen synonym; adds ``{col}_augmented``."""
+    with probability p by a hash-chosen synonym; adds ``{col}_augmented``.
+
+    ``synonyms`` is a mapping, or a table (word, synonym, rank) of any size such as
+    ``synonyms.synonym_candidates`` gives, which is joined with the words of the texts; ``key`` then
+    names a row."""
     d = df.withColumn("__tok", T.tokenize_words(F.col(text_col)))
-    m = _synonym_map(synonyms)
     sw = list(D.STOPWORDS_EN)
+    none = F.array().cast("array<string>")
+    if isinstance(synonyms, DataFrame):
+        from tessera.operators.text import values_by_word
+
+        lists = synonyms.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "synonym"))), lambda s: s["synonym"]).alias("__cands"))
+        words = d.select(_key(key).alias("__id"), F.transform("__tok", lambda t: F.lower(t)).alias("__low"))
+        d = d.withColumn("__id", _key(key)).join(values_by_word(words, "__id", "__low", lists, "__cands"), "__id", "left").drop("__id")
+        held = lambda t, i: F.get("__cands", i)
+    else:
+        m = _synonym_map(synonyms)
+        held = lambda t, i: F.try_element_at(m, F.lower(t))
 
     def rep(t, i):
-        cands = F.filter(F.coalesce(F.try_element_at(m, F.lower(t)), F.array().cast("array<string>")), lambda s: s != F.lower(t))
+        cands = F.filter(F.coalesce(held(t, i), none), lambda s: s != F.lower(t))
         k = F.concat_ws(":", _key(key), i.cast("string"))
         take = (t.rlike(r"(?U)^\p{L}+$") & ~F.lower(t).isin(*sw) & (F.size(cands) > 0)
                 & (core.hash_uniform(k, F.lit("syn:p")) < F.lit(p)))
         return F.when(take, _pick(cands, core.hash_uniform(k, F.lit("syn:c")))).otherwise(t)
 
-    return d.withColumn(out or f"{text_col}_augmented", T.detokenize(F.transform("__tok", rep))).drop("__tok")
+    return d.withColumn(out or f"{text_col}_augmented", T.detokenize(F.transform("__tok", rep))).drop("__tok", "__cands")
 
 
 def random_insertion(df: DataFrame, key: str, text_col: str, synonyms: Mapping[str, Sequence[str]] = D.SYNONYMS,

@@ -298,3 +298,58 @@ def q_mlm(spark, sf):
     "FROM c) WHERE rk <= 5"), ("G13",))
 def q_ctx(spark, sf):
     return G.context_candidates(table(spark, sf, "documents"), "text", 5)
+
+
+# ---------------------------------------------------------------------------
+# G08 with synonyms learned from the corpus
+# ---------------------------------------------------------------------------
+
+
+def _sql_content_words(table_name: str, keys: str) -> str:
+    return (f"SELECT {keys}list_transform(list_filter({sql_word_tokens('text')}, lambda t: " + _sql_content("t")
+            + f"), lambda t: lower(t)) AS w FROM {table_name}")
+
+
+_SYNONYMS_SQL = (
+    "WITH t AS (" + _sql_content_words("documents", "") + "), "
+    "p AS (SELECT w[i] AS a, w[i + d] AS b FROM (SELECT w, unnest(generate_series(1, len(w))) AS i FROM t), (VALUES (1), (2)) AS v(d) WHERE i + d <= len(w)), "
+    "c AS (SELECT word, context, count(*) AS n FROM (SELECT a AS word, b AS context FROM p UNION ALL SELECT b, a FROM p) WHERE word <> context GROUP BY ALL), "
+    "s AS (SELECT word, sum(n) AS own FROM c GROUP BY word), "
+    "v AS (SELECT * FROM (SELECT c.word, c.context, ln(c.n::DOUBLE * (SELECT sum(own) FROM s)::DOUBLE / (s.own::DOUBLE * o.own::DOUBLE)) AS weight "
+    "FROM c JOIN s ON s.word = c.word JOIN s o ON o.word = c.context WHERE c.n >= 2) WHERE weight > 0), "
+    "u AS (SELECT v.word, context, weight / nrm AS x FROM v JOIN (SELECT word, sqrt(sum(weight * weight)) AS nrm FROM v GROUP BY word) z ON z.word = v.word), "
+    "q AS (SELECT DISTINCT unnest(w) AS word FROM (" + _sql_content_words("benchmark", "") + ")), "
+    "m AS (SELECT y.word, u.word AS synonym, round(sum(u.x * y.x), 9) AS cosine FROM u JOIN u y ON y.context = u.context AND y.word <> u.word "
+    "WHERE y.word IN (SELECT word FROM q) GROUP BY ALL), "
+    "syn AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY cosine DESC, synonym)::INTEGER AS rank FROM m WHERE cosine > 0 "
+    "QUALIFY row_number() OVER (PARTITION BY word ORDER BY cosine DESC, synonym) <= 5) "
+)
+
+
+def _learned(spark, sf):
+    from tessera.operators import synonyms as S
+
+    words = table(spark, sf, "benchmark").select(F.explode(S.content_words("text")).alias("word"))
+    return S.synonym_candidates(table(spark, sf, "documents"), "text", words)
+
+
+@plan("synonym_candidates", _SYNONYMS_SQL + "SELECT word, synonym, rank, round(cosine, 6) AS cosine FROM syn", ("G08", "G09"))
+def q_synonym_candidates(spark, sf):
+    """For each content word of the benchmark items, the five words of the documents of most like use."""
+    return _learned(spark, sf).withColumn("cosine", F.round("cosine", 6))
+
+
+_ITEM_SQL = sql_unit_hash("concat_ws(':', item_id::VARCHAR, (i - 1)::VARCHAR)", "'syn:p'"), sql_unit_hash("concat_ws(':', item_id::VARCHAR, (i - 1)::VARCHAR)", "'syn:c'")
+
+
+@plan("synonym_replace_learned", _SYNONYMS_SQL + (
+    ", l AS (SELECT word, list(synonym ORDER BY rank) AS c FROM syn GROUP BY word), "
+    f"tk AS (SELECT item_id, unnest({sql_word_tokens('text')}) AS t, generate_subscripts({sql_word_tokens('text')}, 1) AS i FROM benchmark), "
+    "r AS (SELECT item_id, i, CASE WHEN " + _sql_content("t") + f" AND l.c IS NOT NULL AND {_ITEM_SQL[0]} < 0.3 "
+    f"THEN l.c[(floor({_ITEM_SQL[1]} * len(l.c)) + 1)::INTEGER] ELSE t END AS t FROM tk LEFT JOIN l ON l.word = lower(t)) "
+    "SELECT b.item_id, coalesce(x.s, '') AS text_augmented FROM benchmark b LEFT JOIN (SELECT item_id, "
+    + _sql_detok("list(t ORDER BY i)") + " AS s FROM r GROUP BY item_id) x ON x.item_id = b.item_id"), ("G08", "G12"))
+def q_synonym_learned(spark, sf):
+    """Words of the benchmark items replaced by words of like use, from the learned table."""
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    return G.synonym_replace(items, "item_id", "text", 0.3, _learned(spark, sf)).select("item_id", "text_augmented")
