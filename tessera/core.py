@@ -68,6 +68,14 @@ def key_string(*cols: str | Column) -> Column:
     return F.concat_ws(":", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols])
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan dealt over all cores where it has fewer parts than cores, as a file of one row
+    group has one; a scan of more parts is left as it is.  Rows stay the same, only their places
+    change.  Not for a frame with a shuffle, whose parts are only known once it has run."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def hash_uniform(key: Column, salt: str | Column) -> Column:
     """U[0,1) from the first 13 hex digits of md5(key ':' salt)."""
     salt_col = salt if isinstance(salt, Column) else F.lit(str(salt))

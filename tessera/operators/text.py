@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import core
@@ -199,20 +199,35 @@ def tokenize_and_postprocess(df: DataFrame, text_col: str, method: str = "word",
     )
 
 
-def tokenization_stats(df: DataFrame, text_col: str) -> DataFrame:
-    """Per tokenizer: average / min / max / std / total tokens and corr(text length, tokens)."""
-    parts = []
-    for name in ("word", "whitespace", "tweet", "sentence"):
-        n = F.size(TOKENIZERS[name](F.col(text_col)))
-        parts.append(df.select(F.lit(name).alias("method"), n.alias("n"), F.length(text_col).alias("len")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("method").agg(
+def tokenization_stats(df: DataFrame, text_col: str, key: str | None = None, pieces: DataFrame | None = None) -> DataFrame:
+    """Per method: average / min / max / std / total tokens and corr(text length, tokens), and
+    ``retention_pct``, the total as a share of the method 'word'.
+
+    Methods: the tokenizers, and 'no_stopwords', 'stemmed' and 'lemmatized' words, whose stems and
+    lemmas stand one for one; with ``pieces`` (and a ``key`` that names a row) 'wordpiece' too.
+    The texts are read once, and once more for 'wordpiece'.  Null and empty texts have no tokens
+    but one empty sentence; an empty table gives no rows."""
+    kept = F.size(T.remove_stopwords(F.col("__words")))
+    d = df.withColumn("__words", T.tokenize_words(F.col(text_col)))
+    counts = {"word": F.size("__words"), **{m: F.size(t(F.col(text_col))) for m, t in TOKENIZERS.items() if m != "word"},
+              "no_stopwords": kept, "stemmed": kept, "lemmatized": kept}
+    if pieces is not None:
+        if key is None:
+            raise ValueError("pieces need a key that names a row")
+        from tessera.operators.wordpiece import wordpiece_tokens
+
+        d = d.join(wordpiece_tokens(df, key, text_col, pieces).select(key, F.size("pieces").alias("__n_pieces")), key)
+        counts["wordpiece"] = F.col("__n_pieces")
+    each = F.array(*[F.struct(F.lit(m).alias("method"), n.alias("n")) for m, n in counts.items()])
+    rows = d.select(F.length(text_col).cast("double").alias("len"), F.explode(each).alias("m")).select("len", "m.method", "m.n")
+    done = rows.groupBy("method").agg(
         F.avg("n").alias("avg_tokens"), F.min("n").alias("min_tokens"), F.max("n").alias("max_tokens"),
         F.stddev_samp("n").alias("std_tokens"), F.sum("n").alias("total_tokens"),
-        F.corr(F.col("len").cast("double"), F.col("n").cast("double")).alias("length_token_corr"),
+        F.corr(F.col("len"), F.col("n").cast("double")).alias("length_token_corr"),
     )
+    # one row a method
+    words = F.max(F.when(F.col("method") == "word", F.col("total_tokens"))).over(Window.partitionBy(F.lit(0)))
+    return done.withColumn("retention_pct", F.when(words > 0, F.col("total_tokens") * 100.0 / words))
 
 
 # ---------------------------------------------------------------------------
@@ -294,21 +309,6 @@ def sentiment_summary(scored: DataFrame, thresholds: Sequence[float] = (0.2, 0.0
 # ---------------------------------------------------------------------------
 
 
-def term_counts_per_row(df: DataFrame, key: str, terms: str) -> DataFrame:
-    """(key, term, tf) from a term-array column without a shuffle: each row's array is sorted,
-    run starts are found by comparing neighbours and run lengths are the counts.  Every step
-    is its own projection, so the per-row work is O(m log m) in the array length.  Assumes
-    one row per key (a document)."""
-    d = df.select(key, F.array_sort(terms).alias("__s"))
-    d = d.select(key, "__s", F.filter(F.sequence(F.lit(1), F.greatest(F.size("__s"), F.lit(1))),
-                                      lambda i: (F.size("__s") > 0) & ((i == 1) | (F.try_element_at("__s", i) != F.try_element_at("__s", i - 1))))
-                 .alias("__st"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("__st")), lambda k: F.struct(
-        F.element_at("__s", F.element_at("__st", k)).alias("term"),
-        (F.coalesce(F.try_element_at("__st", k + 1), F.size("__s") + 1) - F.element_at("__st", k)).cast("long").alias("tf")))
-    return d.select(key, F.explode(F.when(F.size("__st") > 0, runs)).alias("__r")).select(key, "__r.term", "__r.tf")
-
-
 def tfidf_long(df: DataFrame, key: str, text_col: str, ngram_range: tuple[int, int] = (1, 2),
                min_df: float | int = 2, max_df: float | int = 0.95, max_features: int | None = None,
                stopwords: Iterable[str] = D.STOPWORDS_EN) -> DataFrame:
@@ -327,11 +327,11 @@ def tfidf_long(df: DataFrame, key: str, text_col: str, ngram_range: tuple[int, i
         grams = g if grams is None else F.concat(grams, g)
     # (doc, term) counts: rows of one document sit in one partition, so the map-side partial
     # aggregate already produces final counts; only distinct (doc, term) pairs are shuffled.
-    # (term_counts_per_row avoids even that shuffle but measured slower on local[8].)
     terms = base.select(key, F.explode(grams).alias("term"))
     tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     ndocs = df.agg(F.count(F.lit(1)).alias("__n"))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(ndocs))
+    # the test of cf keeps tf in this branch too, so that both read the same shuffled counts
+    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where("cf > 0").crossJoin(F.broadcast(ndocs))
     lo = F.lit(float(min_df)) * F.col("__n") if isinstance(min_df, float) else F.lit(min_df)
     hi = F.lit(float(max_df)) * F.col("__n") if isinstance(max_df, float) else F.lit(max_df)
     vocab = stats.where((F.col("df") >= lo) & (F.col("df") <= hi))
@@ -339,8 +339,8 @@ def tfidf_long(df: DataFrame, key: str, text_col: str, ngram_range: tuple[int, i
         vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_features)
     vocab = vocab.select("term", (F.ln((F.col("__n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     w = tf.join(vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("__norm")).alias("tfidf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.select(key, "term", (F.col("w") / norm).alias("tfidf"))
 
 
 # ---------------------------------------------------------------------------

@@ -188,7 +188,7 @@ def q_stop(spark, sf):
     f"SELECT word, count(*)::BIGINT AS count FROM (SELECT unnest({sql_freq_tokens('text')}) AS word FROM documents) "
     "GROUP BY word ORDER BY count DESC, word LIMIT 20"), ("X15", "T01"))
 def q_word_freq(spark, sf):
-    return X.word_frequency(table(spark, sf, "documents"), "text", 20)
+    return X.word_frequency(core.spread(table(spark, sf, "documents").select("text")), "text", 20)
 
 
 @plan("word_frequency_summary", (
@@ -216,7 +216,7 @@ def _sql_ngram_counts(n: int, top: int) -> str:
 
 @plan("bigram_frequency", _sql_ngram_counts(2, 20), ("X16", "F08"))
 def q_bigrams(spark, sf):
-    return X.ngram_frequency(table(spark, sf, "documents"), "text", 2, 20)
+    return X.ngram_frequency(core.spread(table(spark, sf, "documents").select("text")), "text", 2, 20)
 
 
 @plan("trigram_frequency", _sql_ngram_counts(3, 10), ("X16",))
@@ -286,19 +286,6 @@ def q_tok_post(spark, sf):
     return out.select("doc_id", "tokens_str", "original_token_count", "token_count", "stopwords_removed")
 
 
-@plan("tokenization_stats", (
-    "WITH u AS ("
-    f"SELECT 'word' AS method, len({sql_word_tokens('text')}) AS n, length(text) AS len FROM documents UNION ALL "
-    f"SELECT 'whitespace', len({sql_ws_tokens('text')}), length(text) FROM documents UNION ALL "
-    f"SELECT 'tweet', len(regexp_extract_all(coalesce(text, ''), '{_SQL_TWEET}', 0)), length(text) FROM documents UNION ALL "
-    "SELECT 'sentence', len(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))), length(text) FROM documents) "
-    "SELECT method, round(avg(n), 6) AS avg_tokens, min(n)::INTEGER AS min_tokens, max(n)::INTEGER AS max_tokens, "
-    "round(stddev_samp(n), 6) AS std_tokens, sum(n)::BIGINT AS total_tokens, round(corr(len, n), 6) AS length_token_corr "
-    "FROM u GROUP BY method"), ("X13",))
-def q_tok_stats(spark, sf):
-    return round_doubles(X.tokenization_stats(table(spark, sf, "documents"), "text"))
-
-
 # ---------------------------------------------------------------------------
 # X18, X19 sentiment
 # ---------------------------------------------------------------------------
@@ -328,7 +315,7 @@ def _sql_sentiment(src: str, key: str, text: str, lex=FIXTURE_LEXICON) -> str:
 
 @plan("sentiment", _sql_sentiment("documents", "doc_id", "text"), ("X18",))
 def q_sentiment(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = core.spread(table(spark, sf, "documents").select("doc_id", "text"))
     return round_doubles(X.sentiment(d, "text", lexicon=FIXTURE_LEXICON).select("doc_id", "polarity", "subjectivity"))
 
 
@@ -370,7 +357,7 @@ def _sql_tfidf(min_df=2, max_df=0.95, max_features=None):
 
 @plan("tfidf", _sql_tfidf(), ("X20", "D19"))
 def q_tfidf(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = core.spread(table(spark, sf, "documents").select("doc_id", "text"))
     return round_doubles(X.tfidf_long(d, "doc_id", "text", (1, 2), 2, 0.95))
 
 
@@ -395,7 +382,7 @@ def _sql_lang():
 
 @plan("language_detection", _sql_lang(), ("X24",))
 def q_lang(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    d = core.spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
     return X.detect_language(d, "text").select("doc_id", "lang", "detected_lang", "profile_hits")
 
 
@@ -561,3 +548,22 @@ def q_wordpiece_documents(spark, sf):
     out = wordpiece_tokens(table(spark, sf, "documents"), "doc_id", "text", _pieces(spark))
     return out.select("doc_id", F.size("pieces").alias("n_pieces"), F.size(F.filter("pieces", lambda p: p == UNKNOWN)).alias("n_unknown"),
                       F.md5(F.array_join("pieces", " ")).alias("pieces_md5"))
+
+
+_METHODS_SQL = (
+    f"u AS (SELECT 'word' AS method, len({sql_word_tokens('text')}) AS n, length(text) AS len FROM documents UNION ALL "
+    f"SELECT 'whitespace', len({sql_ws_tokens('text')}), length(text) FROM documents UNION ALL "
+    f"SELECT 'tweet', len(regexp_extract_all(coalesce(text, ''), '{_SQL_TWEET}', 0)), length(text) FROM documents UNION ALL "
+    "SELECT 'sentence', len(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))), length(text) FROM documents UNION ALL "
+    f"SELECT unnest(['no_stopwords', 'stemmed', 'lemmatized']), len(list_filter({sql_word_tokens('text')}, lambda w: NOT list_contains({sql_list(D.STOPWORDS_EN)}, lower(w)))), length(text) FROM documents UNION ALL "
+    "SELECT 'wordpiece', coalesce(o.n, 0), length(d.text) FROM documents d LEFT JOIN (SELECT t.doc_id, sum(len(s.out)) AS n FROM toks t JOIN seg s ON s.word = t.word GROUP BY t.doc_id) o ON o.doc_id = d.doc_id) "
+    "SELECT method, round(avg(n), 6) AS avg_tokens, min(n)::INTEGER AS min_tokens, max(n)::INTEGER AS max_tokens, "
+    "round(stddev_samp(n), 6) AS std_tokens, sum(n)::BIGINT AS total_tokens, round(corr(len, n), 6) AS length_token_corr, "
+    "round(sum(n) * 100.0 / (SELECT sum(n) FROM u WHERE method = 'word'), 6) AS retention_pct FROM u GROUP BY method")
+
+
+@plan("tokenization_stats", _WORDPIECE_SQL + ", " + _METHODS_SQL, ("X13",))
+def q_tok_stats(spark, sf):
+    """Token counts of every document by eight methods, and what share of the words each keeps."""
+    d = core.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return round_doubles(X.tokenization_stats(d, "text", "doc_id", _pieces(spark)))
