@@ -338,7 +338,8 @@ def tfidf_long(df: DataFrame, key: str, text_col: str, ngram_range: tuple[int, i
     if max_features:
         vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_features)
     vocab = vocab.select("term", (F.ln((F.col("__n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    w = tf.join(vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    # the counts are many times what Spark estimates from the texts: they are never broadcast
+    w = tf.join(vocab.hint("shuffle_hash"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / norm).alias("tfidf"))
 

@@ -16,11 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import core
 from tessera.operators.text import values_by_word
+from tessera.session import cut_lineage
 
 UNKNOWN = "[UNK]"
 #: Most bytes of a vocabulary file, which is read on the driver.
 MAX_FILE = 64 << 20
+#: Most bytes of pieces that are sent to all tasks; a larger vocabulary is shuffled.
+MAX_SENT = 8 << 20
 #: Runs of letters, marks and digits; any other character that is no white space by itself.
 WORD_RE = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s\p{Z}]"
 
@@ -55,9 +59,13 @@ def segment_words(words: DataFrame, pieces: DataFrame, word: str = "word", max_c
 
     Repeated pieces count once; null or empty ones are left out; an empty vocabulary makes each word unknown.  The
     empty word has no pieces."""
-    own = words.select(F.col(word).alias("word")).where("word IS NOT NULL").distinct()
+    # written once, as two steps read them; a small table of words still makes many substrings
+    own = core.spread(cut_lineage(words.select(F.col(word).alias("word")).where("word IS NOT NULL").distinct()))
     vocab = pieces.select("piece").where("piece IS NOT NULL AND piece <> ''").distinct()
-    longest = vocab.agg(F.coalesce(F.max(F.length("piece")), F.lit(0)).alias("m")).first()["m"]
+    size = vocab.agg(F.coalesce(F.max(F.length("piece")), F.lit(0)).alias("m"), F.coalesce(F.sum(F.octet_length("piece")), F.lit(0)).alias("b")).first()
+    longest = size["m"]
+    # the substrings are many times the words that Spark sees in its estimates: never the side that is broadcast
+    vocab = F.broadcast(vocab) if size["b"] <= MAX_SENT else vocab.hint("shuffle_hash")
     n = F.length("word")
     starts = own.where(n <= max_chars).select("word", F.explode(F.sequence(F.lit(1), n)).alias("s")).where("word <> ''")
     reach = F.least(n - F.col("s") + 1, F.lit(max(longest, 1)))

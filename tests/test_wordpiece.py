@@ -7,6 +7,7 @@ import base64
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import wordpiece
 from tessera.operators.text import values_by_word
 from tessera.operators.wordpiece import UNKNOWN, pieces_of_ranks, segment_words, wordpiece_tokens
 
@@ -30,7 +31,9 @@ def greedy(word: str, pieces: set[str], max_chars: int = 100) -> list[str]:
     return out
 
 
-def test_longest_match_first(spark):
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_longest_match_first(spark, monkeypatch, sent):
+    monkeypatch.setattr(wordpiece, "MAX_SENT", sent)
     pieces = spark.createDataFrame([(p,) for p in [*PIECES, "a", "", None]], "piece string")
     words = spark.createDataFrame([(w,) for w in [*WORDS, "ab", "ab", None]], "word string")
     got = {r["word"]: r["pieces"] for r in segment_words(words, pieces).collect()}
