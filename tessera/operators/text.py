@@ -8,8 +8,10 @@ applied inside expressions rather than joined.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import functools
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,7 +207,7 @@ def tokenization_stats(df: DataFrame, text_col: str, key: str | None = None, pie
 
     Methods: the tokenizers, and 'no_stopwords', 'stemmed' and 'lemmatized' words, whose stems and
     lemmas stand one for one; with ``pieces`` (and a ``key`` that names a row) 'wordpiece' too.
-    The texts are read once, and once more for 'wordpiece'.  Null and empty texts have no tokens
+    The texts are read once, and the keys once more for 'wordpiece'.  Null and empty texts have no tokens
     but one empty sentence; an empty table gives no rows."""
     kept = F.size(T.remove_stopwords(F.col("__words")))
     d = df.withColumn("__words", T.tokenize_words(F.col(text_col)))
@@ -214,9 +216,14 @@ def tokenization_stats(df: DataFrame, text_col: str, key: str | None = None, pie
     if pieces is not None:
         if key is None:
             raise ValueError("pieces need a key that names a row")
-        from tessera.operators.wordpiece import wordpiece_tokens
+        from tessera.operators.wordpiece import wordpiece_in_place, wordpiece_tokens
 
-        d = d.join(wordpiece_tokens(df, key, text_col, pieces).select(key, F.size("pieces").alias("__n_pieces")), key)
+        def shared(rows: DataFrame) -> DataFrame:
+            return rows.join(wordpiece_tokens(rows, key, text_col, pieces).select(key, F.size("pieces").alias("__n_pieces")), key)
+
+        in_place = wordpiece_in_place(text_col, pieces)
+        d = shared(d) if in_place is None else by_own_key(
+            d, key, lambda rows: rows.where(F.col(key).isNotNull()).withColumn("__n_pieces", F.size(in_place)), shared)
         counts["wordpiece"] = F.col("__n_pieces")
     each = F.array(*[F.struct(F.lit(m).alias("method"), n.alias("n")) for m, n in counts.items()])
     rows = d.select(F.length(text_col).cast("double").alias("len"), F.explode(each).alias("m")).select("len", "m.method", "m.n")
@@ -395,6 +402,47 @@ def dictionary_table(spark, words: Mapping[str, object] | Sequence[str], value:
 
 #: Parts into which the occurrences of one word are dealt when they are joined with its row.
 WORD_PARTS = 32
+#: Words whose pieces a task keeps.
+WORDS_KEPT = 1 << 16
+
+
+def by_own_key(df: DataFrame, key: str, own: Callable[[DataFrame], DataFrame], shared: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``own`` of the rows whose key no other row has (or is NULL), with ``shared`` of the rows that share
+    one.  One pass over the keys alone finds these; without any, rows stay where they are."""
+    again = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select(key)
+    if again.isEmpty():
+        return own(df)
+    return own(df.join(again, key, "left_anti")).unionByName(shared(df.join(again, key, "left_semi")))
+
+
+def pieces_of_words(words: str | Column, of_word: Callable[[str], list[str]]) -> Column:
+    """The pieces of all words of an array column, in order, one after the other.  ``of_word`` is
+    called once for a word in a task, as long as the task keeps its pieces."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept = functools.lru_cache(WORDS_KEPT)(of_word)
+        for rows in batches:
+            yield rows.map(lambda row: None if row is None else [p for w in row for p in kept(w)])
+
+    # once for a row, wherever the array is used
+    return run.asNondeterministic()(F.col(words) if isinstance(words, str) else words)
+
+
+def pieces_by_row(df: DataFrame, key: str, words: str, of_word: Callable[[str], list[str]], table: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, pieces) of the array column ``words``: in place for a row whose key is its own; rows that
+    share a key are joined with ``table`` (word, pieces) of their words by ``values_by_word``."""
+    none = F.array().cast("array<string>")
+
+    def own(rows: DataFrame) -> DataFrame:
+        held = F.when(F.col(key).isNotNull(), F.col(words))
+        return rows.select(key, F.coalesce(pieces_of_words(held, of_word), none).alias("pieces"))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        found = values_by_word(rows, key, words, table(rows.select(F.explode(words).alias("word"))), "pieces")
+        return found.select(key, F.flatten("pieces").alias("pieces"))
+
+    return by_own_key(df, key, own, shared)
 
 
 def values_by_word(df: DataFrame, key: str, words: str, values: DataFrame, value: str) -> DataFrame:
@@ -408,7 +456,8 @@ def values_by_word(df: DataFrame, key: str, words: str, values: DataFrame, value
         F.collect_list("__pos").alias("__pos"))
     spots = spots.withColumn("__part", F.pmod(F.xxhash64("__key"), F.lit(WORD_PARTS)).cast("int"))
     copies = values.select("word", F.col(value).alias("__value"), F.explode(F.sequence(F.lit(0), F.lit(WORD_PARTS - 1))).alias("__part"))
-    found = spots.join(copies, ["word", "__part"], "left")
+    # equal copies look small when they are shuffled, but not on the driver: never broadcast
+    found = spots.join(copies.hint("merge"), ["word", "__part"], "left")
     # arrays of a word's places, not single tokens, go through the shuffle back to the row
     rows = found.groupBy("__key").agg(F.collect_list(F.struct("__pos", F.struct(F.col("__value").alias("v")).alias("x"))).alias("__found"))
     flat = F.flatten(F.transform("__found", lambda f: F.transform(f["__pos"], lambda at: F.struct(at.alias("at"), f["x"].alias("x")))))

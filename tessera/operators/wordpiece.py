@@ -1,7 +1,7 @@
 """WordPiece segmentation with a given vocabulary.
 
 A vocabulary is a table of pieces: as they stand at the start of a word, with ``##`` before them
-inside one.  Nothing is trained here.  Each distinct word is segmented once, longest match first:
+inside one.  Nothing is trained here.  For a table of words each distinct word is segmented once, longest match first:
 its substrings are joined with the pieces, the longest piece at each place is kept, and the word
 is walked from its start.  A word that cannot be covered, or of more than ``max_chars``
 characters, is one unknown piece, as published for the method.
@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import base64
 import os
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import core
-from tessera.operators.text import values_by_word
+from tessera.operators.text import pieces_by_row, pieces_of_words, values_by_word
 from tessera.session import cut_lineage
 
 UNKNOWN = "[UNK]"
@@ -92,9 +93,52 @@ def segment_words(words: DataFrame, pieces: DataFrame, word: str = "word", max_c
     return done.select("word", F.when(whole, F.col("walk.out")).otherwise(unknown).alias("pieces"))
 
 
+def _sent(pieces: DataFrame) -> frozenset[str] | None:
+    """The pieces, if they are few enough to send to all tasks."""
+    vocab = pieces.select("piece").where("piece IS NOT NULL AND piece <> ''").distinct()
+    size = vocab.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0)).alias("b")).first()["b"]
+    return frozenset(r["piece"] for r in vocab.collect()) if size <= MAX_SENT else None
+
+
+def _longest_first(held: frozenset[str], max_chars: int) -> Callable[[str], list[str]]:
+    reach = max(map(len, held), default=0)
+
+    def of_word(word: str) -> list[str]:
+        if len(word) > max_chars:
+            return [UNKNOWN]
+        out, at = [], 0
+        while at < len(word):
+            inside = "##" if at else ""
+            end = next((e for e in range(min(len(word), at + reach), at, -1) if inside + word[at:e] in held), None)
+            if end is None:
+                return [UNKNOWN]
+            out.append(inside + word[at:end])
+            at = end
+        return out
+
+    return of_word
+
+
+def wordpiece_in_place(text_col: str, pieces: DataFrame, max_chars: int = 100) -> Column | None:
+    """The pieces of a text, without a join; None if they are too many to send to all tasks."""
+    held = _sent(pieces)
+    return None if held is None else pieces_of_words(wordpiece_words(text_col), _longest_first(held, max_chars))
+
+
 def wordpiece_tokens(df: DataFrame, key: str, text_col: str, pieces: DataFrame, max_chars: int = 100) -> DataFrame:
     """(key, pieces) of each text in order, whole; ``key`` names a row.  Null and empty texts have
-    an empty array.  Words are segmented once, then joined to the texts that hold them."""
+    an empty array.
+
+    Up to ``MAX_SENT`` bytes of pieces are sent to all tasks, which segment the words of a text in
+    place.  A larger vocabulary, and texts that share a key, take the joins: words are segmented
+    once, then joined to the texts that hold them."""
     words = df.select(key, wordpiece_words(text_col).alias("__words"))
-    table = segment_words(words.select(F.explode("__words").alias("word")), pieces, max_chars=max_chars)
-    return values_by_word(words, key, "__words", table, "pieces").select(key, F.flatten("pieces").alias("pieces"))
+
+    def table(found: DataFrame) -> DataFrame:
+        return segment_words(found, pieces, max_chars=max_chars)
+
+    held = _sent(pieces)
+    if held is not None:
+        return pieces_by_row(words, key, "__words", _longest_first(held, max_chars), table)
+    found = values_by_word(words, key, "__words", table(words.select(F.explode("__words").alias("word"))), "pieces")
+    return found.select(key, F.flatten("pieces").alias("pieces"))
