@@ -4,7 +4,8 @@ Byte-pair-encoding merges are learned with Spark jobs over the distinct-word tab
 round counts adjacent symbol pairs weighted by word frequency (explode + map-side combined
 aggregate), keeps the best pair (one row to the driver) and rewrites every word's symbol
 string with a regular expression.  Only the merge list (bounded by ``merges``) reaches the
-driver.  Segmentation applies the merges once per distinct word and joins back by word.
+driver.  Segmentation applies the merges in place, once per distinct word in a task; only texts that
+share a key are joined with a table of their words.
 """
 
 from __future__ import annotations
@@ -76,10 +77,9 @@ def segment_vocabulary(vocab: DataFrame, merges: list[tuple[str, str]], word: st
 def subword_tokens(df: DataFrame, key: str, text_col: str, merges: list[tuple[str, str]], max_len: int | None = None) -> DataFrame:
     """Token pieces of each text in order, whole unless ``max_len`` asks for a cut."""
     from tessera.functions import text as Tx
-    from tessera.operators.text import values_by_word
+    from tessera.operators.text import pieces_by_row
 
     words = df.select(key, Tx.tokenize_words(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("__words"))
-    seg = segment_vocabulary(words.select(F.explode("__words").alias("word")), merges)
-    flat = F.flatten("pieces")
-    out = values_by_word(words, key, "__words", seg, "pieces")
-    return out.select(key, (flat if max_len is None else F.slice(flat, 1, max_len)).alias("pieces"))
+    ranks = {pair: i for i, pair in enumerate(merges)}
+    out = pieces_by_row(words, key, "__words", lambda w: _segment(w, ranks), lambda found: segment_vocabulary(found, merges))
+    return out if max_len is None else out.select(key, F.slice("pieces", 1, max_len).alias("pieces"))
