@@ -8,21 +8,49 @@ the n-gram (Cavnar and Trenkle, 1994).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.text import by_own_key
+from tessera.session import cut_lineage
+
 SIZES = (1, 2, 3)
 TOP = 300
 
 
+def _words(text_col: str) -> Column:
+    return F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+", " "), " ")
+
+
+def _own_ngrams(sizes: Sequence[int], top: int):
+    """The ranked n-grams of one text, from the array of its words."""
+
+    def ranked(words) -> list[str]:
+        n: Counter = Counter()
+        for w, times in Counter(words).items():
+            p = f" {w} " if w else ""
+            for s in sizes:
+                for i in range(len(p) - s + 1):
+                    n[p[i : i + s]] += times
+        n.pop(" ", None)
+        return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:top]]
+
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(ranked)
+
+    return run.asNondeterministic()  # once for a row
+
+
 def ranked_ngrams(df: DataFrame, key: str, text_col: str, sizes: Sequence[int] = SIZES, top: int = TOP) -> DataFrame:
     """(key, gram, rank): the ``top`` most frequent n-grams of the words of all texts that share a
     key, ties by the n-gram.  Words are counted first, so that an n-gram is cut from each distinct
     word once a key, and ranks are limited in each task before the shuffle."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+", " "), " ")
-    counted = df.select(key, F.explode(words).alias("w")).where("w <> ''").groupBy(key, "w").agg(F.count("*").alias("n"))
+    counted = df.select(key, F.explode(_words(text_col)).alias("w")).where("w <> ''").groupBy(key, "w").agg(F.count("*").alias("n"))
     padded = counted.select(key, "n", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"))
 
     def cut(s: int):
@@ -47,10 +75,20 @@ def detect_by_profiles(df: DataFrame, key: str, text_col: str, profiles: DataFra
     ``key`` names a text: rows that share one are judged as one text.  A text without letters, or
     with no n-gram of any profile, is 'unknown' with a null distance; so is a row with a null key.
     """
-    own = ranked_ngrams(df, key, text_col, sizes, top)
-    size = own.groupBy(key).agg((F.count("*") * top).alias("__most"))
-    met = own.join(profiles.select("lang", "gram", F.col("rank").alias("r")), "gram")
+    # ranked in place, where no other row has the key
+    def own(rows: DataFrame) -> DataFrame:
+        grams = rows.where(F.col(key).isNotNull()).select(key, _own_ngrams(sizes, top)(_words(text_col)).alias("__g"))
+        ranked = grams.select(key, (F.size("__g") * F.lit(top).cast("long")).alias("__most"), F.posexplode("__g").alias("rank", "gram"))
+        return ranked.select(key, "__most", "gram", (F.col("rank") + 1).cast("long").alias("rank"))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        most = (F.count("*").over(Window.partitionBy(key)) * top).alias("__most")
+        return ranked_ngrams(rows, key, text_col, sizes, top).select(key, most, "gram", "rank")
+
+    # written, so that Spark knows their size and sends them to the texts' n-grams if they are small
+    held = cut_lineage(profiles.select("lang", "gram", F.col("rank").alias("r")))
+    met = by_own_key(df, key, own, shared).join(held, "gram")
     # what a shared n-gram saves against one that the profile lacks
-    saved = met.groupBy(key, "lang").agg(F.sum(top - F.abs(F.col("rank") - F.col("r"))).alias("s"))
-    best = saved.join(size, key).groupBy(key).agg(F.min(F.struct((F.col("__most") - F.col("s")).alias("d"), "lang")).alias("__b"))
+    saved = met.groupBy(key, "lang").agg(F.sum(top - F.abs(F.col("rank") - F.col("r"))).alias("s"), F.max("__most").alias("__most"))
+    best = saved.groupBy(key).agg(F.min(F.struct((F.col("__most") - F.col("s")).alias("d"), "lang")).alias("__b"))
     return df.join(best, key, "left").select(*df.columns, F.coalesce("__b.lang", F.lit("unknown")).alias("detected_lang"), F.col("__b.d").alias("out_of_place"))
