@@ -313,11 +313,12 @@ def context_candidates(df: DataFrame, text_col: str, top: int = 5) -> DataFrame:
     toks = df.select(T.tokenize_words(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("__tk"))
     tri = toks.select(F.explode(T.safe_ngrams(F.col("__tk"), 3, "\u0001")).alias("g"))
     parts = F.split("g", "\u0001")
-    ctx = tri.select(parts[0].alias("left"), parts[1].alias("word"), parts[2].alias("right")).where(
-        F.col("word").rlike(r"(?U)^\p{L}+$"))
-    counts = ctx.groupBy("left", "right", "word").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("left", "right").orderBy(F.desc("count"), "word")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    ctx = tri.where(parts[1].rlike(r"(?U)^\p{L}+$")).select(F.struct(parts[0].alias("left"), parts[2].alias("right")).alias("c"), parts[1].alias("word"))
+    # dealt by context once, for the counts and the ranks; most (left, word, right) occur only once in a task
+    counts = ctx.repartition("c").groupBy("c", "word").agg(F.count(F.lit(1)).alias("count"))
+    w = Window.partitionBy("c").orderBy(F.desc("count"), "word")
+    ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return ranked.select("c.left", "c.right", "word", "count", "rank")
 
 
 def masked_word_replace(df: DataFrame, key: str, text_col: str, top: int = 5, out: str | None = None) -> DataFrame:
@@ -330,13 +331,16 @@ def masked_word_replace(df: DataFrame, key: str, text_col: str, top: int = 5, ou
                                          lambda i: (i > 1) & (i < F.size("__t"))))
     u = core.hash_uniform(_key(key), F.lit("mlm:pos"))
     d = d.withColumn("__pos", F.when(F.size("__inner") > 0, _pick(F.col("__inner"), u)))
-    d = d.withColumn("__l", F.try_element_at("__t", F.col("__pos") - 1)).withColumn(
-        "__r", F.try_element_at("__t", F.col("__pos") + 1)).withColumn("__w", F.try_element_at("__t", F.col("__pos")))
+    spot = F.struct(F.try_element_at("__t", F.col("__pos") - 1).alias("l"), F.try_element_at("__t", F.col("__pos") + 1).alias("r"),
+                    F.try_element_at("__t", F.col("__pos")).alias("w"))
+    # as a generated row, through which the join does not push its tests of the context: each would
+    # repeat the steps above for every row
+    asked = d.select(key, F.explode(F.array(spot)).alias("__m")).select(key, F.col("__m.l").alias("__l"), F.col("__m.r").alias("__r"), F.col("__m.w").alias("__w"))
     cands = context_candidates(df, text_col, top).select(F.col("left").alias("__l"), F.col("right").alias("__r"),
                                                          F.col("word").alias("__c"))
-    j = d.select(key, "__l", "__r", "__w").join(cands, ["__l", "__r"]).where(F.col("__c") != F.col("__w"))
+    j = asked.join(cands, ["__l", "__r"]).where(F.col("__c") != F.col("__w"))
     pick = j.groupBy(key).agg(F.min_by("__c", F.md5(F.concat_ws(":", _key(key), F.col("__c")))).alias("__new"))
     res = d.join(pick, key, "left")
     new_toks = F.transform("__t", lambda t, i: F.when((i + 1 == F.col("__pos")) & F.col("__new").isNotNull(), F.col("__new")).otherwise(t))
     return res.withColumn(out or f"{text_col}_augmented", T.detokenize(new_toks)).drop(
-        "__t", "__inner", "__pos", "__l", "__r", "__w", "__new")
+        "__t", "__inner", "__pos", "__new")
