@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
@@ -85,3 +86,25 @@ def test_contexts_are_shuffled_once(spark):
     got = G.context_candidates(d, "text", 1)
     assert plan(got).count("Exchange hashpartitioning") == 1
     assert got.columns == ["left", "right", "word", "count", "rank"] and [tuple(r) for r in got.collect()] == [("a", "c", "b", 2, 1)]
+
+
+@pytest.mark.parametrize("most", [None, 4])
+@pytest.mark.parametrize("twice", [False, True])
+def test_tfidf_counts_in_place(spark, most, twice):
+    d = docs(spark, twice).unionByName(spark.createDataFrame([(7, "ab ab mer zz"), (None, "ab zz zz")], "doc_id long, text string"))
+    got = X.tfidf_long(d, "doc_id", "text", (1, 2), 2, 1.0, most)
+    # the same by one row a term: rows that share a key, null too, are one text
+    toks = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w\w+"), 0), lambda t: ~t.isin(*X.D.STOPWORDS_EN))
+    base = d.select("doc_id", toks.alias("t")).select("doc_id", F.explode(F.concat("t", X.T.safe_ngrams("t", 2))).alias("term"))
+    tf = base.groupBy("doc_id", "term").count().collect()
+    df, cf = {}, {}
+    for r in tf:
+        df[r["term"]], cf[r["term"]] = df.get(r["term"], 0) + 1, cf.get(r["term"], 0) + r["count"]
+    n = d.count()
+    kept = sorted((t for t in df if 2 <= df[t] <= n), key=lambda t: (-cf[t], t))[:most]
+    w = {(r["doc_id"], r["term"]): r["count"] * (math.log((n + 1) / (df[r["term"]] + 1)) + 1) for r in tf if r["term"] in kept}
+    norm = {k: math.sqrt(sum(x * x for (j, _), x in w.items() if j == k)) for k, _ in w}
+    assert {(r["doc_id"], r["term"]): round(r["tfidf"], 9) for r in got.collect()} == {k: round(x / norm[k[0]], 9) for k, x in w.items()}
+    if not twice and most:  # sums of a term and the kept cells, not a row for each text and term
+        own = plan(X.tfidf_long(docs(spark).where("doc_id IS NOT NULL"), "doc_id", "text", (1, 2), 2, 1.0, most))
+        assert not re.search(r"Exchange hashpartitioning\(doc_id#\d+L, term#", own)
