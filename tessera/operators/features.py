@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera import core
 from tessera.functions import dictionaries as D
+from tessera.operators.text import row_term_counts
 
 
 def _q(name: str) -> str:
@@ -86,8 +87,8 @@ class PreparedFeatures(Estimator):
         stages.append(SQLTransformer(statement=f"SELECT *, concat({', '.join(_q(p) for p in parts)}) AS {_q(name('grams'))} FROM __THIS__"))
         rows = PipelineModel(stages).transform(df.select(c)).select(F.col(name("grams")).alias("g"))
         n = df.count()
-        # a term's rows and occurrences; summed before the shuffle
-        counted = rows.withColumn("r", F.monotonically_increasing_id()).select("r", F.explode("g").alias("term")).groupBy("r", "term").agg(F.count(F.lit(1)).alias("tf"))
+        # a term's rows and occurrences: counted in each row, summed before the shuffle
+        counted = row_term_counts(rows, "g")
         stats = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
         kept = stats.where((F.col("df") >= self.min_df) & (F.col("df") <= F.lit(self.max_df * n))).orderBy(F.desc("cf"), "term").limit(self.max_features)
         found = kept.select("term", (F.ln(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("idf")).collect()  # max_features rows
