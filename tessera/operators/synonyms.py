@@ -1,20 +1,30 @@
 """Words of like use, learned from the corpus (G08, G09): windowed co-occurrence, positive
 pointwise mutual information, nearest words by cosine.
 
-The words looked for are a stated set; each is held against every word of the corpus, by a join on
-the contexts that both have.  No pairs among all words of the corpus are formed.
+The words looked for are a stated set; each is held against every word of the corpus, in blocks of
+both whose products stay in a task: only the best of a block are shuffled.  No pairs among all words
+of the corpus are formed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dictionaries as D
 from tessera.functions import text as T
+from tessera.session import cut_lineage
+
+
+#: Cells of the vectors of a block of words, and of a block of words looked for.
+WORD_CELLS, ASKED_CELLS = 1 << 20, 1 << 22
+#: Products of a step within a block, and cells of its sums.
+STEP = 1 << 21
 
 
 def content_words(text_col: str, stopwords: Iterable[str] = D.STOPWORDS_EN):
@@ -57,19 +67,74 @@ def nearest_words(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFra
 
     A query without vector has no row; repeated and null queries count once and not at all."""
     norms = vectors.groupBy("word").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    unit = vectors.join(norms, "word").select("word", "context", (F.col("weight") / F.col("norm")).alias("x"))
-    asked = unit.join(queries.select("word").distinct(), "word", "left_semi").select(F.col("word").alias("q"), "context", F.col("x").alias("y"))
-    met = unit.join(asked, "context").where("word <> q").groupBy("q", "word").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("cosine"))
+    # words by number, in their order
+    named = cut_lineage(norms.orderBy("word").select("word", "norm", F.monotonically_increasing_id().alias("id")))
+    unit = vectors.join(named, "word").select(F.col("id").alias("w"), "context", (F.col("weight") / F.col("norm")).alias("x"))
+    contexts = cut_lineage(vectors.select("context").distinct().select("context", F.monotonically_increasing_id().alias("c")))
+    unit = cut_lineage(unit.join(contexts, "context").select("w", "c", "x"))
+    ids = cut_lineage(named.join(queries.select("word").distinct(), "word", "left_semi").select(F.col("id").alias("w")))
+    asked = cut_lineage(unit.join(ids, "w", "left_semi"))
+    blocks, groups = -(-unit.count() // WORD_CELLS), -(-asked.count() // ASKED_CELLS)
+    deal = lambda n, c: F.pmod(F.xxhash64(c), F.lit(max(n, 1))).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    left = unit.select(deal(blocks, "w").alias("block"), each(groups).alias("group"), "w", "c", "x").groupBy("block", "group")
+    right = asked.select(each(blocks).alias("block"), deal(groups, "w").alias("group"), "w", "c", "x").groupBy("block", "group")
+    met = left.cogroup(right).applyInPandas(_best_of_block(k), "q long, w long, cosine double")
+    # at most k rows for a block and word looked for
+    met = met.join(named.select(F.col("id").alias("q"), F.col("word").alias("asked")), "q").join(named.select(F.col("id").alias("w"), "word"), "w")
+    met = met.select(F.col("asked").alias("q"), "word", F.round("cosine", 9).alias("cosine"))
     best = Window.partitionBy("q").orderBy(F.desc("cosine"), "word")
     ranked = met.where("cosine > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias("word"), F.col("word").alias("synonym"), "rank", "cosine")
 
 
+def _best_of_block(k: int):
+    """A function of the vectors of a block of words and of one of words looked for, each as rows (w, c, x): for
+    each of the latter the ``k`` other words with the highest sum of products above 0."""
+
+    def run(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        names, q = np.unique(asked["w"].to_numpy(np.int64), return_inverse=True)
+        at = np.argsort(asked["c"].to_numpy(np.int64), kind="stable")
+        contexts, first, many = np.unique(asked["c"].to_numpy(np.int64)[at], return_index=True, return_counts=True)
+        q, y = q[at], asked["x"].to_numpy(float)[at]
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # q, w, cosine
+        least = np.zeros(len(names))
+        if len(names):
+            words = words[np.isin(words["c"].to_numpy(np.int64), contexts)].sort_values("w", kind="stable")
+        ids, w = np.unique(words["w"].to_numpy(np.int64), return_inverse=True)
+        place = np.searchsorted(contexts, words["c"].to_numpy(np.int64))
+        x = words["x"].to_numpy(float)
+        starts = np.searchsorted(w, np.arange(len(ids) + 1))
+        done = np.concatenate([[0], np.cumsum(many[place])]) if len(names) else np.zeros(len(w) + 1)
+        lo = 0
+        while len(names) and lo < len(ids):
+            hi = min(lo + max(STEP // len(names), 1), len(ids))
+            sums = np.zeros((hi - lo) * len(names))
+            at = starts[lo]
+            while at < starts[hi]:
+                to = min(max(int(np.searchsorted(done, done[at] + STEP, side="right")) - 1, at + 1), starts[hi])
+                n = many[place[at:to]]
+                cell = np.repeat(np.arange(at, to), n)
+                other = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n) + first[place[cell]]
+                sums += np.bincount((w[cell] - lo) * len(names) + q[other], weights=x[cell] * y[other], minlength=len(sums))
+                at = to
+            sums = np.round(sums.reshape(hi - lo, len(names)), 9)
+            i, j = np.nonzero((sums > 0) & (sums >= least) & (ids[lo:hi, None] != names[None, :]))
+            held = tuple(np.concatenate(p) for p in zip(held, (j, ids[lo + i], sums[i, j])))
+            order = np.lexsort((held[1], -held[2], held[0]))
+            held = tuple(p[order] for p in held)
+            rank = np.arange(len(order)) - np.searchsorted(held[0], held[0])
+            least[held[0][rank == k - 1]] = held[2][rank == k - 1]
+            held = tuple(p[rank < k] for p in held)
+            lo = hi
+        return pd.DataFrame({"q": names[held[0]], "w": held[1], "cosine": held[2]})
+
+    return run
+
+
 def synonym_candidates(df: DataFrame, text_col: str, queries: DataFrame, window: int = 2, least: int = 2, k: int = 5,
                        stopwords: Iterable[str] = D.STOPWORDS_EN) -> DataFrame:
     """(word, synonym, rank, cosine): ``nearest_words`` over the corpus ``df``.  The pair counts are
     written once, as three steps read them."""
-    from tessera.session import cut_lineage
-
     pairs = cut_lineage(cooccurrences(df, text_col, window, stopwords))
     return nearest_words(cut_lineage(positive_pmi(pairs, least)), queries, k)

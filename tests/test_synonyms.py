@@ -76,3 +76,24 @@ def test_table_gives_what_a_mapping_gives(spark):
     assert a == b and any("dog" in r["text_augmented"] or "cream" in r["text_augmented"] for r in a)
     none = G.synonym_replace(docs, "doc_id", "text", 1.0, learned.where("false")).select("text_augmented")
     assert none.count() == len(TEXTS)
+
+
+def test_blocks_give_what_one_block_gives(spark, monkeypatch):
+    """Words and words looked for in many blocks, with steps of few products; no pair of them is shuffled."""
+    vectors = spark.createDataFrame([(f"w{i}", f"c{(i * j) % 13}", 1.0 + (i + j) % 4) for i in range(40) for j in range(1, 6)], "word string, context string, weight double").dropDuplicates(["word", "context"])
+    asked = vectors.select("word").where("word < 'w2'")
+    rows = vectors.collect()
+    vec = defaultdict(dict)
+    for r in rows:
+        vec[r["word"]][r["context"]] = r["weight"]
+    want = set()
+    for a in {r["word"] for r in asked.collect()}:
+        cos = {b: round(sum(x * vec[b].get(c, 0) for c, x in vec[a].items()) / math.hypot(*vec[a].values()) / math.hypot(*vec[b].values()), 9) for b in vec if b != a}
+        want |= {(a, b, n + 1) for n, (c, b) in enumerate(sorted((-c, b) for b, c in cos.items() if c > 0)[:4])}
+    for cells, step in ((1 << 20, 1 << 21), (30, 7)):
+        monkeypatch.setattr(S, "WORD_CELLS", cells)
+        monkeypatch.setattr(S, "ASKED_CELLS", cells)
+        monkeypatch.setattr(S, "STEP", step)
+        got = S.nearest_words(vectors, asked, 4)
+        assert {(r["word"], r["synonym"], r["rank"]) for r in got.collect()} == want
+    assert "FlatMapCoGroupsInPandas" in got._jdf.queryExecution().executedPlan().toString()
