@@ -214,38 +214,30 @@ def topic_lda(df: DataFrame, text_col: str, k: int = 5, words: int = 10, max_ite
 
 def topic_nmf(tfidf_long: DataFrame, key: str, k: int = 5, iters: int = 30, words: int = 10, seed: int = 42) -> DataFrame:
     """NMF of the long (key, term, tfidf) matrix V ~ W H by multiplicative updates.
-    W (doc x k) and H (k x term) are long tables; every update is joins and sums; the k x k
-    Gram matrices are tiny and broadcast.  Returns (topic, rank, term, weight)."""
+    W (doc x k) and H (k x term) hold one row of k numbers a document and a term; an update is one
+    join of V and sums; the k x k Gram matrices are tiny and broadcast.  Returns (topic, rank, term, weight)."""
     from tessera.session import cut_lineage
 
-    v = tfidf_long.select(F.col(key).alias("d"), "term", F.col("tfidf").alias("v"))
-    ks = F.sequence(F.lit(0), F.lit(k - 1))
-    W = v.select("d").distinct().select("d", F.explode(ks).alias("t")).withColumn(
-        "w", core.hash_uniform(F.concat_ws(":", F.col("d").cast("string"), F.col("t").cast("string")), F.lit(f"nmf-w:{seed}")) + 0.01)
-    H = v.select("term").distinct().select("term", F.explode(ks).alias("t")).withColumn(
-        "h", core.hash_uniform(F.concat_ws(":", "term", F.col("t").cast("string")), F.lit(f"nmf-h:{seed}")) + 0.01)
-    eps = F.lit(1e-9)
-    v = cut_lineage(v)
-    W, H = cut_lineage(W), cut_lineage(H)
-    for it in range(iters):
-        # H <- H * (W^T V) / (W^T W H)
-        wtv = v.join(W, "d").groupBy("t", "term").agg(F.sum(F.col("w") * F.col("v")).alias("num"))
-        wtw = W.alias("a").join(W.alias("b"), "d").groupBy(F.col("a.t").alias("t"), F.col("b.t").alias("s")).agg(
-            F.sum(F.col("a.w") * F.col("b.w")).alias("g"))
-        den = H.withColumnRenamed("t", "s").join(F.broadcast(wtw), "s").groupBy("t", "term").agg(F.sum(F.col("g") * F.col("h")).alias("den"))
-        H = H.join(wtv, ["t", "term"], "left").join(den, ["t", "term"], "left").select(
-            "term", "t", (F.col("h") * F.coalesce("num", F.lit(0.0)) / (F.coalesce("den", F.lit(0.0)) + eps)).alias("h"))
-        H = cut_lineage(H)
-        # W <- W * (V H^T) / (W H H^T)
-        vht = v.join(H, "term").groupBy("d", "t").agg(F.sum(F.col("v") * F.col("h")).alias("num"))
-        hht = H.alias("a").join(H.alias("b"), "term").groupBy(F.col("a.t").alias("t"), F.col("b.t").alias("s")).agg(
-            F.sum(F.col("a.h") * F.col("b.h")).alias("g"))
-        den = W.withColumnRenamed("t", "s").join(F.broadcast(hht), "s").groupBy("d", "t").agg(F.sum(F.col("g") * F.col("w")).alias("den"))
-        W = W.join(vht, ["d", "t"], "left").join(den, ["d", "t"], "left").select(
-            "d", "t", (F.col("w") * F.coalesce("num", F.lit(0.0)) / (F.coalesce("den", F.lit(0.0)) + eps)).alias("w"))
-        # each update reads W and H several times: cut lineage every iteration so the plan
-        # stays one iteration deep
-        W = cut_lineage(W)
+    v = cut_lineage(tfidf_long.select(F.col(key).alias("d"), "term", F.col("tfidf").alias("v")))
+
+    def start(name: str, salt: str) -> DataFrame:
+        u = [core.hash_uniform(F.concat_ws(":", F.col(name).cast("string"), F.lit(str(t))), F.lit(salt)) + 0.01 for t in range(k)]
+        return cut_lineage(v.select(name).distinct().select(name, F.array(*u).alias("x")))
+
+    def update(M: DataFrame, name: str, other: DataFrame, by: str) -> DataFrame:
+        """M <- M * (V other) / (M (other^T other)); a null name meets no row of the other matrix."""
+        num = v.join(other, by).groupBy(name).agg(F.array(*[F.sum(F.col("x")[t] * F.col("v")) for t in range(k)]).alias("num"))
+        gram = other.where(F.col(by).isNotNull()).agg(F.array(*[F.sum(F.col("x")[t] * F.col("x")[s]) for t in range(k) for s in range(k)]).alias("g"))
+        den = [sum((F.coalesce(F.col("g")[t * k + s], F.lit(0.0)) * F.col("x")[s] for s in range(k)), F.lit(0.0)) for t in range(k)]
+        new = [F.col("x")[t] * F.coalesce(F.col("num")[t], F.lit(0.0)) / (den[t] + F.lit(1e-9)) for t in range(k)]
+        # read several times: lineage is cut in every iteration, so that a plan stays one update deep
+        return cut_lineage(M.join(num, name, "left").crossJoin(F.broadcast(gram)).select(name, F.array(*new).alias("x")))
+
+    W, H = start("d", f"nmf-w:{seed}"), start("term", f"nmf-h:{seed}")
+    for _ in range(iters):
+        H = update(H, "term", W, "d")
+        W = update(W, "d", H, "term")
+    H = H.select("term", F.posexplode("x").alias("t", "h"))
     # the top words of parts of the vocabulary first, then of what they leave
     part = Window.partitionBy("t", F.pmod(F.xxhash64("term"), F.lit(64))).orderBy(F.desc("h"), "term")
     H = H.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= words)
