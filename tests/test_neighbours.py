@@ -72,3 +72,43 @@ def test_similarity(spark):
     same = [p for p in pairs if p[3] and p[1] % 3 == 1 and p[1] < 100]
     assert groups[7] is None and groups[1] == pytest.approx(sum(p[0] for p in same) / len(same))
     assert N.most_similar_pair(df, "k", "v", "g").where(F.col("g") == 7).count() == 0
+
+
+def test_a_query_is_sent_once_to_a_shelf(spark):
+    """Without structure most cells are asked for, but their vectors go to a few shelves only."""
+    n = 1500
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"id": range(n), "label": 1, "h": range(n), "vec": rng.normal(size=(n, 16)).tolist()})
+    pivots = N._pivots(spark.createDataFrame(pdf, "id long, label long, h long, vec array<double>"))
+    cells = next(N._assigned(pivots, 5)(iter([pdf])))
+    radii = cells.groupby(["label", "cell"])["dist"].max().to_dict()
+    shelves = N._shelved(pivots, cells.groupby(["label", "cell"]).size().to_dict())
+    sent = pd.concat(N._sent(pivots, radii, shelves)(iter([cells])))
+    assert len(sent) <= n and set(sent["shelf"]) == {0}  # 1,500 points are one shelf
+    asked = {(q, int(c)) for q, some in zip(sent["q"], sent["cells"]) for c in np.frombuffer(some, np.int32)}
+    each = pd.concat(N._sent(pivots, radii)(iter([cells])))
+    assert asked == set(zip(each["q"], each["cell"])) and len(asked) > 5 * n
+    # the closest pair needs no cell that cannot hold one
+    bound = cells.assign(bound=0.01)
+    assert sum(map(len, N._sent(pivots, radii, shelves, True)(iter([bound])))) < n / 20
+
+
+def test_many_shelves(spark, monkeypatch):
+    """Shelves smaller than cells and classes, a class of copies, tied closest pairs."""
+    monkeypatch.setattr(N, "SHELF", 16)
+    r = random.Random(5)
+    rows = [("a%03d" % i, "grid", [float(r.randrange(1, 30)), float(r.randrange(1, 30))]) for i in range(200)]
+    rows += [("g%03d" % i, "wide", [r.gauss(0, 1) for _ in range(12)]) for i in range(150)]
+    rows += [("h%03d" % i, "tight", [1e6 + r.randrange(40), 1e6]) for i in range(30)] + [("p", "two", [0.0, 1.0]), ("q", "two", [1.0, 0.0])]
+    df = spark.createDataFrame([(*x, "i", "r") for x in rows], SCHEMA).repartition(3)
+    assert found(N.nearest(df, "k", "c", "v", 3)) == brute(rows, 3)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
+    got = {x["c"]: x for x in N.most_similar_pair(df.where("c <> 'grid'"), "k", "v", "c").collect()}
+    for label in ("wide", "two", "tight"):
+        mine = [(k, v) for k, c, v in rows if c == label]
+        best = max(cos(v, w) for k, v in mine for m, w in mine if k < m)
+        assert got[label]["similarity"] == pytest.approx(best)
+    assert (got["two"]["a"], got["two"]["b"]) == ("p", "q")
+    # equal distances: the smallest keys
+    ties = spark.createDataFrame([(i, [float(x == i % 8) for x in range(8)]) for i in range(8)], "k long, v array<double>")
+    assert N.most_similar_pair(ties, "k", "v").first()[:2] == (0, 1)
