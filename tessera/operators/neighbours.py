@@ -121,10 +121,10 @@ def _assigned(pivots: dict, k: int):
     return run
 
 
-def _sent(pivots: dict, radii: dict, shelves: dict | None = None, once: bool = False):
+def _sent(pivots: dict, radii: dict, shelves: dict | None = None):
     """A map from points with a bound to the other cells that may hold a nearer one; with ``shelves``
     (of each class the first shelf and the number of shelves by cell) one row for each shelf, with
-    its cells packed.  ``once``: of two cells only the points of the lesser one are sent."""
+    its cells packed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -144,8 +144,6 @@ def _sent(pivots: dict, radii: dict, shelves: dict | None = None, once: bool = F
                     side = (d - dist * dist - 2 * off) / (2 * np.sqrt(np.maximum(between, 0) + wide) + TINY)
                     go = ~(np.fmax(ring, side) > bound * (1 + SLACK) + SLACK * dist) & np.isin(np.arange(len(p)), np.flatnonzero(r != -np.inf))[None, :]
                     go[np.arange(len(rows)), own] = False
-                    if once:
-                        go &= np.arange(len(p))[None, :] > own[:, None]
                     at, cell = np.nonzero(go)
                     if not len(at):
                         continue
@@ -270,7 +268,7 @@ def nearest(df: DataFrame, key: str, label: str, vec: str, k: int = 5) -> DataFr
 
 def _nearest(df: DataFrame, key: str, label: str, vec: str, k: int, closest: bool = False) -> DataFrame:
     """``nearest``; with ``closest`` only neighbours no farther than the closest pair that a cell of
-    the class holds, found from one of the two rows at least: all that can be the closest pair."""
+    the class holds: all that can be the closest pair."""
     points, rows = _points(df, key, label, vec, k + 1)
     pivots = _pivots(points)
     kind = points.schema["label"].dataType.simpleString()
@@ -284,9 +282,10 @@ def _nearest(df: DataFrame, key: str, label: str, vec: str, k: int, closest: boo
     at_home = cells.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("shelf"), F.col("id").alias("q"), "cell", F.lit(None).cast("binary").alias("cells"), "vec", "bound")
     home = cut_lineage(_visit(at_home, cells, k))
     if closest:
-        # rows that share a vector are a pair as well
-        twice = points.where(F.size("first") > 1).select("label", F.lit(0.0).alias("least"))
-        least = home.where("q <> id").join(cells.select(F.col("id").alias("q"), "label"), "q").select("label", F.col("distance").alias("least"))
+        # rows that share a vector are a pair as well; a key that comes twice may have no neighbour but itself
+        twice = points.where("element_at(first, 1) <> element_at(first, -1)").select("label", F.lit(0.0).alias("least"))
+        again = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi").select(F.col("id").alias("q")).distinct()
+        least = home.where("q <> id").join(again, "q", "left_anti").join(cells.select(F.col("id").alias("q"), "label"), "q").select("label", F.col("distance").alias("least"))
         least = cut_lineage(least.unionByName(twice).groupBy("label").agg(F.min("least").alias("least")))
         limits = cells.select("id", "label").join(F.broadcast(least), "label").select(F.col("id").alias("q"), "least")
         home = home.join(limits, "q").where("distance <= least").drop("least")
@@ -296,7 +295,7 @@ def _nearest(df: DataFrame, key: str, label: str, vec: str, k: int, closest: boo
         known = near.where(F.size("d") > 0).select(F.col("q").alias("id"), F.element_at("d", 1).alias("known"))
         bounded = cells.join(known, "id", "left").withColumn("bound", F.least("bound", "known"))
     bounded = bounded.select("id", "label", "vec", "cell", "dist", "bound")
-    sent = bounded.mapInPandas(_sent(pivots, {c: radius for c, (_, radius) in sizes.items()}, shelves, closest), "q long, shelf long, cells binary, vec binary, bound double")
+    sent = bounded.mapInPandas(_sent(pivots, {c: radius for c, (_, radius) in sizes.items()}, shelves), "q long, shelf long, cells binary, vec binary, bound double")
     away = _visit(sent.withColumn("cell", F.lit(None).cast("int")), cells, k)
     lists = home.unionByName(away)
     best = Window.partitionBy("q").orderBy("distance", "id")

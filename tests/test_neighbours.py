@@ -90,7 +90,7 @@ def test_a_query_is_sent_once_to_a_shelf(spark):
     assert asked == set(zip(each["q"], each["cell"])) and len(asked) > 5 * n
     # the closest pair needs no cell that cannot hold one
     bound = cells.assign(bound=0.01)
-    assert sum(map(len, N._sent(pivots, radii, shelves, True)(iter([bound])))) < n / 20
+    assert sum(map(len, N._sent(pivots, radii, shelves)(iter([bound])))) < n / 20
 
 
 def test_many_shelves(spark, monkeypatch):
@@ -112,3 +112,6 @@ def test_many_shelves(spark, monkeypatch):
     # equal distances: the smallest keys
     ties = spark.createDataFrame([(i, [float(x == i % 8) for x in range(8)]) for i in range(8)], "k long, v array<double>")
     assert N.most_similar_pair(ties, "k", "v").first()[:2] == (0, 1)
+    # a key that comes twice is no pair with itself, at the same place or near by
+    odd = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.01, 1.0]), (3, [0.9, 0.5]), (4, [0.6, 0.8]), (5, [-1.0, 0.1])]
+    assert N.most_similar_pair(spark.createDataFrame(odd, "k long, v array<double>"), "k", "v").first()[:2] == (3, 4)
